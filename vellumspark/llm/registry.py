@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumspark.llm import minhash
+from vellumspark.llm import minhash, mixing, rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query per operator, over its whole intended table."""
     return {
+        "op2_mix_sources": mixing.op2_mix_sources,
         "op3_near_duplicates": minhash.op3_near_duplicates,
+        "op10_quality_rules": rules.op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {}
+    return {**mixing.ORACLE}
