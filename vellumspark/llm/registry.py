@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumspark.llm import minhash, mixing, rules
+from vellumspark.llm import minhash, mixing, packing, quality, rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mix_sources": mixing.op2_mix_sources,
         "op3_near_duplicates": minhash.op3_near_duplicates,
+        "op4_pack": packing.op4_pack,
+        "op5_quality": quality.op5_quality,
         "op10_quality_rules": rules.op10_quality_rules,
     }
 
