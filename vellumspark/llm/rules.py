@@ -43,20 +43,13 @@ def _counts(batches: Iterator[pa.RecordBatch], words: dict[str, list[str]]) -> I
             base = ts.base_counts(block)
             common = np.zeros((block.n, width + 1), np.int64)
             which = np.array([x if x in order else "" for x in langs.to_pylist()], object)
-            # the first letter of a sentence must not hide a function word: ASCII capitals count as small
-            low = block.data.copy()
-            capital = (low >= 65) & (low <= 90)
-            low[capital] += 32
-            lowered = tb.Block(low, block.starts, block.ends, block.first)
-            ends = base["ends"]
-            stop = np.isin(low[np.maximum(ends - 1, 0)], [46, 44, 33, 59]) & (ends - base["starts"] > 1)
-            words_low = lowered.span_hash(lowered.prefix_hash(), base["starts"], ends - stop)
+            bare, owner = ts.bare_words(block)
             for lang, (h, by) in order.items():
-                mine = np.flatnonzero((which == lang)[base["owner"]])
-                spot = np.searchsorted(h, words_low[mine])
+                mine = np.flatnonzero((which == lang)[owner])
+                spot = np.searchsorted(h, bare[mine])
                 spot[spot == len(h)] = 0
-                hit = h[spot] == words_low[mine]
-                flat = base["owner"][mine[hit]] * (width + 1) + by[spot[hit]]
+                hit = h[spot] == bare[mine]
+                flat = owner[mine[hit]] * (width + 1) + by[spot[hit]]
                 common += np.bincount(flat, minlength=block.n * (width + 1)).reshape(block.n, -1)
             common[:, width] = base["n_words"] - common.sum(axis=1)
             kinds = ts.class_counts(block)

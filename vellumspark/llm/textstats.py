@@ -100,3 +100,25 @@ def word_hash(words: list[str]) -> np.ndarray:
     ends = np.cumsum(lengths)
     block = tb.Block(np.frombuffer(data, np.uint8), np.zeros(1, np.int64), np.array([len(data)]), 0)
     return block.span_hash(block.prefix_hash(), ends - lengths, ends)
+
+
+_MARK = np.zeros(256, bool)
+_MARK[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def bare_words(block: tb.Block) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text number) of every word in small ASCII letters without ASCII marks at its ends.
+
+    Words of marks only are left out.
+    """
+    low = tb.Block(_LOWER[block.data], block.starts, block.ends, block.first)
+    a, b, owner = low.words()
+    mark = _MARK[low.data]
+    at = np.arange(len(mark))
+    following = np.minimum.accumulate(np.where(mark, len(mark), at)[::-1])[::-1] if len(at) else at
+    earlier = np.maximum.accumulate(np.where(mark, -1, at)) if len(at) else at
+    a, b = following[a], earlier[b - 1] + 1
+    some = a < b
+    return low.span_hash(low.prefix_hash(), a[some], b[some]), owner[some]
