@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumspark.llm import minhash, mixing, packing, quality, rules, search, toxicity
+from vellumspark.llm import chat, minhash, mixing, packing, quality, rules, search, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_near_duplicates": minhash.op3_near_duplicates,
         "op4_pack": packing.op4_pack,
         "op5_quality": quality.op5_quality,
+        "op6_chat_format": chat.op6_chat_format,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_top_k": search.op9_top_k,
         "op10_quality_rules": rules.op10_quality_rules,
@@ -24,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {**mixing.ORACLE, **search.ORACLE}
+    return {**mixing.ORACLE, **chat.ORACLE, **search.ORACLE}
