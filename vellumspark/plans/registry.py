@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ()
+from vellumspark.plans import extraction
+
+_MODULES = (extraction,)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship query."""
-    raise NotImplementedError
+    return extraction.QUERIES["v7_hybrid_search"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
