@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumspark.plans import extraction
+from vellumspark.plans import extraction, records
 
-_MODULES = (extraction,)
+_MODULES = (extraction, records)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

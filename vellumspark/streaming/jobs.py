@@ -67,7 +67,7 @@ def stream_reassemble(packets: DataFrame) -> DataFrame:
     """[tx, progress, payload] after every batch; bad checksums are dropped, duplicates overwrite."""
     ship(packets.sparkSession)
     good = packets.where(checksum(F.col("data")) == F.col("checksum"))
-    return good.groupBy("tx").applyInPandasWithState(_assemble, "tx string, progress double, payload string", "n int, parts array<string>", "update", GroupStateTimeout.NoTimeout)
+    return good.withColumn("tx", F.col("tx").cast("string")).groupBy("tx").applyInPandasWithState(_assemble, "tx string, progress double, payload string", "n int, parts array<string>", "update", GroupStateTimeout.NoTimeout)
 
 
 def _streak(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -84,4 +84,4 @@ def _streak(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
 def stream_streaks(results: DataFrame) -> DataFrame:
     """[session_id, seq, streak] of a stream of tool results, in order of time within each batch."""
     ship(results.sparkSession)
-    return results.groupBy("session_id").applyInPandasWithState(_streak, "session_id string, seq long, streak long", "streak long", "append", GroupStateTimeout.NoTimeout)
+    return results.withColumn("session_id", F.col("session_id").cast("string")).groupBy("session_id").applyInPandasWithState(_streak, "session_id string, seq long, streak long", "streak long", "append", GroupStateTimeout.NoTimeout)
