@@ -212,4 +212,22 @@ SELECT document_id, id, round(keyword_score, 6) AS keyword_score, round(semantic
 """,
     "v9_context": "WITH " + _LINES + r""", t AS (SELECT document_id, sort_order + 1 AS rank, block_id, sum(len(regexp_extract_all(text, '\S+'))) OVER (PARTITION BY document_id ORDER BY sort_order) AS running_tokens FROM b)
 SELECT document_id, rank, block_id, running_tokens::BIGINT AS running_tokens FROM t WHERE running_tokens <= 60""",
+    "p14_chunk": r"""
+WITH RECURSIVE s AS (SELECT doc_id::VARCHAR AS d, string_split(text, '. ') AS p, len(regexp_extract_all(text, '\S+')) AS w, text FROM documents),
+r AS (SELECT d, p, 1 AS i, 0 AS c, len(regexp_extract_all(p[1], '\S+')) AS n FROM s WHERE w > 150
+  UNION ALL SELECT d, p, i + 1, CASE WHEN n + len(regexp_extract_all(p[i + 1], '\S+')) > 150 THEN c + 1 ELSE c END,
+    CASE WHEN n + len(regexp_extract_all(p[i + 1], '\S+')) > 150 THEN 0 ELSE n END + len(regexp_extract_all(p[i + 1], '\S+')) FROM r WHERE i < len(p))
+SELECT d AS document_id, 0::INT AS chunk_index, c::INT AS seq, string_agg(p[i], '. ' ORDER BY i) AS text, max(n)::INT AS word_count FROM r GROUP BY d, c
+UNION ALL SELECT d, 0, 0, text, w::INT FROM s WHERE w <= 150
+""",
+    "p15_truncate_tokens": "SELECT doc_id, left(text, list_max(list_filter(range(0, 201), lambda n: strlen(left(text, n)) <= 200))) AS text FROM documents",
+    "v1_hash_embedding": r"""
+WITH w AS (SELECT item_id AS id, unnest(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\w\s]', '', 'g'), '\s+'), lambda x: x <> '')) AS word FROM benchmark),
+c AS (SELECT id, word || '_' || salt AS t, count(*) AS n FROM w, (VALUES (0), (1), (2)) x(salt) GROUP BY ALL),
+h0 AS (SELECT id, n, list_reduce(list_prepend(5381::HUGEINT, list_transform(string_split(t, ''), lambda x: ascii(x)::HUGEINT)), lambda a, x: ((a * 33 + x) % 4294967296)) AS u FROM c),
+h AS (SELECT id, n, (CASE WHEN u >= 2147483648 THEN u - 4294967296 ELSE u END)::BIGINT AS h FROM h0),
+v AS (SELECT id, unnest([abs(h) % 384, abs(h * 31 + 17) % 384, abs(h * 97 + 43) % 384]) AS dim, (CASE WHEN h & 1 = 0 THEN 1 ELSE -1 END) * n AS v FROM h),
+g AS (SELECT id, dim::INT AS dim, sum(v)::DOUBLE AS v FROM v GROUP BY id, dim HAVING sum(v) <> 0)
+SELECT id, dim, round(v / sqrt(sum(v * v) OVER (PARTITION BY id)), 6) AS value FROM g
+""",
 }

@@ -259,6 +259,13 @@ i AS (SELECT *, sum((NOT failed)::INT) OVER (PARTITION BY session_id ORDER BY ts
 st AS (SELECT *, (sum(failed::INT) OVER (PARTITION BY session_id, g ORDER BY ts, seq))::BIGINT AS streak FROM i)"""
 _HT = _B + """, h AS (SELECT *, CASE WHEN length(text) < 30 THEN 16 * 1.3::DOUBLE * 1.4 + 24 ELSE ceil(length(text) / 40.0) * 24.0 + 16 END AS height FROM b)"""
 
+_GL = r"""g0 AS (SELECT doc_id AS d, unnest(string_split(left(text, 400), '')) AS glyph, generate_subscripts(string_split(left(text, 400), ''), 1) - 1 AS idx FROM documents WHERE text <> ''),
+g1 AS (SELECT d, glyph, idx, d % 2 = 1 AS two, idx // 40 AS r, idx % 40 AS c FROM g0),
+g2 AS (SELECT *, CASE WHEN two AND r >= 5 THEN 310 + c * 7.0 WHEN two THEN c * 7.0 ELSE c * 14.0 END AS x, 700 - 12.0 * CASE WHEN two THEN r % 5 ELSE r END AS y,
+  sum(regexp_matches(glyph, '^\s*$')::INT) OVER (PARTITION BY d ORDER BY idx) AS island FROM g1),
+tokens AS (SELECT d::VARCHAR AS document_id, 1::INT AS page, (row_number() OVER (PARTITION BY d ORDER BY min(idx)) - 1)::INT AS token_no, min(x)::DOUBLE AS "left", min(y)::DOUBLE AS bottom,
+  (max(x) + 6)::DOUBLE AS "right", (max(y) + 10)::DOUBLE AS top, 10.0::DOUBLE AS font_size, string_agg(glyph, '' ORDER BY idx) AS text FROM g2 WHERE NOT regexp_matches(glyph, '^\s*$') GROUP BY d, island)"""
+
 ORACLE = {
     "s2_library": "SELECT doc_id, source, n_chars FROM documents",
     "s4_json_rows": """SELECT '{"doc_id":' || doc_id || ',"quality":' || quality || ',"raw":"<blob 1 bytes>"}' AS json FROM labels""",
@@ -329,4 +336,8 @@ t AS (SELECT doc_id, unnest(regexp_extract_all(translate(lower(CASE WHEN doc_id
 SELECT doc_id::VARCHAR AS document_id, count(*) AS tokens, count(DISTINCT term) AS terms FROM t GROUP BY 1""".replace("__M", tx.MARKED).replace("__P", tx.PLAIN),
     "t2_stream_reassemble": "SELECT doc_id AS tx, 100.0::DOUBLE AS progress, text AS payload FROM documents",
     "t3_stream_streaks": "WITH " + _RS + " SELECT session_id, seq, streak FROM st",
+    "d4_orphans": "WITH " + _AN + " SELECT annotation_id FROM an WHERE color = 'red'",
+    "p7_glyph_tokens": "WITH " + _GL + " SELECT * FROM tokens",
+    "p11_captions": "WITH " + _GL + """ SELECT document_id, page, token_no, 'img-1' AS image_id, '[Caption: ' || t || ']' AS text
+FROM (SELECT *, CASE WHEN token_no % 3 = 0 THEN 'Fig ' || text ELSE text END AS t FROM tokens) WHERE document_id::BIGINT % 3 = 0 AND starts_with(t, 'Fig') AND 730 - top >= 0 AND 730 - top < 30 AND ("left" + "right") / 2 BETWEEN -20 AND 320""",
 }
