@@ -200,7 +200,7 @@ def _order(key: tuple, pdf: pd.DataFrame, mid: float, tolerance: float) -> pd.Da
         else:
             lines.append([a, b, c, d])
     left, right = sum(x[2] < mid for x in lines), sum(x[0] > mid and x[2] >= mid for x in lines)
-    two = left + right > 2 * (len(lines) - left - right) and left > 0 and right > 0
+    two = left + right > 2 * (len(lines) - left - right)
     column = [int(two and (x[0] + x[2]) / 2 >= mid) for x in boxes]
     rank, found = 0, []
     for c in sorted(set(column)):
