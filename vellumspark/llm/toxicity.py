@@ -8,7 +8,7 @@ the earlier categories are weak labels: toxic training rows that hold a seed wor
 category. Seeds are used for nothing else.
 
 The fit uses at most ``max_rows`` labelled rows of each class and ``max_features`` words, the
-words with the strongest association (chi-square) among these rows. Scoring covers every whole
+words with the strongest positive association (chi-square) among these rows. Scoring covers every whole
 text: presence of words, whatever the length.
 """
 
@@ -125,7 +125,8 @@ def train(docs: DataFrame, labels: DataFrame, seeds: dict[str, list[str]] | None
     counts = rows.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"), F.sum("toxic").alias("hits"))
     expected = F.col("df") * F.lit(pos / max(n, 1))
     chi = (F.col("hits") - expected) ** 2 / F.greatest(expected, F.lit(1e-9))
-    top = counts.where("df >= 3").orderBy(F.desc(chi), "word").limit(max_features).select("word")
+    # words that speak for toxicity; one without any of them gets the intercept's low probability
+    top = counts.where((F.col("df") >= 3) & (F.col("hits") > expected)).orderBy(F.desc(chi), "word").limit(max_features).select("word")
     vocabulary = np.sort(np.array([r[0] for r in top.collect()], np.int64).view(np.uint64))
     listed = rows.withColumn("words", F.array_intersect("words", F.array(*[F.lit(int(w)) for w in vocabulary.view(np.int64)]).cast("array<bigint>")))
     sample = listed.orderBy("doc_id").toPandas()
