@@ -252,3 +252,13 @@ def overlap_context(pages: DataFrame, pieces: int = 4) -> DataFrame:
     parts = F.transform(F.split("before", r"\."), lambda x: trimmed(x))
     tail = F.slice(parts, F.greatest(F.size(parts) - (pieces - 1), F.lit(1)), pieces)
     return pages.withColumn("before", before).select("document_id", "page", F.coalesce(F.array_join(tail, ". "), F.lit("")).alias("overlap_context"))
+
+
+def to_sections(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sections, blocks with section_id): every heading block opens a section; earlier blocks are in section 0."""
+    order = Window.partitionBy("document_id").orderBy("sort_order").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = blocks.withColumn("_n", F.sum((F.col("block_type") == "heading").cast("int")).over(order))
+    name = F.concat(F.lit("sec-"), F.col("document_id"), F.lit("-"), F.col("_n").cast("string"))
+    heads = numbered.where("block_type = 'heading'").select("document_id", name.alias("id"), F.col("text").alias("title"), F.col("_n").cast("int").alias("sort_order"))
+    loose = numbered.where("_n = 0").select("document_id").distinct().select("document_id", F.concat(F.lit("sec-"), "document_id", F.lit("-0")).alias("id"), F.lit("Default Section").alias("title"), F.lit(0).alias("sort_order"))
+    return heads.unionByName(loose), numbered.withColumn("section_id", name).drop("_n")

@@ -241,3 +241,55 @@ def import_notes(payloads: DataFrame) -> DataFrame:
 def sync_report(outcome: DataFrame) -> DataFrame:
     """[applied, skipped, reanchored, orphaned] counts of an import's outcome column ``status``."""
     return outcome.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("applied", "skipped", "reanchored", "orphaned")])
+
+
+def reanchor_loose(annotations: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Strict anchors first; what is left is tried whatever its case (0.4, +0.2 per matching side), then by prefix alone (0.4).
+
+    [annotation_id, block_id, start, end, confidence, mode].
+    """
+    strict = reanchor(annotations, blocks).withColumn("mode", F.lit("strict"))
+    rest = orphans(annotations, strict)
+    best = Window.partitionBy("annotation_id").orderBy(F.desc("confidence"), "sort_order", "block_id", "start")
+
+    def at(text: Column, needle: Column) -> Column:
+        return F.instr(F.lower(text), F.lower(needle))
+
+    pairs = rest.join(blocks.select("document_id", F.col("block_id").alias("target"), "sort_order", "text").hint("merge"), "document_id")
+    pairs = pairs.withColumn("needle", tx.trimmed(F.col("highlighted_text"))).withColumn("i", at(F.col("text"), F.col("needle"))).withColumn("p", tx.trimmed(F.coalesce("prefix", F.lit(""))))
+    near = pairs.where("i > 0 AND needle <> ''")
+    left, right = F.expr("substr(text, 1, i - 1)"), F.expr("substr(text, i + length(needle))")
+    gain = F.when((F.col("p") != "") & F.contains(F.lower(left), F.lower(F.expr("right(p, 10)"))), 0.2).otherwise(0.0) + F.when(
+        (tx.trimmed(F.coalesce("suffix", F.lit(""))) != "") & F.contains(F.lower(right), F.lower(F.left(tx.trimmed(F.coalesce("suffix", F.lit(""))), F.lit(10)))), 0.2
+    ).otherwise(0.0)
+    cased = near.select("annotation_id", F.col("target").alias("block_id"), "sort_order", F.octet_length(left).alias("start"), F.octet_length(F.expr("substr(text, i, length(needle))")).alias("n"), (0.4 + gain).alias("confidence"))
+    cased = cased.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("annotation_id", "block_id", "start", (F.col("start") + F.col("n")).alias("end"), "confidence", F.lit("case").alias("mode"))
+    placed = pairs.where("i = 0 AND p <> ''").withColumn("j", F.instr("text", F.col("p"))).where("j > 0")
+    start = F.octet_length(F.expr("substr(text, 1, j - 1 + length(p))"))
+    by_prefix = placed.select("annotation_id", F.col("target").alias("block_id"), "sort_order", start.alias("start"), F.octet_length("needle").alias("n"), F.octet_length("text").alias("size"), F.lit(0.4).alias("confidence"))
+    by_prefix = by_prefix.join(cased.select("annotation_id").hint("merge"), "annotation_id", "left_anti").withColumn("_r", F.row_number().over(best)).where("_r = 1")
+    by_prefix = by_prefix.select("annotation_id", "block_id", "start", F.least(F.col("start") + F.col("n"), F.col("size")).alias("end"), "confidence", F.lit("prefix").alias("mode"))
+    return strict.unionByName(cased).unionByName(by_prefix)
+
+
+def import_pipeline(incoming: DataFrame, content: DataFrame, documents: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(annotations, orphans, report) of an import.
+
+    ``incoming`` rows have the columns of ``content`` plus sha256_hash. Those of the same edition
+    (the document's hash) win by their time stamp; those of another edition are re-anchored or
+    put apart.
+    """
+    from vellumspark.operators.store import latest_wins
+
+    known = documents.select("document_id", F.col("sha256_hash").alias("_own"))
+    joined = incoming.join(known.hint("merge"), "document_id")
+    same = joined.where("sha256_hash = _own").drop("sha256_hash", "_own").select(*content.columns)
+    other = joined.where("sha256_hash <> _own").drop("_own")
+    merged = latest_wins(content, same, "annotation_id")
+    anchors = reanchor(other, blocks)
+    moved = other.drop("block_id", "offset").join(anchors.select("annotation_id", "block_id", F.col("start").alias("offset")).hint("merge"), "annotation_id").select(*content.columns)
+    lost = orphans(other, anchors)
+    newer = same.join(content.select("annotation_id", F.col("updated_at").alias("_t")).hint("merge"), "annotation_id", "left")
+    status = newer.select(F.when(F.col("_t").isNull() | (F.col("updated_at") > F.col("_t")), "applied").otherwise("skipped").alias("status"))
+    report = sync_report(status.unionByName(moved.select(F.lit("reanchored").alias("status"))).unionByName(lost.select(F.lit("orphaned").alias("status"))))
+    return latest_wins(merged, moved, "annotation_id"), lost, report

@@ -94,3 +94,56 @@ def best_entities(df: DataFrame) -> DataFrame:
 def job_progress(chunks: DataFrame) -> DataFrame:
     """[job_id, progress, status]: share of done chunks in percent, and the latest status."""
     return chunks.groupBy("job_id").agg((F.avg((F.col("status") == "done").cast("int")) * 100).alias("progress"), F.max_by("status", F.struct("updated_at", "chunk_order")).alias("status"))
+
+
+def validate_blocks(outputs: DataFrame) -> DataFrame:
+    """[id, status, blocks]: structured outputs that are valid, valid after repair, or wrapped as one paragraph.
+
+    Valid means a ``blocks`` array whose entries have a known block type and a typed content.
+    """
+    shape = "array<struct<block_type:string,content:struct<type:string>>>"
+
+    def usable(c: Column) -> Column:
+        listed = F.try_variant_get(F.try_parse_json(c), "$.blocks", "string")
+        parsed = F.from_json(listed, shape)
+        return F.coalesce(F.forall(parsed, lambda b: b["block_type"].isNotNull() & b["block_type"].isin("heading", "paragraph", "table", "code", "image", "quote", "list") & b["content"]["type"].isNotNull()), F.lit(False))
+
+    raw = outputs.withColumn("_f", trimmed(F.regexp_replace(F.regexp_replace("output", r"^\s*```[a-z]*\s*", ""), r"\s*```\s*$", "")))
+    raw = raw.withColumn("_r", repair_json(F.col("_f")))
+    wrapped = F.to_json(F.array(F.struct(F.lit("paragraph").alias("block_type"), F.col("output").alias("text"), F.array(F.lit("fallback-repaired")).alias("semantic_tags"))))
+    status = F.when(usable(F.col("_f")), "valid").when(usable(F.col("_r")), "repaired").otherwise("fallback")
+    raw = raw.withColumn("status", status)
+    chosen = F.when(F.col("status") == "valid", F.col("_f")).when(F.col("status") == "repaired", F.col("_r"))
+    blocks = F.coalesce(F.try_variant_get(F.try_parse_json(chosen), "$.blocks", "string"), wrapped)
+    return raw.select("id", "status", blocks.alias("blocks"))
+
+
+def malformed(calls: DataFrame, log: DataFrame) -> DataFrame:
+    """[session_id, seq, raw_content, error_message] of log entries without a usable call."""
+    bad = calls.where("status = 'malformed'").select("session_id", "seq")
+    return log.join(bad.hint("merge"), ["session_id", "seq"], "left_semi").select("session_id", "seq", F.col("content").alias("raw_content"), F.lit("no tool call").alias("error_message"))
+
+
+def replay(calls: DataFrame) -> dict[str, DataFrame]:
+    """Rows that a log of calls [seq, tool, args (JSON)] creates: sections, blocks, tags, block_tags.
+
+    Tool names match whatever their case; a repeated key keeps its first row.
+    """
+    v = F.try_parse_json("args")
+
+    def arg(name: str, default: str | None = None) -> Column:
+        found = F.try_variant_get(v, f"$.{name}", "string")
+        return F.coalesce(found, F.lit(default)) if default is not None else found
+
+    tool = F.lower("tool")
+    nodes = calls.where(tool == "createnode").withColumn("node", F.lower(arg("node_type", "block")))
+
+    def first(df: DataFrame, keys: list[str]) -> DataFrame:
+        order = Window.partitionBy(*keys).orderBy("seq")
+        return df.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "seq")
+
+    sections = nodes.where("node = 'section'").select("seq", arg("id").alias("id"), arg("document_id").alias("document_id"), arg("title", "Untitled").alias("title"))
+    blocks = nodes.where("node = 'block'").select("seq", arg("id").alias("id"), arg("document_id").alias("document_id"), arg("block_type", "paragraph").alias("block_type"), arg("content", "").alias("content"))
+    tags = calls.where(tool == "createtag").select("seq", arg("id").alias("id"), arg("name").alias("name"), arg("source", "agent").alias("source"))
+    links = calls.where(tool == "linknodes").select("seq", arg("block_id").alias("block_id"), arg("tag_id").alias("tag_id"))
+    return {"sections": first(sections, ["id"]), "blocks": first(blocks, ["id"]), "tags": first(tags, ["id"]), "block_tags": first(links, ["block_id", "tag_id"])}

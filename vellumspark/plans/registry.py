@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumspark.plans import extraction, records
+from vellumspark.plans import extraction, records, trees
 
-_MODULES = (extraction, records)
+_MODULES = (extraction, records, trees)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
