@@ -10,12 +10,12 @@ Method (weighted sets of five-word shingles, weight = number of occurrences):
 2. *Banded joining.* ``bands`` x ``rows`` coordinates become bucket keys. Texts with equal
    word sequences are folded into one representative first (grouped with partial
    aggregation), so a group of copies never meets itself in a bucket.
-3. *Links.* Bucket members are compared with a bucket leader first; components are
-   contracted, and only members of buckets that still hold several components are compared
-   further, across components. So a group of near copies costs a linear number of
-   comparisons, yet no link between different components is lost. A sketch estimate five
-   standard errors below the threshold rejects a pair; the others are verified exactly on
-   whole texts.
+3. *Links.* Bucket members are compared with a bucket leader first and components are
+   contracted. In buckets that still hold several components, the members outside the dominant
+   one are compared with the others block by block, inside tasks that emit links alone. So no
+   pairs of a group are written out, yet no link between different components is lost. A
+   sketch estimate five standard errors below the threshold rejects a pair; the others are
+   verified exactly on whole texts.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,10 @@ from vellumspark.llm import textblock as tb
 from vellumspark.session import materialise, ship
 
 U64 = np.uint64
+#: Members of a bucket that meet in one task, on average.
+BLOCK_ROWS = 500
+#: Members of small buckets that share a task, on average.
+TASK_ROWS = 2000
 #: Cumulative Poisson(1) probabilities for 0..19 darts in a unit cell and unit rank interval.
 _POISSON = np.cumsum([np.exp(-1) / np.prod(np.arange(1, k + 1, dtype=float)) for k in range(20)])
 
@@ -57,7 +62,7 @@ def darts(cell: np.ndarray, who: np.ndarray, n_texts: int, coords: int) -> np.nd
         # few texts at a time bound the memory of short texts, which need many rank intervals
         ids = np.flatnonzero(todo)
         cost = np.cumsum(weight[ids] * np.ceil(limit[ids]))
-        ids = ids[: max(1, int(np.searchsorted(cost, 1_500_000)))]
+        ids = ids[: max(1, int(np.searchsorted(cost, 700_000)))]
         chosen = np.zeros(n_texts, bool)
         chosen[ids] = True
         mine = chosen[who]
@@ -119,63 +124,117 @@ def _estimate(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
 
+class _Cells:
+    """Sorted cells of texts; they come back in many pairs of a large class, so they are kept, up to a bound."""
+
+    def __init__(self, size: int, most: int = 8_000_000):
+        self.size, self.most, self.room = size, most, 0
+        self.kept: dict[str, np.ndarray] = {}
+
+    def load(self, texts: list[str]) -> None:
+        if self.room > self.most:
+            self.kept, self.room = {}, 0
+        fresh = [t for t in dict.fromkeys(texts) if t not in self.kept]
+        for block in tb.blocks(pa.array(fresh, pa.string())):
+            cell, who, _ = cells(block, self.size)
+            bound = tb.bounds_of(who, block.n)
+            self.room += len(cell)
+            for t, i, j in zip(fresh[block.first : block.first + block.n], bound[:-1], bound[1:], strict=True):
+                self.kept[t] = np.sort(cell[i:j])
+
+    def alike(self, left: str, right: str, threshold: float) -> bool:
+        x, y = self.kept[left], self.kept[right]
+        if min(len(x), len(y)) < threshold * max(len(x), len(y)):
+            return False
+        both = np.concatenate([x, y])
+        both.sort()
+        common = int((both[1:] == both[:-1]).sum())
+        return common > 0 and common >= threshold * (len(x) + len(y) - common)
+
+
+_CELLS: dict[int, _Cells] = {}
+
+
+def _between(key: tuple, apart: pd.DataFrame, members: pd.DataFrame, size: int, threshold: float, least: float) -> pd.DataFrame:
+    """Links of open members with members of the same bucket in other components; one block of some buckets.
+
+    A pair that shares several buckets is handled in the first of them only. One link of an open
+    member to a component is enough: its other candidates of that component are skipped.
+    """
+    found: list[tuple] = []
+    if len(apart) and len(members):
+        members = members.sort_values("bucket", kind="stable", ignore_index=True)
+        (sa, ba), (sb, bb) = ((np.frombuffer(b"".join(d["sketch"]), np.uint16).reshape(len(d), -1), np.stack(d["buckets"].to_list())) for d in (apart, members))
+        texts, ids, comps = members["text"].to_list(), members["id"].to_numpy(), members["component"].to_numpy()
+        where = members["bucket"].to_numpy()
+        begin, end = (np.searchsorted(where, apart["bucket"].to_numpy(), side=s) for s in ("left", "right"))
+        kept = _CELLS.setdefault(size, _Cells(size))
+        for i, (a, bucket, component, text) in enumerate(zip(apart["id"], apart["bucket"], apart["component"], apart["text"], strict=True)):
+            band = int(np.flatnonzero(ba[i] == bucket)[0])
+            near = begin[i] + np.flatnonzero(comps[begin[i] : end[i]] != component)
+            near = near[(bb[near] == ba[i]).argmax(axis=1) == band]
+            near = near[(sb[near] == sa[i]).mean(axis=1) >= least]
+            if not len(near):
+                continue
+            kept.load([text, *[texts[j] for j in near]])
+            done: set = set()
+            for j in near:
+                if comps[j] not in done and kept.alike(text, texts[j], threshold):
+                    done.add(comps[j])
+                    found.append((a, ids[j]))
+    return pd.DataFrame(found, columns=["a", "b"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch], size: int, threshold: float) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b, text_a, text_b) whose exact weighted similarity reaches the threshold."""
 
-    def sets(column: pa.Array) -> list[np.ndarray]:
-        found = []
-        for block in tb.blocks(column):
-            cell, who, _ = cells(block, size)
-            at = tb.bounds_of(who, block.n)
-            found += [cell[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
-        return found
-
+    kept = _Cells(size)
     for whole in batches:
-        for at in range(0, whole.num_rows, 256):
-            batch = whole.slice(at, 256)
-            keep = []
-            for x, y in zip(sets(batch.column(2)), sets(batch.column(3)), strict=True):
-                if min(len(x), len(y)) < threshold * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common > 0 and common >= threshold * (len(x) + len(y) - common))
+        for at in range(0, whole.num_rows, 512):
+            batch = whole.slice(at, 512)
+            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            kept.load(left + right)
+            keep = [kept.alike(x, y, threshold) for x, y in zip(left, right, strict=True)]
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of edges (a, b): [id, component], component = smallest id.
+    """Connected components of a written table of edges (a, b): [id, component], the smallest id.
 
     Alternates large-star and small-star steps; each is an aggregation of minima and a
     join, so a hub of any degree is pre-aggregated and never gathered in one group.
     """
-    edges = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     while True:
+        # done once every node points at one root that points nowhere
+        ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(
+            edges.groupBy("b").agg(F.lit(0).alias("out"), F.lit(1).alias("in")).withColumnRenamed("b", "x")
+        )
+        if ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where('out > 1 OR (out = 1 AND "in" = 1)'.replace('"', "`")).isEmpty():
+            return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(low.hint("merge"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = materialise(moved.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
-        # done once every node points at one root that points nowhere
-        roots = edges.select(F.col("b").alias("a")).distinct().join(edges.select("a").distinct().hint("merge"), "a", "left_semi")
-        many = edges.groupBy("a").count().where("count > 1").select("a")
-        if roots.unionByName(many).isEmpty():
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
 
-def _relabel(current: DataFrame, links: DataFrame) -> DataFrame:
-    """[id, component] after joining the components of linked ids; ids not listed are their own."""
+def _relabel(current: DataFrame | None, links: DataFrame) -> DataFrame:
+    """[id, component] after joining the components of linked ids; ids not listed are their own.
+
+    Both inputs are written tables, so Spark plans the joins on measured sizes.
+    """
+    if current is None:
+        return materialise(components(links), "components")
     a = current.select(F.col("id").alias("a"), F.col("component").alias("ca"))
     b = current.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-    lifted = links.join(a.hint("merge"), "a", "left").join(b.hint("merge"), "b", "left")
-    lifted = lifted.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    grown = components(lifted)
+    lifted = links.join(a, "a", "left").join(b, "b", "left")
+    grown = materialise(components(materialise(lifted.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "links")), "roots")
     roots = grown.select(F.col("id").alias("component"), F.col("component").alias("root"))
-    moved = current.join(roots.hint("merge"), "component", "left").select("id", F.coalesce("root", "component").alias("component"))
-    fresh = grown.join(current.select("id").hint("merge"), "id", "left_anti")
+    moved = current.join(roots, "component", "left").select("id", F.coalesce("root", "component").alias("component"))
+    fresh = grown.join(current.select("id"), "id", "left_anti")
     return materialise(moved.unionByName(fresh), "components")
 
 
@@ -206,65 +265,53 @@ def near_duplicates(
     )
     worded = sketched.where(F.col("digest").isNotNull())
     reps = materialise(worded.groupBy("digest").agg(F.min(F.struct("id", "sketch", "buckets")).alias("r")).select("digest", "r.*"), "representatives")
-    # rows that share an id, or a word sequence, are one node from the start
-    member = worded.select("id", "digest").join(reps.select("digest", F.col("id").alias("rep")).hint("merge"), "digest").select("id", "rep")
-    member = materialise(member, "members")
 
     placed = reps.select("id", F.explode("buckets").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1").drop("n")
     placed = materialise(placed.join(shared.hint("merge"), "bucket"), "buckets")
-    sketch = materialise(reps.select("id", "sketch").join(placed.select("id").distinct().hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("sketch").alias("sketch")), "bucket-sketches")
-    text = materialise(base.join(placed.select("id").distinct().hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "bucket-texts")
+    wanted = reps.select("id", "sketch", "buckets").join(placed.select("id").distinct().hint("merge"), "id", "left_semi")
+    held = materialise(base.join(wanted.hint("merge"), "id").select("id", "sketch", "buckets", "text"), "bucket-texts")
     slack = 5 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5
 
-    def with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
-        a = table.select(F.col("id").alias("a"), F.col(column).alias("xa"))
-        b = table.select(F.col("id").alias("b"), F.col(column).alias("xb"))
+    def with_both(pairs: DataFrame, column: str) -> DataFrame:
+        a = held.select(F.col("id").alias("a"), F.col(column).alias("xa"))
+        b = held.select(F.col("id").alias("b"), F.col(column).alias("xb"))
         return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "xa", "xb")
 
-    def likely(pairs: DataFrame) -> DataFrame:
-        return materialise(with_both(pairs, sketch, "sketch").mapInArrow(partial(_estimate, least=threshold - slack), f"a {kind}, b {kind}"), "likely")
-
     def links(pairs: DataFrame) -> DataFrame:
-        return with_both(pairs, text, "text").mapInArrow(partial(_verify, size=size, threshold=threshold), f"a {kind}, b {kind}")
-
-    def across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-        a = comp.select(F.col("id").alias("a"), F.col("component").alias("ca"))
-        b = comp.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-        joined = pairs.join(a.hint("merge"), "a", "left").join(b.hint("merge"), "b", "left")
-        return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-    star = likely(placed.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct())
-    comp = materialise(components(links(star.groupBy("a").agg(F.min("b").alias("b")))), "components")
-    rest = materialise(across(star, comp), "rest")
-    if not rest.isEmpty():
-        comp = _relabel(comp, links(rest))
-
-    for turn in range(1, 9):
-        held = placed.select("bucket", "id").join(comp.hint("merge"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-        mixed = held.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-        held = materialise(held.join(mixed.hint("merge"), "bucket", "left_semi"), "open-buckets")
-        sizes = held.groupBy("bucket", "component").count().groupBy("bucket").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own"), F.count("*").alias("k"))
-        total = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.sum("n")).first()
-        if total[0] is None:
-            break
-        last = total[0] <= 8 * total[1] or turn == 8
-        if last:
-            other = held.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"))
-            one = held.withColumnsRenamed({"id": "a", "component": "ca"})
-            pairs = one.join(other.hint("merge"), "bucket").where("a < b AND ca <> cb").select("a", "b").distinct()
-        else:  # another leader of each open bucket thins large buckets out before the full comparison
-            order = F.struct(F.xxhash64("id", F.lit(turn)), "id", "component")
-            lead = held.groupBy("bucket").agg(F.min(order).alias("l")).select("bucket", F.col("l.id").alias("b"), F.col("l.component").alias("cb"))
-            pairs = held.join(lead.hint("merge"), "bucket").where("component <> cb").select(F.col("id").alias("a"), "b").distinct()
-        found = materialise(links(likely(pairs)), "links")
+        likely = materialise(with_both(pairs, "sketch").mapInArrow(partial(_estimate, least=threshold - slack), f"a {kind}, b {kind}"), "likely")
+        return materialise(with_both(likely, "text").mapInArrow(partial(_verify, size=size, threshold=threshold), f"a {kind}, b {kind}"), "links")
+
+    comp = _relabel(None, links(placed.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()))
+
+    # of every bucket with several components: the dominant one
+    own = placed.select("bucket", "id").join(comp, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    parts = own.groupBy("bucket", "component").agg(F.count("*").alias("c"))
+    sizes = parts.groupBy("bucket").agg(F.sum("c").alias("n"), F.count("*").alias("k"), F.max(F.struct("c", "component")).alias("d"))
+    blocks = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
+    still = sizes.where("k > 1").select("bucket", "n", F.col("d.component").alias("main"), blocks(F.col("n")).alias("parts"), blocks(F.col("n") - F.col("d.c")).alias("open_parts"))
+    still = materialise(still, "open-buckets")
+    crowd = still.agg(F.sum("n")).first()[0]
+    if crowd:
+        # members outside the dominant component are the only ones whose links are still open; they
+        # meet all members of their bucket, block by block, inside tasks that emit links alone
+        both = own.join(still, "bucket").join(held.hint("merge"), "id")
+        spread = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        slot = F.pmod(F.xxhash64("bucket"), F.lit(max(1, crowd // TASK_ROWS))).cast("int")
+        both = both.withColumn("slot", slot)
+        columns = ["slot", "bucket", "x", "y", "id", "component", "sketch", "buckets", "text"]
+        apart = both.where("component <> main").withColumn("x", spread("open_parts")).withColumn("y", every("parts")).select(*[F.col(c).alias(c) for c in columns])
+        members = both.withColumn("y", spread("parts")).withColumn("x", every("open_parts")).select(*[F.col(c).alias(c) for c in columns])
+        between = partial(_between, size=size, threshold=threshold, least=threshold - slack)
+        pairs = apart.groupBy("slot", "x", "y").cogroup(members.groupBy("slot", "x", "y")).applyInPandas(between, f"a {kind}, b {kind}")
+        found = materialise(pairs, "links")
         if not found.isEmpty():
             comp = _relabel(comp, found)
-        if last:
-            break
 
     # ids with several texts join the components of all their texts
-    rep = member.join(comp.select(F.col("id").alias("rep"), "component").hint("merge"), "rep", "left").select("id", F.coalesce("component", "rep").alias("class_id"))
+    member = worded.select("id", "digest").join(reps.select("digest", F.col("id").alias("rep")).hint("merge"), "digest").select("id", "rep")
+    rep = member.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("class_id"))
     blank = sketched.where(F.col("digest").isNull()).select("id", F.col("id").alias("class_id"))
     return rep.unionByName(blank).groupBy("id").agg(F.min("class_id").alias("class_id")).withColumnRenamed("id", id_col)
 
@@ -284,3 +331,18 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 def op3_near_duplicates(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document: [doc_id, class_id]."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE = {
+    "op3_near_duplicates": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w WHERE len(w) > 0),
+c AS (SELECT doc_id, s, count(*) AS n FROM s GROUP BY ALL),
+z AS (SELECT doc_id, sum(n) AS z FROM c GROUP BY ALL),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.n, b.n)) AS i FROM c a JOIN c b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE i >= 0.8 * (x.z + y.z - i)),
+g AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT doc_id AS id, doc_id AS reach FROM documents UNION SELECT g.b, r.reach FROM r JOIN g ON g.a = r.id)
+SELECT id AS doc_id, min(reach) AS class_id FROM r GROUP BY id
+"""
+}
