@@ -27,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {**mixing.ORACLE, **minhash.ORACLE, **chat.ORACLE, **urls.ORACLE, **search.ORACLE}
+    return {**mixing.ORACLE, **minhash.ORACLE, **chat.ORACLE, **urls.ORACLE, **search.ORACLE, **rules.ORACLE}

@@ -131,4 +131,47 @@ def quality_rules(
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Base counts and verdict of every document."""
     judged = quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
+    distances = [F.round(c, 6).alias(c) for c in ("char_distance", "word_distance")]
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *distances)
+
+
+def _oracle() -> str:
+    """The same counts and distances as SQL; classes and words in the order of the module's tables."""
+    classes = [
+        "[a-z]", "[A-Z]", "[0-9]", r"[ \t]", r"[\n\x0b\x0c\r]", "[.,;:]", "[!?]", r"['\"()\-_/]", r"[#*$%&|<>@^~+=\\{}\[\]`]", r"[\x{80}-\x{27f}]", r"[\x{280}-\x{10ffff}]",
+        r"[\x00-\x08\x0e-\x1f\x7f]",
+    ]
+    quoted = [c.replace("'", "''") for c in classes]
+    kinds = ", ".join(f"length(text) - length(regexp_replace(text, '{c}', '', 'g'))" for c in quoted)
+    width = max(len(w) for w in COMMON_WORDS.values())
+    lists = ", ".join(f"('{lang}', {[*own, *[''] * (width - len(own))]})" for lang, own in COMMON_WORDS.items())
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    mark = r"[!-/:-@\[-`{-~]"
+    return rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, CASE WHEN lang IN ({", ".join(f"'{x}'" for x in COMMON_WORDS)}) THEN lang END AS lang FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM t),
+g AS (SELECT doc_id, list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' ')) AS s FROM w WHERE len(w) > 8),
+g0 AS (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) AS i FROM g),
+g1 AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM g0),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM g1 WHERE c > 1) GROUP BY doc_id),
+b AS (SELECT w.doc_id, lang, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+  [{kinds}] AS kinds, list_transform(w, lambda x: regexp_replace(translate(x, '{upper}', '{lower}'), '^{mark}+|{mark}+$', '', 'g')) AS bare
+  FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b),
+words(lang, list) AS (VALUES {lists}),
+cw AS (SELECT doc_id, f.lang, n_words, list_transform(list, lambda y: CASE WHEN y = '' THEN 0 ELSE len(list_filter(bare, lambda x: x = y)) END) AS c FROM f JOIN words ON f.lang = words.lang),
+parts AS (SELECT doc_id, lang, 'k' AS part, unnest(range(12)) AS spot, unnest(kinds)::DOUBLE / greatest(list_sum(kinds), 1) AS x FROM f
+  UNION ALL SELECT doc_id, lang, 'w', unnest(range({width + 1})), unnest(list_append(c, n_words - list_sum(c)))::DOUBLE / greatest(n_words, 1) FROM cw),
+ok AS (SELECT doc_id FROM f WHERE NOT base_failed AND word_chars >= 200 AND n_words >= 60),
+ref AS (SELECT lang, part, spot, avg(x) AS y FROM parts WHERE doc_id IN (SELECT doc_id FROM ok) GROUP BY ALL),
+js AS (SELECT doc_id, parts.part, sqrt(greatest(0, sum((CASE WHEN x > 0 THEN x * log2(2 * x / (x + y)) ELSE 0 END) + (CASE WHEN y > 0 THEN y * log2(2 * y / (x + y)) ELSE 0 END)) / 2)) AS d
+  FROM parts JOIN ref ON parts.lang IS NOT DISTINCT FROM ref.lang AND parts.part = ref.part AND parts.spot = ref.spot GROUP BY ALL),
+v AS (SELECT f.*, CASE WHEN word_chars >= 200 THEN k.d END AS kd, CASE WHEN n_words >= 60 THEN m.d END AS wd FROM f
+  LEFT JOIN js k ON k.doc_id = f.doc_id AND k.part = 'k' LEFT JOIN js m ON m.doc_id = f.doc_id AND m.part = 'w')
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (coalesce(kd, 0) > 0.2 OR coalesce(wd, 0) > 0.3) AS kept,
+  round(kd, 6) AS char_distance, round(wd, 6) AS word_distance FROM v
+"""
+
+
+ORACLE = {"op10_quality_rules": _oracle()}
