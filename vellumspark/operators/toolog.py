@@ -93,7 +93,7 @@ def best_entities(df: DataFrame) -> DataFrame:
 
 def job_progress(chunks: DataFrame) -> DataFrame:
     """[job_id, progress, status]: share of done chunks in percent, and the latest status."""
-    return chunks.groupBy("job_id").agg((F.avg((F.col("status") == "done").cast("int")) * 100).alias("progress"), F.max_by("status", F.struct("updated_at", "chunk_order")).alias("status"))
+    return chunks.groupBy("job_id").agg((F.avg((F.col("status") == "done").cast("int")) * 100).alias("progress"), F.max_by("status", F.struct("updated_at", "chunk_order", "status")).alias("status"))
 
 
 def validate_blocks(outputs: DataFrame) -> DataFrame:

@@ -285,7 +285,7 @@ ORACLE = {
     "g1_tags_with_authors": "WITH " + _TAGS + " SELECT tag_id AS id, upper(tag_id) AS name, string_agg(DISTINCT lang, ',' ORDER BY lang) AS author_ids FROM bt JOIN documents d ON d.doc_id = bt.block_id GROUP BY 1, 2",
     "g2_tag_cooccurrence": "WITH " + _TAGS + " SELECT a.tag_id AS source, b.tag_id AS target, count(DISTINCT a.block_id) AS weight FROM bt a JOIN bt b ON a.block_id = b.block_id AND a.tag_id < b.tag_id GROUP BY 1, 2",
     "g3_transcript": "SELECT conv_id::VARCHAR AS session_id, string_agg(upper(role) || ': ' || text || chr(10) || chr(10), '' ORDER BY turn) AS text FROM conversations GROUP BY 1",
-    "g6_job_progress": "SELECT l_orderkey AS job_id, round(avg((l_linestatus = 'F')::INT) * 100, 6) AS progress, arg_max(CASE WHEN l_linestatus = 'F' THEN 'done' ELSE 'pending' END, (l_shipdate, l_linenumber)) AS status FROM lineitem GROUP BY 1",
+    "g6_job_progress": "SELECT l_orderkey AS job_id, round(avg((l_linestatus = 'F')::INT) * 100, 6) AS progress, arg_max(CASE WHEN l_linestatus = 'F' THEN 'done' ELSE 'pending' END, (l_shipdate, l_linenumber, CASE WHEN l_linestatus = 'F' THEN 'done' ELSE 'pending' END)) AS status FROM lineitem GROUP BY 1",
     "g7_sync_report": "SELECT count(*) FILTER (event_type <> 'error' AND event_id % 3 = 0) AS applied, count(*) FILTER (event_type <> 'error' AND event_id % 3 <> 0) AS skipped, 0::BIGINT AS reanchored, count(*) FILTER (event_type = 'error') AS orphaned FROM events",
     "w1_section_nav": """SELECT n_regionkey::VARCHAR AS document_id, n_nationkey::VARCHAR AS id, (lag(n_nationkey) OVER w)::VARCHAR AS prev_id, (lead(n_nationkey) OVER w)::VARCHAR AS next_id,
   concat_ws('   ', '< ' || lag(n_name) OVER w, '[' || n_name || ']', lead(n_name) OVER w || ' >') AS label,
