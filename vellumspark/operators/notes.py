@@ -51,8 +51,11 @@ def reanchor(annotations: DataFrame, blocks: DataFrame, accept: float = 0.4) ->
     hits = hits.withColumn("i", F.explode(occurrences(F.col("text"), F.col("needle"))))
     before = F.substr("text", F.lit(1), F.col("i"))
     start = F.octet_length(before)
-    left = F.expr("right(substr(text, 1, i), greatest(octet_length(prefix), 1))")
-    right = F.expr("substr(text, i + length(needle) + 1, greatest(octet_length(suffix), 1))")
+    # context of the block beside the occurrence: as many bytes as the stored side, whole characters
+    hits = hits.withColumns({"prefix": F.coalesce("prefix", F.lit("")), "suffix": F.coalesce("suffix", F.lit(""))})
+    fits = "array_max(filter(sequence(0, octet_length({0})), k -> octet_length({1}) <= octet_length({0})))"
+    left = F.expr("right(substr(text, 1, i), {})".format(fits.format("prefix", "right(substr(text, 1, i), k)")))
+    right = F.expr("substr(text, i + length(needle) + 1, {})".format(fits.format("suffix", "substr(text, i + length(needle) + 1, k)")))
     clean_p, clean_s = tx.trimmed(F.coalesce("prefix", F.lit(""))), tx.trimmed(F.coalesce("suffix", F.lit("")))
     hits = hits.withColumns({"_l": left, "_r": right, "_p": clean_p, "_s": clean_s, "start": start})
     has_p = (F.col("_p") != "") & (F.col("_l") != "") & (F.contains("_l", F.expr("right(_p, 10)")) | F.contains("_p", "_l"))
