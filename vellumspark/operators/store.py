@@ -185,3 +185,20 @@ def json_rows(df: DataFrame) -> DataFrame:
     """Rows as JSON; binary columns as ``<blob N bytes>``."""
     shown = [F.concat(F.lit("<blob "), F.octet_length(c).cast("string"), F.lit(" bytes>")).alias(c) if t == "binary" else F.col(c) for c, t in df.dtypes]
     return df.select(F.to_json(F.struct(*shown), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def put_vectors(store: DataFrame, new: DataFrame) -> DataFrame:
+    """Vector store after a write: the last vector of a block wins."""
+    return replace(store, new, ["id"])
+
+
+def get_vectors(store: DataFrame, ids: DataFrame) -> DataFrame:
+    """Vectors of the listed blocks."""
+    return store.join(ids.select("id").distinct().hint("merge"), "id", "left_semi")
+
+
+def resolve(annotations: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Annotations whose note text is overwritten by [id, note_body] decisions."""
+    new = decisions.select("id", F.col("note_body").alias("_n"))
+    joined = annotations.join(new.hint("merge"), "id", "left")
+    return joined.withColumn("note_body", F.coalesce("_n", "note_body")).select(*annotations.columns)
