@@ -114,16 +114,6 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows: int)
             )
 
 
-def _estimate(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, sketch_a, sketch_b) whose estimated similarity reaches ``least``."""
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for i in (2, 3))
-        keep = pa.array((x == y).mean(axis=1) >= least)
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
-
-
 class _Cells:
     """Sorted cells of texts; they come back in many pairs of a large class, so they are kept, up to a bound."""
 
@@ -185,17 +175,20 @@ def _between(key: tuple, apart: pd.DataFrame, members: pd.DataFrame, size: int,
     return pd.DataFrame(found, columns=["a", "b"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch], size: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, text_a, text_b) whose exact weighted similarity reaches the threshold."""
+def _verify(batches: Iterator[pa.RecordBatch], size: int, threshold: float, least: float) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, sketch_a, sketch_b, text_a, text_b) whose exact weighted similarity reaches the threshold.
 
-    kept = _Cells(size)
+    Pairs whose estimate stays below ``least`` are not compared further.
+    """
+    kept = _CELLS.setdefault(size, _Cells(size))
     for whole in batches:
         for at in range(0, whole.num_rows, 512):
             batch = whole.slice(at, 512)
-            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for i in (2, 3))
+            batch = batch.filter(pa.array((x == y).mean(axis=1) >= least))
+            left, right = batch.column(4).to_pylist(), batch.column(5).to_pylist()
             kept.load(left + right)
-            keep = [kept.alike(x, y, threshold) for x, y in zip(left, right, strict=True)]
-            mask = pa.array(keep, pa.bool_())
+            mask = pa.array([kept.alike(s, t, threshold) for s, t in zip(left, right, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
 
@@ -207,18 +200,19 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     while True:
-        # done once every node points at one root that points nowhere
-        ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(
-            edges.groupBy("b").agg(F.lit(0).alias("out"), F.lit(1).alias("in")).withColumnRenamed("b", "x")
-        )
-        if ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where('out > 1 OR (out = 1 AND "in" = 1)'.replace('"', "`")).isEmpty():
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        # the edges are a written table, so Spark joins these aggregates on measured sizes
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(low.hint("merge"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        moved = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = materialise(moved.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
+        # done once every node points at one root that points nowhere
+        ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+            edges.select(F.col("b").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("into"))
+        )
+        if ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 OR (out = 1 AND into = 1)").isEmpty():
+            return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
 
 def _relabel(current: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -273,14 +267,10 @@ def near_duplicates(
     held = materialise(base.join(wanted.hint("merge"), "id").select("id", "sketch", "buckets", "text"), "bucket-texts")
     slack = 5 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5
 
-    def with_both(pairs: DataFrame, column: str) -> DataFrame:
-        a = held.select(F.col("id").alias("a"), F.col(column).alias("xa"))
-        b = held.select(F.col("id").alias("b"), F.col(column).alias("xb"))
-        return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "xa", "xb")
-
     def links(pairs: DataFrame) -> DataFrame:
-        likely = materialise(with_both(pairs, "sketch").mapInArrow(partial(_estimate, least=threshold - slack), f"a {kind}, b {kind}"), "likely")
-        return materialise(with_both(likely, "text").mapInArrow(partial(_verify, size=size, threshold=threshold), f"a {kind}, b {kind}"), "links")
+        a, b = (held.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"), F.col("text").alias(f"t{x}")) for x in ("a", "b"))
+        both = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "sa", "sb", "ta", "tb")
+        return materialise(both.mapInArrow(partial(_verify, size=size, threshold=threshold, least=threshold - slack), f"a {kind}, b {kind}"), "links")
 
     comp = _relabel(None, links(placed.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()))
 
@@ -305,9 +295,7 @@ def near_duplicates(
         members = both.withColumn("y", spread("parts")).withColumn("x", every("open_parts")).select(*[F.col(c).alias(c) for c in columns])
         between = partial(_between, size=size, threshold=threshold, least=threshold - slack)
         pairs = apart.groupBy("slot", "x", "y").cogroup(members.groupBy("slot", "x", "y")).applyInPandas(between, f"a {kind}, b {kind}")
-        found = materialise(pairs, "links")
-        if not found.isEmpty():
-            comp = _relabel(comp, found)
+        comp = _relabel(comp, materialise(pairs, "links"))
 
     # ids with several texts join the components of all their texts
     member = worded.select("id", "digest").join(reps.select("digest", F.col("id").alias("rep")).hint("merge"), "digest").select("id", "rep")
