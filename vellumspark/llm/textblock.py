@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Most bytes of text in one block; a longer single text makes a block of its own.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 
 U64 = np.uint64
 _WS = np.zeros(256, bool)
