@@ -16,6 +16,7 @@ flagged as well.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Callable, Iterator, Sequence
 from functools import partial
@@ -29,6 +30,8 @@ from vellumspark.session import materialise, ship
 Turn = tuple[str, str]
 #: Turns in a segment, and turns of run-up before it.
 SEGMENT, CONTEXT = 64, 2
+#: Turns rendered in one group, on average.
+SLOT_ROWS = 1000
 
 # Fixed values of the template: its control strings.
 BEGIN, END, OPEN, CLOSE, ROLE = "<s>", "</s>", "[INST]", "[/INST]", "[ROLE]"
@@ -86,33 +89,28 @@ def spans(turns: Sequence[Turn], template: Callable[[Sequence[Turn]], str]) -> l
     return found
 
 
-def _render(pdf: pd.DataFrame, template: Callable[[Sequence[Turn]], str]) -> pd.DataFrame:
-    """One segment with its run-up: spans of the segment's own turns."""
-    pdf = pdf.sort_values("position", ignore_index=True)
-    own = pdf["own"].to_numpy(bool)
-    lead = int((~own).sum())
-    found = spans(list(zip(pdf["role"], pdf["text"], strict=True)), template)
-    if lead:  # without the run-up the first own turn must come out the same, if the template is local
-        longer = spans(list(zip(pdf["role"][lead - 1 :], pdf["text"][lead - 1 :], strict=True))[:2], template)
-        local = longer[-1] == found[lead]
-    else:
-        local = True
-    rows = pdf[own].copy()
-    rows["span"] = [s for s, _ in found[lead:]]
-    rows["rewrites"] = [r or not local for _, r in found[lead:]]
-    bounds = []
-    for role, span in zip(rows["role"], rows["span"], strict=True):
+def _render(rows: list[tuple], template: Callable[[Sequence[Turn]], str]) -> list[tuple]:
+    """Spans of a segment's own turns, from its rows (conv, segment, position, role, text, own) with the run-up."""
+    lead = sum(not r[5] for r in rows)
+    found = spans([(r[3], r[4]) for r in rows], template)
+    # without the run-up the first own turn must come out the same, if the template is local
+    local = not lead or spans([(r[3], r[4]) for r in rows[lead - 1 : lead + 1]], template)[-1] == found[lead]
+    out = []
+    for r, (span, rewrote) in zip(rows[lead:], found[lead:], strict=True):
         try:
             name, _, a, b = read_turn(span)
         except ValueError:  # another template: its texts aren't parsed here
-            name, a, b = role, 0, 0
-        bounds.append((a, b) if name == "assistant" else (0, 0))
-    rows["loss_start"], rows["loss_end"] = [a for a, _ in bounds], [b for _, b in bounds]
-    return rows[["conv", "position", "role", "span", "rewrites", "loss_start", "loss_end"]]
+            name, a, b = r[3], 0, 0
+        out.append((r[0], r[2], r[3], span, rewrote or not local, *((a, b) if name == "assistant" else (0, 0))))
+    return out
 
 
-def _segment(key: tuple, pdf: pd.DataFrame, template: Callable[[Sequence[Turn]], str]) -> pd.DataFrame:
-    return _render(pdf, template)
+def _segments(key: tuple, pdf: pd.DataFrame, template: Callable[[Sequence[Turn]], str]) -> pd.DataFrame:
+    """All segments of a slot, one after the other."""
+    names = ["conv", "segment", "position", "role", "text", "own"]
+    rows = pdf.sort_values(["conv", "segment", "position"])[names].itertuples(index=False, name=None)
+    done = [x for _, own in itertools.groupby(rows, key=lambda r: r[:2]) for x in _render(list(own), template)]
+    return pd.DataFrame(done, columns=["conv", "position", "role", "span", "rewrites", "loss_start", "loss_end"])
 
 
 def positions(turns: DataFrame) -> DataFrame:
@@ -161,7 +159,10 @@ def format_chats(turns: DataFrame, template: Callable[[Sequence[Turn]], str] = i
     dealt = dealt.join(last.hint("merge"), "conv").where("segment <= last")
     schema = "conv string, position bigint, role string, span string, rewrites boolean, loss_start bigint, loss_end bigint"
     columns = ["conv", "segment", "position", "role", "text", "own"]
-    return dealt.select(*columns).groupBy("conv", "segment").applyInPandas(partial(_segment, template=template), schema)
+    # short conversations share a group, so that the cost of a group is spread over many turns
+    slots = max(1, placed.count() // SLOT_ROWS)
+    slot = F.pmod(F.xxhash64("conv", "segment"), F.lit(slots))
+    return dealt.select(slot.alias("slot"), *columns).groupBy("slot").applyInPandas(partial(_segments, template=template), schema)
 
 
 def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
