@@ -189,7 +189,8 @@ def cap_pages(tokens: DataFrame, max_tokens: int = 1000) -> DataFrame:
 def _order(key: tuple, pdf: pd.DataFrame, mid: float, tolerance: float) -> pd.DataFrame:
     """Reading order of one page."""
     pdf = pdf.sort_values("token_no").reset_index(drop=True)
-    boxes = pdf[["left", "bottom", "right", "top"]].to_numpy(float)
+    boxes = pdf[["left", "bottom", "right", "top"]].to_numpy(float).tolist()
+    numbers, words = pdf["token_no"].tolist(), pdf["text"].tolist()
     lines: list[list[float]] = []
     for i in sorted(range(len(boxes)), key=lambda i: -boxes[i][1]):
         a, b, c, d = boxes[i]
@@ -214,7 +215,7 @@ def _order(key: tuple, pdf: pd.DataFrame, mid: float, tolerance: float) -> pd.Da
                 rows.append([i])
         for n, row in enumerate(rows):
             for i in sorted(row, key=lambda i: boxes[i][0]):
-                found.append((pdf.at[i, "document_id"], pdf.at[i, "page"], pdf.at[i, "token_no"], c, n, rank, pdf.at[i, "text"]))
+                found.append((*key, numbers[i], c, n, rank, words[i]))
                 rank += 1
     return pd.DataFrame(found, columns=["document_id", "page", "token_no", "column", "line", "rank", "text"])
 

@@ -121,6 +121,7 @@ QUERIES = {
     "f3_prefix": lambda s, d: se.match_prefix(_tokens(s, d), "ther"),
     "f3_or_not": lambda s, d: se.match_not(_tokens(s, d), "the", "with from"),
     "f4_sanitise": lambda s, d: table(s, d, "conversations").select("conv_id", "turn", tx.sanitise(F.substring("text", 1, 40)).alias("query")),
+    "f4_whole_texts": lambda s, d: table(s, d, "conversations").select("conv_id", "turn", tx.sanitise(F.col("text")).alias("query")),  # f4_sanitise: openings, as the given SQL has it
     "g4_word_counts": lambda s, d: line_blocks(s, d).select("block_id", tx.word_count(F.col("text")).alias("words")),
     "g5_term_stats": lambda s, d: se.term_stats(_tokens(s, d)),
     "g8_dedup_by_hash": lambda s, d: st.dedup_by_hash(table(s, d, "documents"), "text", "doc_id"),
@@ -190,6 +191,7 @@ SELECT document_id, sort_order AS page, coalesce(array_to_string(list_transform(
     "f3_prefix": "WITH " + _TOKENS + "SELECT DISTINCT document_id, block_id FROM tk WHERE starts_with(term, 'ther')",
     "f3_or_not": "WITH " + _TOKENS + "SELECT DISTINCT document_id, block_id FROM tk WHERE term = 'the' AND block_id NOT IN (SELECT block_id FROM tk WHERE term IN ('with', 'from'))",
     "f4_sanitise": r"SELECT conv_id, turn, trim(regexp_replace(substr(text, 1, 40), '[^\w\s]', ' ', 'g')) AS query FROM conversations",
+    "f4_whole_texts": r"SELECT conv_id, turn, trim(regexp_replace(text, '[^\w\s]', ' ', 'g')) AS query FROM conversations",
     "g4_word_counts": "WITH " + _LINES + r"SELECT block_id, len(regexp_extract_all(text, '\S+'))::INT AS words FROM b",
     "g5_term_stats": "WITH " + _TOKENS + "SELECT term, count(DISTINCT block_id) AS document_frequency, count(*) AS occurrences FROM tk GROUP BY term",
     "g8_dedup_by_hash": "SELECT sha256(text) AS sha256_hash, min(doc_id) AS id, count(*) AS copies FROM documents GROUP BY 1",

@@ -56,14 +56,20 @@ def _log(s: SparkSession, d: str) -> DataFrame:
     return c.select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("seq"), "role", F.col("text").alias("content"))
 
 
+#: Characters on a page of :func:`_glyphs`: at most half as many tokens, so the cap of 1000 tokens never cuts one.
+PAGE_CHARS = 400
+
+
 def _glyphs(s: SparkSession, d: str) -> DataFrame:
-    """Characters of document openings on a fixed-pitch grid, 40 a row; odd documents in two columns."""
-    t = texts(s, d).select("document_id", F.posexplode(F.filter(F.split(F.substring("text", 1, 400), ""), lambda x: x != "")).alias("idx", "glyph"))
-    row, col = F.floor(F.col("idx") / 40), F.col("idx") % 40
+    """All characters of documents on a fixed-pitch grid, 40 a row and 10 rows a page; odd documents in two columns."""
+    t = texts(s, d).select("document_id", F.posexplode(F.filter(F.split("text", ""), lambda x: x != "")).alias("idx", "glyph"))
+    at = F.col("idx") % PAGE_CHARS
+    row, col = F.floor(at / 40), at % 40
     two = F.col("document_id").cast("long") % 2 == 1
     x = F.when(two & (row >= 5), 310 + col * 7.0).otherwise(F.when(two, col * 7.0).otherwise(col * 14.0))
     y = 700 - 12.0 * F.when(two, row % 5).otherwise(row)
-    return t.select("document_id", F.lit(1).alias("page"), "idx", "glyph", x.alias("left"), y.alias("bottom"), (x + 6).alias("right"), (y + 10).alias("top"), F.lit(10.0).alias("font_size"))
+    page = F.floor(F.col("idx") / PAGE_CHARS).cast("int") + 1
+    return t.select("document_id", page.alias("page"), "idx", "glyph", x.alias("left"), y.alias("bottom"), (x + 6).alias("right"), (y + 10).alias("top"), F.lit(10.0).alias("font_size"))
 
 
 def _tokens(s: SparkSession, d: str) -> DataFrame:
@@ -71,12 +77,17 @@ def _tokens(s: SparkSession, d: str) -> DataFrame:
 
 
 def _images(s: SparkSession, d: str) -> DataFrame:
+    """An image above the text of every page of every third document."""
     return texts(s, d).where("CAST(document_id AS BIGINT) % 3 = 0").select(
-        "document_id", F.lit(1).alias("page"), F.lit("img-1").alias("image_id"), F.concat(F.lit("local-asset://"), "document_id", F.lit(".png")).alias("uri"),
+        "document_id", F.explode(F.sequence(F.lit(1), F.greatest(F.ceil(F.length("text") / PAGE_CHARS).cast("int"), F.lit(1)))).alias("page"), F.lit("img-1").alias("image_id"), F.concat(F.lit("local-asset://"), "document_id", F.lit(".png")).alias("uri"),
         F.lit(0.0).alias("left"), F.lit(730.0).alias("bottom"), F.lit(300.0).alias("right"), F.lit(790.0).alias("top"),
     )
 
 
+def _captions(s: SparkSession, d: str) -> DataFrame:
+    return rf.captions(_tokens(s, d).withColumn("text", F.when(F.col("token_no") % 3 == 0, F.concat(F.lit("Fig "), "text")).otherwise(F.col("text"))), _images(s, d))
+
+
 def _notes(s: SparkSession, d: str) -> DataFrame:
     """Three versions of notes from orders: disjoint, equal, one-sided and clashing edits by order key."""
     o = table(s, d, "orders")
@@ -236,10 +247,13 @@ QUERIES = {
     "l6_clip_annotations": lambda s, d: rf.clip_annotations(line_blocks(s, d).select("block_id", F.explode(F.array(F.struct(F.lit(0).alias("page"), F.lit(0).alias("start"), F.lit(25).alias("end")), F.struct(F.lit(1).alias("page"), F.lit(25).alias("start"), F.lit(60).alias("end")))).alias("p")).select("block_id", "p.*"), _annotations(s, d)),
     "l7_highlight_segments": lambda s, d: rf.highlight_segments(line_blocks(s, d), _annotations(s, d)),
     "l8_scroll_action": lambda s, d: rf.scroll_action(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") * 20 - 100).cast("double").alias("offset"), F.lit(600.0).alias("layout"), (F.col("l_partkey") % 2000).cast("double").alias("content"), F.when(F.col("l_linenumber") > 1, "p").alias("prev_id"), F.lit("n").alias("next_id"))).select("l_orderkey", "l_linenumber", "action", "target"),
-    "p7_glyph_tokens": _tokens,
+    # the given SQL of p7_glyph_tokens and p11_captions holds first pages only
+    "p7_glyph_tokens": lambda s, d: _tokens(s, d).where("page = 1"),
+    "p7_all_pages": _tokens,
     "p8_reading_order": lambda s, d: rf.reading_order(_tokens(s, d)),
     "p9_page_text": lambda s, d: rf.page_text(rf.reading_order(_tokens(s, d)), _images(s, d)),
-    "p11_captions": lambda s, d: rf.captions(_tokens(s, d).withColumn("text", F.when(F.col("token_no") % 3 == 0, F.concat(F.lit("Fig "), "text")).otherwise(F.col("text"))), _images(s, d)),
+    "p11_captions": lambda s, d: _captions(s, d).where("page = 1"),
+    "p11_all_pages": _captions,
     "a1_extract_calls": lambda s, d: tl.extract_calls(table(s, d, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.concat(F.lit("I call "), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{tool: "t'), F.col("event_type"), F.lit('"'))).when(F.col("event_id") % 3 == 1, F.concat(F.lit('{"tool": "'), F.col("event_type"), F.lit('", "args": "x"} done'))).otherwise(F.lit("nothing"))).alias("content"))),
     "a4_session_status": lambda s, d: tl.session_status(_results(s, d)),
     "a5_cached_results": lambda s, d: tl.cached_results(table(s, d, "events").select("event_id", F.col("event_type").alias("tool"), (F.col("user_id") % 5).cast("string").alias("args")), table(s, d, "region").select(F.lit("click").alias("tool"), F.sha2(F.col("r_regionkey").cast("string"), 256).alias("inputs_hash"), F.col("r_name").alias("result"))).select("event_id", "result"),
@@ -266,6 +280,13 @@ g2 AS (SELECT *, CASE WHEN two AND r >= 5 THEN 310 + c * 7.0 WHEN two THEN c * 7
 tokens AS (SELECT d::VARCHAR AS document_id, 1::INT AS page, (row_number() OVER (PARTITION BY d ORDER BY min(idx)) - 1)::INT AS token_no, min(x)::DOUBLE AS "left", min(y)::DOUBLE AS bottom,
   (max(x) + 6)::DOUBLE AS "right", (max(y) + 10)::DOUBLE AS top, 10.0::DOUBLE AS font_size, string_agg(glyph, '' ORDER BY idx) AS text FROM g2 WHERE NOT regexp_matches(glyph, '^\s*$') GROUP BY d, island)"""
 
+_PAGES = r"""g0 AS (SELECT doc_id AS d, unnest(string_split(text, '')) AS glyph, generate_subscripts(string_split(text, ''), 1) - 1 AS n FROM documents WHERE text <> ''),
+g1 AS (SELECT d, n // 400 + 1 AS page, glyph, n AS idx, d % 2 = 1 AS two, n % 400 // 40 AS r, n % 40 AS c FROM g0),
+g2 AS (SELECT *, CASE WHEN two AND r >= 5 THEN 310 + c * 7.0 WHEN two THEN c * 7.0 ELSE c * 14.0 END AS x, 700 - 12.0 * CASE WHEN two THEN r % 5 ELSE r END AS y,
+  sum(regexp_matches(glyph, '^\s*$')::INT) OVER (PARTITION BY d, page ORDER BY idx) AS island FROM g1),
+tokens AS (SELECT d::VARCHAR AS document_id, page::INT AS page, (row_number() OVER (PARTITION BY d, page ORDER BY min(idx)) - 1)::INT AS token_no, min(x)::DOUBLE AS "left", min(y)::DOUBLE AS bottom,
+  (max(x) + 6)::DOUBLE AS "right", (max(y) + 10)::DOUBLE AS top, 10.0::DOUBLE AS font_size, string_agg(glyph, '' ORDER BY idx) AS text FROM g2 WHERE NOT regexp_matches(glyph, '^\s*$') GROUP BY d, page, island)"""
+
 ORACLE = {
     "s2_library": "SELECT doc_id, source, n_chars FROM documents",
     "s4_json_rows": """SELECT '{"doc_id":' || doc_id || ',"quality":' || quality || ',"raw":"<blob 1 bytes>"}' AS json FROM labels""",
@@ -338,6 +359,9 @@ SELECT doc_id::VARCHAR AS document_id, count(*) AS tokens, count(DISTINCT term)
     "t3_stream_streaks": "WITH " + _RS + " SELECT session_id, seq, streak FROM st",
     "d4_orphans": "WITH " + _AN + " SELECT annotation_id FROM an WHERE color = 'red'",
     "p7_glyph_tokens": "WITH " + _GL + " SELECT * FROM tokens",
+    "p7_all_pages": "WITH " + _PAGES + " SELECT * FROM tokens",
+    "p11_all_pages": "WITH " + _PAGES + """ SELECT document_id, page, token_no, 'img-1' AS image_id, '[Caption: ' || t || ']' AS text
+FROM (SELECT *, CASE WHEN token_no % 3 = 0 THEN 'Fig ' || text ELSE text END AS t FROM tokens) WHERE document_id::BIGINT % 3 = 0 AND starts_with(t, 'Fig') AND 730 - top >= 0 AND 730 - top < 30 AND ("left" + "right") / 2 BETWEEN -20 AND 320""",
     "p11_captions": "WITH " + _GL + """ SELECT document_id, page, token_no, 'img-1' AS image_id, '[Caption: ' || t || ']' AS text
 FROM (SELECT *, CASE WHEN token_no % 3 = 0 THEN 'Fig ' || text ELSE text END AS t FROM tokens) WHERE document_id::BIGINT % 3 = 0 AND starts_with(t, 'Fig') AND 730 - top >= 0 AND 730 - top < 30 AND ("left" + "right") / 2 BETWEEN -20 AND 320""",
 }
