@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from vellumspark.operators import search as se
 from vellumspark.plans import records
 from vellumspark.session import table
 
@@ -15,3 +16,11 @@ def test_layout_holds_every_character(spark, sf):
     assert pages.groupby(["document_id", "page"]).size().max() <= 1000
     words = records.QUERIES["p9_page_text"](spark, sf).toPandas()
     assert len(words[words.page > 1]) and sum(len("".join(t.split())) for t in words.text) > sum(map(len, found.values()))
+
+
+def test_phrases_with_repeated_words(spark):
+    texts = ["from New York, New Jersey", "new york jersey", "to be or not to be", "to be or not", "that that", "that", "a b a a b"]
+    tokens = se.tokenise(spark.createDataFrame([("d", str(i), t) for i, t in enumerate(texts)], "document_id string, block_id string, text string"))
+    found = lambda phrase: sorted(int(r.block_id) for r in se.match_phrase(tokens, phrase).collect())
+    assert found("new york new jersey") == [0] and found("to be or not to be") == [2] and found("that that") == [4]
+    assert found("a b a") == [6] and found("b a b") == [] and found("york new") == [0] and found("!") == []

@@ -13,12 +13,17 @@ def tokenise(blocks: DataFrame) -> DataFrame:
     return blocks.select("document_id", "block_id", F.posexplode(tx.terms(F.col("text"))).alias("pos", "term"))
 
 
-def _query_terms(query: str) -> list[str]:
-    """Distinct folded terms of a query, on the driver: a query is a handful of words."""
+def _words(query: str) -> list[str]:
+    """Folded words of a query in order, on the driver: a query is a handful of words."""
     import re
 
     plain = query.lower().translate(str.maketrans(tx.MARKED, tx.PLAIN))
-    return list(dict.fromkeys(re.findall(r"[^\W_]+", plain)))
+    return re.findall(r"[^\W_]+", plain)
+
+
+def _query_terms(query: str) -> list[str]:
+    """Distinct words of a query."""
+    return list(dict.fromkeys(_words(query)))
 
 
 def match(tokens: DataFrame, query: str) -> DataFrame:
@@ -40,13 +45,13 @@ def match_prefix(tokens: DataFrame, prefix: str) -> DataFrame:
 
 
 def match_phrase(tokens: DataFrame, phrase: str) -> DataFrame:
-    """Blocks with the phrase's terms in a row: positions minus term numbers agree."""
-    words = _query_terms(phrase)
-    numbered = F.create_map(*[x for i, w in enumerate(words) for x in (F.lit(w), F.lit(i))]) if len(set(words)) == len(words) and words else None
-    if numbered is None:
+    """Blocks with the phrase's words in a row: positions minus word numbers agree for every number, also of a repeated word."""
+    words = _words(phrase)
+    if not words:
         return match(tokens, phrase)
-    hits = tokens.where(F.col("term").isin(words)).withColumn("at", F.col("pos") - numbered[F.col("term")])
-    return hits.groupBy("document_id", "block_id", "at").agg(F.countDistinct("term").alias("n")).where(F.col("n") == len(words)).select("document_id", "block_id").distinct()
+    numbers = F.create_map(*[x for w in dict.fromkeys(words) for x in (F.lit(w), F.array(*[F.lit(i) for i, v in enumerate(words) if v == w]))])
+    hits = tokens.where(F.col("term").isin(words)).withColumn("number", F.explode(numbers[F.col("term")])).withColumn("at", F.col("pos") - F.col("number"))
+    return hits.groupBy("document_id", "block_id", "at").agg(F.countDistinct("number").alias("n")).where(F.col("n") == len(words)).select("document_id", "block_id").distinct()
 
 
 def match_not(tokens: DataFrame, wanted: str, unwanted: str) -> DataFrame:
