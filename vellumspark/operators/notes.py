@@ -247,32 +247,38 @@ def sync_report(outcome: DataFrame) -> DataFrame:
 
 
 def reanchor_loose(annotations: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Strict anchors first; what is left is tried whatever its case (0.4, +0.2 per matching side), then by prefix alone (0.4).
+    """Strict anchors first; what is left is tried whatever its case, then by prefix alone (0.4).
+
+    Every occurrence is a candidate: 0.4, +0.2 for each side whose window, as long as the stored
+    side, matches, and up to 0.15 less with the distance from the stored offset. As in
+    :func:`reanchor`, an empty window matches nothing. The prefix wins over a score under 0.4.
 
     [annotation_id, block_id, start, end, confidence, mode].
     """
     strict = reanchor(annotations, blocks).withColumn("mode", F.lit("strict"))
     rest = orphans(annotations, strict)
     best = Window.partitionBy("annotation_id").orderBy(F.desc("confidence"), "sort_order", "block_id", "start")
-
-    def at(text: Column, needle: Column) -> Column:
-        return F.instr(F.lower(text), F.lower(needle))
-
     pairs = rest.join(blocks.select("document_id", F.col("block_id").alias("target"), "sort_order", "text").hint("merge"), "document_id")
-    pairs = pairs.withColumn("needle", tx.trimmed(F.col("highlighted_text"))).withColumn("i", at(F.col("text"), F.col("needle"))).withColumn("p", tx.trimmed(F.coalesce("prefix", F.lit(""))))
-    near = pairs.where("i > 0 AND needle <> ''")
-    left, right = F.expr("substr(text, 1, i - 1)"), F.expr("substr(text, i + length(needle))")
-    gain = F.when((F.col("p") != "") & F.contains(F.lower(left), F.lower(F.expr("right(p, 10)"))), 0.2).otherwise(0.0) + F.when(
-        (tx.trimmed(F.coalesce("suffix", F.lit(""))) != "") & F.contains(F.lower(right), F.lower(F.left(tx.trimmed(F.coalesce("suffix", F.lit(""))), F.lit(10)))), 0.2
-    ).otherwise(0.0)
-    cased = near.select("annotation_id", F.col("target").alias("block_id"), "sort_order", F.octet_length(left).alias("start"), F.octet_length(F.expr("substr(text, i, length(needle))")).alias("n"), (0.4 + gain).alias("confidence"))
+    pairs = pairs.withColumns({"prefix": F.coalesce("prefix", F.lit("")), "suffix": F.coalesce("suffix", F.lit(""))})
+    pairs = pairs.withColumns({"needle": tx.trimmed(F.col("highlighted_text")), "p": tx.trimmed(F.col("prefix")), "s": tx.trimmed(F.col("suffix"))}).where("needle <> ''")
+    near = pairs.withColumn("i", F.explode(occurrences(F.lower("text"), F.lower("needle"))))
+    near = near.withColumns({
+        "l": F.expr("lower(right(substr(text, 1, i), length(prefix)))"), "r": F.expr("lower(substr(text, i + length(needle) + 1, length(suffix)))"),
+        "start": F.expr("octet_length(substr(text, 1, i))"), "n": F.expr("octet_length(substr(text, i + 1, length(needle)))"), "p": F.lower("p"), "s": F.lower("s"),
+    })
+    has_p = F.expr("p <> '' AND l <> '' AND (contains(l, right(p, 10)) OR contains(p, right(l, 10)))")
+    has_s = F.expr("s <> '' AND r <> '' AND (contains(r, left(s, 10)) OR contains(s, left(r, 10)))")
+    penalty = F.when(F.col("offset") > 0, F.least(F.lit(0.15), F.abs(F.col("start") - F.col("offset")) / 20000.0)).otherwise(0.0)
+    score = F.lit(0.4) + F.when(has_p, 0.2).otherwise(0.0) + F.when(has_s, 0.2).otherwise(0.0) - penalty
+    cased = near.select("annotation_id", F.col("target").alias("block_id"), "sort_order", "start", "n", score.alias("confidence"))
     cased = cased.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("annotation_id", "block_id", "start", (F.col("start") + F.col("n")).alias("end"), "confidence", F.lit("case").alias("mode"))
-    placed = pairs.where("i = 0 AND p <> ''").withColumn("j", F.instr("text", F.col("p"))).where("j > 0")
+    placed = pairs.where("p <> ''").withColumn("j", F.instr("text", F.col("p"))).where("j > 0")
     start = F.octet_length(F.expr("substr(text, 1, j - 1 + length(p))"))
     by_prefix = placed.select("annotation_id", F.col("target").alias("block_id"), "sort_order", start.alias("start"), F.octet_length("needle").alias("n"), F.octet_length("text").alias("size"), F.lit(0.4).alias("confidence"))
-    by_prefix = by_prefix.join(cased.select("annotation_id").hint("merge"), "annotation_id", "left_anti").withColumn("_r", F.row_number().over(best)).where("_r = 1")
+    by_prefix = by_prefix.join(cased.where("confidence >= 0.4").select("annotation_id").hint("merge"), "annotation_id", "left_anti").withColumn("_r", F.row_number().over(best)).where("_r = 1")
     by_prefix = by_prefix.select("annotation_id", "block_id", "start", F.least(F.col("start") + F.col("n"), F.col("size")).alias("end"), "confidence", F.lit("prefix").alias("mode"))
-    return strict.unionByName(cased).unionByName(by_prefix)
+    weak = cased.join(by_prefix.select("annotation_id").hint("merge"), "annotation_id", "left_anti")
+    return strict.unionByName(weak).unionByName(by_prefix)
 
 
 def import_pipeline(incoming: DataFrame, content: DataFrame, documents: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -68,7 +68,7 @@ def _sections(s: SparkSession, d: str) -> DataFrame:
 
 def _loose(s: SparkSession, d: str) -> DataFrame:
     a = _annotations(s, d).withColumn("highlighted_text", F.when(F.col("color") == "red", F.lit("Absent Text!")).otherwise(F.upper("highlighted_text")))
-    return no.reanchor_loose(a, line_blocks(s, d)).groupBy("mode").agg(F.count("*").alias("n"))
+    return no.reanchor_loose(a, line_blocks(s, d)).withColumn("confidence", F.round("confidence", 6))
 
 
 def _import(s: SparkSession, d: str) -> DataFrame:
