@@ -2,8 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from vellumspark.llm import chat
 from vellumspark.operators import notes as no
 from vellumspark.operators import search as se
 from vellumspark.plans import records, trees
@@ -75,3 +77,29 @@ def test_loose_anchors_match_a_loop(spark):
 
 def test_loose_query_returns_anchors(spark, sf):
     assert {"annotation_id", "block_id", "start", "end", "confidence", "mode"} == set(trees.QUERIES["d3_reanchor_loose"](spark, sf).columns)
+
+
+def _templates():
+    """By name; nested, so that they are sent to the workers by value."""
+
+    def system_last(turns):
+        """The first turn's text goes into the last user turn."""
+        last = max((i for i, (r, _) in enumerate(turns) if r == "user"), default=-1)
+        return "".join(f"<{r}>{turns[0][1] + ' ' if i == last else ''}{t}" for i, (r, t) in enumerate(turns))
+
+    def tenth_in_every(turns):
+        """Every turn opens with its own number and the tenth turn's text; nothing is rewritten."""
+        return "".join(f"<{i}:{turns[9][1] if i > 9 else ''}>{t}" for i, (_, t) in enumerate(turns))
+
+    return {"system_last": system_last, "tenth_in_every": tenth_in_every}
+
+
+@pytest.mark.parametrize("name", ["system_last", "tenth_in_every"])
+def test_long_conversations_are_true_prefixes(spark, name):
+    template = _templates()[name]
+    turns = [("system" if i == 0 else "user" if i % 2 else "assistant", f"text {i}") for i in range(200)]
+    df = spark.createDataFrame([(c, i, r, t) for c, n in ((1, 200), (2, 64), (3, 65)) for i, (r, t) in enumerate(turns[:n])], "conv_id long, turn long, role string, text string")
+    got = chat.format_chats(df, template).toPandas().sort_values(["conv", "position"])
+    for c, n in (("c1", 200), ("c2", 64), ("c3", 65)):
+        own = got[got.conv == c]
+        assert list(zip(own.span, own.rewrites, strict=True)) == chat.spans(turns[:n], template)

@@ -6,11 +6,11 @@ compared, so a turn's span is what its prefix adds. A template that changes what
 before (its output no longer starts with the previous output) rewrites history; its turns are
 flagged and the whole change is charged to the turn that caused it.
 
-Long conversations are cut into segments of ``SEGMENT`` turns with the ``CONTEXT`` turns before
-them as a run-up, so rendering costs a bounded number of turns a prefix and the segments of one
-conversation run on different executors. Where the run-up's own spans come out differently from
-those of the segment before, the template looks further back than the run-up; such turns are
-flagged as well.
+Long conversations are cut into segments of ``SEGMENT`` turns, which run on different executors.
+A black box may read any earlier turn (the first one, say, for a system prompt, or the number of
+turns), and no look at a few turns can rule that out. So a segment is rendered as true prefixes of
+its conversation, with all turns before it. Only the templates in ``LOCAL``, which write every turn
+by itself, are rendered with the ``CONTEXT`` turns before a segment as a run-up.
 """
 
 from __future__ import annotations
@@ -75,10 +75,14 @@ def read_turn(span: str) -> tuple[str, str, int, int]:
     return name, unescape(found[name]), *found.span(name)
 
 
-def spans(turns: Sequence[Turn], template: Callable[[Sequence[Turn]], str]) -> list[tuple[str, bool]]:
-    """(added text, rewrote history) of every turn, by rendering successive prefixes."""
-    found, before = [], template([])
-    for i in range(1, len(turns) + 1):
+#: Templates whose output is the turns' own texts, one after the other.
+LOCAL = (instruct_template,)
+
+
+def spans(turns: Sequence[Turn], template: Callable[[Sequence[Turn]], str], first: int = 0) -> list[tuple[str, bool]]:
+    """(added text, rewrote history) of every turn from ``first`` on, by rendering successive prefixes."""
+    found, before = [], template(turns[:first])
+    for i in range(first + 1, len(turns) + 1):
         after = template(turns[:i])
         if after.startswith(before):
             found.append((after[len(before) :], False))
@@ -90,18 +94,15 @@ def spans(turns: Sequence[Turn], template: Callable[[Sequence[Turn]], str]) -> l
 
 
 def _render(rows: list[tuple], template: Callable[[Sequence[Turn]], str]) -> list[tuple]:
-    """Spans of a segment's own turns, from its rows (conv, segment, position, role, text, own) with the run-up."""
+    """Spans of a segment's own turns, from its rows (conv, segment, position, role, text, own) with the turns before it."""
     lead = sum(not r[5] for r in rows)
-    found = spans([(r[3], r[4]) for r in rows], template)
-    # without the run-up the first own turn must come out the same, if the template is local
-    local = not lead or spans([(r[3], r[4]) for r in rows[lead - 1 : lead + 1]], template)[-1] == found[lead]
     out = []
-    for r, (span, rewrote) in zip(rows[lead:], found[lead:], strict=True):
+    for r, (span, rewrote) in zip(rows[lead:], spans([(r[3], r[4]) for r in rows], template, lead), strict=True):
         try:
             name, _, a, b = read_turn(span)
         except ValueError:  # another template: its texts aren't parsed here
             name, a, b = r[3], 0, 0
-        out.append((r[0], r[2], r[3], span, rewrote or not local, *((a, b) if name == "assistant" else (0, 0))))
+        out.append((r[0], r[2], r[3], span, rewrote, *((a, b) if name == "assistant" else (0, 0))))
     return out
 
 
@@ -136,7 +137,9 @@ def format_chats(turns: DataFrame, template: Callable[[Sequence[Turn]], str] = i
     """Rendered turns: [conv, position, role, span, rewrites, loss_start, loss_end].
 
     The spans of a conversation in order of position are its formatted text. loss_start and
-    loss_end bound the assistant's escaped text within a span (equal: no loss there).
+    loss_end bound the assistant's escaped text within a span (equal: no loss there). A template
+    outside ``LOCAL`` is rendered on whole prefixes, however long: its cost grows with the square
+    of a conversation's turns.
 
     Defined cases: null roles and texts are empty strings; null turn numbers come last; rows of
     one turn number are ordered by role and text, repeated rows are turns of their own; rows
@@ -152,15 +155,19 @@ def format_chats(turns: DataFrame, template: Callable[[Sequence[Turn]], str] = i
     )
     placed = materialise(positions(base), "chat-positions")
     segment = F.floor(F.col("position") / SEGMENT)
-    # the last turns of a segment also lead into the next one
-    into = F.when(F.col("position") % SEGMENT >= SEGMENT - CONTEXT, F.array(segment, segment + 1)).otherwise(F.array(segment))
-    dealt = placed.withColumn("segment", F.explode(into)).withColumn("own", F.col("segment") == segment)
     last = placed.groupBy("conv").agg(F.floor(F.max("position") / SEGMENT).alias("last"))
-    dealt = dealt.join(last.hint("merge"), "conv").where("segment <= last")
+    dealt = placed.join(last.hint("merge"), "conv")
+    if template in LOCAL:  # the last turns of a segment also lead into the next one
+        into = F.when(F.col("position") % SEGMENT >= SEGMENT - CONTEXT, F.array(segment, segment + 1)).otherwise(F.array(segment))
+        rows = placed.count()
+    else:  # every turn leads into all segments after its own
+        into = F.sequence(segment, F.col("last"))
+        rows = dealt.agg(F.sum(F.col("last") - segment + 1)).first()[0] or 0
+    dealt = dealt.withColumn("segment", F.explode(into)).withColumn("own", F.col("segment") == segment).where("segment <= last")
     schema = "conv string, position bigint, role string, span string, rewrites boolean, loss_start bigint, loss_end bigint"
     columns = ["conv", "segment", "position", "role", "text", "own"]
     # short conversations share a group, so that the cost of a group is spread over many turns
-    slots = max(1, placed.count() // SLOT_ROWS)
+    slots = max(1, rows // SLOT_ROWS)
     slot = F.pmod(F.xxhash64("conv", "segment"), F.lit(slots))
     return dealt.select(slot.alias("slot"), *columns).groupBy("slot").applyInPandas(partial(_segments, template=template), schema)
 
