@@ -1,11 +1,12 @@
 """Queries that must take all of their input: nothing cut off, thinned out or left out."""
 
 import random
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
 
-from vellumspark.llm import chat
+from vellumspark.llm import chat, licenses
 from vellumspark.operators import notes as no
 from vellumspark.operators import search as se
 from vellumspark.plans import records, trees
@@ -103,3 +104,18 @@ def test_long_conversations_are_true_prefixes(spark, name):
     for c, n in (("c1", 200), ("c2", 64), ("c3", 65)):
         own = got[got.conv == c]
         assert list(zip(own.span, own.rewrites, strict=True)) == chat.spans(turns[:n], template)
+
+
+def test_wrapped_notices_are_confirmed_once(spark):
+    model = licenses.train(spark)
+    gpl, mit, bsd = licenses.TEMPLATES["gpl"][1], licenses.TEMPLATES["mit"][2], licenses.TEMPLATES["bsd"][2]
+    fold = lambda text, width, lead="": "\n".join(lead + x for x in textwrap.wrap(text, width))
+    prose = "The river was quiet and the boats lay at the pier all day."
+    texts = [
+        f"{prose}\n{fold(gpl, 75)}\n{prose}", f"{prose}\n\n{fold(mit, 70, '# ')}\n#\n# {prose}", fold(bsd, 72), f"{fold(mit, 40)}\n{fold(mit, 78)}",
+        "\n".join(mit.split(" ")), mit.replace(" to any", "\n\nto any").replace(" software and", "\n\nsoftware and"), f"{prose}\n{mit}\n{prose}",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = sorted((r.doc_id, r.paragraph, r.family) for r in licenses.scan(docs, model).where("confirmed").collect())
+    second = len(textwrap.wrap(mit, 40))
+    assert found == [(0, 1, "gpl"), (1, 2, "mit"), (2, 0, "bsd"), (3, 0, "mit"), (3, second, "mit"), (4, 0, "mit"), (6, 1, "mit")]

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellumspark.session import materialise
@@ -155,12 +155,70 @@ def train(
     }
 
 
+def _scored(grams: DataFrame, keys: Sequence[str], model: dict) -> DataFrame:
+    """[*keys, family, probability] of units from their features [*keys, g]; units without a weighted one are left out."""
+    classes, k = model["classes"], len(model["classes"])
+    table = [{"g": g, "w": w} for g, w in sorted(model["weights"].items())]
+    weights = grams.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(table)), "array<struct<g:string,w:array<double>>>")))
+    # bounded by the model: at most max_features n-grams
+    hits = grams.join(F.broadcast(weights), "g")
+    scored = hits.groupBy(*keys).agg(*[F.sum(F.col("w")[i]).alias(f"_s{i}") for i in range(k)])
+    z = [F.col(f"_s{i}") + F.lit(b) for i, b in enumerate(model["intercepts"])]
+    top = F.greatest(*z)
+    total = sum((F.exp(x - top) for x in z[1:]), F.exp(z[0] - top))
+    best = F.greatest(*z[:-1])
+    family = F.coalesce(*[F.when(x == best, F.lit(c)) for c, x in zip(classes[:-1], z[:-1], strict=True)])
+    chance = F.exp(best - top) / total
+    known = chance > F.lit(model["least"])
+    return scored.select(*keys, F.when(known, family).otherwise(F.lit(UNKNOWN)).alias("family"), F.when(known, chance).otherwise(1 - chance).alias("probability"))
+
+
+def _wrapped(parts: DataFrame, lines: DataFrame, trigrams: DataFrame, model: dict, min_cover: float) -> DataFrame:
+    """[doc_id, _row, paragraph, family, probability, cover] of notices that run over several lines, each once, at its first line.
+
+    The template's trigrams that begin in a line, also those that end in the next one, are read in
+    order; a notice ends at a line without words, where the template begins anew, or after as
+    many lines as the template has trigrams. Its lines are then classified together. Notices
+    with a line of the same family that is confirmed by itself are left out.
+    """
+    begin = parts.withColumn("_all", F.concat("_words", "_next"))
+    begin = begin.select("doc_id", "_row", "paragraph", F.size("_words").alias("_n"), F.posexplode(n_grams(F.col("_all"), 3)).alias("_k", "g"))
+    hits = begin.join(F.broadcast(trigrams), "g").withColumn("_last", F.col("paragraph") + F.when(F.col("_k") + 2 >= F.col("_n"), 1).otherwise(0))
+    hits = materialise(hits.select("doc_id", "_row", "paragraph", "_k", "_last", "family", "t", "m", "o"), "licence-hits")
+    empty = parts.where(F.size("_words") == 0).select("_row", "paragraph").join(hits.select("_row").distinct().hint("merge"), "_row", "left_semi")
+    both = hits.withColumn("_gap", F.lit(0)).unionByName(empty.withColumn("_gap", F.lit(1)), allowMissingColumns=True)
+    both = both.withColumn("_part", F.sum("_gap").over(Window.partitionBy("_row").orderBy("paragraph"))).where("_gap = 0")
+    order = Window.partitionBy("_row", "_part", "t").orderBy("paragraph", "_k")
+    fresh = (F.col("o") <= F.lag("o").over(order)) | (F.col("paragraph") - F.lag("paragraph").over(order) > F.col("m"))
+    both = both.withColumn("_fresh", F.coalesce(fresh, F.lit(True)).cast("int"))
+    both = both.withColumn("_notice", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    found = both.groupBy("_row", "_part", "t", "_notice").agg(
+        F.first("doc_id").alias("doc_id"), F.first("family").alias("_family"), F.min("paragraph").alias("paragraph"), F.max("_last").alias("_last"), (F.count("*") / F.first("m")).alias("cover"),
+    )
+    found = materialise(found.where((F.col("cover") >= min_cover) & (F.col("_last") > F.col("paragraph"))).drop("_part", "_notice"), "licence-notices")
+    keys = ["_row", "t", "paragraph"]
+    text = found.select(*keys, F.explode(F.sequence("paragraph", "_last")).alias("_line")).join(parts.select("_row", F.col("paragraph").alias("_line"), "_words").hint("merge"), ["_row", "_line"])
+    text = text.groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_line", "_words"))), lambda x: x["_words"])).alias("_words"))
+    scored = _scored(text.select(*keys, F.explode(_features(F.col("_words"))).alias("g")), keys, model)
+    found = found.join(scored.hint("merge"), keys).where("family = _family").drop("_family")
+    own = lines.where("confirmed").select(F.col("_row").alias("_r"), F.col("family").alias("_f"), F.col("paragraph").alias("_p"))
+    found = found.join(own.hint("merge"), (F.col("_row") == F.col("_r")) & (F.col("family") == F.col("_f")) & F.col("_p").between(F.col("paragraph"), F.col("_last")), "left_anti")
+    found = materialise(found, "licence-wrapped")
+    # of overlapping notices of a family the best covered one stays, then the first
+    other = found.select(*[F.col(c).alias(f"{c}2") for c in ("_row", "family", "paragraph", "_last", "cover", "t")])
+    better = F.expr("_row = _row2 AND family = family2 AND paragraph2 <= _last AND _last2 >= paragraph AND (cover2 > cover OR (cover2 = cover AND (paragraph2 < paragraph OR (paragraph2 = paragraph AND t2 < t))))")
+    found = found.join(other.hint("merge"), better, "left_anti")
+    best = Window.partitionBy("_row", "paragraph").orderBy(F.desc("cover"), "t")
+    return found.withColumn("_b", F.row_number().over(best)).where("_b = 1").select("doc_id", "_row", "paragraph", "family", "probability", "cover")
+
+
 def scan(docs: DataFrame, model: dict, separator: str = "\n", min_cover: float = 0.6) -> DataFrame:
     """[doc_id, paragraph, family, probability, cover, confirmed] of every paragraph with a licence feature.
 
     ``paragraph`` is the 0-based number of the ``separator``-delimited part of the text;
     ``family`` may be ``unknown``; ``cover`` is the best share of a template of the family, and
-    ``confirmed`` tells whether it reaches ``min_cover``.
+    ``confirmed`` tells whether it reaches ``min_cover``. A notice wrapped over several parts is
+    confirmed once, at the part where it begins.
 
     Defined cases: null and empty texts, and paragraphs without features, give no row; a null
     doc_id stays null; repeated rows give repeated findings; ties between classes go to the
@@ -168,43 +226,39 @@ def scan(docs: DataFrame, model: dict, separator: str = "\n", min_cover: float =
     result; other columns are ignored.
     """
     spark = docs.sparkSession
-    classes, k = model["classes"], len(model["classes"])
     if not model["weights"]:
         return docs.select("doc_id", F.lit(0).alias("paragraph"), F.lit(UNKNOWN).alias("family"), F.lit(0.0).alias("probability"), F.lit(0.0).alias("cover"), F.lit(False).alias("confirmed")).limit(0)
     # every feature holds a content word, so a paragraph with a feature holds one of these
     content = sorted({w for g in model["weights"] for w in g.split(" ")} - set(_STOP))
     pattern = r"(?<![\p{L}\p{N}.])(?:" + "|".join(w.replace(".", r"\.") for w in content) + r")(?![\p{L}\p{N}])"
-    parts = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), F.posexplode(F.split("text", separator)).alias("paragraph", "_text"))
-    parts = parts.where(F.lower("_text").rlike(pattern)).select("doc_id", "_row", "paragraph", tokens(F.col("_text")).alias("_words"))
-    parts = materialise(parts, "licence-paragraphs")  # fixes the row numbers, and the texts are read once
+    parts = docs.where("text IS NOT NULL").select("doc_id", F.monotonically_increasing_id().alias("_row"), F.transform(F.split("text", separator), tokens).alias("_lines"))
+    # every line with the first two words after it, up to a line without words
+    parts = parts.select("doc_id", "_row", F.posexplode(F.expr("arrays_zip(_lines, slice(_lines, 2, size(_lines)), slice(_lines, 3, size(_lines)))")).alias("paragraph", "_z"))
+    none = F.array().cast("array<string>")
+    one, two = F.coalesce(F.col("_z")["1"], none), F.coalesce(F.col("_z")["2"], none)
+    parts = parts.select("doc_id", "_row", "paragraph", F.col("_z")["_lines"].alias("_words"), F.slice(F.concat(one, F.when(F.size(one) == 1, two).otherwise(none)), 1, 2).alias("_next"))
+    parts = parts.where((F.size("_words") == 0) | F.array_join(F.concat("_words", "_next"), " ").rlike(pattern))
+    parts = materialise(parts.withColumn("_next", F.when(F.size("_words") > 0, F.col("_next")).otherwise(none)), "licence-paragraphs")  # fixes the row numbers, and the texts are read once
 
-    table = [{"g": g, "w": w} for g, w in sorted(model["weights"].items())]
-    weights = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(table)), "array<struct<g:string,w:array<double>>>")))
     listed = [{"family": f, "t": i, "text": t} for i, (f, t) in enumerate(model["templates"])]
     templates = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(listed)), "array<struct<family:string,t:int,text:string>>")))
     trigrams = templates.select("family", "t", F.array_distinct(n_grams(tokens(F.col("text")), 3)).alias("all")).where(F.size("all") > 0)
-    trigrams = trigrams.select("family", "t", F.size("all").alias("m"), F.explode("all").alias("g"))
+    trigrams = trigrams.select("family", "t", F.size("all").alias("m"), F.posexplode("all").alias("o", "g"))
 
     keys = ["doc_id", "_row", "paragraph"]
     # both tables are bounded by the model: at most max_features n-grams, and the templates' trigrams
     grams = parts.select(*keys, F.explode(_features(F.col("_words"))).alias("g"))
-    hits = grams.join(F.broadcast(weights), "g")
-    scored = hits.groupBy(*keys).agg(*[F.sum(F.col("w")[i]).alias(f"_s{i}") for i in range(k)])
-    z = [F.col(f"_s{i}") + F.lit(b) for i, b in enumerate(model["intercepts"])]
-    top = F.greatest(*z)
-    total = sum((F.exp(x - top) for x in z[1:]), F.exp(z[0] - top))
-    best = F.greatest(*z[:-1])
-    family = F.coalesce(*[F.when(x == best, F.lit(c)) for c, x in zip(classes[:-1], z[:-1], strict=True)])
-    chance = F.exp(best - top) / total
-    known = chance > F.lit(model["least"])
-    scored = scored.select(*keys, F.when(known, family).otherwise(F.lit(UNKNOWN)).alias("family"), F.when(known, chance).otherwise(1 - chance).alias("probability"))
-
+    scored = _scored(grams, keys, model)
     shared = grams.join(F.broadcast(trigrams), "g").groupBy(*keys, "family", "t").agg((F.count("*") / F.max("m")).alias("share"))
     cover = shared.groupBy(*keys, "family").agg(F.max("share").alias("cover"))
     joined = scored.join(cover.hint("merge"), [scored[c].eqNullSafe(cover[c]) for c in (*keys, "family")], "left").select(
         *[scored[c] for c in keys], scored["family"], "probability", F.coalesce("cover", F.lit(0.0)).alias("cover")
     )
-    return joined.withColumn("confirmed", (F.col("family") != UNKNOWN) & (F.col("cover") >= min_cover)).drop("_row")
+    lines = materialise(joined.withColumn("confirmed", (F.col("family") != UNKNOWN) & (F.col("cover") >= min_cover)), "licence-lines")
+    wrapped = materialise(_wrapped(parts, lines, trigrams, model, min_cover).withColumn("confirmed", F.lit(True)), "licence-found")
+    heads = wrapped.select(F.col("_row").alias("_r"), F.col("paragraph").alias("_p"))
+    kept = lines.join(heads.hint("merge"), (F.col("_row") == F.col("_r")) & (F.col("paragraph") == F.col("_p")) & ~F.col("confirmed"), "left_anti")
+    return kept.unionByName(wrapped).drop("_row")
 
 
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:
