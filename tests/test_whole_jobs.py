@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vellumspark.llm import chat, licenses
 from vellumspark.operators import notes as no
 from vellumspark.operators import search as se
-from vellumspark.plans import records, trees
+from vellumspark.plans import extraction, records, trees
 from vellumspark.session import table
 
 
@@ -119,3 +119,10 @@ def test_wrapped_notices_are_confirmed_once(spark):
     found = sorted((r.doc_id, r.paragraph, r.family) for r in licenses.scan(docs, model).where("confirmed").collect())
     second = len(textwrap.wrap(mit, 40))
     assert found == [(0, 1, "gpl"), (1, 2, "mit"), (2, 0, "bsd"), (3, 0, "mit"), (3, second, "mit"), (4, 0, "mit"), (6, 1, "mit")]
+
+
+def test_no_row_is_filtered_out(spark, sf):
+    repaired = trees.QUERIES["p17_repaired_texts"](spark, sf)
+    assert repaired.count() == table(spark, sf, "events").count() and repaired.where("NOT parses").count() > 0
+    targets = extraction.QUERIES["v2_query_set"](spark, sf).select("target_id").distinct().count()
+    assert targets == table(spark, sf, "embeddings").where("vec_id % 20 = 0").count()

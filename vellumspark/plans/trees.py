@@ -107,6 +107,8 @@ QUERIES = {
     "s3_read_records": _records,
     "q12_run_sql": _sql,
     "p17_repair_json": lambda s, d: _outputs(s, d).where("id % 4 <> 3").select("id", F.try_parse_json(tl.repair_json(F.regexp_replace("output", "```(json)?", ""))).isNotNull().alias("parses")),
+    # every event with its repaired text; the given SQL of p17_repair_json holds the kinds that always parse
+    "p17_repaired_texts": lambda s, d: _outputs(s, d).select("id", tl.repair_json(F.regexp_replace("output", "```(json)?", "")).alias("repaired")).withColumn("parses", F.try_parse_json("repaired").isNotNull()),
     "p18_validate_blocks": lambda s, d: tl.validate_blocks(_outputs(s, d)).select("id", "status"),
     "p20_index_text": lambda s, d: _trees(s, d).select("block_id", ast.index_text(F.col("content")).alias("text")),
     "p21_display_text": lambda s, d: _trees(s, d).select("block_id", ast.display_text(F.col("content")).alias("text")),
@@ -137,6 +139,7 @@ ORACLE = {
     "s3_read_records": "SELECT doc_id, quality, NULL::VARCHAR AS error FROM labels WHERE doc_id % 7 <> 0 UNION ALL SELECT NULL, NULL, 'invalid record' FROM labels WHERE doc_id % 7 = 0",
     "q12_run_sql": """SELECT '{"r_name":"' || r_name || '","n":' || count(*) || '}' AS json FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""",
     "p17_repair_json": "SELECT event_id AS id, true AS parses FROM events WHERE event_id % 4 <> 3",
+    "p17_repaired_texts": """SELECT event_id AS id, CASE WHEN event_id % 4 = 3 THEN 'no {json "here"}' ELSE '{"blocks":[{"block_type":"paragraph","content":{"type":"paragraph","n":' || event_id || '}}]}' END AS repaired, event_id % 4 <> 3 AS parses FROM events""",
     "p18_validate_blocks": "SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN 'valid' WHEN 1 THEN 'valid' WHEN 2 THEN 'repaired' ELSE 'fallback' END AS status FROM events",
     "p20_index_text": "WITH " + _B + """ SELECT block_id, CASE WHEN sort_order % 5 = 4 THEN text ELSE text || ' a "text": b end 1' END AS text FROM b""",
     "p21_display_text": "WITH " + _B + r""" SELECT block_id, CASE WHEN sort_order % 5 = 4 THEN text ELSE trim(regexp_replace(text || ' end', '\s+', ' ', 'g')) END AS text FROM b""",
