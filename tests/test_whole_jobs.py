@@ -126,3 +126,11 @@ def test_no_row_is_filtered_out(spark, sf):
     assert repaired.count() == table(spark, sf, "events").count() and repaired.where("NOT parses").count() > 0
     targets = extraction.QUERIES["v2_query_set"](spark, sf).select("target_id").distinct().count()
     assert targets == table(spark, sf, "embeddings").where("vec_id % 20 = 0").count()
+
+
+def test_streaks_are_dealt_by_session(spark, sf, monkeypatch):
+    dealt = []
+    monkeypatch.setattr(records, "_stream", lambda s, rows, name, make: dealt.append(rows) or rows.select("session_id", "seq", F.lit(0).alias("streak")))
+    records.QUERIES["t3_stream_streaks"](spark, sf)
+    plan = dealt[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [session_id" in plan and "Repartition 1" not in plan

@@ -160,8 +160,9 @@ def _stream(s: SparkSession, rows: DataFrame, name: str, make) -> DataFrame:
 def _stream_streaks(s: SparkSession, d: str) -> DataFrame:
     from vellumspark.streaming import jobs
 
-    # one file: the batch twin needs a session's results in order of time
-    return _stream(s, _results(s, d).drop("done").coalesce(1), "streaks", jobs.stream_streaks).select(F.col("session_id").cast("long").alias("session_id"), "seq", "streak")
+    # a session's results in one file, in order of time, as the batch twin needs them
+    rows = _results(s, d).drop("done").repartition("session_id").sortWithinPartitions("session_id", "ts", "seq")
+    return _stream(s, rows, "streaks", jobs.stream_streaks).select(F.col("session_id").cast("long").alias("session_id"), "seq", "streak")
 
 
 def _stream_packets(s: SparkSession, d: str) -> DataFrame:
