@@ -134,3 +134,12 @@ def test_streaks_are_dealt_by_session(spark, sf, monkeypatch):
     records.QUERIES["t3_stream_streaks"](spark, sf)
     plan = dealt[0]._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [session_id" in plan and "Repartition 1" not in plan
+
+
+def test_embeddings_of_blocks_and_stored_vectors(spark, sf):
+    blocks = extraction.line_blocks(spark, sf)
+    found = extraction.QUERIES["v1_block_embedding"](spark, sf)
+    assert found.select("id").distinct().count() == blocks.count() and found.where("value IS NULL").count() == 0
+    norms = found.groupBy("id").agg(F.sum(F.col("value") * F.col("value")).alias("n"))
+    assert norms.where("abs(n - 1) > 0.001").count() == 0
+    assert trees.QUERIES["v8_whole_vectors"](spark, sf).select("dim").distinct().count() > 1

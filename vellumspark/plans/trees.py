@@ -120,6 +120,9 @@ QUERIES = {
     "v8_put_get_vectors": lambda s, d: st.get_vectors(
         st.put_vectors(_vectors(s, d), _vectors(s, d).where("id % 3 = 0").withColumn("size", F.lit(0))), table(s, d, "labels").select(F.col("doc_id").alias("id"))
     ),
+    "v8_whole_vectors": lambda s, d: st.get_vectors(
+        st.put_vectors(_embeddings(s, d), _embeddings(s, d).where("id % 3 = 0").withColumn("vector", F.transform("vector", lambda x: -x))), table(s, d, "labels").select(F.col("doc_id").alias("id"))
+    ).select("id", F.posexplode("vector").alias("dim", "value")),
     "m10_resolve": lambda s, d: st.resolve(
         table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("note_body")), table(s, d, "orders").select(F.col("o_custkey").alias("id"), F.lit("merged").alias("note_body")).distinct()
     ),
@@ -130,6 +133,10 @@ def _vectors(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.size("embedding").alias("size"))
 
 
+def _embeddings(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
 def _log(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "events")
     return e.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"tool":"'), "event_type", F.lit('"}'))).otherwise(F.lit("thinking")).alias("content"))
@@ -150,5 +157,6 @@ UNION ALL SELECT 'tag', left(o_orderpriority, 1), arg_min(o_orderpriority, o_ord
 y AS (SELECT CASE WHEN doc % 3 <> 0 THEN CASE WHEN doc % 2 = 1 OR doc % 10 > 5 THEN 'applied' ELSE 'skipped' END WHEN doc % 9 = 0 THEN 'orphaned' ELSE 'reanchored' END AS s FROM x)
 SELECT count(*) FILTER (s = 'applied') AS applied, count(*) FILTER (s = 'skipped') AS skipped, count(*) FILTER (s = 'reanchored') AS reanchored, count(*) FILTER (s = 'orphaned') AS orphaned FROM y""",
     "v8_put_get_vectors": "SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN 0 ELSE len(embedding) END::INT AS size FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels)",
+    "v8_whole_vectors": "SELECT vec_id AS id, (generate_subscripts(embedding, 1) - 1)::INT AS dim, CASE WHEN vec_id % 3 = 0 THEN -1 ELSE 1 END * unnest(embedding) AS value FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels)",
     "m10_resolve": "SELECT c_custkey AS id, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'merged' ELSE c_mktsegment END AS note_body FROM customer",
 }
