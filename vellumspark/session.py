@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
     It is ``spark.checkpoint.dir`` (or the checkpoint directory already set on the
-    context). Only where neither is set, as in tests, a temporary folder is made.
+    context). Only where neither is set and the master is local, as in tests, a temporary
+    folder is made; on a cluster that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -28,11 +30,25 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="vellumspark-")
     spark.sparkContext.setCheckpointDir(made)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def lowest_hashes(rows: DataFrame, key: str, most: int, seed: int = 42) -> DataFrame:
+    """The ``most`` rows with the lowest hashes of a distinct key: a sample that depends on the keys alone.
+
+    Hashes are cut off at a bound that leaves some more rows than wanted, so that the final
+    sort gathers about ``most`` rows however many there are.
+    """
+    n, rank = rows.count(), F.xxhash64(F.lit(seed), F.col(key))
+    wanted = 1.2 * most + 200
+    near = rows.where(rank < int(-(2**63) + 2**64 * (wanted / n))) if n > wanted else rows
+    return near.orderBy(rank, key).limit(most)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a DataFrame to the shared folder and read it back.
 
