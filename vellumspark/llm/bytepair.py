@@ -11,6 +11,7 @@ short strings; the tests hold all ids against the ``tokenizers`` library.
 from __future__ import annotations
 
 import base64
+import functools
 import itertools
 import os
 import unicodedata
@@ -89,18 +90,52 @@ def piece_starts(cp: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarr
     return start
 
 
-class Encoder:
-    """Ids of text columns; one per Python worker."""
+def _place(name: str) -> str:
+    """A file's place on this machine."""
+    if os.path.isabs(name):
+        return name
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def _cuts(data: np.ndarray, most: int) -> list[int]:
+    """Places of about every ``most`` bytes before which a text can be cut without changing its pieces.
+
+    Such is a single space or line end between two letters (ASCII, or ideographs).
+    """
+    found, at, n = [0], 0, len(data)
+    letter = np.zeros(256, bool)
+    letter[[*range(65, 91), *range(97, 123)]] = True
+    wide = np.zeros(256, bool)
+    wide[0xE4:0xEA] = True
+    while n - at > most:
+        begin = at + most // 2
+        while begin < n:
+            view = data[begin : min(begin + most, n)]
+            blank = begin + np.flatnonzero((view == 32) | (view == 10))
+            blank = blank[(blank >= 3) & (blank < n - 1)]
+            good = blank[(letter[data[blank - 1]] | wide[data[blank - 3]]) & (letter[data[blank + 1]] | wide[data[blank + 1]])]
+            if len(good):
+                at = int(good[np.searchsorted(good, at + most, side="right") - 1]) if good[0] <= at + most else int(good[0])
+                found.append(at)
+                break
+            begin += most
+        else:
+            break
+    return [*found, n]
+
 
-    _own: dict[str, Encoder] = {}
+class Encoder:
+    """Ids of text columns, for one task. Files are named by their place on the worker, or by their name in ``public_tokenizers``."""
 
-    def __init__(self, path: str, ranks: str | None = None, most: int = 400_000):
+    def __init__(self, path: str, ranks: str | None = None, most: int = 100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.most = most
+        path, ranks = _place(path), ranks and _place(ranks)
+        self._load = Tokenizer.from_file
+        self.path, self.most = path, most
         self.single = None
         if ranks:
             import tiktoken
@@ -114,12 +149,12 @@ class Encoder:
         self.size = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    @classmethod
-    def of(cls, path: str, ranks: str | None = None) -> Encoder:
-        """The worker's encoder of a vocabulary file, and of the same vocabulary as ranks."""
-        if path not in cls._own:
-            cls._own[path] = cls(path, ranks)
-        return cls._own[path]
+    @functools.cached_property
+    def model(self):
+        """The library's tokenizer; loaded where a text or a vocabulary without ranks needs it."""
+        model = self._load(self.path)
+        model.encode_special_tokens = True  # their strings in a text are ordinary text
+        return model
 
     @staticmethod
     def _flat(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -157,8 +192,16 @@ class Encoder:
         flat = np.arange(total[-1] if len(total) else 0) + np.repeat(off - (total - size), size)
         return pool[flat], size
 
-    def encode(self, block: tb.Block) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, number of ids of each text) of a block."""
+    def encode(self, block: tb.Block, most: int = tb.BLOCK_BYTES) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each text) of a block; a long text is encoded in parts of about ``most`` bytes."""
+        if len(block.data) <= most or block.n != 1:
+            return self._encode(block)
+        cuts = _cuts(block.data, most)
+        parts = [self._encode(tb.Block(block.data[i:j], np.zeros(1, np.int64), np.array([j - i]), 0))[0] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        ids = np.concatenate(parts)
+        return ids, np.array([len(ids)])
+
+    def _encode(self, block: tb.Block) -> tuple[np.ndarray, np.ndarray]:
         lead = (block.data & 0xC0) != 0x80
         strange = np.zeros(len(block.data), bool)
         strange[block.data >= 0xC9] = True  # lead bytes from U+0240 on

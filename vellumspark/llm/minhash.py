@@ -38,101 +38,101 @@ U64 = np.uint64
 BLOCK_ROWS = 500
 #: Members of small buckets that share a task, on average.
 TASK_ROWS = 2000
+#: Rank intervals of cells whose darts are thrown at a time.
+_DARTS = 300_000
 #: Cumulative Poisson(1) probabilities for 0..19 darts in a unit cell and unit rank interval.
 _POISSON = np.cumsum([np.exp(-1) / np.prod(np.arange(1, k + 1, dtype=float)) for k in range(20)])
 
 
-def cells(block: tb.Block, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(cell keys sorted within texts by element, text number, word hashes' digest bounds source)."""
-    a, b, owner = block.words()
-    words = block.span_hash(block.prefix_hash(), a, b)
-    h, who = tb.shingles(words, owner, block.n, size)
-    h = tb.sort_each(h, tb.bounds_of(who, block.n))
+def cells(words: np.ndarray, owner: np.ndarray, n_texts: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cell keys, text number) of all texts, in order of text."""
+    h, who = tb.shingles(words, owner, n_texts, size)
+    h = tb.sort_each(h, tb.bounds_of(who, n_texts))
     copy = tb.runs(h, who).astype(U64)
-    return tb.mix(h + copy * U64(0xA24BAED4963EE407)), who, words
+    return tb.mix(h + copy * U64(0xA24BAED4963EE407)), who
 
 
 def darts(cell: np.ndarray, who: np.ndarray, n_texts: int, coords: int) -> np.ndarray:
     """Sketches (n_texts x coords) of 64-bit dart identities; rows without cells stay 0."""
-    out = np.zeros((n_texts, coords), U64)
+    out, earliest = np.zeros(n_texts * coords, U64), np.full(n_texts * coords, np.inf)
     weight = np.bincount(who, minlength=n_texts)
     limit = (coords * np.log(coords) + 2 * coords) / np.maximum(weight, 1)
     todo = weight > 0
     while todo.any():
-        # few texts at a time bound the memory of short texts, which need many rank intervals
-        ids = np.flatnonzero(todo)
-        cost = np.cumsum(weight[ids] * np.ceil(limit[ids]))
-        ids = ids[: max(1, int(np.searchsorted(cost, 700_000)))]
-        chosen = np.zeros(n_texts, bool)
-        chosen[ids] = True
-        mine = chosen[who]
-        c, w = cell[mine], who[mine]
-        levels = np.ceil(limit[w]).astype(np.int64)
-        c, w = np.repeat(c, levels), np.repeat(w, levels)
-        level = np.arange(len(c)) - np.repeat(np.cumsum(levels) - levels, levels)
-        key = tb.mix(c ^ (level.astype(U64) * U64(0x8CB92BA72F3D8DD7)))
-        hits = np.searchsorted(_POISSON, (key >> U64(11)).astype(float) * 2.0**-53, side="right")
-        key, w, level = np.repeat(key, hits), np.repeat(w, hits), np.repeat(level, hits)
-        turn = np.arange(len(key)) - np.repeat(np.cumsum(hits) - hits, hits)
-        dart = tb.mix(key + (turn.astype(U64) + U64(1)) * U64(0xC2B2AE3D27D4EB4F))
-        rank = level + (dart >> U64(11)).astype(float) * 2.0**-53
-        low = rank <= limit[w]
-        dart, w, rank = dart[low], w[low], rank[low]
-        slot = w * coords + (tb.mix(dart ^ U64(0x165667B19E3779F9)) % U64(coords)).astype(np.int64)
-        late_first = np.argsort(rank)[::-1]
-        out.reshape(-1)[slot[late_first]] = dart[late_first]
-        missing = (out[ids] == 0).any(axis=1)
-        todo[ids[~missing]] = False
-        limit[ids[missing]] *= 2
-    return out
-
-
+        mine = np.flatnonzero(todo[who])
+        levels = np.ceil(limit[who[mine]]).astype(np.int64)
+        # some cells at a time: short texts need many rank intervals, long ones have many cells
+        reach = np.cumsum(levels) // _DARTS
+        for part in np.split(np.arange(len(mine)), np.flatnonzero(np.diff(reach)) + 1):
+            some = levels[part]
+            c, w = np.repeat(cell[mine[part]], some), np.repeat(who[mine[part]], some)
+            level = np.arange(len(c)) - np.repeat(np.cumsum(some) - some, some)
+            key = tb.mix(c ^ (level.astype(U64) * U64(0x8CB92BA72F3D8DD7)))
+            hits = np.searchsorted(_POISSON, (key >> U64(11)).astype(float) * 2.0**-53, side="right")
+            key, w, level = np.repeat(key, hits), np.repeat(w, hits), np.repeat(level, hits)
+            turn = np.arange(len(key)) - np.repeat(np.cumsum(hits) - hits, hits)
+            dart = tb.mix(key + (turn.astype(U64) + U64(1)) * U64(0xC2B2AE3D27D4EB4F))
+            rank = level + (dart >> U64(11)).astype(float) * 2.0**-53
+            low = rank <= limit[w]
+            dart, w, rank = dart[low], w[low], rank[low]
+            slot = w * coords + (tb.mix(dart ^ U64(0x165667B19E3779F9)) % U64(coords)).astype(np.int64)
+            late_first = np.argsort(rank)[::-1]
+            slot, dart, rank = slot[late_first], dart[late_first], rank[late_first]
+            sooner = rank < earliest[slot]
+            slot, dart, rank = slot[sooner], dart[sooner], rank[sooner]
+            out[slot], earliest[slot] = dart, rank
+        missing = (out.reshape(n_texts, coords) == 0).any(axis=1) & todo
+        limit[missing] *= 2
+        todo = missing
+    return out.reshape(n_texts, coords)
+
+
+@tb.tidied
 def _sketch(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """(id, print, text) -> (id, print, digest, sketch, buckets)."""
     coords = bands * rows
     salt = tb.mix(np.arange(1, bands + 1, dtype=U64))
     for batch in batches:
-        ids, text = batch.column(0), batch.column(1)
-        for block in tb.blocks(text):
-            cell, who, words = cells(block, size)
-            sketch = darts(cell, who, block.n, coords)
+        for block in tb.blocks(batch.column(2)):
+            words, owner = block.word_hashes()
+            sketch = darts(*cells(words, owner, block.n, size), block.n, coords)
             band = np.zeros((block.n, bands), U64)
             for k in range(rows):
                 band = tb.mix(band * U64(31) + sketch[:, k * bands : (k + 1) * bands] + salt)
-            _, _, owner = block.words()
             at = tb.bounds_of(owner, block.n)
             full = np.diff(at) > 0
             digest = [hashlib.blake2b(words[i:j].tobytes(), digest_size=16).digest() if j > i else None for i, j in zip(at[:-1], at[1:], strict=True)]
             short = sketch.astype(np.uint16)
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids.slice(block.first, block.n),
+                    *[batch.column(i).slice(block.first, block.n) for i in range(2)],
                     pa.array(digest, pa.binary()),
                     pa.array([r.tobytes() if f else None for r, f in zip(short, full, strict=True)], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(block.n + 1) * bands, pa.int32()), pa.array(band.reshape(-1).view(np.int64))),
                 ],
-                ["id", "digest", "sketch", "buckets"],
+                ["id", "print", "digest", "sketch", "buckets"],
             )
 
 
 class _Cells:
-    """Sorted cells of texts; they come back in many pairs of a large class, so they are kept, up to a bound."""
+    """Sorted cells of texts by node; a task keeps them up to a bound, as they come back in many pairs of a class."""
 
-    def __init__(self, size: int, most: int = 8_000_000):
+    def __init__(self, size: int, most: int = 4_000_000):
         self.size, self.most, self.room = size, most, 0
-        self.kept: dict[str, np.ndarray] = {}
+        self.kept: dict[int, np.ndarray] = {}
 
-    def load(self, texts: list[str]) -> None:
+    def load(self, texts: dict[int, str]) -> None:
         if self.room > self.most:
             self.kept, self.room = {}, 0
-        fresh = [t for t in dict.fromkeys(texts) if t not in self.kept]
-        for block in tb.blocks(pa.array(fresh, pa.string())):
-            cell, who, _ = cells(block, self.size)
+        fresh = [node for node in texts if node not in self.kept]
+        for block in tb.blocks(pa.array([texts[node] for node in fresh], pa.string())):
+            cell, who = cells(*block.word_hashes(), block.n, self.size)
             bound = tb.bounds_of(who, block.n)
             self.room += len(cell)
-            for t, i, j in zip(fresh[block.first : block.first + block.n], bound[:-1], bound[1:], strict=True):
-                self.kept[t] = np.sort(cell[i:j])
+            for node, i, j in zip(fresh[block.first : block.first + block.n], bound[:-1], bound[1:], strict=True):
+                self.kept[node] = np.sort(cell[i:j])
 
-    def alike(self, left: str, right: str, threshold: float) -> bool:
+    def alike(self, left: int, right: int, threshold: float) -> bool:
         x, y = self.kept[left], self.kept[right]
         if min(len(x), len(y)) < threshold * max(len(x), len(y)):
             return False
@@ -142,9 +142,6 @@ class _Cells:
         return common > 0 and common >= threshold * (len(x) + len(y) - common)
 
 
-_CELLS: dict[int, _Cells] = {}
-
-
 def _between(key: tuple, apart: pd.DataFrame, members: pd.DataFrame, size: int, threshold: float, least: float) -> pd.DataFrame:
     """Links of open members with members of the same bucket in other components; one block of some buckets.
 
@@ -155,40 +152,41 @@ def _between(key: tuple, apart: pd.DataFrame, members: pd.DataFrame, size: int,
     if len(apart) and len(members):
         members = members.sort_values("bucket", kind="stable", ignore_index=True)
         (sa, ba), (sb, bb) = ((np.frombuffer(b"".join(d["sketch"]), np.uint16).reshape(len(d), -1), np.stack(d["buckets"].to_list())) for d in (apart, members))
-        texts, ids, comps = members["text"].to_list(), members["id"].to_numpy(), members["component"].to_numpy()
+        texts, nodes, comps = members["text"].to_list(), members["node"].to_numpy(), members["component"].to_numpy()
         where = members["bucket"].to_numpy()
         begin, end = (np.searchsorted(where, apart["bucket"].to_numpy(), side=s) for s in ("left", "right"))
-        kept = _CELLS.setdefault(size, _Cells(size))
-        for i, (a, bucket, component, text) in enumerate(zip(apart["id"], apart["bucket"], apart["component"], apart["text"], strict=True)):
+        kept = _Cells(size)
+        for i, (a, bucket, component, text) in enumerate(zip(apart["node"], apart["bucket"], apart["component"], apart["text"], strict=True)):
             band = int(np.flatnonzero(ba[i] == bucket)[0])
             near = begin[i] + np.flatnonzero(comps[begin[i] : end[i]] != component)
             near = near[(bb[near] == ba[i]).argmax(axis=1) == band]
             near = near[(sb[near] == sa[i]).mean(axis=1) >= least]
             if not len(near):
                 continue
-            kept.load([text, *[texts[j] for j in near]])
+            kept.load({int(a): text} | {int(nodes[j]): texts[j] for j in near})
             done: set = set()
             for j in near:
-                if comps[j] not in done and kept.alike(text, texts[j], threshold):
+                if comps[j] not in done and kept.alike(int(a), int(nodes[j]), threshold):
                     done.add(comps[j])
-                    found.append((a, ids[j]))
+                    found.append((a, nodes[j]))
     return pd.DataFrame(found, columns=["a", "b"])
 
 
+@tb.tidied
 def _verify(batches: Iterator[pa.RecordBatch], size: int, threshold: float, least: float) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b, sketch_a, sketch_b, text_a, text_b) whose exact weighted similarity reaches the threshold.
 
     Pairs whose estimate stays below ``least`` are not compared further.
     """
-    kept = _CELLS.setdefault(size, _Cells(size))
+    kept = _Cells(size)
     for whole in batches:
-        for at in range(0, whole.num_rows, 512):
-            batch = whole.slice(at, 512)
+        for at in range(0, whole.num_rows, 128):
+            batch = whole.slice(at, 128)
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for i in (2, 3))
             batch = batch.filter(pa.array((x == y).mean(axis=1) >= least))
-            left, right = batch.column(4).to_pylist(), batch.column(5).to_pylist()
-            kept.load(left + right)
-            mask = pa.array([kept.alike(s, t, threshold) for s, t in zip(left, right, strict=True)], pa.bool_())
+            pairs = list(zip(*[batch.column(i).to_pylist() for i in range(2)], strict=True))
+            kept.load(dict(zip(batch.column(0).to_pylist() + batch.column(1).to_pylist(), batch.column(4).to_pylist() + batch.column(5).to_pylist(), strict=True)))
+            mask = pa.array([kept.alike(a, b, threshold) for a, b in pairs], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
 
@@ -252,30 +250,33 @@ def near_duplicates(
     columns, whatever their names, are ignored; an empty table gives an empty result.
     """
     ship(docs.sparkSession)
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
+    base = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text_col)).alias("print"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
     kind = dict(base.dtypes)["id"]
-    sketched = materialise(
-        base.mapInArrow(partial(_sketch, size=size, bands=bands, rows=rows), f"id {kind}, digest binary, sketch binary, buckets array<bigint>"), "sketches"
-    )
+    schema = f"id {kind}, print binary, digest binary, sketch binary, buckets array<bigint>"
+    sketched = materialise(base.mapInArrow(partial(_sketch, size=size, bands=bands, rows=rows), schema), "sketches")
     worded = sketched.where(F.col("digest").isNotNull())
-    reps = materialise(worded.groupBy("digest").agg(F.min(F.struct("id", "sketch", "buckets")).alias("r")).select("digest", "r.*"), "representatives")
+    # one node for each word sequence, whoever holds it and how often
+    reps = worded.groupBy("digest").agg(F.min(F.struct("id", "print", "sketch", "buckets")).alias("r")).select("digest", "r.*")
+    reps = materialise(reps.withColumn("node", F.monotonically_increasing_id()), "representatives")
 
-    placed = reps.select("id", F.explode("buckets").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1").drop("n")
+    placed = reps.select("node", F.explode("buckets").alias("bucket"))
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1").drop("n")
     placed = materialise(placed.join(shared.hint("merge"), "bucket"), "buckets")
-    wanted = reps.select("id", "sketch", "buckets").join(placed.select("id").distinct().hint("merge"), "id", "left_semi")
-    held = materialise(base.join(wanted.hint("merge"), "id").select("id", "sketch", "buckets", "text"), "bucket-texts")
+    wanted = reps.select("id", "print", "node", "sketch", "buckets").join(placed.select("node").distinct().hint("merge"), "node", "left_semi")
+    # equal rows count once, so a node has one text
+    texts = base.where(F.col("text").isNotNull()).groupBy("id", "print").agg(F.first("text").alias("text"))
+    held = materialise(texts.join(wanted.hint("merge"), ["id", "print"]).select("node", "sketch", "buckets", "text"), "bucket-texts")
     slack = 5 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5
 
     def links(pairs: DataFrame) -> DataFrame:
-        a, b = (held.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"), F.col("text").alias(f"t{x}")) for x in ("a", "b"))
+        a, b = (held.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"), F.col("text").alias(f"t{x}")) for x in ("a", "b"))
         both = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "sa", "sb", "ta", "tb")
-        return materialise(both.mapInArrow(partial(_verify, size=size, threshold=threshold, least=threshold - slack), f"a {kind}, b {kind}"), "links")
+        return materialise(both.mapInArrow(partial(_verify, size=size, threshold=threshold, least=threshold - slack), "a bigint, b bigint"), "links")
 
-    comp = _relabel(None, links(placed.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()))
+    comp = _relabel(None, links(placed.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()))
 
     # of every bucket with several components: the dominant one
-    own = placed.select("bucket", "id").join(comp, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    own = placed.select("bucket", "node").join(comp.withColumnRenamed("id", "node"), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     parts = own.groupBy("bucket", "component").agg(F.count("*").alias("c"))
     sizes = parts.groupBy("bucket").agg(F.sum("c").alias("n"), F.count("*").alias("k"), F.max(F.struct("c", "component")).alias("d"))
     blocks = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
@@ -285,23 +286,35 @@ def near_duplicates(
     if crowd:
         # members outside the dominant component are the only ones whose links are still open; they
         # meet all members of their bucket, block by block, inside tasks that emit links alone
-        both = own.join(still, "bucket").join(held.hint("merge"), "id")
-        spread = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+        both = own.join(still, "bucket").join(held.hint("merge"), "node")
+        spread = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         slot = F.pmod(F.xxhash64("bucket"), F.lit(max(1, crowd // TASK_ROWS))).cast("int")
         both = both.withColumn("slot", slot)
-        columns = ["slot", "bucket", "x", "y", "id", "component", "sketch", "buckets", "text"]
+        columns = ["slot", "bucket", "x", "y", "node", "component", "sketch", "buckets", "text"]
         apart = both.where("component <> main").withColumn("x", spread("open_parts")).withColumn("y", every("parts")).select(*[F.col(c).alias(c) for c in columns])
         members = both.withColumn("y", spread("parts")).withColumn("x", every("open_parts")).select(*[F.col(c).alias(c) for c in columns])
         between = partial(_between, size=size, threshold=threshold, least=threshold - slack)
-        pairs = apart.groupBy("slot", "x", "y").cogroup(members.groupBy("slot", "x", "y")).applyInPandas(between, f"a {kind}, b {kind}")
+        pairs = apart.groupBy("slot", "x", "y").cogroup(members.groupBy("slot", "x", "y")).applyInPandas(between, "a bigint, b bigint")
         comp = _relabel(comp, materialise(pairs, "links"))
 
     # ids with several texts join the components of all their texts
-    member = worded.select("id", "digest").join(reps.select("digest", F.col("id").alias("rep")).hint("merge"), "digest").select("id", "rep")
-    rep = member.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("class_id"))
-    blank = sketched.where(F.col("digest").isNull()).select("id", F.col("id").alias("class_id"))
-    return rep.unionByName(blank).groupBy("id").agg(F.min("class_id").alias("class_id")).withColumnRenamed("id", id_col)
+    ids = materialise(worded.groupBy("id").agg(F.min("digest").alias("digest"), F.max("digest").alias("other")), "ids")
+    several = ids.where("digest <> other")
+    if not several.isEmpty():
+        named = [reps.select(F.col("digest").alias(c), F.col("node").alias(n)) for c, n in (("digest", "a"), ("more", "b"))]
+        more = worded.select("id", F.col("digest").alias("more")).join(several.select("id", "digest").hint("merge"), "id").where("more <> digest").select("digest", "more").distinct()
+        comp = _relabel(comp, materialise(more.join(named[0].hint("merge"), "digest").join(named[1].hint("merge"), "more").select("a", "b"), "id-links"))
+
+    # the smallest id of every component; nodes without links have their own smallest id
+    linked = comp.select(F.col("id").alias("node"), "component").unionByName(comp.select(F.col("component").alias("node"), "component").distinct())
+    linked = linked.join(reps.select("node", "id").hint("merge"), "node")
+    least = linked.groupBy("component").agg(F.min("id").alias("least"))
+    linked = linked.join(least.hint("merge"), "component").select("node", "least")
+    classes = reps.select("digest", "node", "id").join(linked.hint("merge"), "node", "left").select("digest", F.coalesce("least", "id").alias("class_id"))
+    found = ids.select("id", "digest").join(classes.hint("merge"), "digest").select("id", "class_id")
+    blank = sketched.where(F.col("digest").isNull()).select("id").distinct().join(ids.select("id").hint("merge"), "id", "left_anti")
+    return found.unionByName(blank.select("id", F.col("id").alias("class_id"))).withColumnRenamed("id", id_col)
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

@@ -18,7 +18,6 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,10 +32,11 @@ END_ID = 1
 GROUP_ROWS = 500
 
 
+@tb.tidied
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, ranks: str | None, capacity: int, part: int) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder.of(path, ranks)
+    encoder = Encoder(path, ranks)
     for batch in batches:
-        for block in tb.blocks(batch.column(1), 6_000_000):
+        for block in tb.blocks(batch.column(1)):
             ids, counts = encoder.encode(block)
             total = counts + 1
             flat = np.full(int(total.sum()), END_ID, np.uint32)
@@ -110,25 +110,29 @@ def pack_sizes(sizes: np.ndarray, capacity: int) -> np.ndarray:
         k += max(1, int(k * min(0.02, (most - capacity) / capacity / 4)))
 
 
-def _group(key: tuple, rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    rows = rows.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
+def _group(key: tuple, rows: pa.Table, capacity: int) -> pa.Table:
+    """Windows of one group; ids stay in Arrow, as they came."""
+    order = [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")]
+    rows = rows.drop_columns(["_group"]).sort_by(order).combine_chunks()
     sizes = rows["length"].to_numpy()
     full = sizes == capacity
-    window = np.zeros(len(rows), np.int64)
+    window = np.zeros(len(sizes), np.int64)
     window[full] = np.arange(full.sum())
     if (~full).any():
         window[~full] = pack_sizes(sizes[~full], capacity) + full.sum()
-    rows["sequence_id"] = (int(key[0]) << 32) + window
-    rows = rows.sort_values(["sequence_id", "length"], ascending=[True, False], kind="stable")
-    rows["offset"] = rows.groupby("sequence_id")["length"].cumsum() - rows["length"]
-    return rows.drop(columns=["_group"])
+    by = np.lexsort((-sizes, window))
+    window, sizes = window[by], sizes[by]
+    through = np.cumsum(sizes)
+    first = np.searchsorted(window, window)
+    offset = through - sizes - (through - sizes)[first]
+    return rows.take(pa.array(by)).append_column("sequence_id", pa.array((key[0].as_py() << 32) + window)).append_column("offset", pa.array(offset))
 
 
 def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, capacity: int = 2048, parts: int = 2) -> DataFrame:
     """Pieces of all documents: [doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset].
 
-    ``vocabulary`` is a ``tokenizers`` file; ``ranks`` may name the same vocabulary for
-    ``tiktoken``. Rests above ``capacity / parts`` ids are halved.
+    ``vocabulary`` is a ``tokenizers`` file, by its place on the workers or its name in
+    ``public_tokenizers``; ``ranks`` may name the same vocabulary for ``tiktoken``. Rests above ``capacity / parts`` ids are halved.
 
     Defined cases: a null text counts as empty and is one id; repeated rows and repeated or
     null ids are documents of their own; a document of any length is cut; ties are broken by
@@ -144,12 +148,13 @@ def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, capacity: i
     # equal rows would share a hash; their number in the table may be anything, so the checksum
     # and the row's own random-free position spread them
     salted = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
-    return salted.groupBy("_group").applyInPandas(partial(_group, capacity=capacity), schema + ", sequence_id bigint, offset bigint")
+
+    def windows(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        return _group(key, rows, capacity)
+
+    return salted.groupBy("_group").applyInArrow(windows, schema + ", sequence_id bigint, offset bigint")
 
 
 def op4_pack(spark, sf_dir: str) -> DataFrame:
     """Packs every document into sequences of at most 2048 tokens."""
-    import public_tokenizers
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), "byte_bpe_50k.json", "byte_bpe_50k.tiktoken")

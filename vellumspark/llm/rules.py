@@ -30,6 +30,7 @@ COMMON_WORDS = {
 }
 
 
+@tb.tidied
 def _counts(batches: Iterator[pa.RecordBatch], words: dict[str, list[str]]) -> Iterator[pa.RecordBatch]:
     width = max(len(w) for w in words.values())
     order = {}
@@ -52,7 +53,7 @@ def _counts(batches: Iterator[pa.RecordBatch], words: dict[str, list[str]]) -> I
                 flat = owner[mine[hit]] * (width + 1) + by[spot[hit]]
                 common += np.bincount(flat, minlength=block.n * (width + 1)).reshape(block.n, -1)
             common[:, width] = base["n_words"] - common.sum(axis=1)
-            kinds = ts.class_counts(block)
+            kinds = base["kinds"]
 
             def nested(x: np.ndarray) -> pa.Array:
                 return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1)))

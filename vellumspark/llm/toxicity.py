@@ -3,19 +3,22 @@
 The chain predicts its categories in order; every link is a logistic regression on the words
 of a text and on the probabilities of the earlier links. While training, a link sees the
 earlier links' out-of-fold probabilities (models fitted on the other folds), so it learns how
-far they can be trusted on texts they have not seen. The labels hold one column, ``toxic``;
-the earlier categories are weak labels: toxic training rows that hold a seed word of the
-category. Seeds are used for nothing else.
+far they can be trusted on texts they have not seen. The last link is ``toxic``.
 
-The fit uses at most ``max_rows`` labelled rows of each class and ``max_features`` words, the
-words with the strongest positive association (chi-square) among these rows. Scoring covers every whole
-text: presence of words, whatever the length.
+The categories before it are label columns, where there are any. Where the labels hold the
+column ``toxic`` alone, the categories are kinds of toxic rows found in the data: the toxic
+training rows are grouped by the words that set them apart from the others (spherical k-means),
+and a kind is the rows of a group, the largest group first.
+
+The fit uses at most ``max_rows`` labelled rows of each class; the vocabulary is the words of
+those rows with a significant positive association with toxicity (chi-square of ``min_chi`` or
+more, in ``min_rows`` rows or more). Scoring covers every whole text: presence of words, whatever the length.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import partial
 
 import numpy as np
@@ -25,36 +28,22 @@ from pyspark.sql import functions as F
 
 from vellumspark.llm import textblock as tb
 from vellumspark.llm import textstats as ts
-from vellumspark.session import materialise, ship
+from vellumspark.session import lowest_hashes, materialise, ship
 
-#: Seed words of the weakly labelled categories, in chain order.
-SEEDS = {
-    "insult": ["idiot", "moron", "clown", "loser", "fool", "imbecile"],
-    "contempt": ["worthless", "pathetic", "stupid", "disgusting", "scum", "trash"],
-}
-CHAIN = (*SEEDS, "toxic")
+TOXIC = "toxic"
 
 
-def _present(batches: Iterator[pa.RecordBatch], seeds: dict[str, list[str]]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, toxic, text) -> distinct word hashes, seed flags and a content fold."""
-    hashes = {c: ts.word_hash(w) for c, w in seeds.items()}
+@tb.tidied
+def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, labels, text) -> distinct word hashes and a content fold."""
     for batch in batches:
         for block in tb.blocks(batch.column(2)):
             h, owner = ts.bare_words(block)
             at = tb.bounds_of(owner, block.n)
             sets = [np.unique(h[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
-            flags = [[bool(np.isin(s, hashes[c]).any()) for s in sets] for c in seeds]
             fold = [int(s.sum(dtype=np.uint64) % np.uint64(3)) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).slice(block.first, block.n),
-                    batch.column(1).slice(block.first, block.n),
-                    pa.array(fold, pa.int32()),
-                    pa.array([list(x) for x in zip(*flags, strict=True)], pa.list_(pa.bool_())),
-                    pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
-                ],
-                ["doc_id", "toxic", "fold", "seeded", "words"],
-            )
+            given = [batch.column(i).slice(block.first, block.n) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([*given, pa.array(fold, pa.int32()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "labels", "fold", "words"])
 
 
 class _Sparse:
@@ -108,85 +97,146 @@ def fit_chain(x: _Sparse, targets: dict[str, np.ndarray], fold: np.ndarray) -> d
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, seeds: dict[str, list[str]] | None = None, max_rows: int = 3000, max_features: int = 3000) -> dict:
-    """Fit the chain on a bounded sample of labelled rows: at most ``max_rows`` of each class."""
-    seeds = seeds or SEEDS
-    kind = dict(docs.dtypes)["doc_id"]
-    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.join(docs.select("doc_id").where("doc_id IS NOT NULL").distinct().hint("merge"), "doc_id", "left_semi")
-    order = (F.xxhash64("doc_id"), "doc_id")
+def kinds(row: np.ndarray, col: np.ndarray, n: int, weight: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
+    """Group (0: the largest) of each of n rows of present, weighted features, by spherical k-means.
+
+    A group starts as the rows of one word: the heaviest one, by its rows, among the rows that no group has yet.
+    """
+    value = weight[col]
+    length = np.sqrt(np.bincount(row, value**2, minlength=n))
+    value = value / np.maximum(length[row], 1e-12)
+
+    def alike(centre: np.ndarray) -> np.ndarray:
+        return np.bincount(row, value * centre[col], minlength=n) / max(float(np.sqrt((centre**2).sum())), 1e-12)
+
+    centres, left = [], np.ones(n, bool)
+    for _ in range(k):
+        word = int(np.argmax(np.bincount(col[left[row]], value[left[row]], minlength=len(weight)))) if len(weight) else 0
+        mine = np.zeros(n, bool)
+        mine[row[(col == word) & left[row]]] = True
+        centres.append(np.bincount(col[mine[row]], value[mine[row]], minlength=len(weight)))
+        left &= ~mine
+    group = np.zeros(n, int)
+    for step in range(rounds):
+        new = np.argmax([alike(c) for c in centres], axis=0)
+        if step and (new == group).all():
+            break
+        group = new
+        centres = [np.bincount(col, np.where(group[row] == g, value, 0.0), minlength=len(weight)) for g in range(k)]
+    order = np.argsort(-np.bincount(group, minlength=k), kind="stable")
+    return np.argsort(order)[group]
+
+
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    categories: Sequence[str] | int = 2,
+    max_rows: int = 3000,
+    min_rows: int = 3,
+    min_chi: float = 10.8,
+) -> dict:
+    """Fit the chain {words, links} on a bounded sample: at most ``max_rows`` labelled rows of each class.
+
+    ``categories``: label columns (0 or 1) that come before ``toxic``, or a number of kinds of
+    toxic rows to find. Of rows that share an id the one with the smallest text counts.
+    """
+    ship(docs.sparkSession)
+    named = [] if isinstance(categories, int) else list(categories)
+    flags = F.array(*[F.max(F.coalesce(F.col(c), F.lit(0)).cast("int")) for c in (*named, TOXIC)]).alias("labels")
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(TOXIC).isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(flags)
+    own = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("text")).where("id IS NOT NULL")
+    known = materialise(known.join(own.select("id").distinct().hint("merge"), "id", "left_semi"), "toxicity-labels")
+    last = F.element_at("labels", -1)
     # at most 2 * max_rows ids: bounded by the parameter
-    chosen = known.where("toxic = 1").orderBy(*order).limit(max_rows).unionByName(known.where("toxic = 0").orderBy(*order).limit(max_rows))
-    wide = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
-    schema = f"doc_id {kind}, toxic int, fold int, seeded array<boolean>, words array<bigint>"
-    rows = materialise(wide.mapInArrow(partial(_present, seeds=seeds), schema), "toxicity-sample")
+    chosen = lowest_hashes(known.where(last == 1), "id", max_rows).unionByName(lowest_hashes(known.where(last == 0), "id", max_rows))
+    single = own.join(F.broadcast(chosen), "id").groupBy("id", "labels").agg(F.min("text").alias("text"))
+    rows = materialise(single.mapInArrow(_present, f"id {dict(own.dtypes)['id']}, labels array<int>, fold int, words array<bigint>"), "toxicity-sample")
 
-    n, pos = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    counts = rows.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"), F.sum("toxic").alias("hits"))
+    n, pos = rows.agg(F.count("*"), F.coalesce(F.sum(last), F.lit(0))).first()
+    counts = rows.select(last.alias(TOXIC), F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"), F.sum(TOXIC).alias("hits"))
     expected = F.col("df") * F.lit(pos / max(n, 1))
     chi = (F.col("hits") - expected) ** 2 / F.greatest(expected, F.lit(1e-9))
     # words that speak for toxicity; one without any of them gets the intercept's low probability
-    top = counts.where((F.col("df") >= 3) & (F.col("hits") > expected)).orderBy(F.desc(chi), "word").limit(max_features).select("word")
-    vocabulary = np.sort(np.array([r[0] for r in top.collect()], np.int64).view(np.uint64))
-    listed = rows.withColumn("words", F.array_intersect("words", F.array(*[F.lit(int(w)) for w in vocabulary.view(np.int64)]).cast("array<bigint>")))
-    sample = listed.orderBy("doc_id").toPandas()
-
-    col = [np.searchsorted(vocabulary, np.asarray(w, np.int64).view(np.uint64)) for w in sample["words"]]
-    row = np.repeat(np.arange(len(col)), [len(c) for c in col]).astype(int)
-    col = np.concatenate(col).astype(int) if len(col) else np.zeros(0, int)
-    toxic = sample["toxic"].to_numpy(float)
-    flags = np.array(sample["seeded"].tolist(), bool).reshape(len(sample), len(seeds))
-    targets = {c: toxic * flags[:, i] for i, c in enumerate(seeds)} | {"toxic": toxic}
+    top = counts.select("word", "df", "hits", chi.alias("chi"), expected.alias("expected")).where((F.col("df") >= min_rows) & (F.col("hits") > F.col("expected")) & (F.col("chi") >= min_chi))
+    top = materialise(top.select("word", "chi"), "toxicity-words")  # bounded by the sample
+    pairs = rows.select("id", F.explode("words").alias("word")).join(F.broadcast(top), "word").groupBy("id").agg(F.collect_list("word").alias("present"))
+    sample = rows.select("id", "labels", "fold").join(pairs.hint("merge"), "id", "left").toPandas().sort_values("id", ignore_index=True)
+    listed = top.toPandas().sort_values("word", ignore_index=True)
+
+    vocabulary = listed["word"].to_numpy(np.int64)
+    found = [np.searchsorted(vocabulary, np.asarray(w, np.int64)) if w is not None else np.zeros(0, np.int64) for w in sample["present"]]
+    row = np.repeat(np.arange(len(found)), [len(c) for c in found]).astype(int)
+    col = np.concatenate(found).astype(int) if len(found) else np.zeros(0, int)
+    marked = np.array(sample["labels"].tolist(), float).reshape(len(sample), len(named) + 1)
+    toxic = marked[:, -1]
+    targets = {c: marked[:, i] for i, c in enumerate(named)}
+    if not named and categories:
+        bad = np.flatnonzero(toxic == 1)
+        inside = np.isin(row, bad)
+        group = kinds(np.searchsorted(bad, row[inside]), col[inside], len(bad), listed["chi"].to_numpy(float), int(categories)) if len(bad) else np.zeros(0, int)
+        for g in range(int(categories)):
+            targets[f"kind_{g + 1}"] = np.zeros(len(sample))
+            targets[f"kind_{g + 1}"][bad[group == g]] = 1.0
     x = _Sparse(row, col, len(sample), len(vocabulary), np.zeros((len(sample), 0)))
-    return {"words": vocabulary.tolist(), "links": fit_chain(x, targets, sample["fold"].to_numpy())}
+    return {"words": vocabulary.tolist(), "links": fit_chain(x, targets | {TOXIC: toxic}, sample["fold"].to_numpy())}
 
 
+@tb.tidied
 def _score(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
+    """(row, text) -> (row, probability of every link), block by block."""
     given = json.loads(model)
-    vocabulary = np.array(given["words"], np.uint64)
+    signed = np.array(given["words"], np.int64)
+    links = [np.array(w) for w in given["links"].values()]
+    by = np.argsort(signed.view(np.uint64))
+    vocabulary = signed.view(np.uint64)[by]
     for batch in batches:
-        kept: dict[str, list[np.ndarray]] = {c: [] for c in given["links"]}
-        for block in tb.blocks(batch.column(batch.schema.get_field_index("text"))):
+        for block in tb.blocks(batch.column(1)):
             h, owner = ts.bare_words(block)
             if len(vocabulary):
                 spot = np.searchsorted(vocabulary, h)
                 spot[spot == len(vocabulary)] = 0
                 hit = vocabulary[spot] == h
-                pair = np.unique(owner[hit] * len(vocabulary) + spot[hit])
+                pair = np.unique(owner[hit] * len(vocabulary) + by[spot[hit]])
                 row, col = pair // len(vocabulary), pair % len(vocabulary)
             else:
                 row = col = np.zeros(0, int)
             dense = np.zeros((block.n, 0))
-            for name, w in given["links"].items():
-                p = _sigmoid(_Sparse(row, col, block.n, len(vocabulary), dense).dot(np.array(w)))
-                kept[name].append(p)
-                dense = np.column_stack([dense, p])
-        scores = [pa.array(np.concatenate(x) if x else np.zeros(0)) for x in kept.values()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *scores], [*batch.schema.names, *[f"p_{c}" for c in given["links"]]])
+            for w in links:
+                dense = np.column_stack([dense, _sigmoid(_Sparse(row, col, block.n, len(vocabulary), dense).dot(w))])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.n), *[pa.array(dense[:, i]) for i in range(len(links))]], ["row", *[f"p{i}" for i in range(len(links))]])
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with p_<category> of every link; the last, p_toxic, is the verdict's probability."""
+def _judged(docs: DataFrame, model: dict, keep: str = "*") -> DataFrame:
+    """[row, p0, p1, ..]: the kept columns as a struct, whatever their names, and every link's probability."""
     ship(docs.sparkSession)
-    fields = [f"`{n}` {t}" for n, t in docs.dtypes] + [f"p_{c} double" for c in model["links"]]
-    return docs.mapInArrow(partial(_score, model=json.dumps(model)), ", ".join(fields))
+    rows = docs.select(F.struct(keep).alias("row"), F.col("text").alias("text"))
+    fields = ", ".join(f"p{i} double" for i in range(len(model["links"])))
+    return rows.mapInArrow(partial(_score, model=json.dumps(model)), f"row {dict(rows.dtypes)['row']}, {fields}")
+
+
+def score(docs: DataFrame, model: dict) -> DataFrame:
+    """``docs`` with p_<category> of every link, in place of columns of these names; the last, p_toxic, is the verdict's probability.
+
+    Defined cases: null and empty texts have no words and get the intercept's probability;
+    repeated rows get equal scores; an empty table gives an empty result.
+    """
+    added = [f"p_{c}" for c in model["links"]]
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c not in added]
+    return _judged(docs, model).select(*own, *[F.col(f"p{i}").alias(c) for i, c in enumerate(added)])
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
-    """Documents whose toxicity stays below the threshold; columns unchanged.
+    """Documents whose toxicity stays below the threshold; columns unchanged, whatever their names.
 
-    Defined cases: null and empty texts have no words and get the intercept's probability; rows
-    with a null doc_id are scored but never trained on; without labelled toxic rows nothing is
-    rejected; repeated rows get equal scores; an empty table gives an empty result. Input
-    columns must not be named like the added ones (p_<category>).
+    Defined cases as in :func:`score`; rows with a null doc_id are scored but never trained on;
+    without labelled toxic rows nothing is rejected.
     """
-    ship(docs.sparkSession)
-    return score(docs, train(docs, labels, **options)).where(F.col("p_toxic") < threshold).select(*docs.columns)
+    model = train(docs, labels, **options)
+    return _judged(docs, model).where(F.col(f"p{len(model['links']) - 1}") < threshold).select("row.*")
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
-    """Category probabilities and verdict of every document: [doc_id, p_insult, p_contempt, score, toxic]."""
+    """Probabilities and verdict of every document: [doc_id, p_kind_1, p_kind_2, score, toxic]."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    ship(spark)
-    scored = score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return scored.select("doc_id", "p_insult", "p_contempt", F.col("p_toxic").alias("score"), (F.col("p_toxic") >= 0.3).alias("toxic"))
+    judged = _judged(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), "doc_id")
+    return judged.select("row.doc_id", F.col("p0").alias("p_kind_1"), F.col("p1").alias("p_kind_2"), F.col("p2").alias("score"), (F.col("p2") >= 0.3).alias("toxic"))
