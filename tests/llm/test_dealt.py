@@ -13,8 +13,10 @@ import pytest
 from oracle import connect, rows
 from pyspark.sql import functions as F
 
+from vellumspark import session
 from vellumspark.llm import bytepair, chat, licenses, minhash, mixing, packing, quality, registry, rules, search, toxicity, urls
 from vellumspark.llm import textblock as tb
+from vellumspark.llm import textstats as ts
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -88,22 +90,49 @@ def test_licence_near_misses_and_odd_inputs(spark, licence_model):
 
 # 2 mixing
 def test_mix_odd_inputs(spark):
-    slim, whole = mixing.mix(odd(spark))
-    got = slim.toPandas()
-    assert len(got) == 8 and whole.count() == 8
-    assert (got.mix_taken <= 3 * got.mix_size).all() and got.mix_taken.sum() <= got.mix_size.sum()
-    assert set(got[got.doc_id.isin([2, 3, 4])].mix_taken) == {0}
+    got = mixing.mix(odd(spark)).select("row.*", "size", "taken").toPandas()
+    assert len(got) == 8
+    assert (got.taken <= 3 * got["size"]).all() and got.taken.sum() <= got["size"].sum()
+    assert set(got[got.doc_id.isin([2, 3, 4])].taken) == {0}
     assert mixing.mixed_documents(odd(spark)).columns == odd(spark).columns
-    assert mixing.mix(empty(spark))[0].count() == 0 and mixing.mixed_documents(empty(spark)).count() == 0
+    assert mixing.mix(empty(spark)).count() == 0 and mixing.mixed_documents(empty(spark)).count() == 0
 
 
 def test_mix_comes_near_its_targets(spark):
     rng = random.Random(0)
     docs = [(i, "w " * rng.randint(1, 40), "en", rng.choice("aaabbc"), 1) for i in range(1500)]
-    got = mixing.mix(spark.createDataFrame(docs, DOCS))[0].toPandas()
-    by = got.groupby("source").agg(taken=("mix_taken", "sum"), target=("mix_target", "max"), size=("mix_size", "max"))
+    got = mixing.mix(spark.createDataFrame(docs, DOCS)).select("row.source", "size", "taken", "target").toPandas()
+    by = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "max"), size=("size", "max"))
     assert ((by.taken - by.target).abs() <= by["size"]).all()
-    assert got.mix_size.sum() - got.mix_taken.sum() <= 3 * 40
+    assert got["size"].sum() - got.taken.sum() <= 3 * 40
+
+
+def test_mix_of_equal_rows_and_null_ids(spark, monkeypatch):
+    """Thousands of equal rows are counted before they are placed; the cut is found over several steps."""
+    monkeypatch.setattr(mixing, "BINS", 16)
+    docs = spark.range(6000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "concat('w w w ', if(id % 3 = 0, CAST(id AS STRING), 'x')) AS text", "concat('s', id % 3) AS source", "1 AS key", "2 AS no", "3 AS row")
+    got = mixing.mix(docs).select("row.source", "size", "taken", "target").toPandas()
+    by = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "max"))
+    assert len(got) == 6000 and ((by.taken - by.target).abs() <= 4).all()
+    assert mixing.mixed_documents(docs).count() == got.taken.sum() / 4 and mixing.mixed_documents(docs).columns == docs.columns
+
+
+@pytest.mark.parametrize("totals", [[5, 1, 1, 100], [10, 10], [0, 7, 3], [1000, 1, 1, 1, 1, 1, 1, 900]])
+def test_targets_fill_up_by_weight(spark, totals):
+    names = [f"s{i}" for i in range(len(totals))]
+    table = spark.createDataFrame(list(zip(names, [False] * len(names), totals, strict=True)), "src string, none boolean, total long")
+    got = {r.src: r.target for r in mixing._targets(table, (5, 2, 1), 1.0, 3).collect()}
+    weights = {n: (5, 2, 1)[i % 3] for i, n in enumerate(names)}
+    target, held = {}, set()  # share out, cut what is above three times its size, share out the rest again
+    while True:
+        rest = sum(totals) - sum(3 * t for n, t in zip(names, totals, strict=True) if n in held)
+        open_weight = sum(w for n, w in weights.items() if n not in held)
+        target = {n: 3 * t if n in held else rest * weights[n] / open_weight for n, t in zip(names, totals, strict=True)}
+        over = {n for n, t in zip(names, totals, strict=True) if target[n] > 3 * t}
+        if not over:
+            break
+        held |= over
+    assert all(abs(got[n] - target[n]) < 1e-6 for n in names)
 
 
 # 3 near duplicates
@@ -157,6 +186,23 @@ def test_near_duplicate_odd_inputs(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0 and minhash.keep_one(empty(spark)).count() == 0
 
 
+def test_repeated_rows_are_one_node(spark):
+    docs = spark.range(20000).selectExpr("id % 2 AS doc_id", "concat('the same few words in every one of these texts ', if(id % 2 = 0, '', 'x')) AS text", "1 AS node", "2 AS digest")
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()} == {0: 0, 1: 1 if 5 / 6 < 0.8 else 0}
+    assert len(minhash.keep_one(docs).collect()) == 1
+    several = [(3, "a b c d e f g"), (3, "u v w x y z k l m"), (2, "u v w x y z k l m"), (1, "a b c d e f g"), (4, None), (4, "q w e r t y"), (5, None)]
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(several, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+
+
+def test_darts_do_not_depend_on_their_portions(monkeypatch):
+    rng = np.random.default_rng(1)
+    cell, who = tb.mix(rng.integers(1, 2**60, 3000).astype(np.uint64)), np.sort(rng.integers(0, 5, 3000))
+    whole = minhash.darts(cell, who, 6, 160)
+    monkeypatch.setattr(minhash, "_DARTS", 50)
+    assert (minhash.darts(cell, who, 6, 160) == whole).all() and not whole[5].any()
+
+
 def test_dart_collisions_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     common, a, b = (tb.mix(rng.integers(1, 2**60, n).astype(np.uint64)) for n in (300, 100, 100))
@@ -175,7 +221,7 @@ def vocabulary():
 
 def test_ids_equal_the_library():
     path, ranks = vocabulary()
-    encoder = bytepair.Encoder.of(path, ranks)
+    encoder = bytepair.Encoder(path, ranks)
     rng = random.Random(1)
     texts = ["", "it's we're 'll x'd 's", "  a  b \n\n c\t", "漢字 hello", "<|endoftext|> ok", "x\x1cy \x85 z\xa0", "\r\n\r\na 're"]
     texts += ["".join(rng.choice("ab's tlverdm'  \n\t12!?é½ü ’") for _ in range(rng.randint(0, 40))) for _ in range(3000)]
@@ -202,7 +248,7 @@ def check_pieces(pieces: pd.DataFrame, texts: list, model) -> None:
 def test_packing(spark, documents):
     path, ranks = vocabulary()
     pieces = packing.pack(documents, path, ranks).toPandas()
-    check_pieces(pieces, [(r.doc_id, r.text) for r in documents.collect()], bytepair.Encoder.of(path, ranks).model)
+    check_pieces(pieces, [(r.doc_id, r.text) for r in documents.collect()], bytepair.Encoder(path, ranks).model)
     assert set(pieces.doc_id) == {r.doc_id for r in documents.select("doc_id").collect()}
     assert 1 - pieces.length.sum() / (pieces.sequence_id.nunique() * 2048) < 0.06
 
@@ -213,7 +259,38 @@ def test_packing_odd_inputs(spark):
     assert len(got[got.doc_id == 1]) == 2 and got[got.doc_id == 2].length.tolist() == [1] and got.doc_id.isna().sum() == 1
     assert packing.pack(empty(spark), path, ranks).count() == 0
     long = packing.pack(spark.createDataFrame([(1, "word " * 50000)], "doc_id long, text string"), path, ranks).toPandas()
-    check_pieces(long, [(1, "word " * 50000)], bytepair.Encoder.of(path, ranks).model)
+    check_pieces(long, [(1, "word " * 50000)], bytepair.Encoder(path, ranks).model)
+    large = [(9007199254740993, "a b"), (None, "c d"), (9007199254740995, None)]  # beyond the integers of a double
+    got = packing.pack(spark.createDataFrame(large, "doc_id long, text string").withColumn("_group", F.lit("clash")), path).collect()
+    assert {r.doc_id for r in got} == {i for i, _ in large}
+
+
+def test_windows_against_a_plain_differencing():
+    """The array form of the differencing against one that keeps sets of items."""
+
+    def plain(sizes: list[int], k: int) -> int:
+        heap = [([0] * (k - 1) + [x], i) for i, x in enumerate(sizes)]
+        while len(heap) > 1:
+            heap.sort(key=lambda h: (h[0][0] - h[0][-1], h[1]))
+            (a, tie), (b, _) = heap.pop(0), heap.pop(0)
+            heap.append((sorted(x + y for x, y in zip(a, reversed(b), strict=True)), tie))
+        return heap[0][0][-1]
+
+    rng = random.Random(3)
+    for _ in range(60):
+        sizes, k = [rng.randint(1, 60) for _ in range(rng.randint(1, 25))], rng.randint(1, 7)
+        window, most = packing.differencing(np.array(sizes), k)
+        assert most == plain(sizes, k) == max(sum(s for s, w in zip(sizes, window, strict=True) if w == x) for x in range(k))
+
+
+def test_texts_cut_for_encoding_keep_their_ids():
+    encoder = bytepair.Encoder("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
+    rng = random.Random(2)
+    for _ in range(200):
+        text = "x" + "".join(rng.choice(["a", "Bb's ", "the ", " ", "\n", "é", "x" * 9, "漢 字", "\n\n", "1 2", "。\n"]) for _ in range(rng.randint(0, 200)))
+        block = next(tb.blocks(pa.array([text])))
+        for most in (5, 60):
+            assert encoder.encode(block, most)[0].tolist() == encoder.model.encode(text, add_special_tokens=False).ids
 
 
 def test_differencing_balances():
@@ -229,7 +306,7 @@ def test_differencing_balances():
 def test_quality_held_out(spark, documents, labels):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
     try:
-        got = quality.score(documents, quality.train(documents, labels)).toPandas()
+        got = quality.score(documents, labels).toPandas()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     z = got.merge(labels.toPandas(), on="doc_id")
@@ -242,21 +319,102 @@ def test_quality_held_out(spark, documents, labels):
 
 def test_quality_odd_inputs(spark, labels):
     some = spark.createDataFrame([(1, 1, 0), (5, 1, 0), (None, 1, 0), (6, None, None)], "doc_id long, quality int, toxic int")
-    assert quality.quality_documents(odd(spark), some).columns == odd(spark).columns
-    scored = quality.score(odd(spark), quality.train(odd(spark), some)).toPandas()
+    clash = odd(spark).withColumns({"quality_score": F.lit("mine"), "features": F.lit(1), "row": F.lit(2)})
+    kept = quality.quality_documents(clash, some)
+    assert kept.columns == clash.columns and {r.quality_score for r in kept.collect()} <= {"mine"}
+    scored = quality.score(clash, some).toPandas()
     assert len(scored) == 8 and scored.quality_score.between(0, 1).all()
     assert quality.quality_documents(odd(spark), some.limit(0)).count() == 8
     assert quality.quality_documents(empty(spark), labels).count() == 0
 
 
+def test_quality_sample_holds_one_row_an_id(spark):
+    """Repeated ids don't fill the samples of the fit: ``max_rows`` bounds what reaches the driver."""
+    docs = spark.range(4000).selectExpr("id % 7 + 1 AS doc_id", "concat('a few words ', id) AS text")
+    labels = spark.range(8).selectExpr("id AS doc_id", "1 AS quality")
+    seen = []
+    descend = quality._descend
+    quality._descend = lambda xp, xu, *a: seen.append((len(xp), len(xu))) or descend(xp, xu, *a)
+    try:
+        quality.score(docs, labels, max_rows=5).count()
+    finally:
+        quality._descend = descend
+    assert seen and all(p <= 5 and u <= 5 for p, u in seen)
+
+
+def test_sample_by_lowest_hashes(spark):
+    rows = spark.range(50000).withColumnRenamed("id", "k")
+    got = sorted(r.k for r in session.lowest_hashes(rows, "k", 300).collect())
+    ranked = rows.withColumn("h", F.xxhash64(F.lit(42), "k")).orderBy("h").limit(300)
+    assert got == sorted(r.k for r in ranked.collect())
+
+
+CLASSES = {
+    "lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": "0123456789", "space": " \t", "break": "\n\x0b\x0c\r", "stop": ".,;:", "shout": "!?",
+    "quote": "'\"()-_/", "symbol": "#*$%&|<>@^~+=\\{}[]`",
+}
+
+
+def brute_features(text: str | None) -> list[float]:
+    """The statistics of one text, counted word by word."""
+    text = text or ""
+    w, chars = WORD.findall(text), collections.Counter()
+    for c in text:
+        own = [k for k, v in CLASSES.items() if c in v]
+        chars[own[0] if own else "latin" if 0x80 <= ord(c) < 0x280 else "other" if ord(c) >= 0x280 else "control"] += 1
+    lines, n = [x for x in text.split("\n") if WORD.search(x)], len(w)
+    base, some, many = brute_counts(text), max(len(w), 1), max(sum(1 for x in text.split("\n") if WORD.search(x)), 1)
+    shares = [chars[k] / max(len(text), 1) for k in ("lower", "upper", "digit", "space", "break", "stop", "shout", "quote", "symbol", "latin", "other", "control")]
+    shouted = sum(len(x.encode()) > 1 and 2 * sum("A" <= c <= "Z" for c in x) > len(x.encode()) for x in w)
+    first = [
+        np.log1p(n), base[1] / some, len(set(w)) / some, np.log1p(n) * len(set(w)) / some, sum(a == b for a, b in zip(w, w[1:], strict=False)) / some, shouted / some,
+        base[2] / some, (len(lines) - len(set(lines))) / many, base[4] / some, np.log1p(n / many), float(n < 20),
+    ]
+    return [*first, first[1] ** 2, first[0] ** 2, *shares, *np.sqrt(shares)]
+
+
+def test_quality_features_and_scores_against_brute_force(spark, documents, labels):
+    texts = [r.text for r in documents.limit(60).collect()] + [None, "", "A BC\n\n a a a # é Ā\v!", "x" * 2000 + " y", "WORD word\nWORD word\n" * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.row.doc_id: r.features for r in quality.with_features(docs).collect()}
+    for i, text in enumerate(texts):
+        assert np.allclose(found[i], brute_features(text), rtol=1e-9, atol=1e-12), i
+    table = session.materialise(quality.with_features(documents, "doc_id"), "t").select(F.col("row.doc_id").alias("id"), "features")
+    model = quality.fit(table, labels)
+    for r in table.withColumn("q", quality.chance("features", model)).limit(50).collect():
+        z = sum(min(max((x - m) / s, -8), 8) * w for x, m, s, w in zip(r.features, model["mean"], model["scale"], model["weights"][:-1], strict=True)) + model["weights"][-1]
+        assert abs(r.q - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_long_texts_are_counted_in_parts(monkeypatch):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["a ", "Bb ", "\n", "é", "word ", "word word word word\n", "X Y\n"]) for _ in range(rng.randint(1, 900))) for _ in range(20)] + ["z" * 3000]
+
+    def seen(most: int) -> list:
+        monkeypatch.setattr(tb.Block.parts, "__defaults__", (most,))
+        blocks = [b for t in texts for b in tb.blocks(pa.array([t]))]
+        return [[quality.features(b).tolist(), ts.bare_words(b)[0].tolist(), b.word_hashes()[0].tolist()] for b in blocks]
+
+    assert seen(10**6) == seen(64) == seen(9)
+
+
+def test_hashes_tell_regular_words_apart():
+    def word(n: int, flip: bool) -> str:
+        return "".join("ab"[(i.bit_count() + flip) % 2] for i in range(n))
+
+    a, b = ts.word_hash([word(2048, False), word(2048, True)])
+    assert a != b
+
+
 def test_nonnegative_risk_separates():
     rng = np.random.default_rng(3)
-    positive, negative = rng.normal(2, 1, (600, 3)), rng.normal(-2, 1, (400, 3))
-    unlabelled = np.vstack([rng.normal(2, 1, (600, 3)), negative])
-    model = quality.fit(positive, unlabelled)
-    w, mean, scale = (np.array(model[k]) for k in ("weights", "mean", "scale"))
-    z = np.clip((negative - mean) / scale, -8, 8) @ w[:-1] + w[-1]
-    assert (z < 0).mean() > 0.9 and abs(model["prior"] - 0.6) < 0.15
+    positive, negative = rng.normal(1, 0.5, (600, 3)), rng.normal(-1, 0.5, (400, 3))
+    unlabelled = np.vstack([rng.normal(1, 0.5, (600, 3)), negative])
+    first = quality._descend(positive[::2], unlabelled[::2], None, 400, 1e-4)
+    bins = [np.histogram(1 / (1 + np.exp(-(x[1::2] @ first[:-1] + first[-1]))), np.linspace(0, 1, 201))[0] for x in (positive, unlabelled)]
+    prior = quality.class_prior(*bins)
+    w = quality._descend(positive, unlabelled, prior, 400, 1e-4)
+    assert (negative @ w[:-1] + w[-1] < 0).mean() > 0.9 and abs(prior - 0.6) < 0.15
 
 
 # 6 chat
@@ -316,22 +474,77 @@ def test_bad_hosts_are_blocked_and_small_ones_shrink(spark):
 
 
 # 8 toxicity
-def test_toxicity(spark, documents, labels):
-    got = toxicity.score(documents, toxicity.train(documents, labels)).toPandas().merge(labels.toPandas(), on="doc_id")
-    assert (got[got.toxic == 1].p_toxic >= 0.3).mean() > 0.8 and (got[got.toxic == 0].p_toxic < 0.3).mean() > 0.97
+BAD = "idiot moron clown loser fool imbecile worthless pathetic stupid disgusting scum trash".split()
 
 
-def test_toxicity_of_new_texts(spark):
+def test_toxicity_held_out(spark, sf):
+    larger = sf.replace("sf0.001", "sf0.01")
+    documents, labels = (spark.read.parquet(f"{larger}/{t}.parquet") for t in ("documents", "labels"))
+    away = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 0
+    model = toxicity.train(documents, labels.where(away))
+    got = toxicity.score(documents, model).toPandas().merge(labels.where(~away).toPandas(), on="doc_id")
+    assert (got[got.toxic == 0].p_toxic < 0.3).mean() > 0.97
+    words = set(BAD)
+    marked = got[[sum(w.strip(".,!?").lower() in words for w in (t or "").split()) > 1 for t in got.text]]
+    assert not len(marked) or (marked.p_toxic >= 0.3).mean() > 0.6
+
+
+def toxic_texts():
     rng = random.Random(9)
-    bad = sum(toxicity.SEEDS.values(), [])
     texts = {i: [f"word{rng.randint(0, 500)}" for _ in range(40)] for i in range(300)}
     for i in range(0, 300, 3):
-        texts[i][::13] = [rng.choice(bad) for _ in texts[i][::13]]
-    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in texts], "doc_id long, toxic int")
+        texts[i][::13] = [rng.choice(BAD[:6] if i % 2 else BAD[6:]) for _ in texts[i][::13]]
+    return {i: " ".join(w) for i, w in texts.items()}
+
+
+def test_toxicity_of_new_texts(spark):
+    texts = toxic_texts()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), int(i % 6 == 0)) for i in texts], "doc_id long, toxic int, scorn int")
     new = [(-1, "you are an IDIOT! and pathetic, worthless scum"), (-2, "a calm and friendly sentence"), (-3, None), (-4, ""), (-5, "calm " * 30000 + "stupid moron clown")]
-    found = {r.doc_id: r.p_toxic for r in toxicity.score(spark.createDataFrame(new, "doc_id long, text string"), toxicity.train(docs, labels)).collect()}
-    assert min(found[-1], found[-5]) > 0.5 and max(found[-2], found[-3], found[-4]) < 0.3
+    fresh = spark.createDataFrame(new, "doc_id long, text string").withColumns({"p_toxic": F.lit("clash"), "p0": F.lit(1), "row": F.lit(2)})
+    for options in ({}, {"categories": ["scorn"]}, {"categories": []}):
+        model = toxicity.train(docs, labels, **options)
+        found = {r.doc_id: r.p_toxic for r in toxicity.score(fresh, model).collect()}
+        assert min(found[-1], found[-5]) > 0.5 and max(found[-2], found[-3], found[-4]) < 0.3
+        assert list(model["links"]) == [*options.get("categories", ["kind_1", "kind_2"]), "toxic"]
+    kept = toxicity.clean_documents(fresh, labels)
+    assert kept.columns == fresh.columns
+
+
+def test_chain_scores_against_brute_force(spark):
+    """Links applied word by word in plain Python, the later ones with the earlier ones' probabilities."""
+    texts = toxic_texts() | {1000: None, 1001: "", 1002: "Idiot, idiot! (scum) -- ***", 1003: "STUPID. word1"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    hashes = {int(h): i for i, h in enumerate(np.array(model["words"], np.int64).view(np.uint64))}
+    assert len(hashes) >= len(BAD)
+    marks = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+    for r in toxicity.score(docs, model).collect():
+        words = {w.strip(marks) for w in WORD.findall("".join(c.lower() if c.isascii() else c for c in texts[r.doc_id] or ""))} - {""}
+        present = [hashes[int(h)] for h in ts.word_hash(sorted(words)) if int(h) in hashes]
+        earlier = []
+        for name, w in model["links"].items():
+            z = sum(w[i] for i in present) + sum(a * b for a, b in zip(w[len(hashes) : -1], earlier, strict=True)) + w[-1]
+            earlier.append(1 / (1 + np.exp(-z)))
+            assert abs(r[f"p_{name}"] - earlier[-1]) < 1e-9
+
+
+def test_links_learn_from_out_of_fold_probabilities():
+    """A link's training column is predicted by models that haven't seen its rows."""
+    rng = np.random.default_rng(0)
+    n = 300
+    row, col = np.repeat(np.arange(n), 3), rng.integers(0, 40, 3 * n)
+    y, fold = rng.integers(0, 2, n).astype(float), np.arange(n) % 3
+    x = toxicity._Sparse(row, col, n, 40, np.zeros((n, 0)))
+    model = toxicity.fit_chain(x, {"a": y, "b": y}, fold)
+    out = np.zeros(n)
+    for f in range(3):
+        w = toxicity._logistic(x.rows(fold != f), y[fold != f])
+        out[fold == f] = toxicity._sigmoid(x.rows(fold == f).dot(w))
+    again = toxicity._logistic(toxicity._Sparse(row, col, n, 40, out[:, None]), y)
+    assert np.allclose(model["b"], again)
 
 
 def test_toxicity_odd_inputs(spark, labels):
@@ -340,6 +553,8 @@ def test_toxicity_odd_inputs(spark, labels):
     some = spark.createDataFrame([(1, 1, 0), (5, 1, 1), (None, 1, 1), (6, 0, None)], "doc_id long, quality int, toxic int")
     assert toxicity.clean_documents(odd(spark), some).columns == odd(spark).columns
     assert toxicity.clean_documents(empty(spark), labels).count() == 0
+    repeated = spark.range(5000).selectExpr("id % 3 AS doc_id", "concat('word', id) AS text")
+    assert toxicity.clean_documents(repeated, some.unionByName(some)).count() == 5000
 
 
 # 9 search
