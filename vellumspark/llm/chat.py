@@ -6,6 +6,10 @@ compared, so a turn's span is what its prefix adds. A template that changes what
 before (its output no longer starts with the previous output) rewrites history; its turns are
 flagged and the whole change is charged to the turn that caused it.
 
+The loss mask is found the same way, without knowing a template's markup: the last turn of a prefix is
+rendered once more with another text in its place, a character that the output does not hold, and what
+differs between the two outputs is where the template wrote the turn's text.
+
 Long conversations are cut into segments of ``SEGMENT`` turns, which run on different executors.
 A black box may read any earlier turn (the first one, say, for a system prompt, or the number of
 turns), and no look at a few turns can rule that out. So a segment is rendered as true prefixes of
@@ -79,16 +83,40 @@ def read_turn(span: str) -> tuple[str, str, int, int]:
 LOCAL = (instruct_template,)
 
 
-def spans(turns: Sequence[Turn], template: Callable[[Sequence[Turn]], str], first: int = 0) -> list[tuple[str, bool]]:
-    """(added text, rewrote history) of every turn from ``first`` on, by rendering successive prefixes."""
+#: Roles whose texts are learnt.
+TAUGHT = ("assistant",)
+
+
+def _common(x: str, y: str) -> int:
+    """Length of the common beginning of two strings."""
+    low, high = 0, min(len(x), len(y))
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if x[low:mid] == y[low:mid] else (low, mid - 1)
+    return low
+
+
+def text_bounds(turns: Sequence[Turn], output: str, template: Callable[[Sequence[Turn]], str]) -> tuple[int, int]:
+    """Where the last turn's text stands in the template's output: the part that another text changes."""
+    probe = next(chr(c) for c in range(0xE000, 0x10FFFF) if chr(c) not in output)
+    other = template([*turns[:-1], (turns[-1][0], probe)])
+    start = _common(output, other)
+    tail = min(_common(output[::-1], other[::-1]), len(output) - start)
+    return start, len(output) - tail
+
+
+def spans(turns: Sequence[Turn], template: Callable[[Sequence[Turn]], str], first: int = 0) -> list[tuple[str, bool, int, int]]:
+    """(added text, rewrote history, start, end) of every turn from ``first`` on, by rendering successive prefixes.
+
+    start and end bound a taught turn's text inside the added text; 0 and 0 for other turns.
+    """
     found, before = [], template(turns[:first])
     for i in range(first + 1, len(turns) + 1):
         after = template(turns[:i])
-        if after.startswith(before):
-            found.append((after[len(before) :], False))
-        else:
-            same = next((k for k, (x, y) in enumerate(zip(before, after, strict=False)) if x != y), min(len(before), len(after)))
-            found.append((after[same:], True))
+        kept = after.startswith(before)
+        cut = len(before) if kept else _common(before, after)
+        bounds = text_bounds(turns[:i], after, template) if turns[i - 1][0] in TAUGHT else (cut, cut)
+        found.append((after[cut:], not kept, *(max(x - cut, 0) for x in bounds)))
         before = after
     return found
 
@@ -96,14 +124,7 @@ def spans(turns: Sequence[Turn], template: Callable[[Sequence[Turn]], str], firs
 def _render(rows: list[tuple], template: Callable[[Sequence[Turn]], str]) -> list[tuple]:
     """Spans of a segment's own turns, from its rows (conv, segment, position, role, text, own) with the turns before it."""
     lead = sum(not r[5] for r in rows)
-    out = []
-    for r, (span, rewrote) in zip(rows[lead:], spans([(r[3], r[4]) for r in rows], template, lead), strict=True):
-        try:
-            name, _, a, b = read_turn(span)
-        except ValueError:  # another template: its texts aren't parsed here
-            name, a, b = r[3], 0, 0
-        out.append((r[0], r[2], r[3], span, rewrote, *((a, b) if name == "assistant" else (0, 0))))
-    return out
+    return [(r[0], r[2], r[3], *span) for r, span in zip(rows[lead:], spans([(r[3], r[4]) for r in rows], template, lead), strict=True)]
 
 
 def _segments(key: tuple, pdf: pd.DataFrame, template: Callable[[Sequence[Turn]], str]) -> pd.DataFrame:
@@ -136,8 +157,9 @@ def positions(turns: DataFrame) -> DataFrame:
 def format_chats(turns: DataFrame, template: Callable[[Sequence[Turn]], str] = instruct_template) -> DataFrame:
     """Rendered turns: [conv, position, role, span, rewrites, loss_start, loss_end].
 
-    The spans of a conversation in order of position are its formatted text. loss_start and
-    loss_end bound the assistant's escaped text within a span (equal: no loss there). A template
+    The spans of a conversation in order of position are its formatted text, where none rewrites.
+    loss_start and loss_end bound the assistant's text, as the template wrote it, within a span
+    (equal: no loss there). A template
     outside ``LOCAL`` is rendered on whole prefixes, however long: its cost grows with the square
     of a conversation's turns.
 

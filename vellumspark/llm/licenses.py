@@ -45,6 +45,10 @@ TEMPLATES = {
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
         "You can redistribute this library and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
     ],
+    "agpl": [
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "You can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
+    ],
     "bsd": [
         "Released under the BSD 3-Clause License.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
@@ -54,6 +58,40 @@ TEMPLATES = {
         "This source code form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, version 2.0.",
     ],
+    "epl": [
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at the Eclipse Foundation.",
+    ],
+    "isc": [
+        "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ],
+    "zlib": [
+        "Distributed under the zlib license.",
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions.",
+    ],
+    "unlicense": [
+        "Released under the Unlicense.",
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
+    "artistic": [
+        "Licensed under the Artistic License 2.0.",
+        "This package is free software; you may redistribute it under the terms of the Artistic License.",
+    ],
+    "ofl": [
+        "Licensed under the SIL Open Font License, Version 1.1.",
+        "This font software is licensed under the SIL Open Font License and may be bundled, redistributed and sold with any software.",
+    ],
+    "boost": [
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use, reproduce, display, distribute, execute, and transmit the software.",
+    ],
+    "eupl": [
+        "Licensed under the EUPL, Version 1.2 or later.",
+        "Licensed under the European Union Public Licence; you may not use this work except in compliance with the Licence.",
+    ],
     "cc": [
         "Licensed under CC BY-NC 4.0.",
         "Licensed under CC BY-SA 4.0.",
@@ -120,10 +158,15 @@ def _examples(spark: SparkSession, templates: dict[str, list[str]], near: Sequen
         keyed = F.transform("w", lambda x: F.struct(F.xxhash64(x, F.lit(seed)).alias("k"), x.alias("x")))
         return F.transform(F.array_sort(keyed), lambda s: s["x"])
 
-    mixed = base.select(F.lit(UNKNOWN).alias("family"), F.posexplode(F.array(*[scrambled(s) for s in range(1, 9)])).alias("kind", "words"))
-    single = base.select(F.lit(UNKNOWN).alias("family"), F.lit(9).alias("kind"), F.explode(F.transform(n_grams(F.col("w"), 1), lambda x: F.array(x))).alias("words"))
-    # the scrambles of the last two seeds are held out to calibrate the class unknown
-    return whole.unionByName(mixed).unionByName(single).withColumn("held", (F.col("family") == UNKNOWN) & F.col("kind").isin(6, 7))
+    mixed = base.select(F.lit(UNKNOWN).alias("family"), F.posexplode(F.array(*[scrambled(s) for s in range(1, 17)])).alias("kind", "words"))
+    # notices with every fifth word left out, or with a word put in after every sixth; one of each sort is held out to measure recall
+    thinned = [F.expr(f"filter(w, (x, i) -> i % 5 <> {k})") for k in (0, 1, 3, 4, 2)]
+    filled = [F.expr(f"flatten(transform(w, (x, i) -> if(i % 6 = {k}, array(x, 'hereby'), array(x))))") for k in (1, 3, 5)]
+    variants = base.where((F.col("family") != UNKNOWN) & (n >= 6)).select("family", F.posexplode(F.array(*thinned, *filled)).alias("kind", "words")).withColumn("kind", F.col("kind") + 20)
+    single = base.select(F.lit(UNKNOWN).alias("family"), F.lit(19).alias("kind"), F.explode(F.transform(n_grams(F.col("w"), 1), lambda x: F.array(x))).alias("words"))
+    # the scrambles of the last four seeds are held out to calibrate the class unknown
+    every = whole.unionByName(mixed).unionByName(single).unionByName(variants)
+    return every.withColumn("held", ((F.col("family") == UNKNOWN) & F.col("kind").isin(12, 13, 14, 15)) | F.col("kind").isin(24, 27))
 
 
 def train(
@@ -132,7 +175,10 @@ def train(
     near: Sequence[str] | None = None,
     max_features: int = 4000,
 ) -> dict:
-    """{classes, intercepts, weights {n-gram: [..]}, least, templates}; at most ``max_features`` n-grams."""
+    """{classes, intercepts, weights {n-gram: [..]}, least, templates, recall}; at most ``max_features`` n-grams.
+
+    ``recall`` is the share of held-out variants of the notices that get their family.
+    """
     templates, near = templates or TEMPLATES, near or NEAR_MISSES
     examples = _examples(spark, templates, near).select("family", "held", _features(F.col("words")).alias("grams")).coalesce(1).cache()
     classes = sorted(templates) + [UNKNOWN]
@@ -144,33 +190,51 @@ def train(
     weights = {g: [round(float(x), 6) for x in matrix[:, i]] for i, g in enumerate(vocabulary) if abs(matrix[:, i]).max() > 1e-6}
     # calibration: a family needs more than any held-out unknown reaches, and an even chance at least
     best = F.expr(f"array_max(slice(p, 1, {len(classes) - 1}))")
-    reached = model.transform(table.where("held")).select(vector_to_array("probability").alias("p")).agg(F.max(best)).first()[0]
+    held = model.transform(table.where("held")).select("family", vector_to_array("probability").alias("p"), "prediction")
+    reached = held.where(F.col("family") == UNKNOWN).agg(F.max(best)).first()[0]
+    least = max(0.5, min(0.95, float(reached or 0.0)))
+    right = (F.element_at(F.array(*[F.lit(c) for c in classes]), (F.col("prediction") + 1).cast("int")) == F.col("family")) & (best > least)
+    recall = held.where(F.col("family") != UNKNOWN).agg(F.avg(right.cast("int"))).first()[0]
     examples.unpersist()
     return {
         "classes": classes,
         "intercepts": [float(x) for x in model.interceptVector.toArray()],
         "weights": weights,
-        "least": max(0.5, min(0.95, float(reached or 0.0))),
+        "least": least,
+        "recall": recall,
         "templates": [(c, t) for c in sorted(templates) for t in templates[c]],
     }
 
 
-def _scored(grams: DataFrame, keys: Sequence[str], model: dict) -> DataFrame:
-    """[*keys, family, probability] of units from their features [*keys, g]; units without a weighted one are left out."""
+def _table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A table of the model; bounded by its n-grams or templates."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+
+
+def _scored(grams: DataFrame, keys: Sequence[str], model: dict, trigrams: DataFrame) -> DataFrame:
+    """[*keys, family, probability, cover] of units from their features [*keys, g], which are read once.
+
+    Units without a weighted feature are left out. ``cover`` is the largest share of a template of
+    the family whose trigrams the unit holds.
+    """
     classes, k = model["classes"], len(model["classes"])
-    table = [{"g": g, "w": w} for g, w in sorted(model["weights"].items())]
-    weights = grams.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(table)), "array<struct<g:string,w:array<double>>>")))
-    # bounded by the model: at most max_features n-grams
-    hits = grams.join(F.broadcast(weights), "g")
-    scored = hits.groupBy(*keys).agg(*[F.sum(F.col("w")[i]).alias(f"_s{i}") for i in range(k)])
+    weights = _table(grams.sparkSession, [{"g": g, "w": w} for g, w in sorted(model["weights"].items())], "g:string,w:array<double>")
+    parts = trigrams.groupBy("g").agg(F.collect_list(F.struct("family", "t", "m")).alias("parts"))
+    # bounded by the model: at most max_features n-grams, and the templates' trigrams
+    hits = grams.join(F.broadcast(weights.join(parts, "g", "full_outer")), "g")
+    scored = hits.groupBy(*keys).agg(*[F.sum(F.col("w")[i]).alias(f"_s{i}") for i in range(k)], F.flatten(F.collect_list("parts")).alias("_parts"))
+    scored = scored.where("_s0 IS NOT NULL")
     z = [F.col(f"_s{i}") + F.lit(b) for i, b in enumerate(model["intercepts"])]
     top = F.greatest(*z)
     total = sum((F.exp(x - top) for x in z[1:]), F.exp(z[0] - top))
     best = F.greatest(*z[:-1])
     family = F.coalesce(*[F.when(x == best, F.lit(c)) for c, x in zip(classes[:-1], z[:-1], strict=True)])
-    chance = F.exp(best - top) / total
-    known = chance > F.lit(model["least"])
-    return scored.select(*keys, F.when(known, family).otherwise(F.lit(UNKNOWN)).alias("family"), F.when(known, chance).otherwise(1 - chance).alias("probability"))
+    scored = scored.select(*keys, "_parts", family.alias("_family"), (F.exp(best - top) / total).alias("_chance"))
+    known = F.col("_chance") > F.lit(model["least"])
+    scored = scored.select(*keys, "_parts", F.when(known, F.col("_family")).otherwise(F.lit(UNKNOWN)).alias("family"), F.when(known, F.col("_chance")).otherwise(1 - F.col("_chance")).alias("probability"))
+    scored = scored.withColumn("_parts", F.expr("filter(_parts, p -> p.family = family)"))
+    cover = F.expr("coalesce(array_max(transform(_parts, x -> size(filter(_parts, y -> y.t = x.t)) / x.m)), 0D)")
+    return scored.select(*keys, "family", "probability", cover.alias("cover"))
 
 
 def _wrapped(parts: DataFrame, lines: DataFrame, trigrams: DataFrame, model: dict, min_cover: float) -> DataFrame:
@@ -199,7 +263,7 @@ def _wrapped(parts: DataFrame, lines: DataFrame, trigrams: DataFrame, model: dic
     keys = ["_row", "t", "paragraph"]
     text = found.select(*keys, F.explode(F.sequence("paragraph", "_last")).alias("_line")).join(parts.select("_row", F.col("paragraph").alias("_line"), "_words").hint("merge"), ["_row", "_line"])
     text = text.groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_line", "_words"))), lambda x: x["_words"])).alias("_words"))
-    scored = _scored(text.select(*keys, F.explode(_features(F.col("_words"))).alias("g")), keys, model)
+    scored = _scored(text.select(*keys, F.explode(_features(F.col("_words"))).alias("g")), keys, model, trigrams).drop("cover")
     found = found.join(scored.hint("merge"), keys).where("family = _family").drop("_family")
     own = lines.where("confirmed").select(F.col("_row").alias("_r"), F.col("family").alias("_f"), F.col("paragraph").alias("_p"))
     found = found.join(own.hint("merge"), (F.col("_row") == F.col("_r")) & (F.col("family") == F.col("_f")) & F.col("_p").between(F.col("paragraph"), F.col("_last")), "left_anti")
@@ -241,20 +305,13 @@ def scan(docs: DataFrame, model: dict, separator: str = "\n", min_cover: float =
     parts = materialise(parts.withColumn("_next", F.when(F.size("_words") > 0, F.col("_next")).otherwise(none)), "licence-paragraphs")  # fixes the row numbers, and the texts are read once
 
     listed = [{"family": f, "t": i, "text": t} for i, (f, t) in enumerate(model["templates"])]
-    templates = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(listed)), "array<struct<family:string,t:int,text:string>>")))
+    templates = _table(spark, listed, "family:string,t:int,text:string")
     trigrams = templates.select("family", "t", F.array_distinct(n_grams(tokens(F.col("text")), 3)).alias("all")).where(F.size("all") > 0)
     trigrams = trigrams.select("family", "t", F.size("all").alias("m"), F.posexplode("all").alias("o", "g"))
 
     keys = ["doc_id", "_row", "paragraph"]
-    # both tables are bounded by the model: at most max_features n-grams, and the templates' trigrams
-    grams = parts.select(*keys, F.explode(_features(F.col("_words"))).alias("g"))
-    scored = _scored(grams, keys, model)
-    shared = grams.join(F.broadcast(trigrams), "g").groupBy(*keys, "family", "t").agg((F.count("*") / F.max("m")).alias("share"))
-    cover = shared.groupBy(*keys, "family").agg(F.max("share").alias("cover"))
-    joined = scored.join(cover.hint("merge"), [scored[c].eqNullSafe(cover[c]) for c in (*keys, "family")], "left").select(
-        *[scored[c] for c in keys], scored["family"], "probability", F.coalesce("cover", F.lit(0.0)).alias("cover")
-    )
-    lines = materialise(joined.withColumn("confirmed", (F.col("family") != UNKNOWN) & (F.col("cover") >= min_cover)), "licence-lines")
+    scored = _scored(parts.select(*keys, F.explode(_features(F.col("_words"))).alias("g")), keys, model, trigrams)
+    lines = materialise(scored.withColumn("confirmed", (F.col("family") != UNKNOWN) & (F.col("cover") >= min_cover)), "licence-lines")
     wrapped = materialise(_wrapped(parts, lines, trigrams, model, min_cover).withColumn("confirmed", F.lit(True)), "licence-found")
     heads = wrapped.select(F.col("_row").alias("_r"), F.col("paragraph").alias("_p"))
     kept = lines.join(heads.hint("merge"), (F.col("_row") == F.col("_r")) & (F.col("paragraph") == F.col("_p")) & ~F.col("confirmed"), "left_anti")

@@ -20,6 +20,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,24 +33,20 @@ _EXACT = float(2**52)
 
 
 def _integers(batches: Iterator[pa.RecordBatch], scale: float) -> Iterator[pa.RecordBatch]:
-    """Rows (id, vector) -> (id, dims, norm, packed int64 components); unusable vectors are left out."""
+    """Rows (id, vector) -> (id, dims, norm, packed int64 components); vectors with null or non-finite components are left out."""
     for batch in batches:
-        keep, dims, norm, packed = [], [], [], []
-        for i, v in enumerate(batch.column(1).to_pylist()):
-            if v is None or any(x is None for x in v):
-                continue
-            x = np.array(v, np.float64)
-            if not np.isfinite(x).all():
-                continue
-            y = np.clip(np.floor(x * scale), -(2.0**62), 2.0**62)
-            keep.append(i)
-            dims.append(len(y))
-            norm.append(float(np.sqrt((y * y).sum())))
-            packed.append(y.astype("<i8").tobytes())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(keep, pa.int64())), pa.array(dims, pa.int32()), pa.array(norm, pa.float64()), pa.array(packed, pa.binary())],
-            ["id", "dims", "norm", "packed"],
-        )
+        vectors = batch.column(1)
+        dims = pc.list_value_length(vectors).to_numpy(zero_copy_only=False).astype(np.int64)
+        x = pc.cast(vectors.flatten(), pa.float64()).to_numpy(zero_copy_only=False)  # null components become NaN
+        owner = np.repeat(np.arange(len(dims)), dims)
+        fine = np.bincount(owner, ~np.isfinite(x), minlength=len(dims)) == 0
+        y = np.clip(np.floor(x[fine[owner]] * scale), -(2.0**62), 2.0**62)
+        number = np.cumsum(fine) - 1
+        norm = np.sqrt(np.bincount(number[owner[fine[owner]]], y * y, minlength=int(fine.sum())))
+        ends = np.concatenate([[0], np.cumsum(8 * dims[fine])]).astype(np.int64)
+        packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), int(fine.sum()), [None, pa.py_buffer(ends), pa.py_buffer(y.astype("<i8"))])
+        ids = batch.column(0).filter(pa.array(fine))
+        yield pa.RecordBatch.from_arrays([ids, pa.array(dims[fine], pa.int32()), pa.array(norm), pc.cast(packed, pa.binary())], ["id", "dims", "norm", "packed"])
 
 
 def _products(q: np.ndarray, c: np.ndarray, bound: float) -> np.ndarray:
@@ -141,7 +138,7 @@ def top_k(
     """
     spark = vectors.sparkSession
     ship(spark)
-    base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id IS NOT NULL")
+    base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
     rows = materialise(base.mapInArrow(partial(_integers, scale=scale), "id bigint, dims int, norm double, packed binary"), "vectors")
     total = rows.count()
     if total == 0:

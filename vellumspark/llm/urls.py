@@ -4,8 +4,9 @@ Labelled page outcomes are pooled up the chain host - registered domain - suffix
 On every level the children's outcomes give a beta-binomial prior strength by the method of
 moments (their spread around the parents' means, beyond binomial noise); a node's posterior
 mean shrinks its own outcomes to its parent's mean by that strength. A page is blocked where
-the upper posterior bound of its host's good rate stays below ``min_good``. Hosts without
-labelled pages inherit their domain's mean.
+the upper bound of its host's good rate, the ``level`` quantile of its beta posterior, stays below
+``min_good``: where the posterior holds more than ``level`` below it. Hosts without labelled pages
+inherit their domain's mean.
 """
 
 from __future__ import annotations
@@ -67,17 +68,42 @@ def _shrunk(nodes: DataFrame, parent_mean: str) -> DataFrame:
     return nodes.withColumn("strength", F.lit(strength)).withColumn("mean", (F.col("k") + F.col("strength") * m) / (F.col("n") + F.col("strength")))
 
 
-def host_reputation(hosts: DataFrame, z: float = 1.645) -> DataFrame:
-    """[host, mean, low, high] from [host, domain, suffix, n, k]: posterior mean and bounds of good rates."""
+#: Steps of Simpson's rule on either side of the bound.
+_STEPS = 64
+
+
+def beta_below(a: str, b: str, x: float) -> Column:
+    """Probability below x of a beta distribution with the parameters in two columns.
+
+    The density is integrated over the log-odds of the rate, where it has one peak, at log(a / b),
+    and exponential tails; steps grow with the distance from the peak (v -> sinh v).
+    """
+    width, peak = f"sqrt(({a} + {b}) / ({a} * {b}))", f"ln({a} / {b})"
+    reach = f"asinh(8D + 40D / (least({a}, {b}) * {width}))"
+    split = f"greatest(least(asinh((ln({x}D / (1D - {x}D)) - {peak}) / {width}), {reach}), -{reach})"
+    log_density = f"({a} * (u) - ({a} + {b}) * (greatest(u, 0D) + log1p(exp(-abs(u)))))"
+
+    def part(low: str, high: str) -> str:
+        v = f"({low} + (({high}) - ({low})) * i / {_STEPS}D)"
+        point = log_density.replace("(u", f"({peak} + {width} * sinh({v})")
+        height = f"exp({point} - {log_density.replace('(u', f'({peak}')}) * cosh({v})"
+        weight = f"CASE WHEN i IN (0, {_STEPS}) THEN 1D WHEN i % 2 = 1 THEN 4D ELSE 2D END"
+        return f"(({high}) - ({low})) * aggregate(sequence(0, {_STEPS}), 0D, (s, i) -> s + {weight} * {height})"
+
+    return F.expr(f"transform(array(struct({part('-' + reach, split)} AS p, {part(split, reach)} AS q)), z -> z.p / (z.p + z.q))[0]")
+
+
+def host_reputation(hosts: DataFrame, min_good: float = 0.5) -> DataFrame:
+    """[host, mean, below] from [host, domain, suffix, n, k]: posterior mean of the good rate, and the probability that it is under ``min_good``."""
     total = hosts.agg(((F.coalesce(F.sum("k"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("n"), F.lit(0)) + 2.0)).alias("root")).first()[0]
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("root", F.lit(total))
     suffixes = materialise(_shrunk(suffixes, "root").select("suffix", F.col("mean").alias("suffix_mean")), "suffixes")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).join(suffixes, "suffix")
     domains = materialise(_shrunk(domains, "suffix_mean").select("domain", "suffix", F.col("mean").alias("domain_mean")), "domains")
     own = _shrunk(hosts.join(domains, ["domain", "suffix"]), "domain_mean")
-    a = F.col("n") + F.col("strength")
-    sd = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (a + 1))
-    return own.select("host", "mean", F.greatest(F.col("mean") - z * sd, F.lit(0.0)).alias("low"), F.least(F.col("mean") + z * sd, F.lit(1.0)).alias("high"))
+    weight = F.col("n") + F.col("strength")
+    own = own.select("host", "mean", (F.col("mean") * weight).alias("a"), ((1 - F.col("mean")) * weight).alias("b"))
+    return own.select("host", "mean", beta_below("a", "b", min_good).alias("below"))
 
 
 def filter_urls(
@@ -85,8 +111,9 @@ def filter_urls(
     outcomes: DataFrame,
     rules: Sequence[tuple[str, str, str]] = RULES,
     min_good: float = 0.5,
+    level: float = 0.95,
 ) -> DataFrame:
-    """[page_id, host, path, rule, verdict, good_rate, good_high] of every page.
+    """[page_id, host, path, rule, verdict, good_rate, below] of every page; ``below``: probability of a good rate under ``min_good``.
 
     ``outcomes`` has [url, good] rows (good 0 or 1) of labelled pages. A rule's verdict stands
     before the reputation's.
@@ -104,9 +131,9 @@ def filter_urls(
     domain, suffix = registered(F.col("host"))
     hosts = counted.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     hosts = materialise(hosts.withColumns({"domain": domain, "suffix": suffix}), "hosts")
-    reputation = materialise(host_reputation(hosts), "reputation")
+    reputation = materialise(host_reputation(hosts, min_good), "reputation")
     judged = named.join(reputation, "host").withColumn("_found", matching_rule(F.col("host"), F.col("path"), rules))
-    by_method = F.when(F.col("high") < min_good, "block").otherwise("allow")
+    by_method = F.when(F.col("below") > level, "block").otherwise("allow")
     return judged.select(
         "page_id",
         "host",
@@ -114,7 +141,7 @@ def filter_urls(
         F.col("_found.rule").alias("rule"),
         F.coalesce("_found.verdict", by_method).alias("verdict"),
         F.col("mean").alias("good_rate"),
-        F.col("high").alias("good_high"),
+        "below",
     )
 
 
@@ -156,8 +183,15 @@ dr AS (SELECT least(greatest(coalesce((sum(pow(k - n * m, 2) / (m * (1 - m))) -
 d AS (SELECT domain, suffix, (k + (1 - rho) / rho * m) / (n + (1 - rho) / rho) AS mean FROM d0, dr),
 h0 AS (SELECT host, n, k, least(greatest(d.mean, 1e-6), 1 - 1e-6) AS m FROM h JOIN d USING (domain, suffix)),
 hr AS (SELECT least(greatest(coalesce((sum(pow(k - n * m, 2) / (m * (1 - m))) - sum(n)) / nullif(sum(n * (n - 1)), 0), 0), 0.001), 0.9) AS rho FROM h0),
-hm AS (SELECT host, n + (1 - rho) / rho AS a, (k + (1 - rho) / rho * m) / (n + (1 - rho) / rho) AS mean FROM h0, hr),
-v AS (SELECT host, CASE WHEN least(mean + 1.645 * sqrt(mean * (1 - mean) / (a + 1)), 1) < 0.5 THEN 'block' ELSE 'allow' END AS verdict FROM hm),
+hm AS (SELECT host, (k + (1 - rho) / rho * m) AS a, n + (1 - rho) / rho - (k + (1 - rho) / rho * m) AS b FROM h0, hr),
+hw AS (SELECT *, sqrt((a + b) / (a * b)) AS width, ln(a / b) AS peak FROM hm),
+hv AS (SELECT *, asinh(8 + 40 / (least(a, b) * width)) AS reach FROM hw),
+hs AS (SELECT *, greatest(least(asinh(-peak / width), reach), -reach) AS split, a * peak - (a + b) * (greatest(peak, 0) + ln(1 + exp(-abs(peak)))) AS top FROM hv),
+hp AS (SELECT host, x.side, i, CASE x.side WHEN 0 THEN split + reach ELSE reach - split END AS span,
+    CASE x.side WHEN 0 THEN -reach ELSE split END + span * i / 64.0::DOUBLE AS v, peak + width * sinh(v) AS u,
+    span * CASE WHEN i IN (0, 64) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(a * u - (a + b) * (greatest(u, 0) + ln(1 + exp(-abs(u)))) - top) * cosh(v) AS y
+  FROM hs, (VALUES (0), (1)) x(side), range(65) r(i)),
+v AS (SELECT host, CASE WHEN sum(y) FILTER (side = 0) / sum(y) > 0.95 THEN 'block' ELSE 'allow' END AS verdict FROM hp GROUP BY host),
 rules(name, start, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
 f AS (SELECT p.*, (SELECT arg_max({'rule': name || start, 'verdict': x.verdict}, length(name || start)) FROM rules x
         WHERE (p.host = x.name OR ends_with(p.host, '.' || x.name)) AND starts_with(p.path, x.start)) AS found FROM p)
