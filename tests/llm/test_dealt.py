@@ -2,15 +2,20 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
+import sys
+import textwrap
 import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+import regex
 from oracle import connect, rows
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from vellumspark import session
@@ -88,6 +93,54 @@ def test_licence_near_misses_and_odd_inputs(spark, licence_model):
     assert licenses.scan(docs.where("doc_id = 5").unionByName(docs.where("doc_id = 5")), licence_model).where("confirmed").count() == 2
 
 
+TOKEN = regex.compile(r"[\p{L}\p{N}]+(?:\.[0-9]+)*")
+
+
+def brute_line(words: list[str], model: dict) -> tuple | None:
+    """(family, probability, cover) of one line's words, n-gram by n-gram; None without a weighted n-gram."""
+    grams = {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
+    grams = {g for g in grams if set(g.split(" ")) - set(licenses._STOP)}
+    weighted = [model["weights"][g] for g in grams if g in model["weights"]]
+    if not weighted:
+        return None
+    z = [b + sum(w[i] for w in weighted) for i, b in enumerate(model["intercepts"])]
+    e = [np.exp(x - max(z)) for x in z]
+    best = int(np.argmax(z[:-1]))
+    chance = e[best] / sum(e)
+    family = model["classes"][best] if chance > model["least"] else "unknown"
+    cover = 0.0
+    for own, text in model["templates"]:
+        w = TOKEN.findall(text.lower())
+        trigrams = {" ".join(w[i : i + 3]) for i in range(len(w) - 2)}
+        if own == family and trigrams:
+            cover = max(cover, len(trigrams & grams) / len(trigrams))
+    return family, chance if family != "unknown" else 1 - chance, cover
+
+
+def test_licences_against_brute_force(spark, documents, licence_model):
+    """Every line of the documents, and variants of all notices, scored again in plain Python."""
+    assert len(licence_model["classes"]) >= 16 and licence_model["recall"] > 0.6
+    texts = [r.text for r in documents.limit(120).collect()]
+    texts += [t for _, t in licence_model["templates"]] + [" ".join(t.split()[::2]) for _, t in licence_model["templates"]] + ["at the end.MIT license", "x.GPL.2.0 license"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r.doc_id, r.paragraph): (r.family, r.probability, r.cover) for r in licenses.scan(docs, licence_model).collect()}
+    expected = {(i, n): brute_line(TOKEN.findall(line.lower()), licence_model) for i, t in enumerate(texts) for n, line in enumerate((t or "").split("\n"))}
+    expected = {k: v for k, v in expected.items() if v}
+    assert set(found) == set(expected)
+    for k, (family, chance, cover) in expected.items():
+        assert found[k][0] == family and abs(found[k][1] - chance) < 1e-6 and abs(found[k][2] - cover) < 1e-9
+
+
+def test_every_notice_is_confirmed_also_when_wrapped(spark, licence_model):
+    notices = licence_model["templates"]
+    docs = spark.createDataFrame([(i, "before it\n\n" + textwrap.fill(t, 45) + "\n\nafter it") for i, (_, t) in enumerate(notices)], "doc_id long, text string")
+    found = collections.defaultdict(set)
+    for r in licenses.scan(docs, licence_model).where("confirmed").collect():
+        found[r.doc_id].add(r.family)
+    missed = [i for i, (family, _) in enumerate(notices) if family not in found[i]]
+    assert len(missed) <= len(notices) // 10, [notices[i] for i in missed]
+
+
 # 2 mixing
 def test_mix_odd_inputs(spark):
     got = mixing.mix(odd(spark)).select("row.*", "size", "taken").toPandas()
@@ -447,8 +500,45 @@ def test_history_rewrites_are_found():
         return "".join(f"<{r}>{t if i >= len(turns) - 2 else '...'}" for i, (r, t) in enumerate(turns))
 
     turns = [("user", "a"), ("assistant", "b"), ("user", "c"), ("assistant", "d")]
-    assert [r for _, r in chat.spans(turns, hides_old)] == [False, False, True, True]
-    assert [r for _, r in chat.spans(turns, chat.instruct_template)] == [False] * 4
+    assert [s[1] for s in chat.spans(turns, hides_old)] == [False, False, True, True]
+    assert [s[1] for s in chat.spans(turns, chat.instruct_template)] == [False] * 4
+
+
+def headers(turns):
+    return "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in turns)
+
+
+def shouts_answers(turns):
+    return "\n".join(f"{i}. {t.strip().upper() if r == 'assistant' else t}" for i, (r, t) in enumerate(turns))
+
+
+def system_first(turns):
+    """Puts the first turn of a system before the last user's text."""
+    system = turns[0][1] if turns and turns[0][0] == "system" else ""
+    last = max((i for i, (r, _) in enumerate(turns) if r == "user"), default=-1)
+    return "".join(f"[{r}]{system + ': ' if i == last else ''}{t}" for i, (r, t) in enumerate(turns))
+
+
+def marks_third_back(turns):
+    return "".join(f"({t}{'*' if i == len(turns) - 4 else ''})" for i, (_, t) in enumerate(turns))
+
+
+def test_masks_of_any_template(spark):
+    """Templates that the module knows nothing of: the mask is what they wrote for each assistant text."""
+    texts = ["", "x", "  padded ", "</s>[INST] ok", "assistant\n", "<|im_end|>", "two words", "é漢\ue000"]
+    turns = [("assistant" if i % 2 else "user", texts[(i * 3) % len(texts)]) for i in range(16)]
+    for template, shown in ((headers, str), (shouts_answers, lambda t: t.strip().upper()), (chat.instruct_template, chat.escape)):
+        for (role, text), (span, rewrote, a, b) in zip(turns, chat.spans(turns, template), strict=True):
+            assert not rewrote and span[a:b] == (shown(text) if role == "assistant" else ""), (template, text, span)
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import this file
+    rows = [(1, i, "system" if i == 0 else "user" if i % 2 else "assistant", f"t{i}") for i in range(131)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for template in (headers, system_first, marks_third_back):
+        got = chat.format_chats(df, template).orderBy("position").collect()
+        expected = chat.spans([(r, t) for _, _, r, t in rows], template)
+        assert [(r.span, r.rewrites, r.loss_start, r.loss_end) for r in got] == expected
+        assert [r.span[r.loss_start : r.loss_end] for r in got] == [t if r == "assistant" else "" for _, _, r, t in rows]
+    assert [r.rewrites for r in got][3:] == [True] * 128
 
 
 # 7 urls
@@ -471,6 +561,19 @@ def test_bad_hosts_are_blocked_and_small_ones_shrink(spark):
     got = {r.page_id: r for r in urls.filter_urls(pages, spark.createDataFrame(seen, "url string, good int"), rules=()).collect()}
     assert got[1].verdict == "block" and {got[2].verdict, got[4].verdict} == {"allow"}
     assert got[1].good_rate < got[3].good_rate < got[2].good_rate
+    assert got[1].below > 0.95 and got[2].below < 0.05
+
+
+def test_beta_probabilities(spark):
+    """Against closed forms (one parameter 1), symmetry, and sums of binomial terms."""
+    pairs = [(1.0, b) for b in (0.05, 0.3, 1.0, 7.0, 300.0)] + [(a, 1.0) for a in (0.05, 0.3, 7.0, 40.0)] + [(5.0, 5.0), (4000.0, 4000.0), (3.0, 9.0), (20.0, 11.0)]
+    df = spark.createDataFrame(pairs, "a double, b double")
+    for x in (0.5, 0.3):
+        for r in df.withColumn("p", urls.beta_below("a", "b", x)).collect():
+            n = int(r.a + r.b) - 1
+            terms = sum(math.comb(n, j) * x**j * (1 - x) ** (n - j) for j in range(int(r.a), n + 1)) if r.a == int(r.a) and r.b == int(r.b) and n < 200 else None
+            expected = 1 - (1 - x) ** r.b if r.a == 1 else x**r.a if r.b == 1 else 0.5 if r.a == r.b and x == 0.5 else terms
+            assert expected is None or abs(r.p - expected) < 1e-5, r
 
 
 # 8 toxicity
