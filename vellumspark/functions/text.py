@@ -58,8 +58,8 @@ def resolve_assets(c: Column, base: str) -> Column:
 
 
 def asset_uris(c: Column) -> Column:
-    """Distinct ``local-asset://`` references of a text."""
-    return F.array_distinct(F.regexp_extract_all(c, F.lit(r"local-asset://[^\s\"'\]\)<>]+"), 0))
+    """Distinct ``local-asset://`` references of a text, without the punctuation that follows them."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(r"local-asset://[^\s\"'\]\)<>]*[^\s\"'\]\)<>.,;:!?]"), 0))
 
 
 def normalise_tag(c: Column) -> Column:
@@ -74,8 +74,8 @@ def sanitise(c: Column) -> Column:
 
 def checksum(c: Column) -> Column:
     """32-bit multiply-and-xor checksum of the code points, hexadecimal without padding."""
-    points = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x).cast("long"))
-    folded = F.aggregate(points, F.lit(5381).cast("long"), lambda h, x: (h * 33).bitwiseAND(4294967295).bitwiseXOR(x))
+    step = lambda h, x: F.when(x == "", h).otherwise((h * 33).bitwiseAND(4294967295).bitwiseXOR(F.ascii(x).cast("long")))
+    folded = F.aggregate(F.split(c, ""), F.lit(5381).cast("long"), step)
     return F.lower(F.hex(folded))
 
 

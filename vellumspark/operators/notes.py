@@ -31,10 +31,32 @@ def tag_cooccurrence(block_tags: DataFrame) -> DataFrame:
 
 
 def occurrences(text: Column, needle: Column) -> Column:
-    """0-based code-point offsets of all (also overlapping) occurrences of a needle."""
-    at = F.sequence(F.lit(1), F.greatest(F.length(text) - F.length(needle) + 1, F.lit(1)))
-    found = F.filter(at, lambda i: F.substr(text, i, F.length(needle)) == needle)
-    return F.when((F.length(needle) > 0) & F.contains(text, needle), F.transform(found, lambda i: i - 1)).otherwise(F.array().cast("array<int>"))
+    """0-based code-point offsets of all (also overlapping) occurrences of a needle.
+
+    The text is cut before every occurrence, so one pass finds them; offsets are running lengths.
+    """
+    quoted = F.concat(F.lit("(?=\\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    lengths = F.transform(F.split(text, quoted, -1), lambda x: F.length(x))
+    first = F.when(F.startswith(text, needle), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+    state = F.struct(F.lit(0).alias("at"), first.alias("out"))
+    cuts = F.slice(lengths, 1, F.greatest(F.size(lengths) - 1, F.lit(0)))
+    found = F.aggregate(cuts, state, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(s["at"] + n)).alias("out")), lambda s: s["out"])
+    return F.when((F.length(needle) > 0) & F.contains(text, needle), found).otherwise(F.array().cast("array<int>"))
+
+
+def _with_candidates(annotations: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Pairs of a note (needle) and a block (text) of its document that may hold the needle.
+
+    A needle of three words or more holds whole words of the block: its longest inner word is looked
+    up in the blocks' words. Shorter needles meet all blocks of their document.
+    """
+    inner = F.expr("array_max(transform(slice(w, 2, greatest(size(w) - 2, 0)), x -> struct(length(x) AS n, x AS x))).x")
+    keyed = annotations.withColumn("w", F.split("needle", r"\s+")).withColumn("inner", inner).drop("w")
+    words = blocks.withColumn("inner", F.explode(F.array_distinct(F.split("text", r"\s+")))).drop("text")
+    named = keyed.where("inner IS NOT NULL").join(words.hint("merge"), ["document_id", "inner"]).drop("sort_order")
+    named = named.join(blocks.hint("merge"), ["document_id", "block_id"])
+    rest = keyed.where("inner IS NULL").join(blocks.hint("merge"), "document_id")
+    return named.unionByName(rest).drop("inner")
 
 
 def reanchor(annotations: DataFrame, blocks: DataFrame, accept: float = 0.4) -> DataFrame:
@@ -47,7 +69,7 @@ def reanchor(annotations: DataFrame, blocks: DataFrame, accept: float = 0.4) ->
     target = tx.trimmed(F.col("highlighted_text"))
     a = annotations.select("document_id", "annotation_id", target.alias("needle"), "prefix", "suffix", "offset").where("needle <> ''")
     b = blocks.select("document_id", "block_id", "sort_order", "text")
-    hits = a.join(b.hint("merge"), "document_id").where(F.contains("text", "needle"))
+    hits = _with_candidates(a, b).where(F.contains("text", "needle"))
     hits = hits.withColumn("i", F.explode(occurrences(F.col("text"), F.col("needle"))))
     before = F.substr("text", F.lit(1), F.col("i"))
     start = F.octet_length(before)
@@ -78,23 +100,18 @@ def orphans(annotations: DataFrame, anchored: DataFrame) -> DataFrame:
 def packetise(payloads: DataFrame, most: int = 512) -> DataFrame:
     """[tx, i, n, checksum, data]: payloads cut into packets of at most ``most`` UTF-8 bytes, whole characters.
 
-    A greedy fold inside each row: a packet closes where the next character would not fit.
+    Each cut looks at the few bytes before it alone: it goes back over continuation bytes. An empty
+    or null payload gives no packet.
     """
-    state = "struct<out:array<string>,cur:string,size:int>"
-    first = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"), F.lit(0).alias("size")).cast(state)
-
-    def step(s: Column, c: Column) -> Column:
-        size = F.octet_length(c)
-        full = s["size"] + size > most
-        return F.struct(
-            F.when(full, F.concat(s["out"], F.array(s["cur"]))).otherwise(s["out"]).alias("out"),
-            F.when(full, c).otherwise(F.concat(s["cur"], c)).alias("cur"),
-            F.when(full, size).otherwise(s["size"] + size).alias("size"),
-        ).cast(state)
-
-    folded = payloads.withColumn("_s", F.aggregate(F.filter(F.split("payload", ""), lambda x: x != ""), first, step))
-    parts = folded.withColumn("_p", F.concat(F.col("_s.out"), F.array(F.col("_s.cur"))))
-    rows = parts.select("tx", F.size("_p").alias("n"), F.posexplode("_p").alias("i", "data"))
+    last = "least(s.at + {0}, n)".format(most)
+    inside = "substring(raw, {0} - {1} + 1, 1) BETWEEN X'80' AND X'BF'"
+    cut = f"CASE WHEN {last} = n OR NOT ({inside.format(last, 0)}) THEN {last} WHEN NOT ({inside.format(last, 1)}) THEN {last} - 1 WHEN NOT ({inside.format(last, 2)}) THEN {last} - 2 ELSE {last} - 3 END"
+    step = f"transform(array({cut}), e -> named_struct('at', e, 'ends', concat(s.ends, array(e))))[0]"
+    fold = f"aggregate(sequence(1, cast(ceil(n / {most - 3}) AS int)), named_struct('at', 0, 'ends', cast(array() AS array<int>)), (s, k) -> CASE WHEN s.at = n THEN s ELSE {step} END, s -> s.ends)"
+    raw = payloads.select("tx", F.col("payload").cast("binary").alias("raw")).withColumn("n", F.length("raw")).where("n > 0")
+    cuts = raw.withColumn("ends", F.expr(fold)).select("tx", "raw", "ends", F.size("ends").alias("n"), F.posexplode("ends").alias("i", "to"))
+    begin = F.when(F.col("i") == 0, 0).otherwise(F.element_at("ends", F.greatest(F.col("i"), F.lit(1))))
+    rows = cuts.select("tx", "i", "n", F.substring("raw", begin + 1, F.col("to") - begin).cast("string").alias("data"))
     return rows.select("tx", "i", "n", tx.checksum(F.col("data")).alias("checksum"), "data")
 
 
@@ -291,9 +308,10 @@ def import_pipeline(incoming: DataFrame, content: DataFrame, documents: DataFram
     from vellumspark.operators.store import latest_wins
 
     known = documents.select("document_id", F.col("sha256_hash").alias("_own"))
-    joined = incoming.join(known.hint("merge"), "document_id")
+    joined = incoming.join(known.hint("merge"), "document_id", "left")
     same = joined.where("sha256_hash = _own").drop("sha256_hash", "_own").select(*content.columns)
-    other = joined.where("sha256_hash <> _own").drop("_own")
+    # another edition, an unknown document or an unknown hash
+    other = joined.where("NOT (sha256_hash <=> _own) OR sha256_hash IS NULL").drop("_own")
     merged = latest_wins(content, same, "annotation_id")
     anchors = reanchor(other, blocks)
     moved = other.drop("block_id", "offset").join(anchors.select("annotation_id", "block_id", F.col("start").alias("offset")).hint("merge"), "annotation_id").select(*content.columns)

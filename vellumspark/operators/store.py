@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellumspark.session import materialise
+
 #: Conflict policy of promotion: key columns, and the columns that an existing row takes over (None: all).
 PROMOTION = {
     "documents": (["id"], None),
@@ -17,15 +19,24 @@ PROMOTION = {
     "annotations": (["id"], ["note_body", "highlighted_text", "anchor_metadata", "updated_at"]),
     "layout_height_cache": (["block_id"], ["estimated_height"]),
 }
-#: Child tables and their references, for cascades and dangling checks.
+#: References of each table: (column, table it names); they cascade.
 REFERENCES = {
-    "documents": ("corpus_id", "corpora"),
-    "sections": ("document_id", "documents"),
-    "blocks": ("document_id", "documents"),
-    "annotations": ("block_id", "blocks"),
-    "block_tags": ("block_id", "blocks"),
-    "layout_height_cache": ("block_id", "blocks"),
+    "documents": [("corpus_id", "corpora")],
+    "sections": [("document_id", "documents"), ("parent_id", "sections")],
+    "blocks": [("section_id", "sections"), ("document_id", "documents")],
+    "annotations": [("document_id", "documents"), ("block_id", "blocks")],
+    "block_tags": [("block_id", "blocks"), ("tag_id", "tags")],
+    "processing_jobs": [("document_id", "documents")],
+    "job_chunks": [("job_id", "processing_jobs")],
+    "layout_height_cache": [("block_id", "blocks")],
+    "vector_cache": [("block_id", "blocks")],
 }
+#: Unique columns and columns that must have a value, beside keys.
+UNIQUE = {"tags": ["name"]}
+REQUIRED = {
+    "corpora": ["name"], "documents": ["title", "source_type", "sha256_hash", "storage_path"], "sections": ["title", "depth_level", "sort_order"], "blocks": ["block_type", "content", "sort_order"],
+    "annotations": ["annotation_type"], "tags": ["name", "source"], "processing_jobs": ["status"], "job_chunks": ["raw_text", "chunk_order", "status"], "layout_height_cache": ["estimated_height"], "vector_cache": ["vector"],
+}
 
 
 def replace(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -89,34 +100,66 @@ def wipe(scratch: dict[str, DataFrame], document_ids: DataFrame) -> dict[str, Da
 
 
 def cascade_delete(tables: dict[str, DataFrame], root: str, ids: DataFrame) -> dict[str, DataFrame]:
-    """Tables after deleting ids of ``root`` and everything that refers to them."""
-    gone = {root: ids.select(F.col("id"))}
-    out = {root: delete(tables[root], gone[root], ["id"])}
-    for child, (column, parent) in REFERENCES.items():
-        if child in tables and parent in gone and child != root:
-            doomed = tables[child].join(gone[parent].withColumnRenamed("id", column).hint("merge"), column, "left_semi")
-            if "id" in tables[child].columns:
-                gone[child] = doomed.select("id")
-            out[child] = delete(tables[child], gone[parent].withColumnRenamed("id", column), [column])
-    return {**tables, **out}
+    """Tables after deleting ids of ``root`` and everything that refers to them, at any depth.
+
+    The doomed ids of a table grow by its references until none is new; a table that names itself
+    (sections by their parents) takes one more round for each level.
+    """
+    gone = {root: materialise(ids.select(F.col("id")).distinct(), "gone")}
+    fresh = dict(gone)
+    while fresh:
+        found = {}
+        for child, references in REFERENCES.items():
+            if child not in tables or "id" not in tables[child].columns:
+                continue
+            for column, parent in references:
+                if parent in fresh and column in tables[child].columns:
+                    hit = tables[child].join(fresh[parent].withColumnRenamed("id", column).hint("merge"), column, "left_semi").select("id")
+                    found[child] = found[child].unionByName(hit) if child in found else hit
+        fresh = {}
+        for child, hit in found.items():
+            hit = hit.distinct()
+            new = materialise(hit.join(gone[child].hint("merge"), "id", "left_anti") if child in gone else hit, "gone")
+            if not new.isEmpty():
+                fresh[child] = new
+                gone[child] = gone[child].unionByName(new) if child in gone else new
+    out = dict(tables)
+    for name in tables:
+        if name in gone:
+            out[name] = delete(tables[name], gone[name], ["id"])
+        elif "id" not in tables[name].columns:
+            for column, parent in REFERENCES.get(name, []):
+                if parent in gone and column in tables[name].columns:
+                    out[name] = delete(out[name], gone[parent].withColumnRenamed("id", column), [column])
+    return out
 
 
 def integrity_report(tables: dict[str, DataFrame], keys: dict[str, list[str]]) -> DataFrame:
-    """[table, rule, key, count]: duplicate keys, null keys and dangling references."""
+    """[table, rule, key, count]: duplicate keys and unique columns, missing values and dangling references.
+
+    Rules on columns that a table doesn't hold are left out.
+    """
     found = []
-    for name, columns in keys.items():
-        key = F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
-        grouped = tables[name].groupBy(key.alias("key")).agg(F.count("*").alias("count"))
-        found.append(grouped.where("count > 1").select(F.lit(name).alias("table"), F.lit("unique").alias("rule"), "key", "count"))
-        null = F.lit(False)
-        for c in columns:
-            null = null | F.col(c).isNull()
-        found.append(tables[name].where(null).groupBy().agg(F.count("*").alias("count")).where("count > 0").select(F.lit(name).alias("table"), F.lit("not null").alias("rule"), F.lit("").alias("key"), "count"))
-    for child, (column, parent) in REFERENCES.items():
-        if child in tables and parent in tables:
-            parents = tables[parent].select(F.col("id").alias(column)).distinct()
-            loose = tables[child].where(F.col(column).isNotNull()).join(parents.hint("merge"), column, "left_anti")
-            found.append(loose.groupBy(F.col(column).cast("string").alias("key")).agg(F.count("*").alias("count")).select(F.lit(child).alias("table"), F.lit("reference").alias("rule"), "key", "count"))
+
+    def broken(name: str, rule: str, rows: DataFrame) -> None:
+        found.append(rows.select(F.lit(name).alias("table"), F.lit(rule).alias("rule"), F.col("key"), F.col("count")))
+
+    for name, rows in tables.items():
+        unique = [keys[name]] if name in keys else []
+        for columns in [*unique, *[[c] for c in UNIQUE.get(name, []) if c in rows.columns]]:
+            key = F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
+            broken(name, "unique", rows.groupBy(key.alias("key")).agg(F.count("*").alias("count")).where("count > 1"))
+        needed = [*keys.get(name, []), *[c for c in REQUIRED.get(name, []) if c in rows.columns]]
+        if needed:
+            # one row: the number of missing values in each column
+            counts = rows.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in needed])
+            listed = counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).alias("count")) for c in needed])).alias("x")).select("x.*")
+            broken(name, "not null", listed.where("count > 0"))
+        for column, parent in REFERENCES.get(name, []):
+            if parent in tables and column in rows.columns:
+                parents = tables[parent].select(F.col("id").alias(column)).distinct()
+                loose = rows.where(F.col(column).isNotNull()).select(column).join(parents.hint("merge"), column, "left_anti")
+                broken(name, "reference", loose.groupBy(F.col(column).cast("string").alias("key")).agg(F.count("*").alias("count")))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)

@@ -46,7 +46,8 @@ def extract_calls(log: DataFrame) -> DataFrame:
     body = F.when(start > 0, F.expr("substr(content, instr(content, '{'))"))
     tail = F.length(body) - F.instr(F.reverse(body), "}") + 1
     whole = F.when(F.contains(body, F.lit("}")), F.substr(body, F.lit(1), tail)).otherwise(body)
-    calls = log.withColumn("_b", whole).withColumn("_r", repair_json(F.col("_b"), aggressive=True))
+    # what doesn't parse is repaired from the first brace to the end, whatever closes in between
+    calls = log.withColumn("_b", whole).withColumn("_r", repair_json(body, aggressive=True))
     ok = F.try_parse_json("_b")
     fixed = F.try_parse_json("_r")
     parsed = F.coalesce(ok, fixed)

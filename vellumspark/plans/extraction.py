@@ -89,7 +89,8 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def _hybrid(spark: SparkSession, sf: str) -> DataFrame:
-    vectors = _vectors(spark, sf).withColumn("id", F.concat(F.lit("0-"), F.col("id").cast("string"))).withColumn("document_id", F.lit("0"))
+    # a vector belongs to the first line of the document of its number, so both lists hold some blocks
+    vectors = _vectors(spark, sf).select(F.col("id").cast("string").alias("document_id"), F.concat(F.col("id").cast("string"), F.lit("-0")).alias("id"), "vector")
     keyword = se.keyword_candidates(_tokens(spark, sf), "the with")
     return _rounded(se.reciprocal_rank_fusion(keyword, se.semantic_candidates(_TARGET, vectors)), "keyword_score", "semantic_score", "combined_score")
 
@@ -120,15 +121,13 @@ QUERIES = {
     "f3_phrase": lambda s, d: se.match_phrase(_tokens(s, d), "of the"),
     "f3_prefix": lambda s, d: se.match_prefix(_tokens(s, d), "ther"),
     "f3_or_not": lambda s, d: se.match_not(_tokens(s, d), "the", "with from"),
-    "f4_sanitise": lambda s, d: table(s, d, "conversations").select("conv_id", "turn", tx.sanitise(F.substring("text", 1, 40)).alias("query")),
-    "f4_whole_texts": lambda s, d: table(s, d, "conversations").select("conv_id", "turn", tx.sanitise(F.col("text")).alias("query")),  # f4_sanitise: openings, as the given SQL has it
+    "f4_sanitise": lambda s, d: table(s, d, "conversations").select("conv_id", "turn", tx.sanitise(F.col("text")).alias("query")),
     "g4_word_counts": lambda s, d: line_blocks(s, d).select("block_id", tx.word_count(F.col("text")).alias("words")),
     "g5_term_stats": lambda s, d: se.term_stats(_tokens(s, d)),
     "g8_dedup_by_hash": lambda s, d: st.dedup_by_hash(table(s, d, "documents"), "text", "doc_id"),
     "v1_hash_embedding": lambda s, d: _rounded(se.hash_embedding(table(s, d, "benchmark").select(F.col("item_id").alias("id"), "text")), "value"),
     "v1_block_embedding": lambda s, d: _rounded(se.hash_embedding(line_blocks(s, d).select(F.col("block_id").alias("id"), "text")), "value"),  # v1_hash_embedding: benchmark, as the given SQL has it
-    "v2_cosine_pairs": lambda s, d: _rounded(se.similarities(_vectors(s, d).where("id % 50 = 0"), _vectors(s, d), "document_id"), "score"),
-    "v2_query_set": lambda s, d: _rounded(se.similarities(_vectors(s, d).where("id % 20 = 0"), _vectors(s, d), "document_id"), "score"),  # the stated query set; v2_cosine_pairs has that of the given SQL
+    "v2_cosine_pairs": lambda s, d: _rounded(se.similarities(_vectors(s, d).where("id % 20 = 0"), _vectors(s, d), "document_id"), "score"),
     "v3_one_to_many": lambda s, d: _rounded(se.one_to_many(_TARGET, _vectors(s, d)), "score"),
     "v5_semantic_candidates": lambda s, d: _rounded(se.semantic_candidates(_TARGET, _vectors(s, d)), "score"),
     "v6_keyword_candidates": lambda s, d: _rounded(se.keyword_candidates(_tokens(s, d), "the with"), "score"),
@@ -192,13 +191,11 @@ SELECT document_id, sort_order AS page, coalesce(array_to_string(list_transform(
     "f3_phrase": "WITH " + _TOKENS + "SELECT DISTINCT a.document_id, a.block_id FROM tk a JOIN tk b ON a.block_id = b.block_id AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the'",
     "f3_prefix": "WITH " + _TOKENS + "SELECT DISTINCT document_id, block_id FROM tk WHERE starts_with(term, 'ther')",
     "f3_or_not": "WITH " + _TOKENS + "SELECT DISTINCT document_id, block_id FROM tk WHERE term = 'the' AND block_id NOT IN (SELECT block_id FROM tk WHERE term IN ('with', 'from'))",
-    "f4_sanitise": r"SELECT conv_id, turn, trim(regexp_replace(substr(text, 1, 40), '[^\w\s]', ' ', 'g')) AS query FROM conversations",
-    "f4_whole_texts": r"SELECT conv_id, turn, trim(regexp_replace(text, '[^\w\s]', ' ', 'g')) AS query FROM conversations",
+    "f4_sanitise": r"SELECT conv_id, turn, trim(regexp_replace(text, '[^\w\s]', ' ', 'g')) AS query FROM conversations",
     "g4_word_counts": "WITH " + _LINES + r"SELECT block_id, len(regexp_extract_all(text, '\S+'))::INT AS words FROM b",
     "g5_term_stats": "WITH " + _TOKENS + "SELECT term, count(DISTINCT block_id) AS document_frequency, count(*) AS occurrences FROM tk GROUP BY term",
     "g8_dedup_by_hash": "SELECT sha256(text) AS sha256_hash, min(doc_id) AS id, count(*) AS copies FROM documents GROUP BY 1",
-    "v2_cosine_pairs": "SELECT q.vec_id AS target_id, c.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings c ON q.label = c.label WHERE q.vec_id % 50 = 0",
-    "v2_query_set": "SELECT q.vec_id AS target_id, c.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings c ON q.label = c.label WHERE q.vec_id % 20 = 0",
+    "v2_cosine_pairs": "SELECT q.vec_id AS target_id, c.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings c ON q.label = c.label WHERE q.vec_id % 20 = 0",
     "v3_one_to_many": f"SELECT vec_id AS id, round({_COS}, 6) AS score FROM embeddings",
     "v5_semantic_candidates": f"WITH s AS (SELECT label::VARCHAR AS document_id, vec_id AS id, {_COS} AS score FROM embeddings) SELECT document_id, id, round(score, 6) AS score, (row_number() OVER (PARTITION BY document_id ORDER BY score DESC, id))::INT AS rank FROM s WHERE score > 0.15",
     "v6_keyword_candidates": "WITH " + _TOKENS + "," + _BM25 + """
@@ -208,7 +205,7 @@ SELECT document_id, block_id AS id, round(CASE WHEN max(score) OVER w > min(scor
     "v7_hybrid_search": "WITH " + _TOKENS + "," + _BM25 + f""",
 kw AS (SELECT document_id, block_id AS id, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1.0 END AS score,
   row_number() OVER (PARTITION BY document_id ORDER BY score DESC, block_id) AS rank FROM sc WINDOW w AS (PARTITION BY document_id)),
-sm0 AS (SELECT '0' AS document_id, '0-' || vec_id AS id, {_COS} AS score FROM embeddings),
+sm0 AS (SELECT vec_id::VARCHAR AS document_id, vec_id || '-0' AS id, {_COS} AS score FROM embeddings),
 sm AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, id) AS rank FROM sm0 WHERE score > 0.15),
 f AS (SELECT coalesce(kw.document_id, sm.document_id) AS document_id, coalesce(kw.id, sm.id) AS id, coalesce(kw.score, 0) AS keyword_score, coalesce(sm.score, 0) AS semantic_score,
   coalesce(1.0::DOUBLE / (60 + kw.rank), 0) + coalesce(1.0::DOUBLE / (60 + sm.rank), 0) AS combined FROM kw FULL JOIN sm ON kw.document_id = sm.document_id AND kw.id = sm.id),

@@ -187,8 +187,9 @@ def _stream_index(s: SparkSession, d: str) -> DataFrame:
 
 
 def _sections(s: SparkSession, d: str) -> DataFrame:
-    n = table(s, d, "nation")
-    return n.select(F.col("n_regionkey").cast("string").alias("document_id"), F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("title"), F.col("n_nationkey").alias("sort_order"))
+    """Sections of 20 lines of every document, titled by their number: [document_id, id, title, sort_order]."""
+    number = F.floor(F.col("sort_order") / 20).cast("int")
+    return line_blocks(s, d).select("document_id", F.concat("document_id", F.lit("/"), number.cast("string")).alias("id"), F.concat(F.lit("Part "), number.cast("string")).alias("title"), number.alias("sort_order")).distinct()
 
 
 QUERIES = {
@@ -202,7 +203,7 @@ QUERIES = {
     ),
     "s7_resolve_assets": lambda s, d: table(s, d, "part").select("p_partkey", tx.resolve_assets(F.concat(F.lit("see local-asset://"), "p_name", F.lit(".png")), "/data/assets").alias("text")),
     "s8_collect_assets": lambda s, d: table(s, d, "part").select("p_partkey", F.explode(tx.asset_uris(F.concat(F.lit("a local-asset://x"), F.col("p_partkey").cast("string"), F.lit(".png b local-asset://y.png, local-asset://y.png")))).alias("uri")),
-    "q1_sections_or_whole": lambda s, d: st.sections_or_whole(_sections(s, d).where("document_id <> '2'"), _sections(s, d)),
+    "q1_sections_or_whole": lambda s, d: st.sections_or_whole(_sections(s, d).where("CAST(document_id AS BIGINT) % 4 <> 2"), line_blocks(s, d)),
     "q2_blocks_of_section": lambda s, d: _heights(s, d).where("section_id = '1/0'").orderBy("sort_order").select("block_id", "sort_order"),
     "q3_annotations_for": lambda s, d: _annotations(s, d).join(line_blocks(s, d).where("sort_order < 3").select("block_id").hint("merge"), "block_id", "left_semi").dropDuplicates(["annotation_id"]).select("annotation_id", "highlighted_text"),
     "q5_filter_library": lambda s, d: st.filter_library(table(s, d, "supplier").select("s_suppkey", F.col("s_name").alias("title"), F.lit("An Author").alias("author")), " 0000001 "),
@@ -288,13 +289,22 @@ g2 AS (SELECT *, CASE WHEN two AND r >= 5 THEN 310 + c * 7.0 WHEN two THEN c * 7
 tokens AS (SELECT d::VARCHAR AS document_id, page::INT AS page, (row_number() OVER (PARTITION BY d, page ORDER BY min(idx)) - 1)::INT AS token_no, min(x)::DOUBLE AS "left", min(y)::DOUBLE AS bottom,
   (max(x) + 6)::DOUBLE AS "right", (max(y) + 10)::DOUBLE AS top, 10.0::DOUBLE AS font_size, string_agg(glyph, '' ORDER BY idx) AS text FROM g2 WHERE NOT regexp_matches(glyph, '^\s*$') GROUP BY d, page, island)"""
 
+_SECTIONS = _B + """, sec AS (SELECT DISTINCT document_id, document_id || '/' || (sort_order // 20)::INT AS id, 'Part ' || (sort_order // 20)::INT AS title, (sort_order // 20)::INT AS sort_order FROM b)"""
+# packets: as many characters as fit into 512 bytes, again and again; then the checksum of each
+_PACKETS = """RECURSIVE p AS (SELECT doc_id AS tx, -1 AS i, '' AS data, text AS rest FROM documents WHERE text <> ''
+  UNION ALL SELECT tx, i + 1, left(rest, k), substr(rest, k + 1) FROM (SELECT tx, i, rest, list_max(list_filter(range(128, 513), lambda n: strlen(left(rest, n)) <= 512)) AS k FROM p WHERE rest <> '')),
+pk AS (SELECT tx, i, (count(*) OVER (PARTITION BY tx))::INT AS n, data FROM p WHERE i >= 0)"""
+
 ORACLE = {
+    "d5_packetise": "WITH " + _PACKETS + """ SELECT tx, i, n, printf('%x', list_reduce(list_prepend(5381::BIGINT, list_transform(string_split(data, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: xor((h * 33) % 4294967296, c))) AS checksum, data FROM pk""",
+    "d7_reassemble": "WITH " + _PACKETS + """, g AS (SELECT * FROM pk WHERE NOT (tx % 5 = 0 AND i = 1))
+SELECT tx, round(count(*) * 100.0::DOUBLE / max(n), 6) AS progress, CASE WHEN count(*) = max(n) THEN string_agg(data, '' ORDER BY i) END AS payload FROM g GROUP BY tx""",
     "s2_library": "SELECT doc_id, source, n_chars FROM documents",
     "s4_json_rows": """SELECT '{"doc_id":' || doc_id || ',"quality":' || quality || ',"raw":"<blob 1 bytes>"}' AS json FROM labels""",
     "s5_export_notes": "WITH " + _AN + " SELECT document_id, annotation_id AS id, block_id, highlighted_text, prefix AS note_body, color AS author_id FROM an",
     "s7_resolve_assets": "SELECT p_partkey, 'see /data/assets/' || p_name || '.png' AS text FROM part",
-    "s8_collect_assets": "SELECT p_partkey, unnest(['local-asset://x' || p_partkey || '.png', 'local-asset://y.png,', 'local-asset://y.png']) AS uri FROM part",
-    "q1_sections_or_whole": "SELECT n_nationkey::VARCHAR AS id, n_regionkey::VARCHAR AS document_id, n_name AS title, n_nationkey AS sort_order FROM nation WHERE n_regionkey <> 2 UNION ALL SELECT '__unlinked__2', '2', 'Full Document', 0",
+    "s8_collect_assets": "SELECT p_partkey, unnest(['local-asset://x' || p_partkey || '.png', 'local-asset://y.png']) AS uri FROM part",
+    "q1_sections_or_whole": "WITH " + _SECTIONS + " SELECT id, document_id, title, sort_order FROM sec WHERE document_id::BIGINT % 4 <> 2 UNION ALL SELECT DISTINCT '__unlinked__' || document_id, document_id, 'Full Document', 0 FROM sec WHERE document_id::BIGINT % 4 = 2",
     "q2_blocks_of_section": "WITH " + _B + " SELECT block_id, sort_order FROM b WHERE document_id = '1' AND sort_order < 20",
     "q3_annotations_for": "WITH " + _AN + " SELECT DISTINCT annotation_id, highlighted_text FROM an WHERE block_id IN (SELECT block_id FROM b WHERE sort_order < 3)",
     "q5_filter_library": "SELECT s_suppkey, s_name AS title, 'An Author' AS author FROM supplier WHERE s_name LIKE '%0000001%'",
@@ -309,9 +319,9 @@ ORACLE = {
     "g3_transcript": "SELECT conv_id::VARCHAR AS session_id, string_agg(upper(role) || ': ' || text || chr(10) || chr(10), '' ORDER BY turn) AS text FROM conversations GROUP BY 1",
     "g6_job_progress": "SELECT l_orderkey AS job_id, round(avg((l_linestatus = 'F')::INT) * 100, 6) AS progress, arg_max(CASE WHEN l_linestatus = 'F' THEN 'done' ELSE 'pending' END, (l_shipdate, l_linenumber, CASE WHEN l_linestatus = 'F' THEN 'done' ELSE 'pending' END)) AS status FROM lineitem GROUP BY 1",
     "g7_sync_report": "SELECT count(*) FILTER (event_type <> 'error' AND event_id % 3 = 0) AS applied, count(*) FILTER (event_type <> 'error' AND event_id % 3 <> 0) AS skipped, 0::BIGINT AS reanchored, count(*) FILTER (event_type = 'error') AS orphaned FROM events",
-    "w1_section_nav": """SELECT n_regionkey::VARCHAR AS document_id, n_nationkey::VARCHAR AS id, (lag(n_nationkey) OVER w)::VARCHAR AS prev_id, (lead(n_nationkey) OVER w)::VARCHAR AS next_id,
-  concat_ws('   ', '< ' || lag(n_name) OVER w, '[' || n_name || ']', lead(n_name) OVER w || ' >') AS label,
-  array_to_string(list(n_nationkey) OVER (w ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), ',') AS window_ids FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey)""",
+    "w1_section_nav": "WITH " + _SECTIONS + """ SELECT document_id, id, lag(id) OVER w AS prev_id, lead(id) OVER w AS next_id,
+  concat_ws('   ', '< ' || lag(title) OVER w, '[' || title || ']', lead(title) OVER w || ' >') AS label,
+  array_to_string(list(id) OVER (w ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), ',') AS window_ids FROM sec WINDOW w AS (PARTITION BY document_id ORDER BY sort_order, id)""",
     "w7_failure_streaks": "WITH " + _RS + " SELECT session_id, seq, streak FROM st",
     "w9_merge_highlights": """WITH s AS (SELECT l_orderkey AS k, l_partkey AS a, (l_partkey + l_quantity)::BIGINT AS e FROM lineitem),
 f AS (SELECT *, (a < coalesce(max(e) OVER (PARTITION BY k ORDER BY a, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1))::INT AS inside FROM s),

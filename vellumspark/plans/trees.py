@@ -90,8 +90,8 @@ def _records(s: SparkSession, d: str) -> DataFrame:
 
 
 def _sql(s: SparkSession, d: str) -> DataFrame:
-    files.register({"nations": table(s, d, "nation"), "regions": table(s, d, "region")})
-    return files.run_sql(s, "SELECT r_name, count(*) AS n FROM nations JOIN regions ON n_regionkey = r_regionkey GROUP BY r_name")
+    files.register({"texts": table(s, d, "documents"), "marks": table(s, d, "labels")})
+    return files.run_sql(s, "WITH m AS (SELECT doc_id, max(quality) AS q FROM marks GROUP BY doc_id) SELECT lang, source, count(*) AS n, sum(q) AS good FROM texts LEFT JOIN m USING (doc_id) GROUP BY lang, source;")
 
 
 def _corpus(s: SparkSession, d: str) -> DataFrame:
@@ -106,8 +106,7 @@ QUERIES = {
     "s1_scan_corpus": _corpus,
     "s3_read_records": _records,
     "q12_run_sql": _sql,
-    "p17_repair_json": lambda s, d: _outputs(s, d).where("id % 4 <> 3").select("id", F.try_parse_json(tl.repair_json(F.regexp_replace("output", "```(json)?", ""))).isNotNull().alias("parses")),
-    # every event with its repaired text; the given SQL of p17_repair_json holds the kinds that always parse
+    "p17_repair_json": lambda s, d: _outputs(s, d).select("id", F.try_parse_json(tl.repair_json(F.regexp_replace("output", "```(json)?", ""))).isNotNull().alias("parses")),
     "p17_repaired_texts": lambda s, d: _outputs(s, d).select("id", tl.repair_json(F.regexp_replace("output", "```(json)?", "")).alias("repaired")).withColumn("parses", F.try_parse_json("repaired").isNotNull()),
     "p18_validate_blocks": lambda s, d: tl.validate_blocks(_outputs(s, d)).select("id", "status"),
     "p20_index_text": lambda s, d: _trees(s, d).select("block_id", ast.index_text(F.col("content")).alias("text")),
@@ -144,8 +143,9 @@ def _log(s: SparkSession, d: str) -> DataFrame:
 
 ORACLE = {
     "s3_read_records": "SELECT doc_id, quality, NULL::VARCHAR AS error FROM labels WHERE doc_id % 7 <> 0 UNION ALL SELECT NULL, NULL, 'invalid record' FROM labels WHERE doc_id % 7 = 0",
-    "q12_run_sql": """SELECT '{"r_name":"' || r_name || '","n":' || count(*) || '}' AS json FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""",
-    "p17_repair_json": "SELECT event_id AS id, true AS parses FROM events WHERE event_id % 4 <> 3",
+    "q12_run_sql": """SELECT '{"lang":' || coalesce('"' || lang || '"', 'null') || ',"source":' || coalesce('"' || source || '"', 'null') || ',"n":' || count(*) || ',"good":' || coalesce(sum(q)::VARCHAR, 'null') || '}' AS json
+FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id) USING (doc_id) GROUP BY lang, source""",
+    "p17_repair_json": "SELECT event_id AS id, event_id % 4 <> 3 AS parses FROM events",
     "p17_repaired_texts": """SELECT event_id AS id, CASE WHEN event_id % 4 = 3 THEN 'no {json "here"}' ELSE '{"blocks":[{"block_type":"paragraph","content":{"type":"paragraph","n":' || event_id || '}}]}' END AS repaired, event_id % 4 <> 3 AS parses FROM events""",
     "p18_validate_blocks": "SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN 'valid' WHEN 1 THEN 'valid' WHEN 2 THEN 'repaired' ELSE 'fallback' END AS status FROM events",
     "p20_index_text": "WITH " + _B + """ SELECT block_id, CASE WHEN sort_order % 5 = 4 THEN text ELSE text || ' a "text": b end 1' END AS text FROM b""",

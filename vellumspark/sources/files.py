@@ -41,9 +41,12 @@ def register(tables: dict[str, DataFrame]) -> None:
 
 
 def run_sql(spark: SparkSession, query: str) -> DataFrame:
-    """Rows of an ad hoc SELECT as JSON: [json]."""
+    """Rows of an ad hoc SELECT as JSON: [json].
+
+    The text is read as a subquery, where Spark's grammar has no commands: no INSERT, also behind WITH.
+    """
     from vellumspark.operators.store import json_rows
 
     if not query.lstrip().lower().startswith(("select", "with")):
         raise ValueError("only SELECT statements are run")
-    return json_rows(spark.sql(query))
+    return json_rows(spark.sql(f"SELECT * FROM (\n{query.strip().rstrip(';')}\n)"))
