@@ -10,6 +10,7 @@ from vellumspark.operators import extract as ex
 from vellumspark.operators import notes as no
 from vellumspark.operators import reflow as rf
 from vellumspark.operators import search as se
+from vellumspark.operators import store as st
 from vellumspark.operators import toolog as tl
 
 
@@ -172,9 +173,9 @@ def test_packets(spark):
     assert sorted((r.i, r.n, len(r.data.encode())) for r in packets.where("tx = 't'").collect()) == [(0, 2, 512), (1, 2, 488)]
     assert all(len(r.data.encode()) <= 512 for r in packets.collect())
     again = {r.tx: r.payload for r in no.reassemble(packets).collect()}
-    assert again == {"t": "A" * 1000, "u": "é" * 300, "v": ""}
+    assert again == {"t": "A" * 1000, "u": "é" * 300}  # an empty payload has no packet
     broken = no.reassemble(packets.where("NOT (tx = 't' AND i = 1)").withColumn("data", F.when(F.col("tx") == "u", F.lit("bad")).otherwise(F.col("data"))))
-    assert {r.tx: (r.progress, r.payload) for r in broken.collect()} == {"t": (50.0, None), "v": (100.0, "")}
+    assert {r.tx: (r.progress, r.payload) for r in broken.collect()} == {"t": (50.0, None)}
 
 
 def test_highlights_match_a_loop(spark):
@@ -228,3 +229,70 @@ def test_three_failures_wait(spark):
     rows = [("s", i, i, f, False) for i, f in enumerate([True, False, True, True, True])] + [("t", 0, 0, True, False)]
     got = tl.session_status(values(spark, rows, "session_id string, ts int, seq int, failed boolean, done boolean")).collect()
     assert {(r.session_id, r.status, r.seq) for r in got} == {("s", "waiting", 4), ("t", "running", None)}
+
+
+def test_occurrences_against_a_loop(spark):
+    rng = random.Random(8)
+    pairs = [("".join(rng.choice("ab\\E.é ") for _ in range(rng.randint(0, 40))), "".join(rng.choice("ab\\E. ") for _ in range(rng.randint(0, 3)))) for _ in range(600)]
+    df = values(spark, [(i, t, n) for i, (t, n) in enumerate(pairs)], "id long, text string, needle string")
+    for r in df.select("id", no.occurrences(F.col("text"), F.col("needle")).alias("at")).collect():
+        text, needle = pairs[r.id]
+        assert list(r["at"]) == [i for i in range(len(text)) if needle and text.startswith(needle, i)], (text, needle)
+
+
+def test_anchor_candidates_lose_none(spark):
+    """Notes of many words are looked up by a word; the pairs hold every block that contains the note."""
+    rng = random.Random(3)
+    blocks = [("d", f"b{i}", i, " ".join(rng.choice(["aa", "bb", "cc", "a\tb", "bbb"]) for _ in range(6))) for i in range(60)]
+    notes = []
+    for i, (_, _, _, text) in enumerate(blocks):
+        at = rng.randint(0, 6)
+        notes.append(("d", f"n{i}", text[at : at + rng.randint(2, 9)].strip()))
+    notes = [n for n in notes if n[2]]
+    pairs = no._with_candidates(values(spark, notes, "document_id string, annotation_id string, needle string"), values(spark, blocks, "document_id string, block_id string, sort_order int, text string"))
+    got = {(r.annotation_id, r.block_id) for r in pairs.where(F.contains("text", "needle")).collect()}
+    assert got == {(n, b) for _, n, needle in notes for _, b, _, text in blocks if needle in text}
+
+
+def test_packets_are_greedy_and_whole(spark):
+    rng = random.Random(2)
+    texts = ["", None, "A" * 1000, "é" * 700, "🔥" * 300] + ["".join(rng.choice("aé漢🔥") for _ in range(rng.randint(1, 2500))) for _ in range(20)]
+    packets = no.packetise(values(spark, list(enumerate(texts)), "tx long, payload string"))
+    found = {}
+    for r in packets.orderBy("tx", "i").collect():
+        found.setdefault(r.tx, []).append(r.data)
+        h = 5381
+        for c in r.data:
+            h = (h * 33) % 2**32 ^ ord(c)
+        assert r.checksum == f"{h:x}"
+    for i, text in enumerate(texts):
+        expected, now = [], ""
+        for c in text or "":
+            if len((now + c).encode()) > 512:
+                expected, now = [*expected, now], ""
+            now += c
+        assert found.get(i, []) == expected + [now] * bool(now)
+    whole = {r.tx: r.payload for r in no.reassemble(packets).collect()}
+    assert whole == {i: t for i, t in enumerate(texts) if t}
+
+
+def test_cascade_reaches_every_depth(spark):
+    tables = {
+        "documents": values(spark, [("d", "c"), ("e", "x")], "id string, corpus_id string"),
+        "sections": values(spark, [("s", "d", None), ("s1", "e", "s"), ("s2", "e", "s1"), ("t", "e", None)], "id string, document_id string, parent_id string"),
+        "blocks": values(spark, [("b", "s2", "e"), ("b2", "t", "e")], "id string, section_id string, document_id string"),
+        "tags": values(spark, [("g", "n"), ("h", "n")], "id string, name string"),
+        "block_tags": values(spark, [("b", "g"), ("b2", "g")], "block_id string, tag_id string"),
+        "vector_cache": values(spark, [("b", 1), ("b2", 1)], "block_id string, vector int"),
+    }
+    out = st.cascade_delete(tables, "sections", values(spark, [("s",)], "id string"))
+    assert {n: sorted(r[0] for r in t.collect()) for n, t in out.items()} == {"documents": ["d", "e"], "sections": ["t"], "blocks": ["b2"], "tags": ["g", "h"], "block_tags": ["b2"], "vector_cache": ["b2"]}
+    assert sorted(r[0] for r in st.cascade_delete(tables, "documents", values(spark, [("e",)], "id string"))["blocks"].collect()) == []
+    report = {(r.table, r.rule, r.key): r["count"] for r in st.integrity_report({**tables, "blocks": out["blocks"]}, {"tags": ["id"]}).collect()}
+    assert report == {("tags", "unique", "n"): 2, ("block_tags", "reference", "b"): 1, ("vector_cache", "reference", "b"): 1}
+
+
+def test_calls_are_repaired_to_the_end(spark):
+    log = values(spark, [("s", 1, 'call {"tool": "Save", "args": {"id": "1"}, "content": "cut of'), ("s", 2, 'x {"tool": "a"} y'), ("s", 3, "none")], "session_id string, seq int, content string")
+    got = {r.seq: (r.tool, r.args, r.status) for r in tl.extract_calls(log).collect()}
+    assert got == {1: ("Save", '{"id":"1"}', "repaired"), 2: ("a", None, "ok"), 3: (None, None, "malformed")}

@@ -1,5 +1,7 @@
 """Sources on small files."""
 
+import pytest
+from pyspark.errors import ParseException
 from pyspark.sql import functions as F
 
 from vellumspark.operators import extract as ex
@@ -55,3 +57,12 @@ def test_to_sections(spark):
     sections, placed = ex.to_sections(blocks)
     assert {(r.id, r.title) for r in sections.collect()} == {("sec-d-0", "Default Section"), ("sec-d-1", "H")}
     assert [r.section_id for r in placed.orderBy("sort_order").select(F.col("section_id")).collect()] == ["sec-d-0", "sec-d-1", "sec-d-1"]
+
+
+def test_ad_hoc_sql_runs_no_command(spark):
+    spark.range(2).createOrReplaceTempView("two")
+    assert files.run_sql(spark, "SELECT id FROM two; ").count() == 2
+    assert files.run_sql(spark, "WITH x AS (SELECT 1 AS a) SELECT a FROM x").count() == 1
+    for bad in ("WITH x AS (SELECT 1 AS a) INSERT INTO two SELECT * FROM x", "SELECT 1) ; DROP VIEW two; SELECT (2", "DROP VIEW two"):
+        with pytest.raises((ValueError, ParseException)):
+            files.run_sql(spark, bad)

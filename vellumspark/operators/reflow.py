@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from functools import partial
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellumspark.operators.groups import fold_groups
 from vellumspark.operators.notes import occurrences
-from vellumspark.session import ship
 
 
 def static_height(block_type: Column, content: Column) -> Column:
@@ -47,10 +46,10 @@ def dynamic_height(block_type: Column, text: Column, width: float, height: float
     )
 
 
-def _pages(pdf: pd.DataFrame, limit: float) -> pd.DataFrame:
-    """Segments of one section's blocks, page by page."""
+def _pages(blocks: list[tuple], limit: float) -> list[tuple]:
+    """Segments of one section's blocks (document, section, number, block, type, text, height), page by page."""
     rows, page, used = [], 0, 0.0
-    for block, kind, text, height in pdf.sort_values("sort_order")[["block_id", "block_type", "text", "height"]].itertuples(index=False):
+    for _, _, _, block, kind, text, height in blocks:
         text = text or ""
         n = len(text)
         if n == 0:
@@ -84,25 +83,17 @@ def _pages(pdf: pd.DataFrame, limit: float) -> pd.DataFrame:
                         cut = after
                 rows.append((page, block, at, cut, True))
                 page, at = page + 1, cut
-    out = pd.DataFrame(rows, columns=["page", "block_id", "start", "end", "is_partial"])
-    out.insert(0, "section_id", pdf["section_id"].iloc[0])
-    out.insert(0, "document_id", pdf["document_id"].iloc[0])
-    return out
-
-
-def _paginate(key: tuple, pdf: pd.DataFrame, limit: float) -> pd.DataFrame:
-    return _pages(pdf, limit)
+    return [(*blocks[0][:2], *r) for r in rows]
 
 
 def paginate(blocks: DataFrame, viewport_height: float) -> DataFrame:
     """[document_id, section_id, page, block_id, start, end, is_partial] of blocks with a height.
 
-    A greedy fold, so one group per section; sections are bounded by nature and run in parallel.
+    A greedy fold over each section; sections are bounded by nature and run in parallel.
     """
-    ship(blocks.sparkSession)
     columns = ["document_id", "section_id", "sort_order", "block_id", "block_type", "text", "height"]
     schema = "document_id string, section_id string, page int, block_id string, start int, end int, is_partial boolean"
-    return blocks.select(*columns).groupBy("document_id", "section_id").applyInPandas(partial(_paginate, limit=max(200.0, viewport_height - 100)), schema)
+    return fold_groups(blocks.select(*columns), columns[:2], columns[2:4], partial(_pages, limit=max(200.0, viewport_height - 100)), schema)
 
 
 def slice_block(text: Column, start: Column, end: Column) -> Column:
@@ -171,7 +162,8 @@ def scroll_action(events: DataFrame) -> DataFrame:
 def glyphs_to_tokens(glyphs: DataFrame) -> DataFrame:
     """Runs of glyphs between white space: box is the union, font size the last glyph's."""
     order = Window.partitionBy("document_id", "page").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    islands = glyphs.withColumn("island", F.sum(F.col("glyph").rlike(r"^\s*$").cast("int")).over(order)).where(~F.col("glyph").rlike(r"^\s*$"))
+    marked = glyphs.withColumn("blank", F.translate("glyph", " \t\n\x0b\f\r", "") == "")
+    islands = marked.withColumn("island", F.sum(F.col("blank").cast("int")).over(order)).where("NOT blank")
     tokens = islands.groupBy("document_id", "page", "island").agg(
         F.min("idx").alias("idx"), F.min("left").alias("left"), F.min("bottom").alias("bottom"), F.max("right").alias("right"), F.max("top").alias("top"),
         F.max_by("font_size", "idx").alias("font_size"), F.expr("listagg(glyph, '') WITHIN GROUP (ORDER BY idx)").alias("text"),
@@ -186,11 +178,10 @@ def cap_pages(tokens: DataFrame, max_tokens: int = 1000) -> DataFrame:
     return tokens.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max_tokens).drop("_r")
 
 
-def _order(key: tuple, pdf: pd.DataFrame, mid: float, tolerance: float) -> pd.DataFrame:
-    """Reading order of one page."""
-    pdf = pdf.sort_values("token_no").reset_index(drop=True)
-    boxes = pdf[["left", "bottom", "right", "top"]].to_numpy(float).tolist()
-    numbers, words = pdf["token_no"].tolist(), pdf["text"].tolist()
+def _order(tokens: list[tuple], mid: float, tolerance: float) -> list[tuple]:
+    """Reading order of one page's tokens (document, page, number, left, bottom, right, top, text)."""
+    key, boxes = tokens[0][:2], [t[3:7] for t in tokens]
+    numbers, words = [t[2] for t in tokens], [t[7] for t in tokens]
     lines: list[list[float]] = []
     for i in sorted(range(len(boxes)), key=lambda i: -boxes[i][1]):
         a, b, c, d = boxes[i]
@@ -217,18 +208,17 @@ def _order(key: tuple, pdf: pd.DataFrame, mid: float, tolerance: float) -> pd.Da
             for i in sorted(row, key=lambda i: boxes[i][0]):
                 found.append((*key, numbers[i], c, n, rank, words[i]))
                 rank += 1
-    return pd.DataFrame(found, columns=["document_id", "page", "token_no", "column", "line", "rank", "text"])
+    return found
 
 
 def reading_order(tokens: DataFrame, page_width: float = 600.0, tolerance: float = 8.0) -> DataFrame:
     """[document_id, page, token_no, column, line, rank, text]: two columns are read one after the other.
 
-    An order-dependent fold, so one group per page; pages are bounded by :func:`cap_pages`.
+    An order-dependent fold over each page; pages are bounded by :func:`cap_pages`.
     """
-    ship(tokens.sparkSession)
     schema = "document_id string, page int, token_no int, column int, line int, rank int, text string"
     columns = ["document_id", "page", "token_no", "left", "bottom", "right", "top", "text"]
-    return tokens.select(*columns).groupBy("document_id", "page").applyInPandas(partial(_order, mid=page_width / 2, tolerance=tolerance), schema)
+    return fold_groups(tokens.select(*columns), columns[:2], columns[2:3], partial(_order, mid=page_width / 2, tolerance=tolerance), schema)
 
 
 def page_text(ordered: DataFrame, images: DataFrame) -> DataFrame:
