@@ -152,17 +152,17 @@ def image_refs(docs: DataFrame) -> DataFrame:
     return found.select("document_id", "image_id", digest.alias("sha256_hash"), uri.alias("local_uri"), F.regexp_extract("line", r"^!\[([^\]]*)\]", 1).alias("alt"))
 
 
-_CLOSED = "|".join(rf"<h{d}(?:>|\s[^>]*>).*?</h{d}>" for d in range(10)) + r"|<p(?:>|\s[^>]*>).*?</p>|<table(?:>|\s[^>]*>).*?</table>|<blockquote(?:>|\s[^>]*>).*?</blockquote>"
+_CLOSED = "|".join(rf"<(?i:{name})(?:>|\s[^>]*>).*?</{name}>" for name in [*[f"h{d}" for d in range(10)], "p", "table", "blockquote"])
 
 
 def html_parts(pages: DataFrame) -> DataFrame:
-    """[document_id, pos, part, kind, depth, text] of HTML: closed elements, tags and loose text."""
+    """[document_id, pos, part, kind, depth, text] of HTML: closed elements (empty ones too), images and loose text."""
     from vellumspark.functions.text import strip_elements
 
     split = pages.select("document_id", F.posexplode(F.regexp_extract_all(strip_elements(F.col("html")), F.lit(rf"(?s){_CLOSED}|<[^>]*>|[^<]+(?=<)"), 0)).alias("pos", "part"))
-    name = F.regexp_extract("part", r"^<(h[0-9]|p|table|blockquote|img)(?:[\s>/])", 1)
+    name = F.lower(F.regexp_extract("part", r"(?i)^<(h[0-9]|p|table|blockquote|img)(?:[\s>/])", 1))
     inner = trimmed(F.regexp_extract("part", r"(?s)^<[^>]*>(.*)</[a-z0-9]+>$", 1))
-    closed = F.col("part").rlike(r"(?s)^<(h[0-9]|p|table|blockquote)(?:>|\s).*</\1>$")
+    closed = F.col("part").rlike(r"(?s)^<(?i:h[0-9]|p|table|blockquote)(?:>|\s).*</(?:h[0-9]|p|table|blockquote)>$")
     kind = (
         F.when(closed & name.rlike("^h"), "heading")
         .when(closed & (name == "p"), "paragraph")
@@ -173,8 +173,81 @@ def html_parts(pages: DataFrame) -> DataFrame:
     )
     text = F.when(F.col("kind") == "loose", trimmed(F.col("part"))).when(F.col("kind") != "image", inner)
     parts = split.withColumn("kind", kind).where("kind IS NOT NULL").withColumn("text", text)
-    parts = parts.withColumn("depth", F.when(F.col("kind") == "heading", F.substring("part", 3, 1).cast("int")))
-    return parts.where("kind = 'image' OR kind = 'table' OR text <> ''")
+    return parts.withColumn("depth", F.when(F.col("kind") == "heading", F.substring("part", 3, 1).cast("int")))
+
+
+def _attribute(part: Column, name: str) -> Column:
+    """Value of a tag's attribute, quoted or bare; empty where there is none."""
+    found = F.regexp_extract(part, rf"(?i)\s{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", 1)
+    return F.regexp_replace(found, r"^[\"']|[\"']$", "")
+
+
+def _table_content(inner: Column) -> Column:
+    """JSON of a table node; rows without cells are left out, and without any row one cell holds the raw text."""
+    rows = F.regexp_extract_all(inner, F.lit(r"(?is)<tr(?:>|\s[^>]*>)(.*?)</tr>"), 1)
+
+    def cell(raw: Column) -> Column:
+        body = trimmed(F.regexp_extract(raw, r"(?s)^<[^>]*>(.*)</[A-Za-z]+>$", 1))
+        return F.concat(F.lit('{"children":['), text_node(body), F.lit('],"is_header":'), F.when(F.lower(raw).startswith("<th"), "true").otherwise("null"), F.lit("}"))
+
+    def row(raw: Column) -> Column:
+        cells = F.transform(F.regexp_extract_all(raw, F.lit(r"(?is)<td(?:>|\s[^>]*>).*?</td>|<th(?:>|\s[^>]*>).*?</th>"), 0), cell)
+        return F.when(F.size(cells) > 0, F.concat(F.lit('{"cells":['), F.array_join(cells, ","), F.lit("]}")))
+
+    whole = F.concat(F.lit('{"cells":[{"children":['), text_node(inner), F.lit('],"is_header":null}]}'))
+    found = F.filter(F.transform(rows, row), lambda r: r.isNotNull())
+    return F.concat(F.lit('{"type":"table","rows":['), F.when(F.size(found) > 0, F.array_join(found, ",")).otherwise(whole), F.lit("]}"))
+
+
+def _html_numbered(pages: DataFrame) -> DataFrame:
+    """Parts with their number, section and image number."""
+    order = Window.partitionBy("document_id").orderBy("pos")
+    running = order.rowsBetween(Window.unboundedPreceding, 0)
+    parts = html_parts(pages).withColumn("section", F.sum(F.col("depth").isNotNull().cast("int")).over(running).cast("int"))
+    parts = parts.withColumn("image", F.sum((F.col("kind") == "image").cast("int")).over(running)).withColumn("sort_order", F.row_number().over(order) - 1)
+    digest = F.sha2(_attribute(F.col("part"), "src"), 256)
+    image_id = F.concat(F.lit("img-html-"), F.col("image").cast("string"))
+    return parts.withColumns({"image_id": image_id, "sha256_hash": digest, "local_uri": F.concat(F.lit("local-asset://"), digest, F.lit("_"), image_id, F.lit(".png")), "alt": _attribute(F.col("part"), "alt")})
+
+
+def _html_section_id(number: Column) -> Column:
+    return F.when(number == 0, F.concat(F.lit("sec-"), "document_id", F.lit("-default"))).otherwise(F.concat(F.lit("sec-html-"), "document_id", F.lit("-"), number.cast("string")))
+
+
+def html_sections(pages: DataFrame) -> DataFrame:
+    """[document_id, id, parent_id, title, depth_level, sort_order]: a default section and one per heading, also an empty one; none has a parent."""
+    heads = _html_numbered(pages).where("kind = 'heading'").select("document_id", F.col("text").alias("title"), F.col("depth").alias("depth_level"), F.col("section").alias("sort_order"))
+    every = pages.select("document_id", F.lit("Default Section").alias("title"), F.lit(1).alias("depth_level"), F.lit(0).alias("sort_order")).unionByName(heads)
+    return every.select("document_id", _html_section_id(F.col("sort_order")).alias("id"), F.lit(None).cast("string").alias("parent_id"), "title", "depth_level", "sort_order")
+
+
+def html_structure(pages: DataFrame) -> DataFrame:
+    """[document_id, id, section_id, block_type, content, sort_order, semantic_tags] of HTML pages."""
+    parts = _html_numbered(pages)
+    leaf = F.concat(F.lit('"children":['), text_node(F.col("text")), F.lit("]}"))
+    image = F.to_json(F.struct(F.lit("image").alias("type"), F.col("local_uri").alias("src"), F.nullif("alt", F.lit("")).alias("alt"), F.lit(None).cast("string").alias("caption")), {"ignoreNullFields": "false"})
+    content = (
+        F.when(F.col("kind") == "heading", F.concat(F.lit('{"type":"heading","level":'), F.col("depth").cast("string"), F.lit(","), leaf))
+        .when(F.col("kind") == "quote", F.concat(F.lit('{"type":"quote",'), leaf))
+        .when(F.col("kind") == "table", _table_content(F.col("text")))
+        .when(F.col("kind") == "image", image)
+        .otherwise(F.concat(F.lit('{"type":"paragraph",'), leaf))
+    )
+    block_type = F.when(F.col("kind") == "loose", "paragraph").otherwise(F.col("kind"))
+    return parts.select(
+        "document_id",
+        F.concat(F.lit("block-html-"), "document_id", F.lit("-"), F.col("sort_order").cast("string")).alias("id"),
+        _html_section_id(F.col("section")).alias("section_id"),
+        block_type.alias("block_type"),
+        content.alias("content"),
+        "sort_order",
+        F.when(block_type == "paragraph", F.array().cast("array<string>")).otherwise(F.array(block_type)).alias("semantic_tags"),
+    )
+
+
+def html_images(pages: DataFrame) -> DataFrame:
+    """[document_id, image_id, sha256_hash, local_uri, alt] of ``<img>`` tags; the hash is that of the source's name."""
+    return _html_numbered(pages).where("kind = 'image'").select("document_id", "image_id", "sha256_hash", "local_uri", "alt")
 
 
 def html_blocks(pages: DataFrame) -> DataFrame:

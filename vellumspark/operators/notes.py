@@ -97,6 +97,11 @@ def orphans(annotations: DataFrame, anchored: DataFrame) -> DataFrame:
     return annotations.join(anchored.select("annotation_id").hint("merge"), "annotation_id", "left_anti")
 
 
+def anchored(annotations: DataFrame) -> DataFrame:
+    """Annotations that are attached to a block."""
+    return annotations.where(F.col("block_id").isNotNull())
+
+
 def packetise(payloads: DataFrame, most: int = 512) -> DataFrame:
     """[tx, i, n, checksum, data]: payloads cut into packets of at most ``most`` UTF-8 bytes, whole characters.
 

@@ -7,6 +7,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellumspark.functions.text import truncate_tokens
 from vellumspark.operators.groups import fold_groups
 from vellumspark.operators.notes import occurrences
 
@@ -178,6 +179,11 @@ def cap_pages(tokens: DataFrame, max_tokens: int = 1000) -> DataFrame:
     return tokens.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max_tokens).drop("_r")
 
 
+def cap_text(c: Column, max_bytes: int = 100_000) -> Column:
+    """A page's text of at most ``max_bytes`` bytes (a multiple of 4), cut back to a whole character."""
+    return truncate_tokens(c, max_bytes // 4)
+
+
 def _order(tokens: list[tuple], mid: float, tolerance: float) -> list[tuple]:
     """Reading order of one page's tokens (document, page, number, left, bottom, right, top, text)."""
     key, boxes = tokens[0][:2], [t[3:7] for t in tokens]

@@ -54,6 +54,75 @@ def match_phrase(tokens: DataFrame, phrase: str) -> DataFrame:
     return hits.groupBy("document_id", "block_id", "at").agg(F.countDistinct("number").alias("n")).where(F.col("n") == len(words)).select("document_id", "block_id").distinct()
 
 
+#: Words between the groups of a search text.
+OPERATORS = ("AND", "OR", "NOT")
+
+
+def _items(query: str) -> list[list[tuple[bool, list[tuple[list[str], bool]]]]] | None:
+    """Alternatives of a search text, each a list of (negated, [(words, prefix)]); None where it doesn't read.
+
+    Neighbouring items form one group, ``NOT`` negates a whole group, ``OR`` separates alternatives.
+    """
+    import re
+
+    pieces = re.findall(r'"[^"]*"\*?|[\w]+\*?|\S', query)
+    if any(not re.fullmatch(r'"[^"]*"\*?|\w+\*?', p) for p in pieces):
+        return None
+    alternatives: list = [[(False, [])]]
+    for p in pieces:
+        if p == "OR":
+            alternatives.append([(False, [])])
+        elif p in OPERATORS:
+            alternatives[-1].append((p == "NOT", []))
+        else:
+            alternatives[-1][-1][1].append((_words(p), p.endswith("*")))
+    groups = [g for a in alternatives for _, g in a]
+    return alternatives if all(g and all(words for words, _ in g) for g in groups) else None
+
+
+def search(tokens: DataFrame, query: str) -> DataFrame:
+    """[document_id, block_id] of blocks that a search text finds: words, ``"a phrase"``, ``pre*``, ``AND``, ``OR``, ``NOT``.
+
+    A text that doesn't read (a stray quote, sign or operator) is searched as one phrase; one
+    without any word finds nothing. Every item is a run of words; a token stands for each word
+    number that it can fill, and an item is found where all its numbers meet at one start.
+    """
+    alternatives = _items(query) or [[(False, [(_words(query), False)])]]
+    items = [i for a in alternatives for _, g in a for i in g]
+    fills = []
+    for n, (words, prefix) in enumerate(items):
+        for i, w in enumerate(words):
+            fits = F.col("term").startswith(w) if prefix and i == len(words) - 1 else F.col("term") == w
+            fills.append(F.when(fits, F.struct(F.lit(n).alias("item"), F.lit(i).alias("number"), F.lit(len(words)).alias("size"))))
+    if not fills:
+        return tokens.select("document_id", "block_id").where(F.lit(False))
+    hits = tokens.select("document_id", "block_id", "pos", F.explode(F.array_compact(F.array(*fills))).alias("f")).select("document_id", "block_id", "f.*", (F.col("pos") - F.col("f.number")).alias("at"))
+    found = hits.groupBy("document_id", "block_id", "item", "at").agg((F.countDistinct("number") == F.max("size")).alias("whole")).where("whole")
+    blocks = found.groupBy("document_id", "block_id").agg(F.collect_set("item").alias("has"))
+    wanted, n = F.lit(False), 0
+    for alternative in alternatives:
+        each = F.lit(True)
+        for negated, group in alternative:
+            every = F.lit(True)
+            for _ in group:
+                every, n = every & F.array_contains("has", n), n + 1
+            each = each & (~every if negated else every)
+        wanted = wanted | each
+    return blocks.where(wanted).select("document_id", "block_id")
+
+
+def search_with_titles(tokens: DataFrame, blocks: DataFrame, documents: DataFrame, query: str) -> DataFrame:
+    """[id, content, doc_title] of found blocks [document_id, block_id, text] with their documents' titles."""
+    hits = blocks.join(search(tokens, query).select("block_id").hint("merge"), "block_id", "left_semi")
+    titled = hits.join(documents.select(F.col("id").alias("document_id"), F.col("title").alias("doc_title")).hint("merge"), "document_id")
+    return titled.select(F.col("block_id").alias("id"), F.col("text").alias("content"), "doc_title")
+
+
+def block_vectors(blocks: DataFrame, cache: DataFrame) -> DataFrame:
+    """[document_id, id, text, vector] of blocks with a vector in the cache [block_id, vector]."""
+    return blocks.select("document_id", "block_id", "text").join(cache.select("block_id", "vector").hint("merge"), "block_id").select("document_id", F.col("block_id").alias("id"), "text", "vector")
+
+
 def match_not(tokens: DataFrame, wanted: str, unwanted: str) -> DataFrame:
     """Blocks with all wanted terms and none of the unwanted."""
     return match(tokens, wanted).join(match_any(tokens, unwanted).hint("merge"), ["document_id", "block_id"], "left_anti")
@@ -132,10 +201,21 @@ def dense(sparse: DataFrame, dims: int = 384) -> DataFrame:
     return cells.select("id", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("vector"))
 
 
-def similarities(targets: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
-    """[target_id, id, score]: cosine of every target with the candidates that share its key."""
-    left = targets.select(key, F.col("id").alias("target_id"), F.col("vector").alias("tv"))
-    return left.join(candidates.select(key, "id", "vector").hint("merge"), key).select("target_id", "id", tx.cosine(F.col("tv"), F.col("vector")).alias("score"))
+def similarities(targets: DataFrame, candidates: DataFrame, key: str, salts: int = 16) -> DataFrame:
+    """[target_id, id, score]: cosine of every target with the candidates that share its key.
+
+    A key's candidates are dealt over ``salts`` parts and its targets repeated for each, so a
+    key that holds much of the table is spread over tasks.
+    """
+    left = targets.select(key, F.col("id").alias("target_id"), F.col("vector").alias("tv"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_part"))
+    right = candidates.select(key, "id", "vector", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("_part"))
+    return left.join(right.hint("merge"), [key, "_part"]).select("target_id", "id", tx.cosine(F.col("tv"), F.col("vector")).alias("score"))
+
+
+def nearest(targets: DataFrame, candidates: DataFrame, key: str, k: int) -> DataFrame:
+    """[target_id, rank, id, score]: the ``k`` best candidates of every target among those that share its key, ties to smaller ids."""
+    best = Window.partitionBy("target_id").orderBy(F.desc("score"), "id")
+    return similarities(targets, candidates, key).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("target_id", "rank", "id", "score")
 
 
 def one_to_many(target: list[float], candidates: DataFrame) -> DataFrame:

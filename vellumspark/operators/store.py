@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellumspark.session import materialise
@@ -90,6 +90,32 @@ def promote(scratch: dict[str, DataFrame], content: dict[str, DataFrame], docume
     return found
 
 
+def publish(tables: dict[str, DataFrame], path: str, version: int) -> None:
+    """Writes tables as one version of a store; its marker is made last, so readers see all of them or none."""
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").parquet(f"{path}/v={version}/{name}")
+    spark = next(iter(tables.values())).sparkSession
+    fs, marker = _file(spark, f"{path}/published/{version}")
+    fs.create(marker, True).close()
+
+
+def published(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of the newest published version of a store; none before the first."""
+    fs, markers = _file(spark, f"{path}/published")
+    if not fs.exists(markers):
+        return {}
+    newest = max(int(s.getPath().getName()) for s in fs.listStatus(markers))
+    _, folder = _file(spark, f"{path}/v={newest}")
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    return {name: spark.read.parquet(f"{path}/v={newest}/{name}") for name in names}
+
+
+def _file(spark: SparkSession, path: str) -> tuple:
+    """(file system, path) as Hadoop objects."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
 def wipe(scratch: dict[str, DataFrame], document_ids: DataFrame) -> dict[str, DataFrame]:
     """Scratch tables without the listed documents' rows; documents and corpora stay."""
     out = {}

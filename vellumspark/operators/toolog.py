@@ -40,8 +40,24 @@ def repair_json(c: Column, aggressive: bool = False) -> Column:
     return F.concat(text, F.when(end["s"], '"').otherwise(""), end["stack"])
 
 
+#: Registered tools, by name in small letters (fixed values), and other names that reach them.
+TOOLS = ("queryagentdb", "createnode", "linknodes", "askhuman", "parsingcomplete", "queryvectordb", "readcontentdb", "createtag")
+ALIASES = {"parsecomplete": "parsingcomplete", "read_content_db": "readcontentdb"}
+
+
+def registered(tool: Column) -> Column:
+    """The registered name of a tool, whatever its case; null for an unknown one."""
+    small = F.lower(tool)
+    for alias, name in ALIASES.items():
+        small = F.when(small == alias, name).otherwise(small)
+    return F.when(small.isin(*TOOLS), small)
+
+
 def extract_calls(log: DataFrame) -> DataFrame:
-    """[session_id, seq, tool, args, status]: the tool call in a free text; status ok, repaired or malformed."""
+    """[session_id, seq, tool, args, status]: the tool call in a free text; status ok, repaired, nameless or malformed.
+
+    ``nameless`` is a JSON text without a tool: a failed call of an unknown tool, not a malformed text.
+    """
     start = F.instr("content", "{")
     body = F.when(start > 0, F.expr("substr(content, instr(content, '{'))"))
     tail = F.length(body) - F.instr(F.reverse(body), "}") + 1
@@ -55,7 +71,7 @@ def extract_calls(log: DataFrame) -> DataFrame:
     tool = F.try_variant_get("_v", "$.tool", "string")
     return calls.select(
         "session_id", "seq", tool.alias("tool"), F.try_variant_get("_v", "$.args", "string").alias("args"),
-        F.when(tool.isNull(), "malformed").when(ok.isNotNull(), "ok").otherwise("repaired").alias("status"),
+        F.when(parsed.isNull(), "malformed").when(tool.isNull(), "nameless").when(ok.isNotNull(), "ok").otherwise("repaired").alias("status"),
     )
 
 
@@ -71,9 +87,17 @@ def failure_streaks(results: DataFrame) -> DataFrame:
 
 
 def session_status(results: DataFrame, limit: int = 3) -> DataFrame:
-    """[session_id, status, seq]: the first terminal event: waiting after ``limit`` failures in a row, completed, or running."""
+    """[session_id, status, seq]: the first terminal event: waiting after ``limit`` failures in a row, completed, or running.
+
+    Where the results have them, ``broken`` marks a completion whose migration failed (error) and
+    ``asked`` a question to a human (waiting).
+    """
     streaks = failure_streaks(results)
-    event = F.when(F.col("done"), "completed").when(F.col("streak") >= limit, "waiting")
+
+    def marked(name: str) -> Column:
+        return F.col(name) if name in results.columns else F.lit(False)
+
+    event = F.when(F.col("done") & marked("broken"), "error").when(F.col("done"), "completed").when(marked("asked") | (F.col("streak") >= limit), "waiting")
     terminal = streaks.withColumn("_e", event)
     first = F.struct("ts", "seq")
     grouped = terminal.groupBy("session_id").agg(F.min_by("_e", F.when(F.col("_e").isNotNull(), first)).alias("e"), F.min_by("seq", F.when(F.col("_e").isNotNull(), first)).alias("seq"))
@@ -120,9 +144,27 @@ def validate_blocks(outputs: DataFrame) -> DataFrame:
 
 
 def malformed(calls: DataFrame, log: DataFrame) -> DataFrame:
-    """[session_id, seq, raw_content, error_message] of log entries without a usable call."""
+    """[session_id, seq, raw_content, error_message] of log entries without a JSON text, or with one that stays invalid after repair."""
     bad = calls.where("status = 'malformed'").select("session_id", "seq")
-    return log.join(bad.hint("merge"), ["session_id", "seq"], "left_semi").select("session_id", "seq", F.col("content").alias("raw_content"), F.lit("no tool call").alias("error_message"))
+    why = F.when(F.contains("content", F.lit("{")), "invalid JSON").otherwise("no tool call")
+    return log.join(bad.hint("merge"), ["session_id", "seq"], "left_semi").select("session_id", "seq", F.col("content").alias("raw_content"), why.alias("error_message"))
+
+
+def call_results(calls: DataFrame, log: DataFrame, failures: DataFrame) -> DataFrame:
+    """[session_id, ts, seq, failed, done, asked, broken] of extracted calls, as :func:`session_status` reads them.
+
+    ``log`` gives each entry's time; ``failures`` [session_id, seq] lists calls whose tool (or, for
+    a completion, whose migration) failed. Malformed, nameless and unknown calls fail by themselves.
+    """
+    name = registered(F.col("tool"))
+    timed = calls.join(log.select("session_id", "seq", "ts").hint("merge"), ["session_id", "seq"])
+    hit = failures.select("session_id", "seq", F.lit(True).alias("_hit")).distinct()
+    joined = timed.join(hit.hint("merge"), ["session_id", "seq"], "left").withColumn("_hit", F.coalesce("_hit", F.lit(False))).withColumn("_name", name)
+    done, asked = F.coalesce(F.col("_name") == "parsingcomplete", F.lit(False)), F.coalesce(F.col("_name") == "askhuman", F.lit(False))
+    return joined.select(
+        "session_id", "ts", "seq", (F.col("_name").isNull() | (F.col("_hit") & ~done)).alias("failed"),
+        done.alias("done"), (asked & ~F.col("_hit")).alias("asked"), (done & F.col("_hit")).alias("broken"),
+    )
 
 
 def replay(calls: DataFrame) -> dict[str, DataFrame]:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumspark.plans import extraction, records, trees
+from vellumspark.plans import extraction, lookups, records, trees
 
-_MODULES = (extraction, records, trees)
+_MODULES = (extraction, records, trees, lookups)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

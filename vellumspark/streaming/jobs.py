@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,35 +11,58 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from vellumspark.functions.text import checksum
-from vellumspark.operators.search import tokenise
+from vellumspark.functions.text import terms as folded_terms
 from vellumspark.session import ship
 
 
-def apply_changes(spark: SparkSession, changes: DataFrame, path: str, epoch: int) -> None:
+#: Batches between two rewrites of the whole index.
+COMPACT_EVERY = 20
+
+
+def apply_changes(spark: SparkSession, changes: DataFrame, path: str, epoch: int, compact_every: int = COMPACT_EVERY) -> None:
     """One batch of block changes [document_id, block_id, op, seq, text] into the token index at ``path``.
 
-    Only the last change of a block counts. Snapshots are written beside each other as
-    ``v=<epoch>`` folders, so a batch that runs again gives the same snapshot.
+    A batch writes only the tokens of its own blocks, and for each block a mark (a row without a
+    term) with the number of its last change, as ``v=<epoch>``. Every ``compact_every`` batches
+    the index is written as one ``b=<epoch>``. A batch that runs again gives the same files.
     """
-    order = Window.partitionBy("block_id").orderBy(F.desc("seq"))
-    last = changes.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
-    fresh = tokenise(last.where("op <> 'delete'"))
-    before = latest_snapshot(spark, path, epoch)
-    if before is not None:
-        fresh = before.join(last.select("block_id").hint("merge"), "block_id", "left_anti").select(*fresh.columns).unionByName(fresh)
-    fresh.write.mode("overwrite").parquet(f"{path}/v={epoch}")
+    order = Window.partitionBy("block_id").orderBy(F.desc("seq"), F.desc("op"), F.desc("text"))
+    last = changes.withColumn("_r", F.row_number().over(order)).where("_r = 1").withColumn("seq", F.col("seq").cast("long"))
+    terms = F.when(F.col("op") == "delete", F.array().cast("array<string>")).otherwise(F.coalesce(folded_terms(F.col("text")), F.array().cast("array<string>")))
+    rows = F.concat(F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("term"))), F.transform(terms, lambda t, i: F.struct(i.alias("pos"), t.alias("term"))))
+    last.select("document_id", "block_id", "seq", F.explode(rows).alias("t")).select("document_id", "block_id", "seq", "t.pos", "t.term").write.mode("overwrite").parquet(f"{path}/v={epoch}")
+    if (epoch + 1) % compact_every == 0:
+        newest_rows(spark, path, epoch).write.mode("overwrite").parquet(f"{path}/b={epoch}")
 
 
-def latest_snapshot(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The newest index snapshot, or the newest before an epoch; None if there is none."""
+def _written(spark: SparkSession, path: str, kind: str) -> list[int]:
+    """Numbers of the finished folders of a kind."""
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(root):
+        return []
+    folders = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith(f"{kind}=")]
+    return sorted(int(p.getName()[2:]) for p in folders if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def newest_rows(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame | None:
+    """Tokens and marks of every block's change with the highest number (a later batch wins a tie); None without any batch."""
+    bases = [b for b in _written(spark, path, "b") if upto is None or b < upto]
+    base = bases[-1] if bases else -1
+    batches = [v for v in _written(spark, path, "v") if v > base and (upto is None or v <= upto)]
+    parts = ([spark.read.parquet(f"{path}/b={base}").withColumn("batch", F.lit(base))] if bases else []) + [spark.read.parquet(f"{path}/v={v}").withColumn("batch", F.lit(v)) for v in batches]
+    if not parts:
         return None
-    found = [int(s.getPath().getName()[2:]) for s in fs.listStatus(root) if s.getPath().getName().startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    found = [v for v in found if before is None or v < before]
-    return spark.read.parquet(f"{path}/v={max(found)}") if found else None
+    rows = reduce(DataFrame.unionByName, parts)
+    wins = rows.where("term IS NULL").groupBy("block_id").agg(F.max(F.struct("seq", "batch")).alias("w")).select("block_id", "w.seq", "w.batch")
+    return rows.join(wins.hint("merge"), ["block_id", "seq", "batch"], "left_semi").select("document_id", "block_id", "seq", "pos", "term")
+
+
+def latest_snapshot(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The token index after its last batch, or after the last before an epoch; None if there is none."""
+    rows = newest_rows(spark, path, None if before is None else before - 1)
+    return rows if rows is None else rows.where("term IS NOT NULL").select("document_id", "block_id", "pos", "term")
 
 
 def stream_index(changes: DataFrame, path: str, checkpoint: str):
@@ -50,7 +74,10 @@ def stream_index(changes: DataFrame, path: str, checkpoint: str):
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _assemble(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _assemble(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, timeout_ms: int | None) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     n, parts = state.get if state.exists else (0, [])
     have = dict(enumerate(parts)) if parts else {}
     for pdf in frames:
@@ -59,15 +86,25 @@ def _assemble(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) ->
             have[int(i)] = data
     slots = [have.get(i) for i in range(n)]
     state.update((n, slots))
+    if timeout_ms:
+        state.setTimeoutDuration(timeout_ms)
     got = sum(x is not None for x in slots)
     yield pd.DataFrame({"tx": [key[0]], "progress": [got * 100.0 / n], "payload": ["".join(slots) if got == n else None]})
 
 
-def stream_reassemble(packets: DataFrame) -> DataFrame:
-    """[tx, progress, payload] after every batch; bad checksums are dropped, duplicates overwrite."""
+def stream_reassemble(packets: DataFrame, timeout_ms: int | None = None) -> DataFrame:
+    """[tx, progress, payload] after every batch; bad checksums are dropped, duplicates overwrite.
+
+    The state of a transfer stays for ever, or until it got no packet for ``timeout_ms``.
+    """
     ship(packets.sparkSession)
+
+    def assemble(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        return _assemble(key, frames, state, timeout_ms)
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
     good = packets.where(checksum(F.col("data")) == F.col("checksum"))
-    return good.withColumn("tx", F.col("tx").cast("string")).groupBy("tx").applyInPandasWithState(_assemble, "tx string, progress double, payload string", "n int, parts array<string>", "update", GroupStateTimeout.NoTimeout)
+    return good.withColumn("tx", F.col("tx").cast("string")).groupBy("tx").applyInPandasWithState(assemble, "tx string, progress double, payload string", "n int, parts array<string>", "update", timeout)
 
 
 def _streak(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
