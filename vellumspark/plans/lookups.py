@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -150,6 +151,8 @@ h3 AS (SELECT *, regexp_replace(CASE WHEN kind = 'loose' THEN part ELSE regexp_e
   row_number() OVER (PARTITION BY document_id ORDER BY pos) - 1 AS n FROM h2 WHERE kind IS NOT NULL WINDOW w AS (PARTITION BY document_id ORDER BY pos)),
 h4 AS (SELECT *, sha256(CASE WHEN image = 1 THEN 'p' || document_id || '.png' ELSE 'q.png' END) AS digest, CASE WHEN image = 1 THEN 'a page' ELSE '' END AS alt FROM h3)
 """
+#: The same over pages as they are.
+PLAIN_HTML = re.sub(r"'<h2>.*?</blockquote>' \|\| ", "", _HTML, flags=re.S)
 _NODE = "'{\"type\":\"text\",\"text\":' || to_json({0})::VARCHAR || ',\"bold\":null,\"italic\":null,\"code\":null}'"
 _DOC = "split_part(b.block_id, '-', 1)::BIGINT"
 
