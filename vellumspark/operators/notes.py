@@ -52,8 +52,8 @@ def _with_candidates(annotations: DataFrame, blocks: DataFrame) -> DataFrame:
     """
     inner = F.expr("array_max(transform(slice(w, 2, greatest(size(w) - 2, 0)), x -> struct(length(x) AS n, x AS x))).x")
     keyed = annotations.withColumn("w", F.split("needle", r"\s+")).withColumn("inner", inner).drop("w")
-    words = blocks.withColumn("inner", F.explode(F.array_distinct(F.split("text", r"\s+")))).drop("text")
-    named = keyed.where("inner IS NOT NULL").join(words.hint("merge"), ["document_id", "inner"]).drop("sort_order")
+    words = blocks.select("document_id", "block_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("inner"))
+    named = keyed.where("inner IS NOT NULL").join(words.hint("merge"), ["document_id", "inner"])
     named = named.join(blocks.hint("merge"), ["document_id", "block_id"])
     rest = keyed.where("inner IS NULL").join(blocks.hint("merge"), "document_id")
     return named.unionByName(rest).drop("inner")
@@ -280,10 +280,11 @@ def reanchor_loose(annotations: DataFrame, blocks: DataFrame) -> DataFrame:
     strict = reanchor(annotations, blocks).withColumn("mode", F.lit("strict"))
     rest = orphans(annotations, strict)
     best = Window.partitionBy("annotation_id").orderBy(F.desc("confidence"), "sort_order", "block_id", "start")
-    pairs = rest.join(blocks.select("document_id", F.col("block_id").alias("target"), "sort_order", "text").hint("merge"), "document_id")
-    pairs = pairs.withColumns({"prefix": F.coalesce("prefix", F.lit("")), "suffix": F.coalesce("suffix", F.lit(""))})
-    pairs = pairs.withColumns({"needle": tx.trimmed(F.col("highlighted_text")), "p": tx.trimmed(F.col("prefix")), "s": tx.trimmed(F.col("suffix"))}).where("needle <> ''")
-    near = pairs.withColumn("i", F.explode(occurrences(F.lower("text"), F.lower("needle"))))
+    rest = rest.withColumns({"prefix": F.coalesce("prefix", F.lit("")), "suffix": F.coalesce("suffix", F.lit("")), "wanted": tx.trimmed(F.col("highlighted_text"))}).where("wanted <> ''")
+    rest = rest.select("document_id", "annotation_id", "wanted", "prefix", "suffix", "offset", tx.trimmed(F.col("prefix")).alias("p"), tx.trimmed(F.col("suffix")).alias("s"))
+    texts = blocks.select("document_id", "block_id", "sort_order", "text")
+    near = _with_candidates(rest.withColumn("needle", F.lower("wanted")), texts.withColumns({"raw": F.col("text"), "text": F.lower("text")}))
+    near = near.withColumn("i", F.explode(occurrences(F.col("text"), F.col("needle")))).drop("needle", "text").withColumnsRenamed({"wanted": "needle", "raw": "text"})
     near = near.withColumns({
         "l": F.expr("lower(right(substr(text, 1, i), length(prefix)))"), "r": F.expr("lower(substr(text, i + length(needle) + 1, length(suffix)))"),
         "start": F.expr("octet_length(substr(text, 1, i))"), "n": F.expr("octet_length(substr(text, i + 1, length(needle)))"), "p": F.lower("p"), "s": F.lower("s"),
@@ -292,11 +293,11 @@ def reanchor_loose(annotations: DataFrame, blocks: DataFrame) -> DataFrame:
     has_s = F.expr("s <> '' AND r <> '' AND (contains(r, left(s, 10)) OR contains(s, left(r, 10)))")
     penalty = F.when(F.col("offset") > 0, F.least(F.lit(0.15), F.abs(F.col("start") - F.col("offset")) / 20000.0)).otherwise(0.0)
     score = F.lit(0.4) + F.when(has_p, 0.2).otherwise(0.0) + F.when(has_s, 0.2).otherwise(0.0) - penalty
-    cased = near.select("annotation_id", F.col("target").alias("block_id"), "sort_order", "start", "n", score.alias("confidence"))
+    cased = near.select("annotation_id", "block_id", "sort_order", "start", "n", score.alias("confidence"))
     cased = cased.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("annotation_id", "block_id", "start", (F.col("start") + F.col("n")).alias("end"), "confidence", F.lit("case").alias("mode"))
-    placed = pairs.where("p <> ''").withColumn("j", F.instr("text", F.col("p"))).where("j > 0")
+    placed = _with_candidates(rest.where("p <> ''").withColumn("needle", F.col("p")), texts).drop("needle").withColumnRenamed("wanted", "needle").withColumn("j", F.instr("text", F.col("p"))).where("j > 0")
     start = F.octet_length(F.expr("substr(text, 1, j - 1 + length(p))"))
-    by_prefix = placed.select("annotation_id", F.col("target").alias("block_id"), "sort_order", start.alias("start"), F.octet_length("needle").alias("n"), F.octet_length("text").alias("size"), F.lit(0.4).alias("confidence"))
+    by_prefix = placed.select("annotation_id", "block_id", "sort_order", start.alias("start"), F.octet_length("needle").alias("n"), F.octet_length("text").alias("size"), F.lit(0.4).alias("confidence"))
     by_prefix = by_prefix.join(cased.where("confidence >= 0.4").select("annotation_id").hint("merge"), "annotation_id", "left_anti").withColumn("_r", F.row_number().over(best)).where("_r = 1")
     by_prefix = by_prefix.select("annotation_id", "block_id", "start", F.least(F.col("start") + F.col("n"), F.col("size")).alias("end"), "confidence", F.lit("prefix").alias("mode"))
     weak = cased.join(by_prefix.select("annotation_id").hint("merge"), "annotation_id", "left_anti")

@@ -18,6 +18,16 @@ _AT = "list_filter(range(0, length({t})), lambda i: substr({t}, i + 1, length({n
 _SIDE = "list_max(list_filter(range(0, strlen({0}) + 1), lambda k: strlen({1}) <= strlen({0})))"
 _TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 
+#: Scored occurrences ``y`` of annotations ``an``, numbered from the best.
+_ANCHORS = f"""
+m AS (SELECT annotation_id, document_id, {_TRIM.format("highlighted_text")} AS needle, prefix, suffix, {_TRIM.format("prefix")} AS p, {_TRIM.format("suffix")} AS s FROM an),
+c AS (SELECT m.*, b.block_id, b.sort_order, b.text, unnest({_AT.format(t="b.text", n="needle")}) AS i FROM m JOIN b ON m.document_id = b.document_id AND contains(b.text, needle) WHERE needle <> ''),
+w AS (SELECT *, strlen(left(text, i)) AS start, right(left(text, i), {_SIDE.format("prefix", "right(left(text, i), k)")}) AS l, substr(text, i + length(needle) + 1, {_SIDE.format("suffix", "substr(text, i + length(needle) + 1, k)")}) AS r FROM c),
+x AS (SELECT *, 0.5::DOUBLE + CASE WHEN p <> '' AND l <> '' AND (contains(l, right(p, 10)) OR contains(p, l)) THEN 0.25 ELSE 0 END + CASE WHEN s <> '' AND r <> '' AND (contains(r, left(s, 10)) OR contains(s, r)) THEN 0.25 ELSE 0 END
+  - least(0.15, abs(start - 20) / 20000.0::DOUBLE) AS score FROM w),
+y AS (SELECT *, row_number() OVER (PARTITION BY annotation_id ORDER BY score DESC, sort_order, block_id, start) AS n FROM x)
+"""
+
 ORACLE = {
     "d5_packetise": "WITH " + _PACKETS + "SELECT tx, i, n, format('{:x}', list_reduce(list_prepend(5381::BIGINT, list_transform(string_split(data, ''), lambda g: unicode(g)::BIGINT)), lambda h, g: xor((h * 33) & 4294967295, g))) AS checksum, data FROM k",
     "d7_reassemble": "WITH " + _PACKETS + "SELECT tx, round(count(*) * 100 / max(n), 6) AS progress, CASE WHEN count(*) = max(n) THEN string_agg(data, '' ORDER BY i) END AS payload FROM k WHERE NOT (tx % 5 = 0 AND i = 1) GROUP BY tx",
@@ -43,12 +53,17 @@ v AS (SELECT *, coalesce(lag(e) OVER w, 0) AS before, lead(s) OVER w IS NULL AS
 p AS (SELECT block_id, before AS pos, substr(text, before + 1, s - before) AS text, false AS is_highlighted, NULL AS color, NULL AS annotation_id FROM v UNION ALL SELECT block_id, s, substr(text, s + 1, e - s), true, color, annotation_id FROM v
   UNION ALL SELECT block_id, e, substr(text, e + 1), false, NULL, NULL FROM v WHERE last UNION ALL SELECT block_id, 0, text, false, NULL, NULL FROM b WHERE block_id NOT IN (SELECT block_id FROM u))
 SELECT block_id, (row_number() OVER (PARTITION BY block_id ORDER BY pos) - 1)::INT AS n, text, is_highlighted, color, annotation_id FROM p WHERE text <> ''""",
-    "d2_reanchor": "WITH " + _AN + f""",
-m AS (SELECT annotation_id, document_id, {_TRIM.format("highlighted_text")} AS needle, prefix, suffix, {_TRIM.format("prefix")} AS p, {_TRIM.format("suffix")} AS s FROM an),
-c AS (SELECT m.*, b.block_id, b.sort_order, b.text, unnest({_AT.format(t="b.text", n="needle")}) AS i FROM m JOIN b ON m.document_id = b.document_id AND contains(b.text, needle) WHERE needle <> ''),
-w AS (SELECT *, strlen(left(text, i)) AS start, right(left(text, i), {_SIDE.format("prefix", "right(left(text, i), k)")}) AS l, substr(text, i + length(needle) + 1, {_SIDE.format("suffix", "substr(text, i + length(needle) + 1, k)")}) AS r FROM c),
-x AS (SELECT *, 0.5::DOUBLE + CASE WHEN p <> '' AND l <> '' AND (contains(l, right(p, 10)) OR contains(p, l)) THEN 0.25 ELSE 0 END + CASE WHEN s <> '' AND r <> '' AND (contains(r, left(s, 10)) OR contains(s, r)) THEN 0.25 ELSE 0 END
-  - least(0.15, abs(start - 20) / 20000.0::DOUBLE) AS score FROM w),
-y AS (SELECT *, row_number() OVER (PARTITION BY annotation_id ORDER BY score DESC, sort_order, block_id, start) AS n FROM x)
-SELECT annotation_id, block_id, start::INT AS start, (start + strlen(needle))::INT AS "end", round(greatest(0.1, least(1.0, score)), 6) AS confidence FROM y WHERE n = 1 AND score >= 0.4""",
+    "d2_reanchor": "WITH " + _AN + "," + _ANCHORS + """SELECT annotation_id, block_id, start::INT AS start, (start + strlen(needle))::INT AS "end", round(greatest(0.1, least(1.0, score)), 6) AS confidence FROM y WHERE n = 1 AND score >= 0.4""",
+    "d3_reanchor_loose": "WITH " + _AN.replace("an AS (", "an0 AS (") + """, an AS (SELECT * REPLACE (CASE WHEN color = 'red' THEN 'Absent Text!' ELSE upper(replace(highlighted_text, 'ß', 'ss')) END AS highlighted_text) FROM an0),""" + _ANCHORS + f""",
+st AS (SELECT annotation_id, block_id, start::INT AS start, (start + strlen(needle))::INT AS "end", greatest(0.1, least(1.0, score)) AS confidence, 'strict' AS mode FROM y WHERE n = 1 AND score >= 0.4),
+z AS (SELECT m.*, b.block_id, b.sort_order, b.text FROM m JOIN b ON m.document_id = b.document_id WHERE needle <> '' AND annotation_id NOT IN (SELECT annotation_id FROM st)),
+n0 AS (SELECT * REPLACE (lower(p) AS p, lower(s) AS s), unnest({_AT.format(t="lower(text)", n="lower(needle)")}) AS i FROM z WHERE contains(lower(text), lower(needle))),
+n1 AS (SELECT *, lower(right(left(text, i), length(prefix))) AS l, lower(substr(text, i + length(needle) + 1, length(suffix))) AS r, strlen(left(text, i)) AS start, strlen(substr(text, i + 1, length(needle))) AS size FROM n0),
+n2 AS (SELECT *, 0.4::DOUBLE + CASE WHEN p <> '' AND l <> '' AND (contains(l, right(p, 10)) OR contains(p, right(l, 10))) THEN 0.2 ELSE 0 END + CASE WHEN s <> '' AND r <> '' AND (contains(r, left(s, 10)) OR contains(s, left(r, 10))) THEN 0.2 ELSE 0 END
+  - least(0.15, abs(start - 20) / 20000.0::DOUBLE) AS confidence FROM n1),
+cs AS (SELECT annotation_id, block_id, start::INT AS start, (start + size)::INT AS "end", confidence, 'case' AS mode FROM n2 QUALIFY row_number() OVER (PARTITION BY annotation_id ORDER BY confidence DESC, sort_order, block_id, start) = 1),
+p0 AS (SELECT *, strlen(left(text, instr(text, p) - 1 + length(p))) AS start FROM z WHERE p <> '' AND contains(text, p) AND annotation_id NOT IN (SELECT annotation_id FROM cs WHERE confidence >= 0.4)),
+px AS (SELECT annotation_id, block_id, start::INT AS start, least(start + strlen(needle), strlen(text))::INT AS "end", 0.4::DOUBLE AS confidence, 'prefix' AS mode FROM p0 QUALIFY row_number() OVER (PARTITION BY annotation_id ORDER BY sort_order, block_id, start) = 1),
+a AS (SELECT * FROM st UNION ALL SELECT * FROM cs WHERE annotation_id NOT IN (SELECT annotation_id FROM px) UNION ALL SELECT * FROM px)
+SELECT * REPLACE (round(confidence, 6) AS confidence) FROM a""",
 }
