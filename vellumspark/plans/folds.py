@@ -1,19 +1,14 @@
-"""Oracle SQL of queries whose operators fold: packets, pages, segments, anchors, sections and scans."""
+"""Oracle SQL of queries whose operators fold: reading order, pages, segments, anchors, sections and scans."""
 
 from __future__ import annotations
 
-from vellumspark.plans.extraction import _MD
+from vellumspark.plans.extraction import _LINES, _MD
 from vellumspark.plans.extraction import ORACLE as _EXTRACTION
 from vellumspark.plans.lookups import PLAIN_HTML
-from vellumspark.plans.records import _AN, _HT
+from vellumspark.plans.records import _AN, _HT, _PAGES
 
 QUERIES: dict = {}
 
-_CUT = "CASE WHEN {a} + 512 >= n THEN n" + "".join(f" WHEN substr(x, 2 * ({{a}} + {k}) + 1, 1) NOT IN ('8', '9', 'A', 'B') THEN {{a}} + {k}" for k in (512, 511, 510)) + " ELSE {a} + 509 END"
-_PACKETS = f"""RECURSIVE d AS (SELECT doc_id AS tx, hex(encode(text)) AS x, strlen(text)::INT AS n FROM documents WHERE text <> ''),
-c AS (SELECT tx, 0::INT AS i, 0::INT AS a, ({_CUT.format(a="0")})::INT AS e FROM d UNION ALL SELECT c.tx, (i + 1)::INT, e, ({_CUT.format(a="e")})::INT FROM c JOIN d ON c.tx = d.tx WHERE e < n),
-k AS (SELECT tx, i, (count(*) OVER (PARTITION BY tx))::INT AS n, decode(unhex(substr(x, 2 * a + 1, 2 * (e - a)))) AS data FROM c JOIN d USING (tx))
-"""
 _AT = "list_filter(range(0, length({t})), lambda i: substr({t}, i + 1, length({n})) = {n})"
 _SIDE = "list_max(list_filter(range(0, strlen({0}) + 1), lambda k: strlen({1}) <= strlen({0})))"
 _TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
@@ -28,9 +23,29 @@ x AS (SELECT *, 0.5::DOUBLE + CASE WHEN p <> '' AND l <> '' AND (contains(l, rig
 y AS (SELECT *, row_number() OVER (PARTITION BY annotation_id ORDER BY score DESC, sort_order, block_id, start) AS n FROM x)
 """
 
+#: Reading order ``ro`` of the pages' tokens: lines of a page, its columns, rows of a column, then positions.
+_ORDER = """RECURSIVE """ + _PAGES + """,
+k AS (SELECT document_id, page, token_no, "left" AS a, bottom AS b, "right" AS c, top AS d, text, row_number() OVER (PARTITION BY document_id, page ORDER BY bottom DESC, token_no) AS k FROM tokens),
+ln AS (SELECT document_id, page, 1::BIGINT AS k, [[a, b, c, d]] AS lines FROM k WHERE k = 1
+  UNION ALL SELECT document_id, page, k, CASE WHEN hit IS NULL THEN list_append(lines, [a, b, c, d]) ELSE list_concat(list_append(lines[:hit - 1], [least(lines[hit][1], a), least(lines[hit][2], b), greatest(lines[hit][3], c), greatest(lines[hit][4], d)]), lines[hit + 1:]) END
+  FROM (SELECT k.*, ln.lines, nullif(coalesce(list_position(list_transform(ln.lines, lambda x: abs((x[2] + x[4]) / 2 - (k.b + k.d) / 2) < 8), true), 0), 0) AS hit FROM ln JOIN k ON ln.document_id = k.document_id AND ln.page = k.page AND k.k = ln.k + 1)),
+two AS (SELECT document_id, page, l + r > 2 * (len(lines) - l - r) AS two FROM (
+  SELECT document_id, page, lines, len(list_filter(lines, lambda x: x[3] < 300)) AS l, len(list_filter(lines, lambda x: x[1] > 300 AND x[3] >= 300)) AS r FROM ln QUALIFY row_number() OVER (PARTITION BY document_id, page ORDER BY k DESC) = 1)),
+cl AS (SELECT k.* EXCLUDE (k), (two AND (a + c) / 2 >= 300)::INT AS col FROM k JOIN two USING (document_id, page)),
+cn AS (SELECT *, row_number() OVER (PARTITION BY document_id, page, col ORDER BY (b + d) / 2 DESC, token_no) AS k FROM cl),
+rw AS (SELECT *, 0::BIGINT AS line, (b + d) / 2 AS head FROM cn WHERE k = 1
+  UNION ALL SELECT cn.*, CASE WHEN abs(rw.head - (cn.b + cn.d) / 2) < 8 THEN rw.line ELSE rw.line + 1 END, CASE WHEN abs(rw.head - (cn.b + cn.d) / 2) < 8 THEN rw.head ELSE (cn.b + cn.d) / 2 END
+  FROM rw JOIN cn ON rw.document_id = cn.document_id AND rw.page = cn.page AND rw.col = cn.col AND cn.k = rw.k + 1),
+ro AS (SELECT document_id, page, token_no, col AS "column", line::INT AS line, (row_number() OVER (PARTITION BY document_id, page ORDER BY col, line, a, k) - 1)::INT AS rank, text FROM rw)
+"""
+
 ORACLE = {
-    "d5_packetise": "WITH " + _PACKETS + "SELECT tx, i, n, format('{:x}', list_reduce(list_prepend(5381::BIGINT, list_transform(string_split(data, ''), lambda g: unicode(g)::BIGINT)), lambda h, g: xor((h * 33) & 4294967295, g))) AS checksum, data FROM k",
-    "d7_reassemble": "WITH " + _PACKETS + "SELECT tx, round(count(*) * 100 / max(n), 6) AS progress, CASE WHEN count(*) = max(n) THEN string_agg(data, '' ORDER BY i) END AS payload FROM k WHERE NOT (tx % 5 = 0 AND i = 1) GROUP BY tx",
+    "p8_reading_order": "WITH " + _ORDER + "SELECT * FROM ro",
+    "p9_page_text": "WITH " + _ORDER + """, w AS (SELECT document_id, page, string_agg(text, ' ' ORDER BY rank) AS words FROM ro GROUP BY ALL),
+im AS (SELECT doc_id::VARCHAR AS document_id, unnest(range(1, greatest((length(text) + 399) // 400, 1) + 1))::INT AS page, ' [Image: local-asset://' || doc_id || '.png] ' AS tag FROM documents WHERE doc_id % 3 = 0)
+SELECT coalesce(w.document_id, im.document_id) AS document_id, coalesce(w.page, im.page) AS page, trim(coalesce(words, '') || coalesce(tag, '')) AS text FROM w FULL JOIN im ON w.document_id = im.document_id AND w.page = im.page""",
+    "v1_block_embedding": "WITH " + _LINES + _EXTRACTION["v1_hash_embedding"].replace("WITH w AS", ", w AS").replace("item_id AS id", "block_id AS id").replace("FROM benchmark", "FROM b")
+    + " UNION ALL SELECT block_id, 0, 1.0 FROM b WHERE block_id NOT IN (SELECT id FROM g)",
     "s1_scan_corpus": "WITH " + _MD + "SELECT 'text' AS format, (sum(length(text)) + count(*))::BIGINT AS chars FROM md",
     "p23_to_sections": "WITH q AS (" + _EXTRACTION["p13_delineate"] + ") SELECT document_id, count(*) FILTER (block_type = 'heading') + (arg_min(block_type, sort_order) <> 'heading')::INT AS sections FROM q GROUP BY document_id",
     "p3_html_blocks": "WITH " + PLAIN_HTML + "SELECT document_id, section::INT AS section, n::INT AS sort_order, CASE WHEN kind = 'loose' THEN 'paragraph' ELSE kind END AS block_type, CASE WHEN kind = 'heading' THEN part[3]::INT END AS depth, text FROM h3",

@@ -23,4 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Oracle SQL by query name."""
-    return {k: s for m in _MODULES for k, s in m.ORACLE.items()}
+    found = [(k, s) for m in _MODULES for k, s in m.ORACLE.items()]
+    if len(dict(found)) < len(found):
+        raise ValueError("a query has two oracles")
+    return dict(found)
