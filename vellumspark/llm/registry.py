@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumspark.llm import chat, licenses, minhash, mixing, packing, quality, rules, search, toxicity, urls
+from vellumspark.llm import chat, licenses, minhash, mixing, packing, periodic, quality, rules, search, spelling, toxicity, treebpe, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_top_k": search.op9_top_k,
         "op10_quality_rules": rules.op10_quality_rules,
+        "op11_periodic_runs": periodic.op11_periodic_runs,
+        "op12_encode_decode": treebpe.op12_encode_decode,
+        "op13_spelling_variants": spelling.op13_spelling_variants,
     }
 
 
