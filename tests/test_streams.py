@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from vellumspark.operators import notes as no
+from vellumspark.operators import postings
 from vellumspark.operators import toolog as tl
 from vellumspark.operators.search import tokenise
 from vellumspark.streaming import jobs
@@ -48,8 +49,8 @@ def test_index_over_batches(spark, tmp_path):
     first = [("d", "a", "insert", 1, "one two"), ("d", "b", "insert", 2, "three"), ("d", "c", "insert", 3, "four")]
     second = [("d", "a", "update", 4, "five six"), ("d", "b", "delete", 5, None), ("d", "a", "update", 6, "seven")]
     for n, rows in enumerate([first, second]):
-        jobs.apply_changes(spark, spark.createDataFrame(rows, schema), str(tmp_path / "index"), n)
-        jobs.apply_changes(spark, spark.createDataFrame(rows, schema), str(tmp_path / "index"), n)  # a batch that runs again
+        postings.apply_changes(spark, spark.createDataFrame(rows, schema), str(tmp_path / "index"), n)
+        postings.apply_changes(spark, spark.createDataFrame(rows, schema), str(tmp_path / "index"), n)  # a batch that runs again
     final = tokenise(spark.createDataFrame([("d", "a", "seven"), ("d", "c", "four")], "document_id string, block_id string, text string"))
     got = jobs.latest_snapshot(spark, str(tmp_path / "index"))
     assert {tuple(r) for r in got.select("block_id", "term", "pos").collect()} == {tuple(r) for r in final.select("block_id", "term", "pos").collect()}

@@ -13,10 +13,10 @@ from vellumspark.session import ship
 
 
 def tags_with_authors(tags: DataFrame, block_tags: DataFrame, annotations: DataFrame) -> DataFrame:
-    """[id, name, author_ids]: tags with the distinct authors of notes on their blocks, comma-joined."""
+    """[id, name, source, author_ids]: tags with the distinct authors of notes on their blocks, comma-joined; ``source`` where the tags have it."""
     pairs = block_tags.join(annotations.select("block_id", "author_id").distinct().hint("merge"), "block_id").select("tag_id", "author_id").distinct()
     authors = pairs.groupBy("tag_id").agg(F.array_join(F.array_sort(F.collect_set("author_id")), ",").alias("author_ids"))
-    return tags.join(authors.withColumnRenamed("tag_id", "id").hint("merge"), "id", "left").select("id", "name", "author_ids")
+    return tags.join(authors.withColumnRenamed("tag_id", "id").hint("merge"), "id", "left").select("id", "name", *[c for c in ("source",) if c in tags.columns], "author_ids")
 
 
 def tag_cooccurrence(block_tags: DataFrame) -> DataFrame:
@@ -121,12 +121,37 @@ def packetise(payloads: DataFrame, most: int = 512) -> DataFrame:
 
 
 def reassemble(packets: DataFrame) -> DataFrame:
-    """[tx, progress, payload]: packets with a right checksum, ordered; the payload only when complete."""
-    good = packets.where(tx.checksum(F.col("data")) == F.col("checksum")).dropDuplicates(["tx", "i"])
+    """[tx, progress, payload]: packets with a right checksum, ordered; the payload only when complete.
+
+    Of several packets with one index the last one stays: that with the highest ``arrival``. Where
+    that is null, missing or equal, the greatest text stays (a null arrival comes first).
+    """
+    order = F.struct(F.col("arrival") if "arrival" in packets.columns else F.lit(0).alias("arrival"), "data")
+    good = packets.where(tx.checksum(F.col("data")) == F.col("checksum")).groupBy("tx", "i").agg(F.max("n").alias("n"), F.max(order)["data"].alias("data"))
     joined = good.groupBy("tx").agg(F.max("n").alias("n"), F.count("*").alias("got"), F.expr("listagg(data, '') WITHIN GROUP (ORDER BY i)").alias("all"))
     return joined.select("tx", (F.col("got") * 100 / F.col("n")).alias("progress"), F.when(F.col("got") == F.col("n"), F.col("all")).alias("payload"))
 
 
+def to_wire(packets: DataFrame) -> DataFrame:
+    """[tx, i, line]: packets as they are sent, ``tx|i|n|checksum|data``."""
+    return packets.select("tx", "i", F.concat_ws("|", *[F.col(c).cast("string") for c in ("tx", "i", "n", "checksum", "data")]).alias("line"))
+
+
+def from_wire(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(packets [arrival, tx, i, n, checksum, data], rejects [arrival, line, reason]) of received lines [arrival, line].
+
+    The data may hold ``|``. Reasons: ``fields`` (fewer than five, or no name of a transfer), ``number`` (an
+    index or a count that is none, or an index outside the count), ``checksum``.
+    """
+    part = F.split("line", r"\|", 5)
+    read = lines.withColumns({"tx": F.get(part, 0), "i": F.expr("try_cast(get(split(line, '[|]', 5), 1) AS int)"), "n": F.expr("try_cast(get(split(line, '[|]', 5), 2) AS int)"), "checksum": F.get(part, 3), "data": F.get(part, 4)})
+    whole = F.coalesce(F.col("data").isNotNull() & (F.col("tx") != ""), F.lit(False))
+    numbered = F.coalesce((F.col("i") >= 0) & (F.col("i") < F.col("n")), F.lit(False))
+    reason = F.when(~whole, "fields").when(~numbered, "number").when(tx.checksum(F.col("data")) != F.col("checksum"), "checksum")
+    read = read.withColumn("reason", reason)
+    return read.where("reason IS NULL").select("arrival", "tx", "i", "n", "checksum", "data"), read.where("reason IS NOT NULL").select("arrival", "line", "reason")
+
+
 def split_conflict(df: DataFrame) -> DataFrame:
     """[id, ours, theirs] of notes with conflict markers."""
     pattern = r"(?s)<<<<<<< OURS\n(.*?)\n?=======\n(.*?)\n?>>>>>>> THEIRS"
@@ -249,9 +274,10 @@ def merge_highlights(spans: DataFrame) -> DataFrame:
 
 
 def export_notes(documents: DataFrame, annotations: DataFrame) -> DataFrame:
-    """[document_id, payload_json]: a document with its annotations, in order of id."""
+    """[document_id, payload_json]: every document with its annotations, in order of id. Files: :mod:`vellumspark.sources.backup`."""
     grouped = annotations.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("id", "block_id", "highlighted_text", "note_body", "author_id"))).alias("annotations"))
-    joined = documents.select("document_id", "title", "sha256_hash").join(grouped.hint("merge"), "document_id")
+    joined = documents.select("document_id", "title", "sha256_hash").join(grouped.hint("merge"), "document_id", "left")
+    joined = joined.withColumn("annotations", F.coalesce("annotations", F.array().cast(dict(grouped.dtypes)["annotations"])))
     payload = F.to_json(F.struct(F.lit(1).alias("schema_version"), F.struct("title", "sha256_hash").alias("document"), "annotations"))
     return joined.select("document_id", payload.alias("payload_json"))
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumspark.functions import text as tx
+from vellumspark.session import materialise, ship
 
 
 def tokenise(blocks: DataFrame) -> DataFrame:
@@ -212,10 +215,64 @@ def similarities(targets: DataFrame, candidates: DataFrame, key: str, salts: int
     return left.join(right.hint("merge"), [key, "_part"]).select("target_id", "id", tx.cosine(F.col("tv"), F.col("vector")).alias("score"))
 
 
-def nearest(targets: DataFrame, candidates: DataFrame, key: str, k: int) -> DataFrame:
-    """[target_id, rank, id, score]: the ``k`` best candidates of every target among those that share its key, ties to smaller ids."""
+def _cell(own: pa.Table, others: pa.Table, k: int) -> pa.Table:
+    """The ``k`` best of ``others`` for every target of a cell, by one matrix product.
+
+    The product picks the candidates, with room for its rounding; their scores are then added up in
+    the order of the components, as :func:`vellumspark.functions.text.cosine` does.
+    """
+    targets, rows = own["vector"].to_pylist(), others["vector"].to_pylist()
+    usable = lambda v: v is not None and len(v) > 0 and None not in v
+    sizes_t, sizes_c = (np.array([len(v) if usable(v) else -1 for v in x]) for x in (targets, rows))
+    scores = np.zeros((len(targets), len(rows)))
+    for n in np.unique(sizes_t[sizes_t > 0]):
+        a, b = np.flatnonzero(sizes_t == n), np.flatnonzero(sizes_c == n)
+        if len(b):
+            x, y = (np.array([v[i] for i in at], float) for v, at in ((targets, a), (rows, b)))
+            norms = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :]
+            scores[np.ix_(a, b)] = np.divide(x @ y.T, norms, out=np.zeros_like(norms), where=norms > 0)
+    ids, out = others["id"].to_pylist(), ([], [], [])
+    for t in range(len(targets)):
+        least = np.partition(scores[t], len(rows) - k)[len(rows) - k] - 1e-9 if len(rows) > k else -np.inf
+        near = np.flatnonzero(scores[t] >= least)
+        exact = np.zeros(len(near))
+        same = np.flatnonzero((sizes_c[near] == sizes_t[t]) & (sizes_t[t] > 0))
+        if len(same):
+            x, y = np.array(targets[t], float), np.array([rows[i] for i in near[same]], float)
+            dot, own_norm, norm = (np.cumsum(v, axis=-1)[..., -1] for v in (x * y, x * x, y * y))
+            scale = np.sqrt(own_norm) * np.sqrt(norm)
+            exact[same] = np.divide(dot, scale, out=np.zeros_like(dot), where=scale > 0)
+        best = sorted(zip((-exact).tolist(), [ids[i] for i in near], strict=True))[:k]
+        out[0].extend([own["id"][t].as_py()] * len(best))
+        out[1].extend(i for _, i in best)
+        out[2].extend(-s for s, _ in best)
+    return pa.table({"target_id": pa.array(out[0], own.schema.field("id").type), "id": pa.array(out[1], others.schema.field("id").type), "score": pa.array(out[2], pa.float64())})
+
+
+def nearest(targets: DataFrame, candidates: DataFrame, key: str, k: int, block: int = 2048) -> DataFrame:
+    """[target_id, rank, id, score]: the ``k`` best candidates of every target among those that share its key, ties to smaller ids.
+
+    A key's targets and candidates are dealt to blocks; every pair of blocks is a cell of a grid, one
+    matrix product that leaves ``k`` rows a target. So no pairs are rows, a key that holds much of
+    the table is spread over cells, and a task holds two blocks. Vectors of another length, without
+    a norm, null or with null components score 0; ids may not be null.
+    """
+    ship(targets.sparkSession)
+    kinds = [dict(x.dtypes)["id"] for x in (targets, candidates)]
+    counted = targets.groupBy(key).agg(F.count("*").alias("t")).join(candidates.groupBy(key).agg(F.count("*").alias("c")).hint("merge"), key)
+    grid = materialise(counted.select(key, *[F.ceil(F.col(n) / block).cast("int").alias(n) for n in ("t", "c")]), "grid")
+
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        spread = rows.select(*[F.col(c).alias(c) for c in (key, "id", "vector")]).join(grid.hint("merge"), key).withColumn(f"_{own}", F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
+        return spread.withColumn(f"_{other}", F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select(key, "_t", "_c", "id", "vector")
+
+    def cell(own: pa.Table, others: pa.Table) -> pa.Table:
+        return _cell(own, others, k)
+
+    sides = [x.groupBy(key, "_t", "_c") for x in (dealt(targets, "t", "c"), dealt(candidates, "c", "t"))]
+    found = sides[0].cogroup(sides[1]).applyInArrow(cell, f"target_id {kinds[0]}, id {kinds[1]}, score double")
     best = Window.partitionBy("target_id").orderBy(F.desc("score"), "id")
-    return similarities(targets, candidates, key).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("target_id", "rank", "id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("target_id", "rank", "id", "score")
 
 
 def one_to_many(target: list[float], candidates: DataFrame) -> DataFrame:
@@ -248,3 +305,37 @@ def context_for(ranked: DataFrame, budget: int) -> DataFrame:
     """Blocks in rank order while their running token count (words) fits the budget, per document."""
     order = Window.partitionBy("document_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     return ranked.withColumn("running_tokens", F.sum(tx.word_count(F.col("text"))).over(order)).where(F.col("running_tokens") <= budget)
+
+
+def offsets(pieces: DataFrame, order: str, joint: int) -> DataFrame:
+    """Pieces [document_id, order, text] with begin and end, their places in a text that joins them by ``joint`` characters."""
+    before = Window.partitionBy("document_id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.coalesce(F.sum(F.length("text") + joint).over(before), F.lit(0))
+    return pieces.withColumn("begin", begin).withColumn("end", F.col("begin") + F.length("text"))
+
+
+def overlapping(left: DataFrame, right: DataFrame, width: int = 1024) -> DataFrame:
+    """Columns of both sides where spans [begin, end) of one document overlap; ``right``'s spans are named r_begin and r_end.
+
+    Spans are listed under the bins of ``width`` characters that they touch, and a pair is kept in the
+    first bin that both touch; so a long document's spans meet near ones only.
+    """
+    bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.greatest(F.col(b) - 1, F.col(a)) / width)))
+    x, y = left.withColumn("_bin", bins("begin", "end")), right.withColumn("_bin", bins("r_begin", "r_end"))
+    first = F.greatest(F.floor(F.col("begin") / width), F.floor(F.col("r_begin") / width))
+    near = x.join(y.hint("merge"), ["document_id", "_bin"]).where((F.col("begin") < F.col("r_end")) & (F.col("r_begin") < F.col("end")))
+    return near.where(F.col("_bin") == first).drop("_bin")
+
+
+def answer_context(ranked: DataFrame, blocks: DataFrame, chunks: DataFrame, budget: int) -> DataFrame:
+    """[document_id, seq, rank, text, running_tokens]: the chunks that answer a question, as far as the budget of words goes.
+
+    ``ranked`` [document_id, id, rank] are found blocks (as of :func:`reciprocal_rank_fusion`), ``blocks``
+    [document_id, id, begin, end] their places, ``chunks`` [document_id, seq, text, begin, end] those of chunks. A chunk has
+    the best rank of the blocks that it overlaps; of equal ranks the earlier chunk comes first.
+    """
+    found = blocks.join(ranked.select("document_id", "id", "rank").hint("merge"), ["document_id", "id"]).select("document_id", "rank", F.col("begin").alias("r_begin"), F.col("end").alias("r_end"))
+    hit = overlapping(chunks.select("document_id", "seq", "begin", "end"), found).groupBy("document_id", "seq").agg(F.min("rank").alias("best"))
+    texts = chunks.select("document_id", "seq", "text").join(hit.hint("merge"), ["document_id", "seq"])
+    ordered = texts.withColumn("rank", F.row_number().over(Window.partitionBy("document_id").orderBy("best", "seq")))
+    return context_for(ordered, budget).select("document_id", "seq", "rank", "text", "running_tokens")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumspark.functions.text import trimmed
+from vellumspark.session import ship
 
 
 def transcript(log: DataFrame) -> DataFrame:
@@ -41,8 +45,8 @@ def repair_json(c: Column, aggressive: bool = False) -> Column:
 
 
 #: Registered tools, by name in small letters (fixed values), and other names that reach them.
-TOOLS = ("queryagentdb", "createnode", "linknodes", "askhuman", "parsingcomplete", "queryvectordb", "readcontentdb", "createtag")
-ALIASES = {"parsecomplete": "parsingcomplete", "read_content_db": "readcontentdb"}
+TOOLS = ("queryagentdb", "createnode", "linknodes", "askhuman", "parsingcomplete", "query_vector_db", "read_content_db", "createtag")
+ALIASES = {"parsecomplete": "parsingcomplete"}
 
 
 def registered(tool: Column) -> Column:
@@ -190,3 +194,92 @@ def replay(calls: DataFrame) -> dict[str, DataFrame]:
     tags = calls.where(tool == "createtag").select("seq", arg("id").alias("id"), arg("name").alias("name"), arg("source", "agent").alias("source"))
     links = calls.where(tool == "linknodes").select("seq", arg("block_id").alias("block_id"), arg("tag_id").alias("tag_id"))
     return {"sections": first(sections, ["id"]), "blocks": first(blocks, ["id"]), "tags": first(tags, ["id"]), "block_tags": first(links, ["block_id", "tag_id"])}
+
+
+def as_of(reads: DataFrame, created: DataFrame, key: str = "document_id") -> DataFrame:
+    """[seq, rows, last_id] of reads [seq, key]: how many rows [seq, key, id] were created before a read, and the last of them.
+
+    Reads and rows are sorted together by their number, so no read is joined with rows one by one;
+    a row with a read's own number was not there yet.
+    """
+    events = reads.select(key, "seq", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("id")).unionByName(created.select(key, "seq", F.lit(1).alias("kind"), F.col("id").cast("string").alias("id")))
+    before = Window.partitionBy(key).orderBy("seq", "kind", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = events.withColumns({"rows": F.sum("kind").over(before), "last_id": F.last("id", ignorenulls=True).over(before)})
+    return seen.where("kind = 0").select("seq", "rows", "last_id")
+
+
+def _argument(name: str) -> Column:
+    return F.try_variant_get(F.try_parse_json("args"), f"$.{name}", "string")
+
+
+def _read_chunk(tables: dict[str, DataFrame], calls: DataFrame) -> DataFrame:
+    """The chunk of an id, as {"id", "text"}."""
+    wanted = calls.withColumn("id", F.coalesce(_argument("chunk_id"), F.lit("")))
+    found = wanted.join(tables["chunks"].select("id", "text").dropDuplicates(["id"]).hint("merge"), "id", "left")
+    return found.select("seq", F.when(F.col("text").isNotNull(), F.to_json(F.struct("id", "text"))).otherwise('{"error": "Chunk not found"}').alias("result"))
+
+
+def _find_chunks(tables: dict[str, DataFrame], calls: DataFrame, most: int = 5) -> DataFrame:
+    """The first ``most`` chunks of the call's document that hold the query, in any case of its letters, as a list."""
+    wanted = calls.select("seq", "document_id", F.lower(F.coalesce(_argument("query"), F.lit(""))).alias("query"))
+    near = wanted.join(tables["chunks"].hint("merge"), "document_id").where(F.contains(F.lower("text"), "query"))
+    first = near.withColumn("_r", F.row_number().over(Window.partitionBy("seq").orderBy("id"))).where(F.col("_r") <= most)
+    listed = first.groupBy("seq").agg(F.to_json(F.array_sort(F.collect_list(F.struct("id", "text")))).alias("result"))
+    return wanted.select("seq").join(listed.hint("merge"), "seq", "left").select("seq", F.coalesce("result", F.lit("[]")).alias("result"))
+
+
+def _read_created(tables: dict[str, DataFrame], calls: DataFrame) -> DataFrame:
+    """How many blocks the log had created in the call's document before it, and the last of them."""
+    return as_of(calls, tables["created"]).select("seq", F.to_json(F.struct("rows", "last_id")).alias("result"))
+
+
+#: Reads of a recorded log: tool name -> (tables, calls [seq, document_id, args]) -> [seq, result].
+REGISTRY: dict[str, Callable[[dict[str, DataFrame], DataFrame], DataFrame]] = {"read_content_db": _read_chunk, "query_vector_db": _find_chunks, "queryagentdb": _read_created}
+
+
+def run_reads(calls: DataFrame, tables: dict[str, DataFrame], registry: dict[str, Callable] | None = None) -> DataFrame:
+    """[seq, tool, result] of the calls [seq, document_id, tool, args] whose tool the registry holds; other calls have no row.
+
+    ``tables`` has ``chunks`` [id, document_id, text] and ``created`` [seq, document_id, id], the rows that the same log
+    creates. A tool is added by its name and a function of DataFrames.
+    """
+    named = calls.withColumn("tool", registered(F.col("tool")) if registry is None else F.lower("tool"))
+    results = [run(tables, named.where(F.col("tool") == name)).select("seq", F.lit(name).alias("tool"), "result") for name, run in (registry or REGISTRY).items()]
+    found = results[0]
+    for more in results[1:]:
+        found = found.unionByName(more)
+    return found
+
+
+_LOADED: dict[str, Callable[[str], str]] = {}
+
+
+def _loaded(name: str, load: Callable[[], Callable[[str], str]]) -> Callable[[str], str]:
+    """A hook's function, loaded once in a Python worker."""
+    if name not in _LOADED:
+        _LOADED[name] = load()
+    return _LOADED[name]
+
+
+def with_hook(df: DataFrame, prompt: str, output: str, name: str, load: Callable[[], Callable[[str], str]]) -> DataFrame:
+    """``df`` with ``output``: what a function answers to each ``prompt``, in place of a model.
+
+    ``load`` makes the function, once in each Python worker (``name`` tells hooks apart); texts pass in
+    Arrow batches, so a task holds one batch at a time. A null prompt, and an answer that fails, are null.
+    """
+    ship(df.sparkSession)
+
+    @F.pandas_udf("string")
+    def answers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        answer = _loaded(name, load)
+
+        def one(text: str | None) -> str | None:
+            try:
+                return None if text is None else answer(text)
+            except Exception:  # noqa: BLE001  the call counts as failed, as a model's error does
+                return None
+
+        for batch in batches:
+            yield batch.map(one)
+
+    return df.withColumn(output, answers(F.col(prompt)))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumspark.plans import extraction, folds, lookups, records, trees
+from vellumspark.plans import exchange, extraction, folds, lookups, records, trees
 
-_MODULES = (extraction, records, trees, lookups, folds)
+_MODULES = (extraction, records, trees, lookups, folds, exchange)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,122 +3,120 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from vellumspark.functions.text import checksum
-from vellumspark.functions.text import terms as folded_terms
+from vellumspark.operators import postings
 from vellumspark.session import ship
 
-
-#: Batches between two rewrites of the whole index.
-COMPACT_EVERY = 20
-
-
-def apply_changes(spark: SparkSession, changes: DataFrame, path: str, epoch: int, compact_every: int = COMPACT_EVERY) -> None:
-    """One batch of block changes [document_id, block_id, op, seq, text] into the token index at ``path``.
-
-    A batch writes only the tokens of its own blocks, and for each block a mark (a row without a
-    term) with the number of its last change, as ``v=<epoch>``. Every ``compact_every`` batches
-    the index is written as one ``b=<epoch>``. A batch that runs again gives the same files.
-    """
-    order = Window.partitionBy("block_id").orderBy(F.desc("seq"), F.desc("op"), F.desc("text"))
-    last = changes.withColumn("_r", F.row_number().over(order)).where("_r = 1").withColumn("seq", F.col("seq").cast("long"))
-    terms = F.when(F.col("op") == "delete", F.array().cast("array<string>")).otherwise(F.coalesce(folded_terms(F.col("text")), F.array().cast("array<string>")))
-    rows = F.concat(F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("term"))), F.transform(terms, lambda t, i: F.struct(i.alias("pos"), t.alias("term"))))
-    last.select("document_id", "block_id", "seq", F.explode(rows).alias("t")).select("document_id", "block_id", "seq", "t.pos", "t.term").write.mode("overwrite").parquet(f"{path}/v={epoch}")
-    if (epoch + 1) % compact_every == 0:
-        newest_rows(spark, path, epoch).write.mode("overwrite").parquet(f"{path}/b={epoch}")
-
-
-def _written(spark: SparkSession, path: str, kind: str) -> list[int]:
-    """Numbers of the finished folders of a kind."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    folders = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith(f"{kind}=")]
-    return sorted(int(p.getName()[2:]) for p in folders if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
-
-
-def newest_rows(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame | None:
-    """Tokens and marks of every block's change with the highest number (a later batch wins a tie); None without any batch."""
-    bases = [b for b in _written(spark, path, "b") if upto is None or b < upto]
-    base = bases[-1] if bases else -1
-    batches = [v for v in _written(spark, path, "v") if v > base and (upto is None or v <= upto)]
-    parts = ([spark.read.parquet(f"{path}/b={base}").withColumn("batch", F.lit(base))] if bases else []) + [spark.read.parquet(f"{path}/v={v}").withColumn("batch", F.lit(v)) for v in batches]
-    if not parts:
-        return None
-    rows = reduce(DataFrame.unionByName, parts)
-    wins = rows.where("term IS NULL").groupBy("block_id").agg(F.max(F.struct("seq", "batch")).alias("w")).select("block_id", "w.seq", "w.batch")
-    return rows.join(wins.hint("merge"), ["block_id", "seq", "batch"], "left_semi").select("document_id", "block_id", "seq", "pos", "term")
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def latest_snapshot(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The token index after its last batch, or after the last before an epoch; None if there is none."""
-    rows = newest_rows(spark, path, None if before is None else before - 1)
-    return rows if rows is None else rows.where("term IS NOT NULL").select("document_id", "block_id", "pos", "term")
+    """The token index [document_id, block_id, term, pos] after its last batch, or after the last before an epoch; None if there is none."""
+    last = postings.finished(spark, path)
+    if (last if before is None else min(last, before - 1)) < 0:
+        return None
+    return postings.tokens(spark, path, before=before)
 
 
 def stream_index(changes: DataFrame, path: str, checkpoint: str):
-    """Keeps the token index at ``path`` up to date with a stream of block changes."""
+    """Keeps the inverted index at ``path`` up to date with a stream of block changes [document_id, block_id, op, seq, text]."""
 
     def batch(df: DataFrame, epoch: int) -> None:
-        apply_changes(df.sparkSession, df, path, epoch)
+        postings.apply_changes(df.sparkSession, df, path, epoch)
 
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _assemble(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, timeout_ms: int | None) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    n, parts = state.get if state.exists else (0, [])
-    have = dict(enumerate(parts)) if parts else {}
-    for pdf in frames:
-        for i, total, data in zip(pdf["i"], pdf["n"], pdf["data"], strict=True):
+def _keyed(rows: DataFrame) -> DataFrame:
+    """The input of an operator with keyed state, whose kinds of state need the RocksDB store."""
+    ship(rows.sparkSession)
+    rows.sparkSession.conf.set(_STORE, _ROCKS)
+    return rows
+
+
+class _Transfer(StatefulProcessor):
+    """Packets of a transfer by index, and how many there are; a timer clears what got no packet for long."""
+
+    def __init__(self, timeout_ms: int | None):
+        self.timeout_ms = timeout_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.parts = handle.getMapState("parts", "i int", "data string")
+        self.count = handle.getValueState("count", "n int, got int, until long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        n, got, until = self.count.get() if self.count.exists() else (0, 0, 0)
+        arrived = pd.concat(list(rows))
+        if "arrival" in arrived:
+            arrived = arrived.sort_values("arrival", kind="stable")
+        fresh = {}
+        for i, total, data in zip(arrived["i"], arrived["n"], arrived["data"], strict=True):
             n = int(total)
-            have[int(i)] = data
-    slots = [have.get(i) for i in range(n)]
-    state.update((n, slots))
-    if timeout_ms:
-        state.setTimeoutDuration(timeout_ms)
-    got = sum(x is not None for x in slots)
-    yield pd.DataFrame({"tx": [key[0]], "progress": [got * 100.0 / n], "payload": ["".join(slots) if got == n else None]})
+            fresh[int(i)] = data
+        for i, data in fresh.items():
+            got += not self.parts.containsKey((i,))
+            self.parts.updateValue((i,), (data,))
+        if self.timeout_ms:
+            if until:
+                self.handle.deleteTimer(until)
+            until = timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms
+            self.handle.registerTimer(until)
+        self.count.update((n, got, until))
+        payload = None
+        if got >= n:
+            have = {i: data for (i,), (data,) in self.parts.iterator()}
+            payload = "".join(have[i] for i in range(n)) if all(i in have for i in range(n)) else None
+        yield pd.DataFrame({"tx": [key[0]], "progress": [got * 100.0 / n], "payload": [payload]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.parts.clear()
+        self.count.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
 
 
 def stream_reassemble(packets: DataFrame, timeout_ms: int | None = None) -> DataFrame:
     """[tx, progress, payload] after every batch; bad checksums are dropped, duplicates overwrite.
 
-    The state of a transfer stays for ever, or until it got no packet for ``timeout_ms``.
+    A batch writes the state of its own packets alone. Of one index in one batch the packet with the
+    highest ``arrival`` stays, where there is such a column. The state of a transfer stays for ever,
+    or until it got no packet for ``timeout_ms``.
     """
-    ship(packets.sparkSession)
+    good = _keyed(packets).where(checksum(F.col("data")) == F.col("checksum")).withColumn("tx", F.col("tx").cast("string"))
+    mode = "ProcessingTime" if timeout_ms else "None"
+    return good.groupBy("tx").transformWithStateInPandas(_Transfer(timeout_ms), "tx string, progress double, payload string", "Update", mode)
+
 
-    def assemble(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        return _assemble(key, frames, state, timeout_ms)
+class _Streak(StatefulProcessor):
+    """Failures in a row of a session."""
 
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
-    good = packets.where(checksum(F.col("data")) == F.col("checksum"))
-    return good.withColumn("tx", F.col("tx").cast("string")).groupBy("tx").applyInPandasWithState(assemble, "tx string, progress double, payload string", "n int, parts array<string>", "update", timeout)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.streak = handle.getValueState("streak", "streak long")
 
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        streak = self.streak.get()[0] if self.streak.exists() else 0
+        arrived, out = pd.concat(list(rows)).sort_values(["ts", "seq"]), []
+        for failed in arrived["failed"]:
+            streak = streak + 1 if failed else 0
+            out.append(streak)
+        self.streak.update((streak,))
+        yield pd.DataFrame({"session_id": key[0], "seq": arrived["seq"].to_numpy(), "streak": out})
 
-def _streak(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    (streak,) = state.get if state.exists else (0,)
-    rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
-    out = []
-    for failed in rows["failed"]:
-        streak = streak + 1 if failed else 0
-        out.append(streak)
-    state.update((streak,))
-    yield pd.DataFrame({"session_id": key[0], "seq": rows["seq"].to_numpy(), "streak": out})
+    def close(self) -> None:
+        pass
 
 
 def stream_streaks(results: DataFrame) -> DataFrame:
     """[session_id, seq, streak] of a stream of tool results, in order of time within each batch."""
-    ship(results.sparkSession)
-    return results.withColumn("session_id", F.col("session_id").cast("string")).groupBy("session_id").applyInPandasWithState(_streak, "session_id string, seq long, streak long", "streak long", "append", GroupStateTimeout.NoTimeout)
+    keyed = _keyed(results).withColumn("session_id", F.col("session_id").cast("string"))
+    return keyed.groupBy("session_id").transformWithStateInPandas(_Streak(), "session_id string, seq long, streak long", "Append", "None")
