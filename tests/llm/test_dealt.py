@@ -111,7 +111,7 @@ def brute_line(words: list[str], model: dict) -> tuple | None:
     cover = 0.0
     for own, text in model["templates"]:
         w = TOKEN.findall(text.lower())
-        trigrams = {" ".join(w[i : i + 3]) for i in range(len(w) - 2)}
+        trigrams = {" ".join(w[i : i + 3]) for i in range(len(w) - 2)} or {" ".join(w)}
         if own == family and trigrams:
             cover = max(cover, len(trigrams & grams) / len(trigrams))
     return family, chance if family != "unknown" else 1 - chance, cover
@@ -119,7 +119,7 @@ def brute_line(words: list[str], model: dict) -> tuple | None:
 
 def test_licences_against_brute_force(spark, documents, licence_model):
     """Every line of the documents, and variants of all notices, scored again in plain Python."""
-    assert len(licence_model["classes"]) >= 16 and licence_model["recall"] > 0.6
+    assert len(licence_model["classes"]) >= 16 and licence_model["recall"] >= 0.9
     texts = [r.text for r in documents.limit(120).collect()]
     texts += [t for _, t in licence_model["templates"]] + [" ".join(t.split()[::2]) for _, t in licence_model["templates"]] + ["at the end.MIT license", "x.GPL.2.0 license"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -131,6 +131,23 @@ def test_licences_against_brute_force(spark, documents, licence_model):
         assert found[k][0] == family and abs(found[k][1] - chance) < 1e-6 and abs(found[k][2] - cover) < 1e-9
 
 
+@pytest.mark.parametrize("kept", [False, True])
+def test_licences_as_people_write_them(spark, licence_model, kept):
+    lines = {
+        "MIT License": "mit", "The MIT License (MIT)": "mit", "Code released under MIT.": "mit", "Released under the terms of the MIT licence": "mit", "terms of the MIT license": "mit",
+        "Released to the public domain under CC0.": "cc", "CC Attribution 3.0": "cc", "This program is licensed under AGPLv3.": "agpl", "SPDX-License-Identifier: GPL-3.0-or-later": "gpl",
+        "SPDX-License-Identifier: Apache-2.0": "apache", "http://www.apache.org/licenses/LICENSE-2.0": "apache", "BSD 2-Clause": "bsd",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.": "bsd",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY.": "gpl",
+        "The general public likes the software version two": None, "Er fuhr mit der Bahn unter der Stadt.": None, "the license of the eclipse foundation was public": None,
+        "Licensed to drive under the age of 18": None, "A clause of the 3 lists attribution to the commons.": None, "Released under the moon, the boats returned.": None,
+    }
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    model = licenses.trained(spark) if kept else licence_model
+    found = {r.doc_id: r.family for r in licenses.scan(docs, model).where("confirmed").collect()}
+    assert found == {i: f for i, f in enumerate(lines.values()) if f}
+
+
 def test_every_notice_is_confirmed_also_when_wrapped(spark, licence_model):
     notices = licence_model["templates"]
     docs = spark.createDataFrame([(i, "before it\n\n" + textwrap.fill(t, 45) + "\n\nafter it") for i, (_, t) in enumerate(notices)], "doc_id long, text string")
@@ -576,6 +593,37 @@ def test_beta_probabilities(spark):
             assert expected is None or abs(r.p - expected) < 1e-5, r
 
 
+def exact_similarity(x: str, y: str, size: int = 5) -> float:
+    """Weighted similarity of the texts' windows of words."""
+    a, b = (collections.Counter(tuple(w[i : i + size]) for i in range(max(len(w) - size + 1, 1))) for w in (WORD.findall(x), WORD.findall(y)))
+    return sum((a & b).values()) / sum((a | b).values())
+
+
+def test_near_copies_by_rate_of_edits(spark):
+    """Every copy at 0.8 or more is linked, and none below; an edited word changes five windows, so about 2% of words are the limit."""
+    rng, rows, pairs = random.Random(12), [], []
+    for n in range(240):
+        words = [f"w{rng.randint(0, 3000)}" for _ in range(rng.randint(150, 500))]
+        rate = 1 + n % 5
+        copy = [f"x{rng.randint(0, 3000)}" if rng.random() < rate / 100 else w for w in words]
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(copy))]
+        pairs.append((rate, exact_similarity(*(t for _, t in rows[-2:])) >= 0.8))
+    found = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = [found[2 * n + 1] == found[2 * n] for n in range(240)]
+    assert linked == [near for _, near in pairs] and all(found[i] in (i, i - i % 2) for i in found)
+    share = {r: np.mean([k for (x, _), k in zip(pairs, linked, strict=True) if x == r]) for r in range(1, 6)}
+    assert share[1] >= 0.9 and share[1] > share[2] > share[4] and share[5] < 0.2
+
+
+def test_one_document_keeps_all_its_texts(spark):
+    """Rows of one id with different texts, repeated rows, null texts and a column that clashes."""
+    a, b, c = ("one two three four five six", "seven eight nine ten eleven twelve", "red green blue black white grey")
+    rows = [(1, a), (1, b), (1, b), (2, c), (3, a), (4, None), (4, None), (4, ""), (None, a), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_print", F.lit("clash"))
+    kept = collections.Counter((r.doc_id, r.text) for r in minhash.keep_one(docs).collect())
+    assert kept == {(1, a): 1, (1, b): 1, (2, c): 1, (4, None): 1, (4, ""): 1, (None, a): 2}
+
+
 # 8 toxicity
 BAD = "idiot moron clown loser fool imbecile worthless pathetic stupid disgusting scum trash".split()
 
@@ -592,6 +640,19 @@ def test_toxicity_held_out(spark, sf):
     assert not len(marked) or (marked.p_toxic >= 0.3).mean() > 0.6
 
 
+def test_toxicity_recall_and_precision_of_held_out_labels(spark, sf):
+    larger = sf.replace("sf0.001", "sf0.1")
+    documents, labels = (spark.read.parquet(f"{larger}/{t}.parquet") for t in ("documents", "labels"))
+    away = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 0
+    model = toxicity.train(documents, labels.where(away))
+    held = labels.where(~away).where("toxic IS NOT NULL")
+    got = toxicity.score(documents.join(held.select("doc_id").hint("merge"), "doc_id", "left_semi"), model).select("doc_id", "p_toxic").toPandas().merge(held.toPandas(), on="doc_id")
+    called, toxic = got.p_toxic >= 0.3, got.toxic == 1
+    assert toxic.sum() >= 20
+    # some of these labels stand on texts without any word of the trained categories
+    assert (called & toxic).sum() >= 0.85 * toxic.sum() and (called & toxic).sum() >= 0.95 * called.sum()
+
+
 def toxic_texts():
     rng = random.Random(9)
     texts = {i: [f"word{rng.randint(0, 500)}" for _ in range(40)] for i in range(300)}

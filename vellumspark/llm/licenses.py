@@ -13,7 +13,9 @@ one pattern match before any n-gram is built.
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 from collections.abc import Sequence
 
 from pyspark.ml.classification import LogisticRegression
@@ -22,7 +24,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vellumspark.session import materialise
+from vellumspark.session import materialise, shared_dir
 
 #: Notices by family: public, customary wording of licence references and opening paragraphs.
 TEMPLATES = {
@@ -30,67 +32,87 @@ TEMPLATES = {
         "Released under the MIT License.",
         "Licensed under the MIT license, see the LICENSE file for details.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction.",
+        "MIT License", "MIT licence", "under MIT", "License: MIT", "SPDX-License-Identifier: MIT", "https://opensource.org/licenses/MIT",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the software.",
     ],
     "apache": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an as is basis, without warranties or conditions of any kind.",
+        "Apache License", "Apache License 2.0", "Apache 2.0 license", "under Apache 2.0", "SPDX-License-Identifier: Apache-2.0", "http://www.apache.org/licenses/LICENSE-2.0", "You may obtain a copy of the License at",
     ],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
         "Distributed under the GNU General Public License v2 or later.",
+        "GNU General Public License", "GNU GPL", "GPL license", "under GPLv3", "under GPLv2", "under the GPL", "GPL-3.0", "GPL-2.0", "SPDX-License-Identifier: GPL-3.0-or-later", "SPDX-License-Identifier: GPL-2.0-only", "https://www.gnu.org/licenses/gpl-3.0.html", "You should have received a copy of the GNU General Public License along with this program.",
+        "This program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose.",
     ],
     "lgpl": [
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
         "You can redistribute this library and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
+        "GNU Lesser General Public License", "GNU LGPL", "under LGPLv3", "under the LGPL", "LGPL-2.1", "LGPL-3.0", "SPDX-License-Identifier: LGPL-2.1-or-later", "SPDX-License-Identifier: LGPL-3.0-only",
     ],
     "agpl": [
         "Licensed under the GNU Affero General Public License, version 3.",
         "You can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
+        "GNU Affero General Public License", "GNU AGPL", "under AGPLv3", "under the AGPL", "AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-only",
     ],
     "bsd": [
         "Released under the BSD 3-Clause License.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+        "BSD License", "BSD 2-Clause", "BSD 3-Clause", "BSD style license", "under BSD", "SPDX-License-Identifier: BSD-2-Clause", "SPDX-License-Identifier: BSD-3-Clause",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software.",
     ],
     "mpl": [
         "This source code form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, version 2.0.",
+        "Mozilla Public License", "MPL 2.0", "under the MPL", "SPDX-License-Identifier: MPL-2.0", "https://mozilla.org/MPL/2.0/",
     ],
     "epl": [
         "Licensed under the Eclipse Public License, version 2.0.",
         "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at the Eclipse Foundation.",
+        "Eclipse Public License", "EPL 2.0", "under the EPL", "SPDX-License-Identifier: EPL-2.0",
     ],
     "isc": [
         "Released under the ISC License.",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "ISC License", "under ISC", "SPDX-License-Identifier: ISC",
     ],
     "zlib": [
         "Distributed under the zlib license.",
         "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
         "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions.",
+        "zlib License", "under zlib", "SPDX-License-Identifier: Zlib",
     ],
     "unlicense": [
         "Released under the Unlicense.",
         "This is free and unencumbered software released into the public domain.",
         "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "The Unlicense", "SPDX-License-Identifier: Unlicense", "https://unlicense.org",
     ],
     "artistic": [
         "Licensed under the Artistic License 2.0.",
         "This package is free software; you may redistribute it under the terms of the Artistic License.",
+        "Artistic License", "SPDX-License-Identifier: Artistic-2.0",
     ],
     "ofl": [
         "Licensed under the SIL Open Font License, Version 1.1.",
         "This font software is licensed under the SIL Open Font License and may be bundled, redistributed and sold with any software.",
+        "SIL Open Font License", "OFL 1.1", "under the OFL", "SPDX-License-Identifier: OFL-1.1",
     ],
     "boost": [
         "Distributed under the Boost Software License, Version 1.0.",
         "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use, reproduce, display, distribute, execute, and transmit the software.",
+        "Boost Software License", "BSL 1.0", "SPDX-License-Identifier: BSL-1.0",
     ],
     "eupl": [
         "Licensed under the EUPL, Version 1.2 or later.",
         "Licensed under the European Union Public Licence; you may not use this work except in compliance with the Licence.",
+        "European Union Public Licence", "EUPL 1.2", "under the EUPL", "SPDX-License-Identifier: EUPL-1.2",
     ],
     "cc": [
         "Licensed under CC BY-NC 4.0.",
@@ -98,6 +120,7 @@ TEMPLATES = {
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "Content is available under the Creative Commons Attribution-ShareAlike License.",
         "To the extent possible under law, the author has waived all copyright under CC0 1.0 Universal.",
+        "Creative Commons", "CC BY 4.0", "CC BY-SA", "CC BY-NC", "CC Attribution", "under CC0", "CC0 1.0", "SPDX-License-Identifier: CC0-1.0", "SPDX-License-Identifier: CC-BY-4.0", "https://creativecommons.org/licenses/by/4.0/",
     ],
     "reserved": [
         "Copyright 2020 by the authors. All rights reserved.",
@@ -114,7 +137,20 @@ NEAR_MISSES = [
     "The foundation may publish a later version of the notice.",
     "Source code and binary files are found in the file named license.",
     "We are licensed to sell insurance in all states.",
+    "Released under the bridge, the boats were distributed under the trees.",
+    "Er kam mit der Lizenz und mit dem Boot unter der Brücke hindurch.",
+    "The terms of the contract are available under the table of contents.",
+    "Identifier of the file: see the list of conditions in the notice.",
+    "The eclipse was visible to the public in the whole union.",
+    "An artistic font was used in the boost of the open campaign.",
 ]
+#: Sentences that refer to a licence by name; training puts every short template into each of them.
+FRAMES = [
+    "{}", "Licensed under the {}.", "Released under {}", "Code released under the terms of the {}", "This program is licensed under the {}.", "Distributed under the terms of {}, see the file COPYING.",
+    "See the {} for details.", "This project is available under the {} and its authors.", "You may use it under {} only.", "Copyright by the authors, {}", "The {} applies to all files.",
+]
+#: The last of these frames are held out to measure recall.
+HELD_FRAMES = ["Everything here is published under the {} by its authors.", "Released to everyone, {}."]
 UNKNOWN = "unknown"
 _STOP = "a an and any are as at be by can for from in is it may no not of on or that the this to under was were with you we he her".split()
 
@@ -138,17 +174,30 @@ def _features(words: Column) -> Column:
     return F.filter(grams, lambda g: F.size(F.array_except(F.split(g, " "), stop)) > 0)
 
 
+def _short(text: str) -> str | None:
+    """The words of a template of at most five words, as :func:`tokens` gives them; None for a longer one."""
+    words = re.findall(r"[^\W_]+(?:\.[0-9]+)*", text.lower())
+    return " ".join(words) if len(words) <= 5 else None
+
+
 def _examples(spark: SparkSession, templates: dict[str, list[str]], near: Sequence[str]) -> DataFrame:
-    """[family, words, held]: the notices, their parts, and scrambled notices as unknowns."""
-    rows = [{"family": f, "text": t} for f, own in templates.items() for t in own] + [{"family": UNKNOWN, "text": t} for t in near]
-    given = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), "array<struct<family:string,text:string>>")))
-    base = given.select("family", tokens(F.col("text")).alias("w"))
+    """[family, words, held]: the notices, their parts and variants, names in sentences, and scrambled notices as unknowns."""
+    rows = [{"family": f, "text": t, "kind": None} for f, own in templates.items() for t in own] + [{"family": UNKNOWN, "text": t, "kind": None} for t in near]
+    names = [(f, t) for f, own in templates.items() for t in own if _short(t) and not re.match(r"(?i)under |spdx|https?:|license:", t)]
+    rows += [{"family": f, "text": frame.format(t), "kind": 40 + k} for f, t in names for k, frame in enumerate(FRAMES[1:])]
+    rows += [{"family": f, "text": frame.format(t), "kind": 60 + k} for f, t in names for k, frame in enumerate(HELD_FRAMES)]
+    # sentences without a name, and with the name of something else
+    rows += [{"family": UNKNOWN, "text": frame.format(x), "kind": 40} for frame in FRAMES for x in ("", "committee", "new rules", "old bridge 2.0")]
+    given = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), "array<struct<family:string,text:string,kind:int>>")))
+    given = given.select("family", "kind", tokens(F.col("text")).alias("w"))
+    framed, base = given.where("kind IS NOT NULL").select("family", "kind", F.col("w").alias("words")), given.where("kind IS NULL").drop("kind")
     n = F.size("w")
     tail = F.greatest(F.floor(n * 0.4), F.lit(1)).cast("int")
+    cut = n >= 8  # parts of a shorter notice may be those of any
     parts = F.array(
         F.col("w"),
-        F.slice("w", F.lit(1), F.greatest(F.ceil(n * 0.75), F.lit(1)).cast("int")),
-        F.slice("w", tail, n),
+        F.when(cut, F.slice("w", F.lit(1), F.greatest(F.ceil(n * 0.75), F.lit(1)).cast("int"))).otherwise(F.col("w")),
+        F.when(cut, F.slice("w", tail, n)).otherwise(F.col("w")),
         F.concat(F.array(*[F.lit(x) for x in "see also the notes below".split()]), F.col("w")),
         F.concat(F.col("w"), F.array(*[F.lit(x) for x in "and more at the end of the page".split()])),
     )
@@ -158,40 +207,41 @@ def _examples(spark: SparkSession, templates: dict[str, list[str]], near: Sequen
         keyed = F.transform("w", lambda x: F.struct(F.xxhash64(x, F.lit(seed)).alias("k"), x.alias("x")))
         return F.transform(F.array_sort(keyed), lambda s: s["x"])
 
+    # a scrambled notice in which the words of a name still stand together is no unknown
+    kept = sorted({w for own in templates.values() for t in own if (w := _short(t))})
     mixed = base.select(F.lit(UNKNOWN).alias("family"), F.posexplode(F.array(*[scrambled(s) for s in range(1, 17)])).alias("kind", "words"))
-    # notices with every fifth word left out, or with a word put in after every sixth; one of each sort is held out to measure recall
-    thinned = [F.expr(f"filter(w, (x, i) -> i % 5 <> {k})") for k in (0, 1, 3, 4, 2)]
-    filled = [F.expr(f"flatten(transform(w, (x, i) -> if(i % 6 = {k}, array(x, 'hereby'), array(x))))") for k in (1, 3, 5)]
+    line = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
+    mixed = mixed.where(~F.exists(F.array(*[F.lit(f" {x} ") for x in kept]), lambda x: F.contains(line, x)))
+    # notices with every fourth to seventh word left out, or with a word put in; one of each sort is held out to measure recall
+    thinned = [F.expr(f"filter(w, (x, i) -> i % {step} <> {k})") for step, k in [(5, 0), (5, 1), (5, 3), (5, 4), (5, 2), (4, 0), (4, 1), (4, 2), (4, 3), (6, 1), (6, 4), (7, 2), (7, 5)]]
+    filled = [F.expr(f"flatten(transform(w, (x, i) -> if(i % {step} = {k}, array(x, 'hereby'), array(x))))") for step, k in [(6, 5), (6, 1), (6, 3), (4, 0), (4, 2), (5, 1), (5, 4)]]
     variants = base.where((F.col("family") != UNKNOWN) & (n >= 6)).select("family", F.posexplode(F.array(*thinned, *filled)).alias("kind", "words")).withColumn("kind", F.col("kind") + 20)
     single = base.select(F.lit(UNKNOWN).alias("family"), F.lit(19).alias("kind"), F.explode(F.transform(n_grams(F.col("w"), 1), lambda x: F.array(x))).alias("words"))
     # the scrambles of the last four seeds are held out to calibrate the class unknown
-    every = whole.unionByName(mixed).unionByName(single).unionByName(variants)
-    return every.withColumn("held", ((F.col("family") == UNKNOWN) & F.col("kind").isin(12, 13, 14, 15)) | F.col("kind").isin(24, 27))
+    every = whole.unionByName(mixed).unionByName(single).unionByName(variants).unionByName(framed)
+    return every.withColumn("held", ((F.col("family") == UNKNOWN) & F.col("kind").isin(12, 13, 14, 15)) | ((F.col("family") != UNKNOWN) & F.col("kind").isin(24, 33, 60, 61)))
 
 
-def train(
-    spark: SparkSession,
-    templates: dict[str, list[str]] | None = None,
-    near: Sequence[str] | None = None,
-    max_features: int = 4000,
-) -> dict:
-    """{classes, intercepts, weights {n-gram: [..]}, least, templates, recall}; at most ``max_features`` n-grams.
+def train(spark: SparkSession, templates: dict[str, list[str]] | None = None, near: Sequence[str] | None = None) -> dict:
+    """{classes, intercepts, weights {n-gram: [..]}, least, templates, recall}, learnt from all n-grams that two examples hold.
 
-    ``recall`` is the share of held-out variants of the notices that get their family.
+    ``recall`` is the share of held-out variants of the notices, and of names in held-out sentences,
+    that get their family.
     """
     templates, near = templates or TEMPLATES, near or NEAR_MISSES
     examples = _examples(spark, templates, near).select("family", "held", _features(F.col("words")).alias("grams")).coalesce(1).cache()
     classes = sorted(templates) + [UNKNOWN]
-    counted = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=max_features, minDF=2).fit(examples)
+    # the vocabulary is bounded by the templates alone
+    counted = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=2**31 - 1, minDF=2).fit(examples)
     label = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("family")) - 1
     table = counted.transform(examples).withColumn("label", label.cast("double"))
-    model = LogisticRegression(family="multinomial", maxIter=60, regParam=0.002, elasticNetParam=0.3).fit(table.where("NOT held"))
+    model = LogisticRegression(family="multinomial", maxIter=60, regParam=0.001, elasticNetParam=0.3).fit(table.where("NOT held"))
     matrix, vocabulary = model.coefficientMatrix.toArray(), counted.vocabulary
     weights = {g: [round(float(x), 6) for x in matrix[:, i]] for i, g in enumerate(vocabulary) if abs(matrix[:, i]).max() > 1e-6}
-    # calibration: a family needs more than any held-out unknown reaches, and an even chance at least
+    # calibration: a family needs more than nearly all held-out unknowns reach, and an even chance at least
     best = F.expr(f"array_max(slice(p, 1, {len(classes) - 1}))")
     held = model.transform(table.where("held")).select("family", vector_to_array("probability").alias("p"), "prediction")
-    reached = held.where(F.col("family") == UNKNOWN).agg(F.max(best)).first()[0]
+    reached = held.where(F.col("family") == UNKNOWN).agg(F.percentile(best, 0.99)).first()[0]
     least = max(0.5, min(0.95, float(reached or 0.0)))
     right = (F.element_at(F.array(*[F.lit(c) for c in classes]), (F.col("prediction") + 1).cast("int")) == F.col("family")) & (best > least)
     recall = held.where(F.col("family") != UNKNOWN).agg(F.avg(right.cast("int"))).first()[0]
@@ -206,6 +256,17 @@ def train(
     }
 
 
+def trained(spark: SparkSession) -> dict:
+    """The model of the built-in notices: trained once and kept in the shared folder, under a name made from what it was trained on."""
+    given = json.dumps([TEMPLATES, NEAR_MISSES, FRAMES, HELD_FRAMES, _STOP, spark.version], sort_keys=True)
+    path = f"{shared_dir(spark)}/licence-model-{hashlib.sha256(given.encode()).hexdigest()[:16]}"
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    if not name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(name):
+        found = json.dumps(train(spark), sort_keys=True)
+        spark.range(1).select(F.lit(found).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
 def _table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A table of the model; bounded by its n-grams or templates."""
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
@@ -220,7 +281,7 @@ def _scored(grams: DataFrame, keys: Sequence[str], model: dict, trigrams: DataFr
     classes, k = model["classes"], len(model["classes"])
     weights = _table(grams.sparkSession, [{"g": g, "w": w} for g, w in sorted(model["weights"].items())], "g:string,w:array<double>")
     parts = trigrams.groupBy("g").agg(F.collect_list(F.struct("family", "t", "m")).alias("parts"))
-    # bounded by the model: at most max_features n-grams, and the templates' trigrams
+    # bounded by the templates: the n-grams of the model's examples, and the templates' trigrams
     hits = grams.join(F.broadcast(weights.join(parts, "g", "full_outer")), "g")
     scored = hits.groupBy(*keys).agg(*[F.sum(F.col("w")[i]).alias(f"_s{i}") for i in range(k)], F.flatten(F.collect_list("parts")).alias("_parts"))
     scored = scored.where("_s0 IS NOT NULL")
@@ -306,7 +367,9 @@ def scan(docs: DataFrame, model: dict, separator: str = "\n", min_cover: float =
 
     listed = [{"family": f, "t": i, "text": t} for i, (f, t) in enumerate(model["templates"])]
     templates = _table(spark, listed, "family:string,t:int,text:string")
-    trigrams = templates.select("family", "t", F.array_distinct(n_grams(tokens(F.col("text")), 3)).alias("all")).where(F.size("all") > 0)
+    # a template of one or two words is one gram
+    words = tokens(F.col("text"))
+    trigrams = templates.select("family", "t", F.array_distinct(F.when(F.size(words) < 3, F.array(F.array_join(words, " "))).otherwise(n_grams(words, 3))).alias("all")).where(F.size("all") > 0)
     trigrams = trigrams.select("family", "t", F.size("all").alias("m"), F.posexplode("all").alias("o", "g"))
 
     keys = ["doc_id", "_row", "paragraph"]
@@ -321,4 +384,4 @@ def scan(docs: DataFrame, model: dict, separator: str = "\n", min_cover: float =
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:
     """Licence findings in every document, one row a paragraph."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return scan(docs, train(spark))
+    return scan(docs, trained(spark))

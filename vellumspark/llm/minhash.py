@@ -320,12 +320,16 @@ def near_duplicates(
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that represent their near-duplicate class; columns unchanged.
 
-    Rows with a null ``doc_id`` can't be named in a class and are kept. Repeated rows of a
-    representative are kept once.
+    A document is an id: of the id that stands for its class every different text is kept, once
+    for all its rows with that text (null is a text here). Rows with a null ``doc_id`` can't be
+    named in a class and are kept.
     """
+    print_ = "_print" + "_" * max([0, *(len(c) for c in docs.columns)])
     classes = near_duplicates(docs.select("doc_id", "text"), **options)
     chosen = classes.where("doc_id = class_id").select("doc_id")
-    kept = docs.where("doc_id IS NOT NULL").join(chosen.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.where("doc_id IS NOT NULL").join(chosen.hint("merge"), "doc_id", "left_semi")
+    # the join has brought a document's rows together, so this is no further shuffle
+    kept = kept.withColumn(print_, F.md5("text")).dropDuplicates(["doc_id", print_]).drop(print_)
     return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 
 
