@@ -121,3 +121,12 @@ def test_spans_that_overlap(spark):
     y = spark.createDataFrame(right, "document_id string, y int, r_begin int, r_end int")
     expected = sorted((a[1], b[1]) for a in left for b in right if a[0] == b[0] and a[2] < b[3] and b[2] < a[3])
     assert sorted((r.x, r.y) for r in se.overlapping(x, y, width=32).collect()) == expected
+
+
+def test_times_in_both_forms(spark):
+    cases = {
+        "2024-02-29 12:30:00": "2024-02-29 12:30:00", "2024-02-29T12:30:00Z": "2024-02-29 12:30:00", "2024-02-29T12:30:00.250Z": "2024-02-29 12:30:00.250000", "2024-03-01T01:00:00+02:30": "2024-02-29 22:30:00",
+        "2024-02-29T12:30:00-0100": "2024-02-29 13:30:00", "2024-02-29T12:30": "2024-02-29 12:30:00", "2024-13-01 00:00:00": None, "soon": None, "": None, "2024-02-29": None,
+    }
+    rows = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string").select("t", tx.utc_time(F.col("t")).alias("u"))
+    assert {r.t: None if r.u is None else str(r.u) for r in rows.collect()} == {**cases, None: None}

@@ -112,3 +112,16 @@ def dot(a: Column, b: Column) -> Column:
     """Dot product; an error where the lengths differ."""
     total = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     return F.when(F.size(a) == F.size(b), total).otherwise(F.raise_error(F.lit("vectors differ in length")).cast("double"))
+
+
+def utc_time(c: Column) -> Column:
+    """Time in UTC of a text ``YYYY-MM-DD HH:MM:SS`` or ISO-8601 with ``T``, fraction, ``Z`` or an offset; null for other texts.
+
+    A text without an offset is in UTC, whatever the session's time zone.
+    """
+    zone = F.regexp_extract(c, r"(?:Z|[+-]\d{2}:?\d{2})$", 0)
+    local = F.regexp_replace(c, r"(?<=:\d{2}|\.\d{1,9})(?:Z|[+-]\d{2}:?\d{2})$", "")
+    whole = F.when(local.rlike(r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?$"), local)
+    minutes = F.regexp_extract(zone, r"(\d{2}):?(\d{2})", 1).try_cast("int") * 60 + F.regexp_extract(zone, r"(\d{2}):?(\d{2})", 2).try_cast("int")
+    ahead = F.when(zone.startswith("-"), -minutes).otherwise(minutes)
+    return whole.try_cast("timestamp_ntz") - F.make_dt_interval(mins=F.coalesce(ahead, F.lit(0)))

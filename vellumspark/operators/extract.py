@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumspark.functions.text import trimmed, word_count
+from vellumspark.session import ship
 
 
 def _joined(text: str, delimiter: str, order: str) -> Column:
@@ -276,47 +281,68 @@ def html_cells(tables: DataFrame) -> DataFrame:
     return full.unionByName(none)
 
 
+def chunk_starts(words: np.ndarray, sizes: np.ndarray, most: int) -> list[np.ndarray]:
+    """Places of the units that open a chunk, text by text, for the units of many texts in one array.
+
+    ``words`` are the units' word counts; -1 - n is a unit of n words that always opens one. Every unit
+    points at the one that would open the next chunk if it opened one itself: the first whose
+    running count exceeds its own by more than ``most``, found in the prefix sums. The pointers from
+    the first units are then followed by doubling: each round takes all chunks found so far twice as
+    far, so it needs as many rounds as the longest text's number of chunks has bits.
+    """
+    n = len(words)
+    opens, count = words < 0, np.where(words < 0, -1 - words, words).astype(np.int64)
+    through = np.cumsum(count)
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    at = np.arange(n)
+    follow = np.maximum(np.searchsorted(through, through - count + most, side="right"), at + 1)
+    forced = np.minimum.accumulate(np.append(np.where(opens, at, n), n)[::-1])[::-1][1:]
+    follow = np.minimum(np.minimum(follow, forced), ends)
+    jump = np.append(np.where(follow == ends, n, follow), n)
+    begins = np.cumsum(sizes) - sizes
+    found = np.zeros(n + 1, bool)
+    found[begins[sizes > 0]] = True
+    while (jump < n).any():
+        found[jump[found]] = True
+        jump = jump[jump]
+    starts = np.flatnonzero(found[:n])
+    bounds = np.searchsorted(starts, np.append(begins, n))
+    return [starts[a:b] - first for a, b, first in zip(bounds[:-1], bounds[1:], begins, strict=True)]
+
+
 def chunk(docs: DataFrame, max_words: int = 150) -> DataFrame:
     """Greedy chunks of paragraphs: [document_id, chunk_index, seq, text, word_count].
 
     Paragraphs are packed up to ``max_words``; a larger one is cut at sentence ends, and its
     last group of sentences opens the next chunk. A single longer sentence stays whole.
-    The fold runs inside one row: a text is one group by nature.
+
+    Texts stay in their rows, and nothing is shuffled: word counts go to :func:`chunk_starts` in
+    Arrow batches, and the chunks are slices of the row's units.
     """
-    state = "struct<out:array<struct<text:string,words:int>>,cur:array<string>,n:int>"
-    grouped = "struct<out:array<struct<text:string,words:int>>,cur:array<string>,n:int>"
-
-    def flush(s: Column, joint: str) -> Column:
-        return F.when(F.size(s["cur"]) > 0, F.concat(s["out"], F.array(F.struct(F.array_join(s["cur"], joint).alias("text"), s["n"].alias("words"))))).otherwise(s["out"])
-
-    def pack(out: Column, cur: Column, n: Column, kind: str) -> Column:
-        return F.struct(out.alias("out"), cur.alias("cur"), n.alias("n")).cast(kind)
-
-    empty = F.array().cast("array<string>")
-
-    def sentence(s: Column, x: Column) -> Column:
-        words = word_count(x)
-        over = (s["n"] + words > max_words) & (F.size(s["cur"]) > 0)
-        kept = F.when(over, F.array(x)).otherwise(F.concat(s["cur"], F.array(x)))
-        return pack(F.when(over, flush(s, ". ")).otherwise(s["out"]), kept, F.when(over, words).otherwise(s["n"] + words), grouped)
-
-    def paragraph(s: Column, x: Column) -> Column:
-        words = word_count(x)
-        over = s["n"] + words > max_words
-        closed = flush(s, "\n\n")
-        start = pack(closed, empty, F.lit(0), grouped)
-        cut = F.aggregate(F.split(x, r"\. "), start, sentence)
-        large = pack(cut["out"], F.array(F.array_join(cut["cur"], ". ")), cut["n"], state)
-        return (
-            F.when(~over, pack(s["out"], F.concat(s["cur"], F.array(x)), s["n"] + words, state))
-            .when(words > max_words, large)
-            .otherwise(pack(closed, F.array(x), words, state))
-        )
-
-    first = pack(F.array().cast("array<struct<text:string,words:int>>"), empty, F.lit(0), state)
-    folded = docs.withColumn("_s", F.aggregate(F.split(F.coalesce("text", F.lit("")), "\n\n"), first, paragraph))
-    pieces = folded.select("document_id", F.posexplode(flush(F.col("_s"), "\n\n")).alias("seq", "_c"))
-    return pieces.select("document_id", F.lit(0).alias("chunk_index"), "seq", F.col("_c.text").alias("text"), F.col("_c.words").alias("word_count"))
+    ship(docs.sparkSession)
+
+    @F.pandas_udf("array<int>")
+    def starts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            sizes = np.array([len(x) for x in batch], np.int64)
+            flat = np.concatenate([np.zeros(0, np.int64), *batch.to_list()]).astype(np.int64)
+            yield pd.Series([x.tolist() for x in chunk_starts(flat, sizes, max_words)])
+
+    def unit(text: Column, words: Column, joint: Column, opens: Column) -> Column:
+        return F.struct(text.alias("text"), words.alias("words"), joint.alias("joint"), opens.alias("opens"))
+
+    def units(paragraph: Column) -> Column:
+        words = word_count(paragraph)
+        parts = F.transform(F.split(paragraph, r"\. "), lambda x, i: unit(x, word_count(x), F.when(i == 0, "\n\n").otherwise(". "), i == 0))
+        return F.when(words > max_words, parts).otherwise(F.array(unit(paragraph, words, F.lit("\n\n"), F.lit(False))))
+
+    split = docs.select("document_id", F.flatten(F.transform(F.split(F.coalesce("text", F.lit("")), "\n\n"), units)).alias("units"))
+    marked = split.withColumn("starts", starts(F.transform("units", lambda u: F.when(u["opens"], -1 - u["words"]).otherwise(u["words"]))))
+    ends = F.concat(F.expr("slice(starts, 2, size(starts))"), F.array(F.size("units")))
+    spans = marked.select("document_id", "units", F.posexplode(F.arrays_zip(F.col("starts"), ends.alias("ends"))).alias("seq", "span"))
+    own = spans.select("document_id", "seq", F.slice("units", F.col("span.starts") + 1, F.col("span.ends") - F.col("span.starts")).alias("own"))
+    text = F.array_join(F.transform("own", lambda u, i: F.when(i == 0, u["text"]).otherwise(F.concat(u["joint"], u["text"]))), "")
+    return own.select("document_id", F.lit(0).alias("chunk_index"), "seq", text.alias("text"), F.aggregate("own", F.lit(0), lambda n, u: n + u["words"]).alias("word_count"))
 
 
 def overlap_context(pages: DataFrame, pieces: int = 4) -> DataFrame:

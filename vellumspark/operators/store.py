@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vellumspark.functions.text import utc_time
 from vellumspark.session import materialise
 
 #: Conflict policy of promotion: key columns, and the columns that an existing row takes over (None: all).
@@ -39,6 +40,18 @@ REQUIRED = {
 }
 
 
+#: Values of columns that a new row doesn't name.
+DEFAULTS: dict[str, dict[str, str | int]] = {
+    "documents": {"source_type": "pdf"}, "sections": {"depth_level": 1}, "blocks": {"block_type": "paragraph", "token_count": 0}, "annotations": {"annotation_type": "highlight"},
+    "processing_jobs": {"status": "pending", "progress_percentage": 0}, "job_chunks": {"status": "pending"}, "conversation_history": {"token_count": 0}, "pass1_chunks": {"chunk_token_count": 0},
+}
+
+
+def with_defaults(name: str, rows: DataFrame) -> DataFrame:
+    """New rows of a table with the defaults of columns that they lack; a null that is written stays one."""
+    return rows.withColumns({c: F.lit(v) for c, v in DEFAULTS.get(name, {}).items() if c not in rows.columns})
+
+
 def replace(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Replace-by-key: old rows of the new keys go, new rows come."""
     return base.join(new.select(*keys).distinct().hint("merge"), keys, "left_anti").unionByName(new)
@@ -200,7 +213,9 @@ def latest_wins(base: DataFrame, incoming: DataFrame, key: str = "id", stamp: st
 
 
 def delta_since(df: DataFrame, stamp: str, since: str) -> DataFrame:
-    """Rows changed after a time."""
+    """Rows changed after a time; times that are texts are read in both their forms, and rows without a readable one are left out."""
+    if dict(df.dtypes)[stamp] == "string":
+        return df.where(utc_time(F.col(stamp)) > utc_time(F.lit(since)))
     return df.where(F.col(stamp) > F.lit(since).cast(df.schema[stamp].dataType))
 
 

@@ -12,6 +12,7 @@ from vellumspark.operators import extract as ex
 from vellumspark.operators import notes as no
 from vellumspark.operators import postings
 from vellumspark.operators import search as se
+from vellumspark.operators import store as st
 from vellumspark.operators import toolog as tl
 from vellumspark.operators import tree
 from vellumspark.plans import extraction, trees
@@ -127,7 +128,35 @@ def _tag_sources(s: SparkSession, d: str) -> DataFrame:
     return no.tags_with_authors(tags, _block_tags(s, d), table(s, d, "documents").select(F.col("doc_id").alias("block_id"), F.col("lang").alias("author_id")))
 
 
+def _rules(s: SparkSession, d: str) -> DataFrame:
+    """A store in which every rule is broken: names that repeat, ids that repeat, missing titles, documents of an unknown corpus."""
+    docs = table(s, d, "documents")
+    new = {
+        "corpora": docs.select(F.col("source").alias("id"), F.col("source").alias("name")).distinct().where("id <> 'src1'"),
+        "documents": docs.select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("corpus_id"), F.when(F.col("doc_id") % 11 > 0, F.col("lang")).alias("title")),
+        "tags": docs.select(F.col("source").alias("id"), F.left("source", F.lit(1)).alias("name")).distinct(),
+        "blocks": line_blocks(s, d).select(F.col("block_id").alias("id"), "document_id", F.col("text").alias("content")),
+    }
+    new["blocks"] = new["blocks"].unionByName(new["blocks"].where("CAST(document_id AS BIGINT) % 17 = 0"))
+    full = {name: st.with_defaults(name, rows) for name, rows in new.items()}
+    types = full["documents"].groupBy("source_type").agg(F.count("*").alias("count")).unionByName(full["blocks"].groupBy(F.col("block_type").alias("source_type")).agg(F.count("*").alias("count")))
+    report = st.integrity_report(full, {"documents": ["id"], "blocks": ["id"], "corpora": ["id"]})
+    return report.unionByName(types.select(F.lit("all").alias("table"), F.lit("default").alias("rule"), F.col("source_type").alias("key"), "count"))
+
+
+def _delta(s: SparkSession, d: str) -> DataFrame:
+    """Events whose time is written in four ways, changed since a time."""
+    e = table(s, d, "events").withColumn("t", F.date_trunc("second", "ts").cast("timestamp_ntz"))
+    plain, ahead = F.date_format("t", "yyyy-MM-dd HH:mm:ss"), F.date_format(F.col("t") + F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd'T'HH:mm:ss")
+    k = F.col("event_id") % 5
+    written = F.when(k == 0, plain).when(k == 1, F.concat(F.replace(plain, F.lit(" "), F.lit("T")), F.lit(".000Z"))).when(k == 2, F.concat(ahead, F.lit("+02:00"))).when(k == 3, F.replace(plain, F.lit(" "), F.lit("T"))).otherwise("soon")
+    middle = e.agg(F.min("t") + (F.max("t") - F.min("t")) / 2).first()[0].replace(microsecond=0)
+    return st.delta_since(e.select("event_id", written.alias("updated_at")), "updated_at", middle.strftime("%Y-%m-%dT%H:%M:%SZ")).select("event_id")
+
+
 QUERIES = {
+    "m7_rules": _rules,
+    "m9_delta_times": _delta,
     "p20_tree_rows": _tree_rows,
     "p20_index_from_rows": lambda s, d: tree.index_text(trees._trees(s, d), tree.tree_rows(trees._trees(s, d))[0]),
     "f2_index_match": lambda s, d: _search(s, d, se.match, "the With"),
@@ -144,6 +173,12 @@ QUERIES = {
 _TREE = r"""'{"type":"paragraph","children":[{"type":"text","text":' || to_json(text)::VARCHAR || ',"bold":null,"italic":null,"code":null},{"type":"image","src":"x","alt":"a \"text\": b","caption":null},{"type":"text","text":"end","code":true}]}'"""
 
 ORACLE = {
+    "m7_rules": "WITH " + _B + """ SELECT 'documents' AS "table", 'not null' AS rule, 'title' AS "key", count(*) AS "count" FROM documents WHERE doc_id % 11 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'documents', 'reference', 'src1', count(*) FROM documents WHERE source = 'src1' HAVING count(*) > 0
+UNION ALL SELECT 'tags', 'unique', left(source, 1), count(DISTINCT source) FROM documents GROUP BY left(source, 1) HAVING count(DISTINCT source) > 1
+UNION ALL SELECT 'blocks', 'unique', block_id, 2 FROM b WHERE document_id::BIGINT % 17 = 0
+UNION ALL SELECT 'all', 'default', 'pdf', count(*) FROM documents UNION ALL SELECT 'all', 'default', 'paragraph', count(*) + count(*) FILTER (document_id::BIGINT % 17 = 0) FROM b""",
+    "m9_delta_times": "WITH e AS (SELECT event_id, date_trunc('second', ts) AS t FROM events) SELECT event_id FROM e WHERE event_id % 5 < 4 AND t > (SELECT date_trunc('second', min(t) + (max(t) - min(t)) / 2) FROM e)",
     "p20_tree_rows": "WITH " + _B + f", c AS (SELECT block_id, {_TREE} AS content FROM b WHERE sort_order % 5 <> 4)" + """
 SELECT block_id, fullkey AS path, key, CASE WHEN type NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN atom ->> '$' END AS value FROM c, json_tree(c.content) t WHERE fullkey <> '$'""",
     "p20_index_from_rows": trees.ORACLE["p20_index_text"],
