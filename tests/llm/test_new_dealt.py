@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vellumspark.llm import periodic, registry, spelling, treebpe
+from vellumspark.llm import periodic, registry, search, spelling, treebpe
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LETTERS = re.compile("[A-Za-zÀ-ÿ]+")
@@ -235,3 +235,21 @@ def test_variants_of_odd_inputs(spark):
     rows = {r.word[:9] + str(len(r.word)): (len(r.root), r.n, r.n_near) for r in spelling.variant_groups(words).collect()}
     assert rows == {"alphabet8": (9, 2, 1), "alphabets9": (9, 20, 1), "yyyyyyyyy200000": (200_001, 3, 1), "yyyyyyyyy200001": (200_001, 30, 1), "a1": (1, 1, 0)}
     assert spelling.variant_groups(words.limit(0)).count() == 0
+
+
+# 9 search
+def test_pairs_of_buckets_in_lanes(spark, monkeypatch):
+    """Many small buckets, dealt to lanes, give the exact products of a plain search; norms are all equal in half the rows."""
+    for name, value in (("BUCKET_ROWS", 16), ("BLOCK_ROWS", 2), ("LANE_BUCKETS", 3)):
+        monkeypatch.setattr(search, name, value)
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(500, 6))
+    v[::2] /= np.linalg.norm(v[::2], axis=1)[:, None]
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(1000, [1.0, 2.0]), (1001, [3.0, 1.0])]
+    found = search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=4).collect()
+    whole = np.floor(1024 * v).astype(np.int64)
+    expected = {(1000, 1, 1001, 3072 * 1024 + 1024 * 2048)}
+    for q in range(0, 500, 100):
+        best = sorted((-int(s), i) for i, s in enumerate(whole @ whole[q]) if i != q)[:4]
+        expected |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
+    assert {tuple(r) for r in found} == expected

@@ -28,6 +28,8 @@ from vellumspark.session import materialise, ship
 
 #: Vectors in a bucket and queries in a block, on average.
 BUCKET_ROWS, BLOCK_ROWS = 2048, 1024
+#: Buckets that one task pairs with all blocks of queries, on average.
+LANE_BUCKETS = 1000
 #: Products and norms below this are exact in float64.
 _EXACT = float(2**52)
 
@@ -179,8 +181,15 @@ def top_k(
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
         return single.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
+    # one width of vectors may hold all buckets: they are dealt to lanes, and every lane meets all blocks in a task of its own
+    lanes = max(1, -(-buckets.count() // LANE_BUCKETS))
+    buckets = buckets.withColumn("lane", F.pmod(F.xxhash64("range", "salt"), F.lit(lanes)).cast("int"))
+
+    def in_lanes(asked: DataFrame) -> DataFrame:
+        return asked.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+
     block_list = queries.groupBy("dims", "block").agg(F.max("norm").alias("reach"))
-    first_pairs = block_list.join(buckets.where("first").hint("merge"), "dims")
+    first_pairs = in_lanes(block_list).join(buckets.where("first").hint("merge"), ["dims", "lane"])
     unbounded = queries.withColumn("floor", F.lit(float("-inf")))
     start = materialise(search(first_pairs, unbounded), "first-pass")
     floors = merged(start).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor"))
@@ -189,7 +198,7 @@ def top_k(
     # a pair of block and bucket is worth building if some query of the block can reach its floor there
     norm = F.when(F.col("norm") > 0, F.col("norm")).otherwise(F.lit(1e-9))
     need = bounded.groupBy("dims", "block").agg(F.min(F.col("floor") / norm).alias("need"))
-    pairs = need.join(buckets.where("NOT first").hint("merge"), "dims").where("NOT (longest * (1 + 1e-9) + 1 < need)")
+    pairs = in_lanes(need).join(buckets.where("NOT first").hint("merge"), ["dims", "lane"]).where("NOT (longest * (1 + 1e-9) + 1 < need)")
     rest = search(pairs, bounded)
     return merged(start.unionByName(rest)).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
 
