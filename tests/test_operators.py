@@ -296,3 +296,18 @@ def test_calls_are_repaired_to_the_end(spark):
     log = values(spark, [("s", 1, 'call {"tool": "Save", "args": {"id": "1"}, "content": "cut of'), ("s", 2, 'x {"tool": "a"} y'), ("s", 3, "none")], "session_id string, seq int, content string")
     got = {r.seq: (r.tool, r.args, r.status) for r in tl.extract_calls(log).collect()}
     assert got == {1: ("Save", '{"id":"1"}', "repaired"), 2: ("a", None, "ok"), 3: (None, None, "malformed")}
+
+
+def test_short_needles_meet_only_blocks_with_their_gram(spark):
+    rng = random.Random(8)
+    words = ["ab", "Cd", "efg", "hij.", "漢字", "é", "the", "there"]
+    blocks = [(str(d), f"{d}-{i}", i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 25)))) for d in range(8) for i in range(6)]
+    needles = ["a", "漢", "Cd", "the", "b C", "ere the", "absent", "ij. 漢", "é é", "fg"]
+    notes = [(str(d), f"n{d}-{k}", n) for d in range(8) for k, n in enumerate(needles)]
+    b = spark.createDataFrame(blocks, "document_id string, block_id string, sort_order int, text string")
+    a = spark.createDataFrame(notes, "document_id string, annotation_id string, needle string")
+    found = [(r.annotation_id, r.block_id, r.needle, r.text) for r in no._with_candidates(a, b).collect()]
+    holds = {(n, k) for d, n, needle in notes for e, k, _, text in blocks if d == e and needle in text}
+    assert len(found) == len(set(found)) and holds <= {x[:2] for x in found}
+    assert all(any(needle[i : i + min(3, len(needle))] in text for i in range(max(len(needle) - 2, 1))) for _, _, needle, text in found)
+    assert len(found) < 1.6 * len(holds)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumspark.functions import text as tx
-from vellumspark.session import ship
+from vellumspark.session import materialise, ship
 
 
 def tags_with_authors(tags: DataFrame, block_tags: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -44,19 +44,58 @@ def occurrences(text: Column, needle: Column) -> Column:
     return F.when((F.length(needle) > 0) & F.contains(text, needle), found).otherwise(F.array().cast("array<int>"))
 
 
+#: Characters of a gram, and most grams of a document that its blocks are compared with at a time.
+GRAM, GRAM_SET = 3, 512
+
+
+def _grams(c: Column, size: int) -> Column:
+    """Distinct runs of ``size`` characters of a text."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(rf"(?s)(?=(.{{{size}}}))"), 1))
+
+
+def _rarest_grams(notes: DataFrame, blocks: DataFrame) -> DataFrame:
+    """[document_id, annotation_id, gram]: of every note's needle the gram that the fewest blocks hold.
+
+    A needle shorter than a gram is its own. A gram that no block holds is the rarest.
+    """
+    grams = F.when(F.length("needle") >= GRAM, _grams(F.col("needle"), GRAM)).otherwise(F.array("needle"))
+    own = notes.select("document_id", "annotation_id", F.explode(grams).alias("gram"))
+    held = blocks.select(F.explode(_grams(F.col("text"), GRAM)).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+    counted = own.join(held.hint("merge"), "gram", "left")
+    rarest = F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("gram"))).alias("r")
+    return counted.groupBy("document_id", "annotation_id").agg(rarest).select("document_id", "annotation_id", "r.gram")
+
+
+def _by_grams(notes: DataFrame, blocks: DataFrame) -> DataFrame:
+    """[document_id, annotation_id, block_id] of blocks that hold the rarest gram of a note of their document.
+
+    A document's grams meet its blocks as sets of bounded size, so what comes out is the pairs of
+    a note and a block that share the gram, and nothing else.
+    """
+    chosen = materialise(_rarest_grams(notes, blocks), "needle-grams")
+    wanted = chosen.select("document_id", "gram").distinct()
+    sets = F.ceil(F.count("*").over(Window.partitionBy("document_id")) / GRAM_SET)
+    wanted = wanted.withColumn("_set", F.pmod(F.xxhash64("gram"), sets)).groupBy("document_id", "_set").agg(F.collect_list("gram").alias("wanted"))
+    sizes = F.transform("wanted", lambda g: F.length(g))
+    short = [F.when(F.array_contains(sizes, n), _grams(F.col("text"), n)).otherwise(F.array().cast("array<string>")) for n in range(1, GRAM)]
+    near = blocks.select("document_id", "block_id", "text").join(wanted.hint("merge"), "document_id")
+    found = near.select("document_id", "block_id", F.explode(F.array_intersect("wanted", F.concat(_grams(F.col("text"), GRAM), *short))).alias("gram"))
+    return found.join(chosen.hint("merge"), ["document_id", "gram"]).select("document_id", "annotation_id", "block_id")
+
+
 def _with_candidates(annotations: DataFrame, blocks: DataFrame) -> DataFrame:
     """Pairs of a note (needle) and a block (text) of its document that may hold the needle.
 
     A needle of three words or more holds whole words of the block: its longest inner word is looked
-    up in the blocks' words. Shorter needles meet all blocks of their document.
+    up in the blocks' words. A shorter one is looked up by its rarest gram of characters.
     """
     inner = F.expr("array_max(transform(slice(w, 2, greatest(size(w) - 2, 0)), x -> struct(length(x) AS n, x AS x))).x")
     keyed = annotations.withColumn("w", F.split("needle", r"\s+")).withColumn("inner", inner).drop("w")
     words = blocks.select("document_id", "block_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("inner"))
     named = keyed.where("inner IS NOT NULL").join(words.hint("merge"), ["document_id", "inner"])
-    named = named.join(blocks.hint("merge"), ["document_id", "block_id"])
-    rest = keyed.where("inner IS NULL").join(blocks.hint("merge"), "document_id")
-    return named.unionByName(rest).drop("inner")
+    rest = keyed.where("inner IS NULL")
+    rest = rest.join(_by_grams(rest, blocks).hint("merge"), ["document_id", "annotation_id"])
+    return named.unionByName(rest).drop("inner").join(blocks.hint("merge"), ["document_id", "block_id"])
 
 
 def reanchor(annotations: DataFrame, blocks: DataFrame, accept: float = 0.4) -> DataFrame:

@@ -176,21 +176,24 @@ def keyword_candidates(tokens: DataFrame, query: str) -> DataFrame:
 def hash_embedding(df: DataFrame, dims: int = 384) -> DataFrame:
     """Sparse hashed embeddings of texts: [id, dim, value], L2-normalised; an empty text is the first axis.
 
-    Each word is hashed with three salts; every hash adds a signed unit at three places.
+    Each word is hashed with three salts; every hash adds a signed unit at three places. The salt
+    comes last, so a word's letters are folded once. Texts are shuffled by id before they grow to places;
+    sums and norms then need no further shuffle.
     """
     cleaned = F.regexp_replace(F.lower("text"), r"[^\w\s]", "")
-    words = df.select("id", F.explode(F.filter(F.split(cleaned, r"\s+"), lambda w: w != "")).alias("word")).groupBy("id", "word").count()
-    salted = words.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(2))))
-    points = F.transform(F.filter(F.split(F.concat("word", F.lit("_"), F.col("salt").cast("string")), ""), lambda x: x != ""), lambda x: F.ascii(x).cast("long"))
+    words = df.select("id", "text").repartition("id").select("id", F.explode(F.filter(F.split(cleaned, r"\s+"), lambda w: w != "")).alias("word"))
 
-    def wrap(h: Column) -> Column:
-        low = h.bitwiseAND(4294967295)
+    def step(h: Column, x: Column) -> Column:
+        low = (h * 33 + x).bitwiseAND(4294967295)
         return F.when(low >= 2147483648, low - 4294967296).otherwise(low)
 
-    hashed = salted.withColumn("h", F.aggregate(points, F.lit(5381).cast("long"), lambda h, x: wrap(h * 33 + x)))
+    points = F.transform(F.filter(F.split("word", ""), lambda x: x != ""), lambda x: F.ascii(x).cast("long"))
+    folded = words.select("id", F.aggregate(points, F.lit(5381).cast("long"), step).alias("w"))
+    after = step(F.col("w"), F.lit(ord("_")))
+    hashed = folded.select("id", F.explode(F.array(*[step(after, F.lit(ord(str(salt)))) for salt in range(3)])).alias("h"))
     h = F.col("h")
     places = F.array(F.abs(h) % dims, F.abs(h * 31 + 17) % dims, F.abs(h * 97 + 43) % dims)
-    signed = hashed.select("id", F.explode(places).alias("dim"), (F.when(h.bitwiseAND(1) == 0, 1).otherwise(-1) * F.col("count")).alias("v"))
+    signed = hashed.select("id", F.explode(places).alias("dim"), F.when(h.bitwiseAND(1) == 0, 1).otherwise(-1).alias("v"))
     summed = signed.groupBy("id", "dim").agg(F.sum("v").cast("double").alias("v")).where("v <> 0")
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("id")))
     found = summed.select("id", F.col("dim").cast("int").alias("dim"), (F.col("v") / norm).alias("value"))
