@@ -6,9 +6,9 @@ near misses, so that single words never decide. A family is predicted only above
 calibrated on held-out unknowns. The prediction is confirmed by comparing the paragraph with
 the family's templates: the share of a template's word trigrams that the paragraph holds.
 
-The model is a bounded table (n-gram, weights of the classes). Paragraphs without any content
-word of the vocabulary have no feature; they are unknown by construction and are left out by
-one pattern match before any n-gram is built.
+The model is a bounded table (n-gram, weights of the classes). A paragraph without any n-gram that
+speaks for a family is unknown by construction, as the class ``unknown`` has the largest intercept;
+most such paragraphs are left out by one look at their words before any n-gram is built.
 """
 
 from __future__ import annotations
@@ -267,6 +267,11 @@ def trained(spark: SparkSession) -> dict:
     return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
+def _speaks(weight: Sequence[float]) -> bool:
+    """Whether an n-gram's weights speak for some family rather than for ``unknown``, the last class."""
+    return max(weight[:-1]) > weight[-1]
+
+
 def _table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A table of the model; bounded by its n-grams or templates."""
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
@@ -275,16 +280,17 @@ def _table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
 def _scored(grams: DataFrame, keys: Sequence[str], model: dict, trigrams: DataFrame) -> DataFrame:
     """[*keys, family, probability, cover] of units from their features [*keys, g], which are read once.
 
-    Units without a weighted feature are left out. ``cover`` is the largest share of a template of
+    Units without a feature that speaks for a family are left out: they are unknown by construction. ``cover`` is the largest share of a template of
     the family whose trigrams the unit holds.
     """
     classes, k = model["classes"], len(model["classes"])
-    weights = _table(grams.sparkSession, [{"g": g, "w": w} for g, w in sorted(model["weights"].items())], "g:string,w:array<double>")
+    rows = [{"g": g, "w": w, "e": int(_speaks(w))} for g, w in sorted(model["weights"].items())]
+    weights = _table(grams.sparkSession, rows, "g:string,w:array<double>,e:int")
     parts = trigrams.groupBy("g").agg(F.collect_list(F.struct("family", "t", "m")).alias("parts"))
     # bounded by the templates: the n-grams of the model's examples, and the templates' trigrams
     hits = grams.join(F.broadcast(weights.join(parts, "g", "full_outer")), "g")
-    scored = hits.groupBy(*keys).agg(*[F.sum(F.col("w")[i]).alias(f"_s{i}") for i in range(k)], F.flatten(F.collect_list("parts")).alias("_parts"))
-    scored = scored.where("_s0 IS NOT NULL")
+    scored = hits.groupBy(*keys).agg(*[F.sum(F.col("w")[i]).alias(f"_s{i}") for i in range(k)], F.max("e").alias("_e"), F.flatten(F.collect_list("parts")).alias("_parts"))
+    scored = scored.where("_e = 1")
     z = [F.col(f"_s{i}") + F.lit(b) for i, b in enumerate(model["intercepts"])]
     top = F.greatest(*z)
     total = sum((F.exp(x - top) for x in z[1:]), F.exp(z[0] - top))
@@ -338,7 +344,7 @@ def _wrapped(parts: DataFrame, lines: DataFrame, trigrams: DataFrame, model: dic
 
 
 def scan(docs: DataFrame, model: dict, separator: str = "\n", min_cover: float = 0.6) -> DataFrame:
-    """[doc_id, paragraph, family, probability, cover, confirmed] of every paragraph with a licence feature.
+    """[doc_id, paragraph, family, probability, cover, confirmed] of every paragraph with an n-gram that speaks for a family.
 
     ``paragraph`` is the 0-based number of the ``separator``-delimited part of the text;
     ``family`` may be ``unknown``; ``cover`` is the best share of a template of the family, and
@@ -353,16 +359,15 @@ def scan(docs: DataFrame, model: dict, separator: str = "\n", min_cover: float =
     spark = docs.sparkSession
     if not model["weights"]:
         return docs.select("doc_id", F.lit(0).alias("paragraph"), F.lit(UNKNOWN).alias("family"), F.lit(0.0).alias("probability"), F.lit(0.0).alias("cover"), F.lit(False).alias("confirmed")).limit(0)
-    # every feature holds a content word, so a paragraph with a feature holds one of these
-    content = sorted({w for g in model["weights"] for w in g.split(" ")} - set(_STOP))
-    pattern = r"(?<![\p{L}\p{N}.])(?:" + "|".join(w.replace(".", r"\.") for w in content) + r")(?![\p{L}\p{N}])"
+    # an n-gram that speaks for a family holds a content word, so a paragraph with one holds one of these
+    content = sorted({w for g, weight in model["weights"].items() if _speaks(weight) for w in g.split(" ")} - set(_STOP))
     parts = docs.where("text IS NOT NULL").select("doc_id", F.monotonically_increasing_id().alias("_row"), F.transform(F.split("text", separator), tokens).alias("_lines"))
     # every line with the first two words after it, up to a line without words
     parts = parts.select("doc_id", "_row", F.posexplode(F.expr("arrays_zip(_lines, slice(_lines, 2, size(_lines)), slice(_lines, 3, size(_lines)))")).alias("paragraph", "_z"))
     none = F.array().cast("array<string>")
     one, two = F.coalesce(F.col("_z")["1"], none), F.coalesce(F.col("_z")["2"], none)
     parts = parts.select("doc_id", "_row", "paragraph", F.col("_z")["_lines"].alias("_words"), F.slice(F.concat(one, F.when(F.size(one) == 1, two).otherwise(none)), 1, 2).alias("_next"))
-    parts = parts.where((F.size("_words") == 0) | F.array_join(F.concat("_words", "_next"), " ").rlike(pattern))
+    parts = parts.where((F.size("_words") == 0) | F.arrays_overlap(F.concat("_words", "_next"), F.array(*[F.lit(w) for w in content])))
     parts = materialise(parts.withColumn("_next", F.when(F.size("_words") > 0, F.col("_next")).otherwise(none)), "licence-paragraphs")  # fixes the row numbers, and the texts are read once
 
     listed = [{"family": f, "t": i, "text": t} for i, (f, t) in enumerate(model["templates"])]
