@@ -359,7 +359,8 @@ def scan(docs: DataFrame, model: dict, separator: str = "\n", min_cover: float =
     spark = docs.sparkSession
     if not model["weights"]:
         return docs.select("doc_id", F.lit(0).alias("paragraph"), F.lit(UNKNOWN).alias("family"), F.lit(0.0).alias("probability"), F.lit(0.0).alias("cover"), F.lit(False).alias("confirmed")).limit(0)
-    # an n-gram that speaks for a family holds a content word, so a paragraph with one holds one of these
+    # every feature holds a content word; a wrapped notice may have lines that speak for no family, so these stay
+    known = sorted({w for g in model["weights"] for w in g.split(" ")} - set(_STOP))
     content = sorted({w for g, weight in model["weights"].items() if _speaks(weight) for w in g.split(" ")} - set(_STOP))
     parts = docs.where("text IS NOT NULL").select("doc_id", F.monotonically_increasing_id().alias("_row"), F.transform(F.split("text", separator), tokens).alias("_lines"))
     # every line with the first two words after it, up to a line without words
@@ -367,7 +368,7 @@ def scan(docs: DataFrame, model: dict, separator: str = "\n", min_cover: float =
     none = F.array().cast("array<string>")
     one, two = F.coalesce(F.col("_z")["1"], none), F.coalesce(F.col("_z")["2"], none)
     parts = parts.select("doc_id", "_row", "paragraph", F.col("_z")["_lines"].alias("_words"), F.slice(F.concat(one, F.when(F.size(one) == 1, two).otherwise(none)), 1, 2).alias("_next"))
-    parts = parts.where((F.size("_words") == 0) | F.arrays_overlap(F.concat("_words", "_next"), F.array(*[F.lit(w) for w in content])))
+    parts = parts.where((F.size("_words") == 0) | F.arrays_overlap(F.concat("_words", "_next"), F.array(*[F.lit(w) for w in known])))
     parts = materialise(parts.withColumn("_next", F.when(F.size("_words") > 0, F.col("_next")).otherwise(none)), "licence-paragraphs")  # fixes the row numbers, and the texts are read once
 
     listed = [{"family": f, "t": i, "text": t} for i, (f, t) in enumerate(model["templates"])]
@@ -378,7 +379,9 @@ def scan(docs: DataFrame, model: dict, separator: str = "\n", min_cover: float =
     trigrams = trigrams.select("family", "t", F.size("all").alias("m"), F.posexplode("all").alias("o", "g"))
 
     keys = ["doc_id", "_row", "paragraph"]
-    scored = _scored(parts.select(*keys, F.explode(_features(F.col("_words"))).alias("g")), keys, model, trigrams)
+    # n-grams are built only of paragraphs that may hold one that speaks for a family
+    spoken = parts.where(F.arrays_overlap("_words", F.array(*[F.lit(w) for w in content])))
+    scored = _scored(spoken.select(*keys, F.explode(_features(F.col("_words"))).alias("g")), keys, model, trigrams)
     lines = materialise(scored.withColumn("confirmed", (F.col("family") != UNKNOWN) & (F.col("cover") >= min_cover)), "licence-lines")
     wrapped = materialise(_wrapped(parts, lines, trigrams, model, min_cover).withColumn("confirmed", F.lit(True)), "licence-found")
     heads = wrapped.select(F.col("_row").alias("_r"), F.col("paragraph").alias("_p"))
