@@ -304,13 +304,13 @@ def _scored(grams: DataFrame, keys: Sequence[str], model: dict, trigrams: DataFr
     return scored.select(*keys, "family", "probability", cover.alias("cover"))
 
 
-def _wrapped(parts: DataFrame, lines: DataFrame, trigrams: DataFrame, model: dict, min_cover: float) -> DataFrame:
+def _wrapped(parts: DataFrame, trigrams: DataFrame, model: dict, min_cover: float) -> DataFrame:
     """[doc_id, _row, paragraph, family, probability, cover] of notices that run over several lines, each once, at its first line.
 
     The template's trigrams that begin in a line, also those that end in the next one, are read in
     order; a notice ends at a line without words, where the template begins anew, or after as
-    many lines as the template has trigrams. Its lines are then classified together. Notices
-    with a line of the same family that is confirmed by itself are left out.
+    many lines as the template has trigrams. Its lines are then classified together. ``_last``
+    is its last line.
     """
     begin = parts.withColumn("_all", F.concat("_words", "_next"))
     begin = begin.select("doc_id", "_row", "paragraph", F.size("_words").alias("_n"), F.posexplode(n_grams(F.col("_all"), 3)).alias("_k", "g"))
@@ -332,15 +332,13 @@ def _wrapped(parts: DataFrame, lines: DataFrame, trigrams: DataFrame, model: dic
     text = text.groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_line", "_words"))), lambda x: x["_words"])).alias("_words"))
     scored = _scored(text.select(*keys, F.explode(_features(F.col("_words"))).alias("g")), keys, model, trigrams).drop("cover")
     found = found.join(scored.hint("merge"), keys).where("family = _family").drop("_family")
-    own = lines.where("confirmed").select(F.col("_row").alias("_r"), F.col("family").alias("_f"), F.col("paragraph").alias("_p"))
-    found = found.join(own.hint("merge"), (F.col("_row") == F.col("_r")) & (F.col("family") == F.col("_f")) & F.col("_p").between(F.col("paragraph"), F.col("_last")), "left_anti")
     found = materialise(found, "licence-wrapped")
     # of overlapping notices of a family the best covered one stays, then the first
     other = found.select(*[F.col(c).alias(f"{c}2") for c in ("_row", "family", "paragraph", "_last", "cover", "t")])
     better = F.expr("_row = _row2 AND family = family2 AND paragraph2 <= _last AND _last2 >= paragraph AND (cover2 > cover OR (cover2 = cover AND (paragraph2 < paragraph OR (paragraph2 = paragraph AND t2 < t))))")
     found = found.join(other.hint("merge"), better, "left_anti")
     best = Window.partitionBy("_row", "paragraph").orderBy(F.desc("cover"), "t")
-    return found.withColumn("_b", F.row_number().over(best)).where("_b = 1").select("doc_id", "_row", "paragraph", "family", "probability", "cover")
+    return found.withColumn("_b", F.row_number().over(best)).where("_b = 1").select("doc_id", "_row", "paragraph", "_last", "family", "probability", "cover")
 
 
 def scan(docs: DataFrame, model: dict, separator: str = "\n", min_cover: float = 0.6) -> DataFrame:
@@ -383,10 +381,13 @@ def scan(docs: DataFrame, model: dict, separator: str = "\n", min_cover: float =
     spoken = parts.where(F.arrays_overlap("_words", F.array(*[F.lit(w) for w in content])))
     scored = _scored(spoken.select(*keys, F.explode(_features(F.col("_words"))).alias("g")), keys, model, trigrams)
     lines = materialise(scored.withColumn("confirmed", (F.col("family") != UNKNOWN) & (F.col("cover") >= min_cover)), "licence-lines")
-    wrapped = materialise(_wrapped(parts, lines, trigrams, model, min_cover).withColumn("confirmed", F.lit(True)), "licence-found")
-    heads = wrapped.select(F.col("_row").alias("_r"), F.col("paragraph").alias("_p"))
-    kept = lines.join(heads.hint("merge"), (F.col("_row") == F.col("_r")) & (F.col("paragraph") == F.col("_p")) & ~F.col("confirmed"), "left_anti")
-    return kept.unionByName(wrapped).drop("_row")
+    wrapped = materialise(_wrapped(parts, trigrams, model, min_cover).withColumn("confirmed", F.lit(True)), "licence-found")
+    # the notice stands for its first line, and for its other lines that are confirmed by themselves (a name, a clause)
+    heads = wrapped.select(F.col("_row").alias("_r"), F.col("family").alias("_f"), F.col("paragraph").alias("_p"), F.col("_last").alias("_l"))
+    same = (F.col("_row") == F.col("_r")) & ((F.col("paragraph") == F.col("_p")) & (~F.col("confirmed") | (F.col("family") == F.col("_f"))))
+    same = same | ((F.col("_row") == F.col("_r")) & F.col("confirmed") & (F.col("family") == F.col("_f")) & F.col("paragraph").between(F.col("_p"), F.col("_l")))
+    kept = lines.join(heads.hint("shuffle_hash"), (F.col("_row") == F.col("_r")) & same, "left_anti")
+    return kept.unionByName(wrapped.drop("_last")).drop("_row")
 
 
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:
