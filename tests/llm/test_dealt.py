@@ -97,11 +97,11 @@ TOKEN = regex.compile(r"[\p{L}\p{N}]+(?:\.[0-9]+)*")
 
 
 def brute_line(words: list[str], model: dict) -> tuple | None:
-    """(family, probability, cover) of one line's words, n-gram by n-gram; None without an n-gram that speaks for a family."""
+    """(family, probability, cover) of one line's words, n-gram by n-gram; None without a weighted n-gram."""
     grams = {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
     grams = {g for g in grams if set(g.split(" ")) - set(licenses._STOP)}
     weighted = [model["weights"][g] for g in grams if g in model["weights"]]
-    if not any(max(w[:-1]) > w[-1] for w in weighted):  # nothing speaks for a family
+    if not weighted:
         return None
     z = [b + sum(w[i] for w in weighted) for i, b in enumerate(model["intercepts"])]
     e = [np.exp(x - max(z)) for x in z]

@@ -6,9 +6,10 @@ near misses, so that single words never decide. A family is predicted only above
 calibrated on held-out unknowns. The prediction is confirmed by comparing the paragraph with
 the family's templates: the share of a template's word trigrams that the paragraph holds.
 
-The model is a bounded table (n-gram, weights of the classes). A paragraph without any n-gram that
-speaks for a family is unknown by construction, as the class ``unknown`` has the largest intercept;
-most such paragraphs are left out by one look at their words before any n-gram is built.
+The model is a bounded table (n-gram, weights of the classes). Words that no n-gram of the model and
+no template holds are masked (null) as soon as a text is split, and n-grams are built only where no
+word is masked, which leaves out none that the model knows. Paragraphs without any weighted n-gram
+are unknown by construction and give no row.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import hashlib
 import json
 import re
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
@@ -160,23 +163,41 @@ def tokens(paragraph: Column) -> Column:
     return F.regexp_extract_all(F.lower(paragraph), F.lit(r"[\p{L}\p{N}]+(?:\.[0-9]+)*"), 0)
 
 
-def n_grams(words: Column, n: int) -> Column:
-    """The n-grams of an array of words, joined by spaces; none if there are fewer words."""
+def _starts(words: Column, n: int) -> Column:
+    """The 1-based places of an array of words at which n words stand of which none is null."""
     last = F.size(words) - (n - 1)
     at = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " "))
+    return F.filter(at, lambda i: reduce(and_, [F.get(words, i + (k - 1)).isNotNull() for k in range(n)]))
+
+
+def n_grams(words: Column, n: int) -> Column:
+    """The n-grams of an array of words, joined by spaces; none over a null word, or if there are fewer words."""
+    return F.transform(_starts(words, n), lambda i: F.array_join(F.slice(words, i, n), " "))
+
+
+def _grams(words: Column) -> Column:
+    """Distinct 1- to 3-grams."""
+    return F.array_distinct(F.concat(n_grams(words, 1), n_grams(words, 2), n_grams(words, 3)))
+
+
+def _content(gram: Column) -> Column:
+    """Whether an n-gram holds a content word."""
+    return F.size(F.array_except(F.split(gram, " "), F.array(*[F.lit(w) for w in _STOP]))) > 0
 
 
 def _features(words: Column) -> Column:
     """Distinct 1- to 3-grams that hold a content word."""
-    stop = F.array(*[F.lit(w) for w in _STOP])
-    grams = F.array_distinct(F.concat(n_grams(words, 1), n_grams(words, 2), n_grams(words, 3)))
-    return F.filter(grams, lambda g: F.size(F.array_except(F.split(g, " "), stop)) > 0)
+    return F.filter(_grams(words), _content)
+
+
+def _words(text: str) -> list[str]:
+    """The words of a template, as :func:`tokens` gives them."""
+    return re.findall(r"[^\W_]+(?:\.[0-9]+)*", text.lower())
 
 
 def _short(text: str) -> str | None:
-    """The words of a template of at most five words, as :func:`tokens` gives them; None for a longer one."""
-    words = re.findall(r"[^\W_]+(?:\.[0-9]+)*", text.lower())
+    """The words of a template of at most five words; None for a longer one."""
+    words = _words(text)
     return " ".join(words) if len(words) <= 5 else None
 
 
@@ -267,11 +288,6 @@ def trained(spark: SparkSession) -> dict:
     return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
-def _speaks(weight: Sequence[float]) -> bool:
-    """Whether an n-gram's weights speak for some family rather than for ``unknown``, the last class."""
-    return max(weight[:-1]) > weight[-1]
-
-
 def _table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A table of the model; bounded by its n-grams or templates."""
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
@@ -280,17 +296,16 @@ def _table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
 def _scored(grams: DataFrame, keys: Sequence[str], model: dict, trigrams: DataFrame) -> DataFrame:
     """[*keys, family, probability, cover] of units from their features [*keys, g], which are read once.
 
-    Units without a feature that speaks for a family are left out: they are unknown by construction. ``cover`` is the largest share of a template of
+    Units without a weighted feature are left out. ``cover`` is the largest share of a template of
     the family whose trigrams the unit holds.
     """
     classes, k = model["classes"], len(model["classes"])
-    rows = [{"g": g, "w": w, "e": int(_speaks(w))} for g, w in sorted(model["weights"].items())]
-    weights = _table(grams.sparkSession, rows, "g:string,w:array<double>,e:int")
-    parts = trigrams.groupBy("g").agg(F.collect_list(F.struct("family", "t", "m")).alias("parts"))
+    weights = _table(grams.sparkSession, [{"g": g, "w": w} for g, w in sorted(model["weights"].items())], "g:string,w:array<double>")
+    parts = trigrams.where(_content(F.col("g"))).groupBy("g").agg(F.collect_list(F.struct("family", "t", "m")).alias("parts"))
     # bounded by the templates: the n-grams of the model's examples, and the templates' trigrams
     hits = grams.join(F.broadcast(weights.join(parts, "g", "full_outer")), "g")
-    scored = hits.groupBy(*keys).agg(*[F.sum(F.col("w")[i]).alias(f"_s{i}") for i in range(k)], F.max("e").alias("_e"), F.flatten(F.collect_list("parts")).alias("_parts"))
-    scored = scored.where("_e = 1")
+    scored = hits.groupBy(*keys).agg(*[F.sum(F.col("w")[i]).alias(f"_s{i}") for i in range(k)], F.flatten(F.collect_list("parts")).alias("_parts"))
+    scored = scored.where("_s0 IS NOT NULL")
     z = [F.col(f"_s{i}") + F.lit(b) for i, b in enumerate(model["intercepts"])]
     top = F.greatest(*z)
     total = sum((F.exp(x - top) for x in z[1:]), F.exp(z[0] - top))
@@ -313,7 +328,8 @@ def _wrapped(parts: DataFrame, trigrams: DataFrame, model: dict, min_cover: floa
     is its last line.
     """
     begin = parts.withColumn("_all", F.concat("_words", "_next"))
-    begin = begin.select("doc_id", "_row", "paragraph", F.size("_words").alias("_n"), F.posexplode(n_grams(F.col("_all"), 3)).alias("_k", "g"))
+    placed = F.transform(_starts(F.col("_all"), 3), lambda i: F.struct((i - 1).alias("_k"), F.array_join(F.slice("_all", i, 3), " ").alias("g")))
+    begin = begin.select("doc_id", "_row", "paragraph", F.size("_words").alias("_n"), F.inline(placed))
     hits = begin.join(F.broadcast(trigrams), "g").withColumn("_last", F.col("paragraph") + F.when(F.col("_k") + 2 >= F.col("_n"), 1).otherwise(0))
     hits = materialise(hits.select("doc_id", "_row", "paragraph", "_k", "_last", "family", "t", "m", "o"), "licence-hits")
     empty = parts.where(F.size("_words") == 0).select("_row", "paragraph").join(hits.select("_row").distinct().hint("merge"), "_row", "left_semi")
@@ -330,7 +346,7 @@ def _wrapped(parts: DataFrame, trigrams: DataFrame, model: dict, min_cover: floa
     keys = ["_row", "t", "paragraph"]
     text = found.select(*keys, F.explode(F.sequence("paragraph", "_last")).alias("_line")).join(parts.select("_row", F.col("paragraph").alias("_line"), "_words").hint("merge"), ["_row", "_line"])
     text = text.groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_line", "_words"))), lambda x: x["_words"])).alias("_words"))
-    scored = _scored(text.select(*keys, F.explode(_features(F.col("_words"))).alias("g")), keys, model, trigrams).drop("cover")
+    scored = _scored(text.select(*keys, F.explode(_grams(F.col("_words"))).alias("g")), keys, model, trigrams).drop("cover")
     found = found.join(scored.hint("merge"), keys).where("family = _family").drop("_family")
     found = materialise(found, "licence-wrapped")
     # of overlapping notices of a family the best covered one stays, then the first
@@ -342,7 +358,7 @@ def _wrapped(parts: DataFrame, trigrams: DataFrame, model: dict, min_cover: floa
 
 
 def scan(docs: DataFrame, model: dict, separator: str = "\n", min_cover: float = 0.6) -> DataFrame:
-    """[doc_id, paragraph, family, probability, cover, confirmed] of every paragraph with an n-gram that speaks for a family.
+    """[doc_id, paragraph, family, probability, cover, confirmed] of every paragraph with a weighted n-gram.
 
     ``paragraph`` is the 0-based number of the ``separator``-delimited part of the text;
     ``family`` may be ``unknown``; ``cover`` is the best share of a template of the family, and
@@ -357,16 +373,21 @@ def scan(docs: DataFrame, model: dict, separator: str = "\n", min_cover: float =
     spark = docs.sparkSession
     if not model["weights"]:
         return docs.select("doc_id", F.lit(0).alias("paragraph"), F.lit(UNKNOWN).alias("family"), F.lit(0.0).alias("probability"), F.lit(0.0).alias("cover"), F.lit(False).alias("confirmed")).limit(0)
-    # every feature holds a content word; a wrapped notice may have lines that speak for no family, so these stay
-    known = sorted({w for g in model["weights"] for w in g.split(" ")} - set(_STOP))
-    content = sorted({w for g, weight in model["weights"].items() if _speaks(weight) for w in g.split(" ")} - set(_STOP))
-    parts = docs.where("text IS NOT NULL").select("doc_id", F.monotonically_increasing_id().alias("_row"), F.transform(F.split("text", separator), tokens).alias("_lines"))
+    known = {w for g in model["weights"] for w in g.split(" ")}
+    vocabulary = sorted(known | {w for _, t in model["templates"] for w in _words(t)})
+
+    def masked(words: Column) -> Column:
+        return F.transform(words, lambda w: F.when(w.isin(vocabulary), w))
+
+    parts = docs.where("text IS NOT NULL").select("doc_id", F.monotonically_increasing_id().alias("_row"), F.transform(F.split("text", separator), lambda x: masked(tokens(x))).alias("_lines"))
     # every line with the first two words after it, up to a line without words
     parts = parts.select("doc_id", "_row", F.posexplode(F.expr("arrays_zip(_lines, slice(_lines, 2, size(_lines)), slice(_lines, 3, size(_lines)))")).alias("paragraph", "_z"))
     none = F.array().cast("array<string>")
     one, two = F.coalesce(F.col("_z")["1"], none), F.coalesce(F.col("_z")["2"], none)
     parts = parts.select("doc_id", "_row", "paragraph", F.col("_z")["_lines"].alias("_words"), F.slice(F.concat(one, F.when(F.size(one) == 1, two).otherwise(none)), 1, 2).alias("_next"))
-    parts = parts.where((F.size("_words") == 0) | F.arrays_overlap(F.concat("_words", "_next"), F.array(*[F.lit(w) for w in known])))
+    # every feature holds a content word; a wrapped notice may have lines without any, so these stay if the next words are known
+    content = sorted(known - set(_STOP))
+    parts = parts.where((F.size("_words") == 0) | F.exists(F.concat("_words", "_next"), lambda w: w.isNotNull() & w.isin(content)))
     parts = materialise(parts.withColumn("_next", F.when(F.size("_words") > 0, F.col("_next")).otherwise(none)), "licence-paragraphs")  # fixes the row numbers, and the texts are read once
 
     listed = [{"family": f, "t": i, "text": t} for i, (f, t) in enumerate(model["templates"])]
@@ -377,9 +398,7 @@ def scan(docs: DataFrame, model: dict, separator: str = "\n", min_cover: float =
     trigrams = trigrams.select("family", "t", F.size("all").alias("m"), F.posexplode("all").alias("o", "g"))
 
     keys = ["doc_id", "_row", "paragraph"]
-    # n-grams are built only of paragraphs that may hold one that speaks for a family
-    spoken = parts.where(F.arrays_overlap("_words", F.array(*[F.lit(w) for w in content])))
-    scored = _scored(spoken.select(*keys, F.explode(_features(F.col("_words"))).alias("g")), keys, model, trigrams)
+    scored = _scored(parts.select(*keys, F.explode(_grams(F.col("_words"))).alias("g")), keys, model, trigrams)
     lines = materialise(scored.withColumn("confirmed", (F.col("family") != UNKNOWN) & (F.col("cover") >= min_cover)), "licence-lines")
     wrapped = materialise(_wrapped(parts, trigrams, model, min_cover).withColumn("confirmed", F.lit(True)), "licence-found")
     # the notice stands for its first line, and for its other lines that are confirmed by themselves (a name, a clause)
