@@ -342,7 +342,8 @@ def reanchor_loose(annotations: DataFrame, blocks: DataFrame) -> DataFrame:
 
     [annotation_id, block_id, start, end, confidence, mode].
     """
-    strict = reanchor(annotations, blocks).withColumn("mode", F.lit("strict"))
+    # each step reads the one before it twice or more
+    strict = materialise(reanchor(annotations, blocks).withColumn("mode", F.lit("strict")), "strict-anchors")
     rest = orphans(annotations, strict)
     best = Window.partitionBy("annotation_id").orderBy(F.desc("confidence"), "sort_order", "block_id", "start")
     rest = rest.withColumns({"prefix": F.coalesce("prefix", F.lit("")), "suffix": F.coalesce("suffix", F.lit("")), "wanted": tx.trimmed(F.col("highlighted_text"))}).where("wanted <> ''")
@@ -360,11 +361,13 @@ def reanchor_loose(annotations: DataFrame, blocks: DataFrame) -> DataFrame:
     score = F.lit(0.4) + F.when(has_p, 0.2).otherwise(0.0) + F.when(has_s, 0.2).otherwise(0.0) - penalty
     cased = near.select("annotation_id", "block_id", "sort_order", "start", "n", score.alias("confidence"))
     cased = cased.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("annotation_id", "block_id", "start", (F.col("start") + F.col("n")).alias("end"), "confidence", F.lit("case").alias("mode"))
+    cased = materialise(cased, "cased-anchors")
     placed = _with_candidates(rest.where("p <> ''").withColumn("needle", F.col("p")), texts).drop("needle").withColumnRenamed("wanted", "needle").withColumn("j", F.instr("text", F.col("p"))).where("j > 0")
     start = F.octet_length(F.expr("substr(text, 1, j - 1 + length(p))"))
     by_prefix = placed.select("annotation_id", "block_id", "sort_order", start.alias("start"), F.octet_length("needle").alias("n"), F.octet_length("text").alias("size"), F.lit(0.4).alias("confidence"))
     by_prefix = by_prefix.join(cased.where("confidence >= 0.4").select("annotation_id").hint("merge"), "annotation_id", "left_anti").withColumn("_r", F.row_number().over(best)).where("_r = 1")
     by_prefix = by_prefix.select("annotation_id", "block_id", "start", F.least(F.col("start") + F.col("n"), F.col("size")).alias("end"), "confidence", F.lit("prefix").alias("mode"))
+    by_prefix = materialise(by_prefix, "prefix-anchors")
     weak = cased.join(by_prefix.select("annotation_id").hint("merge"), "annotation_id", "left_anti")
     return strict.unionByName(weak).unionByName(by_prefix)
 
