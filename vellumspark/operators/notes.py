@@ -44,8 +44,8 @@ def occurrences(text: Column, needle: Column) -> Column:
     return F.when((F.length(needle) > 0) & F.contains(text, needle), found).otherwise(F.array().cast("array<int>"))
 
 
-#: Characters of a gram, and most grams of a document that its blocks are compared with at a time.
-GRAM, GRAM_SET = 3, 512
+#: Characters of a gram, most keys of a document that its blocks are compared with at a time, and most that are searched for one by one.
+GRAM, KEY_SET, FEW_KEYS = 3, 512, 64
 
 
 def _grams(c: Column, size: int) -> Column:
@@ -53,49 +53,48 @@ def _grams(c: Column, size: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(c, F.lit(rf"(?s)(?=(.{{{size}}}))"), 1))
 
 
-def _rarest_grams(notes: DataFrame, blocks: DataFrame) -> DataFrame:
-    """[document_id, annotation_id, gram]: of every note's needle the gram that the fewest blocks hold.
+def _keys(needle: Column) -> Column:
+    """Strings of which a text that holds the needle holds every one, as words or as grams.
 
-    A needle shorter than a gram is its own. A gram that no block holds is the rarest.
+    Of three words or more the longest inner word, as it is a whole word of the text; else the
+    needle's grams of characters. A needle shorter than a gram is its own.
     """
-    grams = F.when(F.length("needle") >= GRAM, _grams(F.col("needle"), GRAM)).otherwise(F.array("needle"))
-    own = notes.select("document_id", "annotation_id", F.explode(grams).alias("gram"))
-    held = blocks.select(F.explode(_grams(F.col("text"), GRAM)).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
-    counted = own.join(held.hint("merge"), "gram", "left")
-    rarest = F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("gram"))).alias("r")
-    return counted.groupBy("document_id", "annotation_id").agg(rarest).select("document_id", "annotation_id", "r.gram")
+    inner = F.slice(F.split(needle, r"\s+"), 2, F.greatest(F.size(F.split(needle, r"\s+")) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    return F.when(longest.isNotNull(), F.array(longest)).when(F.length(needle) >= GRAM, _grams(needle, GRAM)).otherwise(F.array(needle))
 
 
-def _by_grams(notes: DataFrame, blocks: DataFrame) -> DataFrame:
-    """[document_id, annotation_id, block_id] of blocks that hold the rarest gram of a note of their document.
+def _shared(wanted: DataFrame, blocks: DataFrame) -> DataFrame:
+    """[document_id, block_id, key] of blocks and the keys [document_id, key] of their document that they hold.
 
-    A document's grams meet its blocks as sets of bounded size, so what comes out is the pairs of
-    a note and a block that share the gram, and nothing else.
+    Blocks are read once. A document's keys meet them as sets of bounded size: a small set is
+    searched for in the text, a larger one in the text's words and grams.
     """
-    chosen = materialise(_rarest_grams(notes, blocks), "needle-grams")
-    wanted = chosen.select("document_id", "gram").distinct()
-    sets = F.ceil(F.count("*").over(Window.partitionBy("document_id")) / GRAM_SET)
-    wanted = wanted.withColumn("_set", F.pmod(F.xxhash64("gram"), sets)).groupBy("document_id", "_set").agg(F.collect_list("gram").alias("wanted"))
+    sets = F.ceil(F.count("*").over(Window.partitionBy("document_id")) / KEY_SET)
+    wanted = wanted.withColumn("_set", F.pmod(F.xxhash64("key"), sets)).groupBy("document_id", "_set").agg(F.collect_list("key").alias("wanted"))
     sizes = F.transform("wanted", lambda g: F.length(g))
     short = [F.when(F.array_contains(sizes, n), _grams(F.col("text"), n)).otherwise(F.array().cast("array<string>")) for n in range(1, GRAM)]
+    held = F.array_intersect("wanted", F.concat(F.split("text", r"\s+"), _grams(F.col("text"), GRAM), *short))
+    held = F.when(F.size("wanted") <= FEW_KEYS, F.filter("wanted", lambda key: F.contains("text", key))).otherwise(held)
     near = blocks.select("document_id", "block_id", "text").join(wanted.hint("merge"), "document_id")
-    found = near.select("document_id", "block_id", F.explode(F.array_intersect("wanted", F.concat(_grams(F.col("text"), GRAM), *short))).alias("gram"))
-    return found.join(chosen.hint("merge"), ["document_id", "gram"]).select("document_id", "annotation_id", "block_id")
+    return near.select("document_id", "block_id", F.explode(held).alias("key"))
 
 
 def _with_candidates(annotations: DataFrame, blocks: DataFrame) -> DataFrame:
     """Pairs of a note (needle) and a block (text) of its document that may hold the needle.
 
-    A needle of three words or more holds whole words of the block: its longest inner word is looked
-    up in the blocks' words. A shorter one is looked up by its rarest gram of characters.
+    Every needle is looked up by one of its keys, that which the fewest blocks of the document hold.
+    So what comes out is the pairs of a note and a block that share that key, and nothing else.
     """
-    inner = F.expr("array_max(transform(slice(w, 2, greatest(size(w) - 2, 0)), x -> struct(length(x) AS n, x AS x))).x")
-    keyed = annotations.withColumn("w", F.split("needle", r"\s+")).withColumn("inner", inner).drop("w")
-    words = blocks.select("document_id", "block_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("inner"))
-    named = keyed.where("inner IS NOT NULL").join(words.hint("merge"), ["document_id", "inner"])
-    rest = keyed.where("inner IS NULL")
-    rest = rest.join(_by_grams(rest, blocks).hint("merge"), ["document_id", "annotation_id"])
-    return named.unionByName(rest).drop("inner").join(blocks.hint("merge"), ["document_id", "block_id"])
+    own = materialise(annotations.select("document_id", "annotation_id", F.explode(_keys(F.col("needle"))).alias("key")), "needle-keys")
+    shared = materialise(_shared(own.select("document_id", "key").distinct(), blocks), "shared-keys")
+    counts = shared.groupBy("document_id", "key").agg(F.count("*").alias("df"))
+    # a key that no block holds is the rarest, and leaves its note without candidates
+    counted = own.join(counts.hint("merge"), ["document_id", "key"], "left")
+    rarest = F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("key"))).alias("r")
+    chosen = counted.groupBy("document_id", "annotation_id").agg(rarest).where("r.df > 0").select("document_id", "annotation_id", "r.key")
+    pairs = shared.join(chosen.hint("merge"), ["document_id", "key"]).select("document_id", "annotation_id", "block_id")
+    return annotations.join(pairs.hint("merge"), ["document_id", "annotation_id"]).join(blocks.hint("merge"), ["document_id", "block_id"])
 
 
 def reanchor(annotations: DataFrame, blocks: DataFrame, accept: float = 0.4) -> DataFrame:
@@ -114,9 +113,11 @@ def reanchor(annotations: DataFrame, blocks: DataFrame, accept: float = 0.4) ->
     start = F.octet_length(before)
     # context of the block beside the occurrence: as many bytes as the stored side, whole characters
     hits = hits.withColumns({"prefix": F.coalesce("prefix", F.lit("")), "suffix": F.coalesce("suffix", F.lit(""))})
-    fits = "array_max(filter(sequence(0, octet_length({0})), k -> octet_length({1}) <= octet_length({0})))"
-    left = F.expr("right(substr(text, 1, i), {})".format(fits.format("prefix", "right(substr(text, 1, i), k)")))
-    right = F.expr("substr(text, i + length(needle) + 1, {})".format(fits.format("suffix", "substr(text, i + length(needle) + 1, k)")))
+    # no more characters than the stored side has bytes can take part, so windows are cut out first
+    hits = hits.withColumns({"_a": F.expr("right(substr(text, 1, i), octet_length(prefix))"), "_z": F.expr("substr(text, i + length(needle) + 1, octet_length(suffix))")})
+    fits = "array_max(filter(sequence(0, length({1})), k -> octet_length({2}) <= octet_length({0})))"
+    left = F.expr("right(_a, {})".format(fits.format("prefix", "_a", "right(_a, k)")))
+    right = F.expr("left(_z, {})".format(fits.format("suffix", "_z", "left(_z, k)")))
     clean_p, clean_s = tx.trimmed(F.coalesce("prefix", F.lit(""))), tx.trimmed(F.coalesce("suffix", F.lit("")))
     hits = hits.withColumns({"_l": left, "_r": right, "_p": clean_p, "_s": clean_s, "start": start})
     has_p = (F.col("_p") != "") & (F.col("_l") != "") & (F.contains("_l", F.expr("right(_p, 10)")) | F.contains("_p", "_l"))
@@ -362,10 +363,12 @@ def reanchor_loose(annotations: DataFrame, blocks: DataFrame) -> DataFrame:
     cased = near.select("annotation_id", "block_id", "sort_order", "start", "n", score.alias("confidence"))
     cased = cased.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("annotation_id", "block_id", "start", (F.col("start") + F.col("n")).alias("end"), "confidence", F.lit("case").alias("mode"))
     cased = materialise(cased, "cased-anchors")
-    placed = _with_candidates(rest.where("p <> ''").withColumn("needle", F.col("p")), texts).drop("needle").withColumnRenamed("wanted", "needle").withColumn("j", F.instr("text", F.col("p"))).where("j > 0")
+    # a prefix is tried only where the cased text gave no good anchor
+    left = rest.where("p <> ''").join(cased.where("confidence >= 0.4").select("annotation_id").hint("merge"), "annotation_id", "left_anti")
+    placed = _with_candidates(left.withColumn("needle", F.col("p")), texts).drop("needle").withColumnRenamed("wanted", "needle").withColumn("j", F.instr("text", F.col("p"))).where("j > 0")
     start = F.octet_length(F.expr("substr(text, 1, j - 1 + length(p))"))
     by_prefix = placed.select("annotation_id", "block_id", "sort_order", start.alias("start"), F.octet_length("needle").alias("n"), F.octet_length("text").alias("size"), F.lit(0.4).alias("confidence"))
-    by_prefix = by_prefix.join(cased.where("confidence >= 0.4").select("annotation_id").hint("merge"), "annotation_id", "left_anti").withColumn("_r", F.row_number().over(best)).where("_r = 1")
+    by_prefix = by_prefix.withColumn("_r", F.row_number().over(best)).where("_r = 1")
     by_prefix = by_prefix.select("annotation_id", "block_id", "start", F.least(F.col("start") + F.col("n"), F.col("size")).alias("end"), "confidence", F.lit("prefix").alias("mode"))
     by_prefix = materialise(by_prefix, "prefix-anchors")
     weak = cased.join(by_prefix.select("annotation_id").hint("merge"), "annotation_id", "left_anti")
