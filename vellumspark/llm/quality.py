@@ -9,13 +9,16 @@ The statistics of every whole text are computed once and written; all that follo
 table. Means and deviations of the features, and the score tails that give the class prior, are
 aggregates over all documents. The prior comes from a first model that separates positives from
 unlabelled rows: it is the least ratio of upper-tail frequencies (unlabelled over positive),
-which regions of the score that hold only positives attain. Only the two descents take bounded samples
-(``max_rows`` each, lowest hashes of the id first): a documented limit of the fit.
+which regions of the score that hold only positives attain. The unlabelled side of both risks is
+summed over all rows: Newton steps over the written table (the risks are convex) start from
+descents on bounded samples (``max_rows`` each, lowest hashes of the id first). So only the labelled
+side is a sample: a documented limit of the fit.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -113,6 +116,54 @@ def _descend(xp: np.ndarray, xu: np.ndarray, prior: float | None, steps: int, de
     return w
 
 
+def _sums(batches: Iterator[pa.RecordBatch], mean: np.ndarray, scale: np.ndarray, w: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (features) of a task -> its sums (i, value): rows, loss as negatives, gradient, curvature."""
+    total = np.zeros(2 + len(w) + len(w) ** 2)
+    for batch in batches:
+        x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(mean))
+        x = np.column_stack([np.clip((x - mean) / scale, -_CLIP, _CLIP), np.ones(len(x))])
+        z = np.clip(x @ w, -500, 500)
+        s = 1 / (1 + np.exp(-z))
+        total += np.concatenate([[len(x), np.logaddexp(0, z).sum()], s @ x, ((x * (s * (1 - s))[:, None]).T @ x).reshape(-1)])
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["i", "value"])
+
+
+def _newton(rows: DataFrame, xp: np.ndarray, mean: np.ndarray, scale: np.ndarray, w: np.ndarray, prior: float | None, decay: float, steps: int) -> np.ndarray:
+    """Weights after Newton steps on the risk of :func:`_descend` with all unlabelled ``rows`` [features].
+
+    With a prior the logistic risk is convex, as its two parts of the positives differ by a linear term.
+    A step that raises the risk, or makes the part of the negatives negative, is halved.
+    """
+    xp = np.column_stack([xp, np.ones(len(xp))])
+    # the start is a step from zero, where the part of the negatives is positive
+    size, best, step = len(w), (np.inf, np.zeros(len(w))), w
+    for _ in range(steps):
+        sums = rows.mapInArrow(partial(_sums, mean=mean, scale=scale, w=w), "i int, value double").groupBy("i").agg(F.sum("value").alias("value"))
+        u = np.zeros(2 + size + size**2)
+        for r in sums.collect():  # a number for each two features
+            u[r["i"]] = r["value"]
+        loss, slope, bend = u[1] / u[0], u[2 : 2 + size] / u[0], u[2 + size :].reshape(size, size) / u[0]
+        z = np.clip(xp @ w, -500, 500)
+        s = 1 / (1 + np.exp(-z))
+        ridge = decay * np.append(np.ones(size - 1), 0)
+        if prior is None:
+            negative, risk = 0.0, (loss + np.logaddexp(0, -z).mean()) / 2
+            slope, bend = (slope - (1 - s) @ xp / len(xp)) / 2, (bend + (xp * (s * (1 - s))[:, None]).T @ xp / len(xp)) / 2
+        else:
+            negative, risk = loss - prior * np.logaddexp(0, z).mean(), loss - prior * z.mean()
+            slope = slope - prior * xp.mean(axis=0)
+        risk += (ridge * w * w).sum() / 2
+        if negative < 0 or risk > best[0] + 1e-12:
+            step = step / 2
+        else:
+            gain, best = best[0] - risk, (risk, w)
+            step = -np.linalg.solve(bend + np.diag(ridge + 1e-9), slope + ridge * w)
+            if gain < 1e-6:
+                break
+        w = best[1] + step
+    return best[1]
+
+
 def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """Share of positives among unlabelled rows from two score histograms (counts by ascending bin)."""
     n_p, n_u = positive.sum(), unlabelled.sum()
@@ -143,12 +194,12 @@ def _fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def fit(table: DataFrame, labels: DataFrame, max_rows: int = 8000, steps: int = 400, decay: float = 1e-4) -> dict:
+def fit(table: DataFrame, labels: DataFrame, max_rows: int = 8000, steps: int = 400, decay: float = 1e-4, passes: int = 8) -> dict:
     """The model {mean, scale, weights (last: intercept), prior} from a written table [id, features].
 
     Learns from rows outside the held-out fold (crc32(id as text) mod 5 = 0). Neither labels, lang,
-    source nor ids are inputs of a score. ``max_rows`` bounds each of the two samples of the
-    descents. Of rows that share an id the one with the smallest features counts. Without
+    source nor ids are inputs of a score. ``max_rows`` bounds the labelled rows, and the unlabelled
+    ones that a fit starts from; ``passes`` is the most passes over all unlabelled rows. Of rows that share an id the one with the smallest features counts. Without
     positives the model scores 1 everywhere.
     """
     trusted = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id")).distinct().withColumn("trusted", F.lit(True))
@@ -164,13 +215,17 @@ def fit(table: DataFrame, labels: DataFrame, max_rows: int = 8000, steps: int =
     model = {"mean": mean.tolist(), "scale": scale.tolist()}
     # the first model learns from some of the ids; the tails are those of all the others
     own_p, own_u = (x["first"].to_numpy(bool) for x in samples)
-    first = model | {"weights": _descend(xp[own_p], xu[own_u], None, steps, decay).tolist()}
+    start = _descend(xp[own_p], xu[own_u], None, steps, decay)
+    if own_p.any():
+        start = _newton(marked.where("first").select("features"), xp[own_p], mean, scale, start, None, decay, passes)
+    first = model | {"weights": start.tolist()}
     bins = marked.where("NOT first").select("trusted", F.least(F.floor(chance("features", first) * _BINS), F.lit(_BINS - 1)).alias("bin"))
     histograms = np.zeros((2, _BINS))
     for r in bins.groupBy("bin").agg(F.count_if("trusted").alias("p"), F.count("*").alias("n")).collect():  # at most _BINS rows
         histograms[:, r["bin"]] = r["p"], r["n"]
     prior = class_prior(*histograms)
-    return model | {"weights": _descend(xp, xu, prior, steps, decay).tolist(), "prior": prior}
+    weights = _newton(marked.select("features"), xp, mean, scale, _descend(xp, xu, prior, steps, decay), prior, decay, passes)
+    return model | {"weights": weights.tolist(), "prior": prior}
 
 
 def _judged(docs: DataFrame, labels: DataFrame, keep: str, **options) -> DataFrame:
