@@ -311,3 +311,23 @@ def test_short_needles_meet_only_blocks_with_their_gram(spark):
     assert len(found) == len(set(found)) and holds <= {x[:2] for x in found}
     assert all(any(needle[i : i + min(3, len(needle))] in text for i in range(max(len(needle) - 2, 1))) for _, _, needle, text in found)
     assert len(found) < 1.6 * len(holds)
+
+
+def test_every_block_with_a_needle_is_a_candidate_whatever_the_number_of_keys(spark):
+    """One document of few keys, which are searched for in the text, and one of more than are searched for one by one."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdeé\n") for _ in range(rng.randint(1, 6)))
+    blocks = [(doc, f"{doc}-{i}", i, " ".join(word() for _ in range(40))) for doc in ("few", "many") for i in range(12)]
+    notes = []
+    for doc, n in (("few", 5), ("many", 400)):
+        for i in range(n):
+            text = rng.choice([b[3] for b in blocks if b[0] == doc])
+            at = rng.randrange(len(text))
+            needle = text[at : at + rng.choice([1, 2, 3, 9, 25])].strip() or "zz"
+            notes.append((doc, f"{doc}{i}", needle))
+    a = spark.createDataFrame(notes, "document_id string, annotation_id string, needle string")
+    b = spark.createDataFrame(blocks, "document_id string, block_id string, sort_order int, text string")
+    assert no._shared(a.selectExpr("document_id", "needle AS key").distinct(), b).count() > 0
+    found = [(r.annotation_id, r.block_id) for r in no._with_candidates(a, b).collect() if r.needle in r.text]
+    want = [(n[1], block[1]) for n in notes for block in blocks if n[0] == block[0] and n[2] in block[3]]
+    assert sorted(found) == sorted(want)
