@@ -74,8 +74,9 @@ def sanitise(c: Column) -> Column:
 
 def checksum(c: Column) -> Column:
     """32-bit multiply-and-xor checksum of the code points, hexadecimal without padding."""
-    step = lambda h, x: F.when(x == "", h).otherwise((h * 33).bitwiseAND(4294967295).bitwiseXOR(F.ascii(x).cast("long")))
-    folded = F.aggregate(F.split(c, ""), F.lit(5381).cast("long"), step)
+    step = lambda h, x: (h * 33).bitwiseAND(4294967295).bitwiseXOR(F.ascii(x).cast("long"))
+    start = F.lit(5381).cast("long")
+    folded = F.when(c == "", start).otherwise(F.aggregate(F.split(c, ""), start, step))
     return F.lower(F.hex(folded))
 
 

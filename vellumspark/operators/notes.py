@@ -154,27 +154,33 @@ def packetise(payloads: DataFrame, most: int = 512) -> DataFrame:
     step = f"transform(array({cut}), e -> named_struct('at', e, 'ends', concat(s.ends, array(e))))[0]"
     fold = f"aggregate(sequence(1, cast(ceil(n / {most - 3}) AS int)), named_struct('at', 0, 'ends', cast(array() AS array<int>)), (s, k) -> CASE WHEN s.at = n THEN s ELSE {step} END, s -> s.ends)"
     raw = payloads.select("tx", F.col("payload").cast("binary").alias("raw")).withColumn("n", F.length("raw")).where("n > 0")
-    cuts = raw.withColumn("ends", F.expr(fold)).select("tx", "raw", "ends", F.size("ends").alias("n"), F.posexplode("ends").alias("i", "to"))
-    begin = F.when(F.col("i") == 0, 0).otherwise(F.element_at("ends", F.greatest(F.col("i"), F.lit(1))))
-    rows = cuts.select("tx", "i", "n", F.substring("raw", begin + 1, F.col("to") - begin).cast("string").alias("data"))
+    ends = raw.withColumn("ends", F.expr(fold))
+    # a text is cut inside its row, so that no packet carries all of it; every text has a part, and for an
+    # outer explode Spark adds no filter on the array, which would do the cuts again before them
+    part = "transform(ends, (e, k) -> cast(substring(raw, if(k = 0, 0, ends[k - 1]) + 1, e - if(k = 0, 0, ends[k - 1])) AS string))"
+    rows = ends.select("tx", F.size("ends").alias("n"), F.expr(part).alias("parts")).select("tx", "n", F.posexplode_outer("parts").alias("i", "data"))
     return rows.select("tx", "i", "n", tx.checksum(F.col("data")).alias("checksum"), "data")
 
 
-def reassemble(packets: DataFrame) -> DataFrame:
+def reassemble(packets: DataFrame, checked: bool = False) -> DataFrame:
     """[tx, progress, payload]: packets with a right checksum, ordered; the payload only when complete.
 
+    ``checked`` packets, as :func:`from_wire` gives them, have their checksums behind them.
+
     Of several packets with one index the last one stays: that with the highest ``arrival``. Where
     that is null, missing or equal, the greatest text stays (a null arrival comes first).
     """
     order = F.struct(F.col("arrival") if "arrival" in packets.columns else F.lit(0).alias("arrival"), "data")
-    good = packets.where(tx.checksum(F.col("data")) == F.col("checksum")).groupBy("tx", "i").agg(F.max("n").alias("n"), F.max(order)["data"].alias("data"))
+    good = packets if checked else packets.where(tx.checksum(F.col("data")) == F.col("checksum"))
+    # packets go to their transfer's task once, for both groupings
+    good = good.repartition("tx").groupBy("tx", "i").agg(F.max("n").alias("n"), F.max(order)["data"].alias("data"))
     joined = good.groupBy("tx").agg(F.max("n").alias("n"), F.count("*").alias("got"), F.expr("listagg(data, '') WITHIN GROUP (ORDER BY i)").alias("all"))
     return joined.select("tx", (F.col("got") * 100 / F.col("n")).alias("progress"), F.when(F.col("got") == F.col("n"), F.col("all")).alias("payload"))
 
 
-def to_wire(packets: DataFrame) -> DataFrame:
-    """[tx, i, line]: packets as they are sent, ``tx|i|n|checksum|data``."""
-    return packets.select("tx", "i", F.concat_ws("|", *[F.col(c).cast("string") for c in ("tx", "i", "n", "checksum", "data")]).alias("line"))
+def to_wire(packets: DataFrame, *more: str) -> DataFrame:
+    """[tx, i, line]: packets as they are sent, ``tx|i|n|checksum|data``; ``more`` names columns to keep."""
+    return packets.select("tx", "i", *more, F.concat_ws("|", *[F.col(c).cast("string") for c in ("tx", "i", "n", "checksum", "data")]).alias("line"))
 
 
 def from_wire(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -183,12 +189,16 @@ def from_wire(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     The data may hold ``|``. Reasons: ``fields`` (fewer than five, or no name of a transfer), ``number`` (an
     index or a count that is none, or an index outside the count), ``checksum``.
     """
-    part = F.split("line", r"\|", 5)
-    read = lines.withColumns({"tx": F.get(part, 0), "i": F.expr("try_cast(get(split(line, '[|]', 5), 1) AS int)"), "n": F.expr("try_cast(get(split(line, '[|]', 5), 2) AS int)"), "checksum": F.get(part, 3), "data": F.get(part, 4)})
+    read = lines.select("arrival", "line", F.split("line", r"\|", 5).alias("_p"))
+    read = read.select("arrival", "line", F.get("_p", F.lit(0)).alias("tx"), F.get("_p", F.lit(1)).try_cast("int").alias("i"), F.get("_p", F.lit(2)).try_cast("int").alias("n"), F.get("_p", F.lit(3)).alias("checksum"), F.get("_p", F.lit(4)).alias("data"))
     whole = F.coalesce(F.col("data").isNotNull() & (F.col("tx") != ""), F.lit(False))
     numbered = F.coalesce((F.col("i") >= 0) & (F.col("i") < F.col("n")), F.lit(False))
     reason = F.when(~whole, "fields").when(~numbered, "number").when(tx.checksum(F.col("data")) != F.col("checksum"), "checksum")
     read = read.withColumn("reason", reason)
+    # written once: a filter on the reason would be pushed down and compute the checksum again in every use
+    bad = F.col("reason").isNotNull()
+    read = read.withColumns({"line": F.when(bad, F.col("line")), "data": F.when(~bad, F.col("data"))})
+    read = materialise(read, "wire")
     return read.where("reason IS NULL").select("arrival", "tx", "i", "n", "checksum", "data"), read.where("reason IS NOT NULL").select("arrival", "line", "reason")
 
 

@@ -18,7 +18,7 @@ from vellumspark.operators import tree
 from vellumspark.plans import extraction, trees
 from vellumspark.plans.extraction import line_blocks, texts
 from vellumspark.plans.records import _AN, _B, _PACKETS, _TAGS, _annotations, _block_tags, _packets
-from vellumspark.session import shared_dir, table
+from vellumspark.session import materialise, shared_dir, table
 from vellumspark.sources import backup
 
 
@@ -51,17 +51,18 @@ def _context(s: SparkSession, d: str) -> DataFrame:
 
 def _wire(s: SparkSession, d: str) -> DataFrame:
     """Documents sent as lines: an early other packet of every first index, and three damaged lines a document."""
-    sent = no.to_wire(_packets(s, d)).withColumn("arrival", F.col("i") + 100)
+    wire = materialise(no.to_wire(_packets(s, d), "n"), "sent-lines")
+    sent = wire.drop("n").withColumn("arrival", F.col("i") + 100)
     early = no.packetise(table(s, d, "documents").where("text <> ''").select(F.col("doc_id").alias("tx"), F.lit("an early | text").alias("payload")))
     # the early packet claims the true number of packets
-    early = no.to_wire(early.drop("n").join(_packets(s, d).where("i = 0").select("tx", "n").hint("merge"), "tx").select("tx", "i", "n", "checksum", "data")).withColumn("arrival", F.col("i"))
+    early = no.to_wire(early.drop("n").join(wire.where("i = 0").select("tx", "n").hint("merge"), "tx").select("tx", "i", "n", "checksum", "data")).withColumn("arrival", F.col("i"))
     first = sent.where("i = 0")
     damaged = [F.expr("substring_index(line, '|', 3)"), F.expr("replace(line, concat(tx, '|0|'), concat(tx, '|x|'))"), F.concat("line", F.lit("|"))]
     lines = sent.unionByName(early).select("arrival", "line")
     for n, line in enumerate(damaged):
         lines = lines.unionByName(first.select((F.col("arrival") + n + 1000).alias("arrival"), line.alias("line")))
     packets, rejects = no.from_wire(lines)
-    whole = no.reassemble(packets).select(F.col("tx").alias("name"), "progress", "payload")
+    whole = no.reassemble(packets, checked=True).select(F.col("tx").alias("name"), "progress", "payload")
     return whole.unionByName(rejects.groupBy(F.col("reason").alias("name")).agg(F.count("*").cast("double").alias("progress"), F.lit(None).cast("string").alias("payload")))
 
 
