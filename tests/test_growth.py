@@ -18,3 +18,27 @@ def test_packets_are_cut_once_and_checked_once(spark):
     assert "aggregate(" not in _plan(packets) and "aggregate(" not in _plan(rejects)
     assert rejects.count() == 0
     assert {r.tx: r.payload for r in no.reassemble(packets, checked=True).collect()} == {"t": "aé😀|" * 500, "u": "x"}
+
+
+def test_layout_of_pages_shuffles_no_glyphs(spark, sf):
+    from vellumspark.plans import records
+
+    for name in ("p7_all_pages", "p8_reading_order"):
+        plan = records.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_glyph_rows_and_pages_give_the_same_tokens(spark):
+    from vellumspark.operators import reflow as rf
+
+    text = [" ab  c\t", "\n ", "d", "xy z"]
+    rows = [("d", p, i, ch, float(i), 1.0, i + 0.5, 2.0 + i, float(10 + i)) for p, t in enumerate(text) for i, ch in enumerate(t)]
+    rows.append(("d", 3, 9, None, 9.0, 9.0, 9.0, 9.0, 9.0))
+    glyphs = spark.createDataFrame(rows, "document_id string, page int, idx int, glyph string, left double, bottom double, right double, top double, font_size double")
+    found = [tuple(r) for r in rf.glyphs_to_tokens(glyphs).orderBy("page", "token_no").collect()]
+    assert found == [
+        ("d", 0, 0, 1.0, 1.0, 2.5, 4.0, 12.0, "ab"), ("d", 0, 1, 5.0, 1.0, 5.5, 7.0, 15.0, "c"), ("d", 2, 0, 0.0, 1.0, 0.5, 2.0, 10.0, "d"),
+        ("d", 3, 0, 0.0, 1.0, 1.5, 3.0, 11.0, "xy"), ("d", 3, 1, 3.0, 1.0, 3.5, 5.0, 13.0, "z"),
+    ]
+    gathered = glyphs.groupBy("document_id", "page").agg(F.array_sort(F.collect_list(F.struct("idx", "glyph", "left", "bottom", "right", "top", "font_size"))).alias("glyphs"))
+    assert rf.token_rows(rf.page_tokens(gathered.where("page <> 3"), 1)).count() == 2

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumspark.functions.text import truncate_tokens
 from vellumspark.operators.groups import fold_groups
 from vellumspark.operators.notes import occurrences
+from vellumspark.session import ship
 
 
 def static_height(block_type: Column, content: Column) -> Column:
@@ -160,17 +165,47 @@ def scroll_action(events: DataFrame) -> DataFrame:
     return events.withColumn("action", action).withColumn("target", F.when(F.col("action") == "prev", F.col("prev_id")).when(F.col("action") == "next", F.col("next_id")))
 
 
+#: Fields of a token of a page.
+TOKEN = ("left", "bottom", "right", "top", "font_size", "text")
+
+
+def page_tokens(pages: DataFrame, max_tokens: int = 1000) -> DataFrame:
+    """[document_id, page, tokens] of pages [document_id, page, glyphs]: the runs of glyphs between white space.
+
+    ``glyphs`` is an array of (glyph, left, bottom, right, top, font_size) in order. A token's box is the
+    union of its glyphs', its font size that of the last one. Pages are bounded, so a page is a
+    row from its glyphs to its text, and nothing is shuffled; the first ``max_tokens`` tokens stay.
+    """
+    one = pages.select("document_id", "page", "glyphs", F.transform("glyphs", lambda g: F.translate(g["glyph"], " \t\n\x0b\f\r", "") == "").alias("_blank"))
+    edge = F.expr("filter(sequence(0, size(_blank)), i -> coalesce(get(_blank, i - 1), true) <> coalesce(get(_blank, i), true))")
+    one = one.withColumn("_edge", edge)
+
+    def union(own: Column) -> Column:
+        return F.struct(
+            F.array_min(own["left"]).alias("left"), F.array_min(own["bottom"]).alias("bottom"), F.array_max(own["right"]).alias("right"), F.array_max(own["top"]).alias("top"),
+            F.element_at(own, -1)["font_size"].alias("font_size"), F.array_join(own["glyph"], "").alias("text"),
+        )
+
+    def token(k: Column) -> Column:
+        a, b = F.get("_edge", k * 2), F.get("_edge", k * 2 + 1)
+        return F.transform(F.array(F.slice("glyphs", a + 1, b - a)), union)[0]
+
+    count = F.least((F.size("_edge") / 2).cast("int"), F.lit(max_tokens))
+    # no filter on the edges: it would be pushed down and find them a second time
+    return one.select("document_id", "page", F.transform(F.slice(F.sequence(F.lit(0), count), F.lit(1), count), token).alias("tokens"))
+
+
+def token_rows(pages: DataFrame) -> DataFrame:
+    """[document_id, page, token_no, left, bottom, right, top, font_size, text] of pages with tokens."""
+    # an outer explode, as for others Spark would compute the array a second time to filter on it
+    return pages.select("document_id", "page", F.posexplode_outer("tokens").alias("token_no", "t")).where("t IS NOT NULL").select("document_id", "page", "token_no", *[F.col("t")[c].alias(c) for c in TOKEN])
+
+
 def glyphs_to_tokens(glyphs: DataFrame) -> DataFrame:
     """Runs of glyphs between white space: box is the union, font size the last glyph's."""
-    order = Window.partitionBy("document_id", "page").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    marked = glyphs.withColumn("blank", F.translate("glyph", " \t\n\x0b\f\r", "") == "")
-    islands = marked.withColumn("island", F.sum(F.col("blank").cast("int")).over(order)).where("NOT blank")
-    tokens = islands.groupBy("document_id", "page", "island").agg(
-        F.min("idx").alias("idx"), F.min("left").alias("left"), F.min("bottom").alias("bottom"), F.max("right").alias("right"), F.max("top").alias("top"),
-        F.max_by("font_size", "idx").alias("font_size"), F.expr("listagg(glyph, '') WITHIN GROUP (ORDER BY idx)").alias("text"),
-    )
-    number = F.row_number().over(Window.partitionBy("document_id", "page").orderBy("idx")) - 1
-    return tokens.select("document_id", "page", number.alias("token_no"), "left", "bottom", "right", "top", "font_size", "text")
+    fields = F.struct("idx", "glyph", "left", "bottom", "right", "top", "font_size")
+    pages = glyphs.where("glyph IS NOT NULL").groupBy("document_id", "page").agg(F.array_sort(F.collect_list(fields)).alias("glyphs"))
+    return token_rows(page_tokens(pages, 2**31 - 1))
 
 
 def cap_pages(tokens: DataFrame, max_tokens: int = 1000) -> DataFrame:
@@ -184,15 +219,14 @@ def cap_text(c: Column, max_bytes: int = 100_000) -> Column:
     return truncate_tokens(c, max_bytes // 4)
 
 
-def _order(tokens: list[tuple], mid: float, tolerance: float) -> list[tuple]:
-    """Reading order of one page's tokens (document, page, number, left, bottom, right, top, text)."""
-    key, boxes = tokens[0][:2], [t[3:7] for t in tokens]
-    numbers, words = [t[2] for t in tokens], [t[7] for t in tokens]
+def _order(boxes: list[tuple[float, float, float, float]], mid: float, tolerance: float) -> list[tuple[int, int, int]]:
+    """(token, column, line) in reading order of one page's boxes (left, bottom, right, top)."""
+    centres = [(b + d) / 2 for _, b, _, d in boxes]
     lines: list[list[float]] = []
     for i in sorted(range(len(boxes)), key=lambda i: -boxes[i][1]):
         a, b, c, d = boxes[i]
         for line in lines:
-            if abs((line[1] + line[3]) / 2 - (b + d) / 2) < tolerance:
+            if abs((line[1] + line[3]) / 2 - centres[i]) < tolerance:
                 line[:] = [min(line[0], a), min(line[1], b), max(line[2], c), max(line[3], d)]
                 break
         else:
@@ -200,36 +234,77 @@ def _order(tokens: list[tuple], mid: float, tolerance: float) -> list[tuple]:
     left, right = sum(x[2] < mid for x in lines), sum(x[0] > mid and x[2] >= mid for x in lines)
     two = left + right > 2 * (len(lines) - left - right)
     column = [int(two and (x[0] + x[2]) / 2 >= mid) for x in boxes]
-    rank, found = 0, []
+    found = []
     for c in sorted(set(column)):
-        own = sorted((i for i in range(len(boxes)) if column[i] == c), key=lambda i: -(boxes[i][1] + boxes[i][3]) / 2)
+        own = sorted((i for i in range(len(boxes)) if column[i] == c), key=lambda i: -centres[i])
         rows: list[list[int]] = []
         for i in own:
-            centre = (boxes[i][1] + boxes[i][3]) / 2
-            if rows and abs((boxes[rows[-1][0]][1] + boxes[rows[-1][0]][3]) / 2 - centre) < tolerance:
+            if rows and abs(centres[rows[-1][0]] - centres[i]) < tolerance:
                 rows[-1].append(i)
             else:
                 rows.append([i])
         for n, row in enumerate(rows):
-            for i in sorted(row, key=lambda i: boxes[i][0]):
-                found.append((*key, numbers[i], c, n, rank, words[i]))
-                rank += 1
+            found.extend((i, c, n) for i in sorted(row, key=lambda i: boxes[i][0]))
     return found
 
 
-def reading_order(tokens: DataFrame, page_width: float = 600.0, tolerance: float = 8.0) -> DataFrame:
-    """[document_id, page, token_no, column, line, rank, text]: two columns are read one after the other.
+#: A word of a page that is read.
+_WORD = pa.struct([("token_no", pa.int32()), ("column", pa.int32()), ("line", pa.int32()), ("rank", pa.int32()), ("text", pa.string())])
+
 
-    An order-dependent fold over each page; pages are bounded by :func:`cap_pages`.
+def read_pages(pages: DataFrame, page_width: float = 600.0, tolerance: float = 8.0) -> DataFrame:
+    """[document_id, page, words] of pages with tokens: (token_no, column, line, rank, text) in reading order.
+
+    An order-dependent fold over each page, a row at a time; pages are bounded by :func:`page_tokens`.
+    A token may bring its own ``token_no``; else its place in the array is its number.
     """
-    schema = "document_id string, page int, token_no int, column int, line int, rank int, text string"
-    columns = ["document_id", "page", "token_no", "left", "bottom", "right", "top", "text"]
-    return fold_groups(tokens.select(*columns), columns[:2], columns[2:3], partial(_order, mid=page_width / 2, tolerance=tolerance), schema)
+    ship(pages.sparkSession)
+    mid = page_width / 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("tokens")
+            tokens, at = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            boxes = list(zip(*[tokens.field(c).to_pylist() for c in ("left", "bottom", "right", "top")], strict=True))
+            place, column, line, rank = [], [], [], []
+            for a, b in itertools.pairwise(at.tolist()):
+                found = _order(boxes[a:b], mid, tolerance)
+                place.extend(a + i for i, _, _ in found)
+                column.extend(c for _, c, _ in found)
+                line.extend(n for _, _, n in found)
+                rank.extend(range(len(found)))
+            place = np.array(place, dtype=np.int64)
+            own = tokens.field("token_no").take(pa.array(place)) if tokens.type.get_field_index("token_no") >= 0 else pa.array(place - np.repeat(at[:-1], np.diff(at)), pa.int32())
+            fields = [own, pa.array(column, pa.int32()), pa.array(line, pa.int32()), pa.array(rank, pa.int32()), tokens.field("text").take(pa.array(place))]
+            words = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(_WORD)))
+            yield pa.RecordBatch.from_arrays([batch.column("document_id"), batch.column("page"), words], names=["document_id", "page", "words"])
+
+    schema = "document_id string, page int, words array<struct<token_no int, column int, line int, rank int, text string>>"
+    return pages.select("document_id", "page", "tokens").mapInArrow(run, schema)
+
+
+def word_rows(read: DataFrame) -> DataFrame:
+    """[document_id, page, token_no, column, line, rank, text] of pages that are read."""
+    return read.select("document_id", "page", F.explode_outer("words").alias("w")).where("w IS NOT NULL").select("document_id", "page", "w.*")
+
+
+def reading_order(tokens: DataFrame, page_width: float = 600.0, tolerance: float = 8.0) -> DataFrame:
+    """[document_id, page, token_no, column, line, rank, text]: two columns are read one after the other."""
+    own = F.array_sort(F.collect_list(F.struct(F.col("token_no").cast("int").alias("token_no"), "left", "bottom", "right", "top", "text")))
+    return word_rows(read_pages(tokens.groupBy("document_id", "page").agg(own.alias("tokens")), page_width, tolerance))
+
+
+def read_text(read: DataFrame, images: DataFrame) -> DataFrame:
+    """[document_id, page, text] of pages that are read: their words in order, then the page's images."""
+    return _with_images(read.where(F.size("words") > 0).select("document_id", "page", F.array_join(F.col("words")["text"], " ").alias("words")), images)
 
 
 def page_text(ordered: DataFrame, images: DataFrame) -> DataFrame:
     """[document_id, page, text]: tokens in reading order, then the page's images."""
-    words = ordered.groupBy("document_id", "page").agg(F.expr("listagg(text, ' ') WITHIN GROUP (ORDER BY rank)").alias("words"))
+    return _with_images(ordered.groupBy("document_id", "page").agg(F.expr("listagg(text, ' ') WITHIN GROUP (ORDER BY rank)").alias("words")), images)
+
+
+def _with_images(words: DataFrame, images: DataFrame) -> DataFrame:
     tags = images.groupBy("document_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list("uri")), lambda u: F.concat(F.lit(" [Image: "), u, F.lit("] "))), "").alias("tags"))
     joined = words.join(tags.hint("merge"), ["document_id", "page"], "full_outer")
     return joined.select("document_id", "page", F.trim(F.concat(F.coalesce("words", F.lit("")), F.coalesce("tags", F.lit("")))).alias("text"))
