@@ -42,3 +42,15 @@ def test_glyph_rows_and_pages_give_the_same_tokens(spark):
     ]
     gathered = glyphs.groupBy("document_id", "page").agg(F.array_sort(F.collect_list(F.struct("idx", "glyph", "left", "bottom", "right", "top", "font_size"))).alias("glyphs"))
     assert rf.token_rows(rf.page_tokens(gathered.where("page <> 3"), 1)).count() == 2
+
+
+def test_embeddings_shuffle_texts_once(spark):
+    from vellumspark.operators import search as se
+
+    texts = spark.createDataFrame([("a", "one two one"), ("b", ""), ("c", " ?! "), ("d", None), ("e", "three")], "id string, text string")
+    found = se.hash_embedding(texts)
+    assert _plan(found).count("RepartitionByExpression") == 1 and "Join" not in _plan(found)
+    rows = found.collect()
+    assert {r.id: (r.dim, r.value) for r in rows if r.id in "bcd"} == {x: (0, 1.0) for x in "bcd"}
+    for x in "ae":
+        assert abs(sum(r.value**2 for r in rows if r.id == x) - 1) < 1e-9

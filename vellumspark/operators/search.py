@@ -173,6 +173,10 @@ def keyword_candidates(tokens: DataFrame, query: str) -> DataFrame:
     return rank_and_normalise(scored, "score", ["document_id"], "id").select("document_id", "id", F.col("normalised").alias("score"), "rank")
 
 
+#: Characters of the texts whose places one task of :func:`hash_embedding` adds up.
+PART_CHARS = 2_000_000
+
+
 def hash_embedding(df: DataFrame, dims: int = 384) -> DataFrame:
     """Sparse hashed embeddings of texts: [id, dim, value], L2-normalised; an empty text is the first axis.
 
@@ -181,7 +185,12 @@ def hash_embedding(df: DataFrame, dims: int = 384) -> DataFrame:
     sums and norms then need no further shuffle.
     """
     cleaned = F.regexp_replace(F.lower("text"), r"[^\w\s]", "")
-    words = df.select("id", "text").repartition("id").select("id", F.explode(F.filter(F.split(cleaned, r"\s+"), lambda w: w != "")).alias("word"))
+    # outer explodes: for others Spark filters on the array, which computes it a second time; a text without words keeps a row
+    split = F.filter(F.split(cleaned, r"\s+"), lambda w: w != "")
+    chars = df.agg(F.sum(F.length("text"))).first()[0] or 0
+    # a number of its own, as Spark would join parts that are small before texts grow to places
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-chars // PART_CHARS))
+    words = df.select("id", "text").repartition(parts, "id").select("id", F.explode_outer(split).alias("word"))
 
     def step(h: Column, x: Column) -> Column:
         low = (h * 33 + x).bitwiseAND(4294967295)
@@ -194,11 +203,12 @@ def hash_embedding(df: DataFrame, dims: int = 384) -> DataFrame:
     h = F.col("h")
     places = F.array(F.abs(h) % dims, F.abs(h * 31 + 17) % dims, F.abs(h * 97 + 43) % dims)
     signed = hashed.select("id", F.explode(places).alias("dim"), F.when(h.bitwiseAND(1) == 0, 1).otherwise(-1).alias("v"))
-    summed = signed.groupBy("id", "dim").agg(F.sum("v").cast("double").alias("v")).where("v <> 0")
-    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("id")))
-    found = summed.select("id", F.col("dim").cast("int").alias("dim"), (F.col("v") / norm).alias("value"))
-    empty = df.select("id").join(found.select("id").distinct().hint("merge"), "id", "left_anti").select("id", F.lit(0).alias("dim"), F.lit(1.0).alias("value"))
-    return found.unionByName(empty)
+    summed = signed.groupBy("id", "dim").agg(F.sum("v").cast("double").alias("v"))
+    cell = F.struct(F.col("dim").cast("int").alias("dim"), "v")
+    cells = summed.groupBy("id").agg(F.collect_list(F.when((F.col("v") != 0) & F.col("dim").isNotNull(), cell)).alias("cells"), F.sqrt(F.sum(F.when(F.col("dim").isNotNull(), F.col("v") * F.col("v")))).alias("norm"))
+    # what is left of a text without cells is the first axis
+    found = cells.select("id", "norm", F.explode_outer("cells").alias("c"))
+    return found.select("id", F.coalesce("c.dim", F.lit(0)).alias("dim"), F.when(F.col("c").isNull(), 1.0).otherwise(F.col("c.v") / F.col("norm")).alias("value"))
 
 
 def dense(sparse: DataFrame, dims: int = 384) -> DataFrame:
