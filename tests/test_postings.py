@@ -71,6 +71,27 @@ def test_many_batches_equal_the_last_state(spark, tmp_path, monkeypatch):
     assert kept and min(kept) >= 2
 
 
+def test_postings_are_sorted_in_their_tasks_not_shuffled(spark, blocks, tmp_path, monkeypatch):
+    plans, write = {}, postings._write
+
+    def seen(rows, path, kind):
+        plans[kind] = rows._jdf.queryExecution().executedPlan().toString()
+        write(rows, path, kind)
+
+    monkeypatch.setattr(postings, "_write", seen)
+    monkeypatch.setattr(postings, "CHARS", 2000)
+    monkeypatch.setattr(postings, "SMALL_SEGMENT", 4000)
+    monkeypatch.setattr(postings, "SEGMENT", 4000)
+    path = str(tmp_path / "index")
+    postings.build(blocks, path)
+    assert "Exchange" not in plans["postings"] and plans["blocks"].count("Exchange hashpartitioning") == 1
+    whole = se.tokenise(blocks)
+    assert sorted(map(tuple, postings.tokens(spark, path).collect())) == sorted(map(tuple, whole.select("document_id", "block_id", "term", "pos").collect()))
+    postings.apply_changes(spark, blocks.where("block_id < 'b2'").select("document_id", "block_id", F.lit("update").alias("op"), F.lit(2).alias("seq"), F.concat(F.lit("w7 w7 "), "text").alias("text")), path, 1)
+    late = blocks.withColumn("text", F.when(F.col("block_id") < "b2", F.concat(F.lit("w7 w7 "), "text")).otherwise(F.col("text")))
+    assert sorted(map(tuple, postings.tokens(spark, path).collect())) == sorted(map(tuple, se.tokenise(late).select("document_id", "block_id", "term", "pos").collect()))
+
+
 def test_state_written_grows_with_the_batch_alone(spark, tmp_path):
     packets = [tuple(r) for r in no.packetise(spark.createDataFrame([("t", "x" * 512 * 400)], "tx string, payload string")).collect()]
     schema = "tx string, i int, n int, checksum string, data string"
