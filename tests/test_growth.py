@@ -54,3 +54,10 @@ def test_embeddings_shuffle_texts_once(spark):
     assert {r.id: (r.dim, r.value) for r in rows if r.id in "bcd"} == {x: (0, 1.0) for x in "bcd"}
     for x in "ae":
         assert abs(sum(r.value**2 for r in rows if r.id == x) - 1) < 1e-9
+
+
+def test_asset_files_are_written_by_many_tasks(spark, sf):
+    from vellumspark.plans import lookups
+
+    names = lookups.QUERIES["s6_scan_assets"](spark, sf).inputFiles()
+    assert len({name.rsplit("/", 1)[1][:10] for name in names}) > 1

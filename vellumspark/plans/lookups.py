@@ -44,11 +44,18 @@ def _pages(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "pages").select(number.alias("document_id"), F.concat(extra, "html").alias("html"))
 
 
+#: Files that one task writes.
+_FILES = 1000
+
+
 def _assets(s: SparkSession, d: str) -> DataFrame:
     """A file for each supplier, scanned as assets: its digest, and whether the URI is made of digest and name."""
     path = f"{shared_dir(s)}/assets-{uuid.uuid4().hex}"
-    table(s, d, "supplier").select("s_suppkey", "s_name").repartition("s_suppkey").write.partitionBy("s_suppkey").text(path)
-    found = files.scan_assets(s, f"{path}/*/*")
+    suppliers = table(s, d, "supplier").select("s_suppkey", "s_name")
+    # a number of its own: the rows are small, so Spark would leave all their files to one task
+    tasks = max(s.sparkContext.defaultParallelism, suppliers.count() // _FILES)
+    suppliers.repartition(tasks, "s_suppkey").write.partitionBy("s_suppkey").text(path)
+    found = files.scan_assets(s, path)  # no pattern, whose folders would be listed one by one
     named = F.col("local_uri") == F.concat(F.lit("local-asset://"), "sha256", F.lit("_"), "image_id", F.lit(".png"))
     return found.select(F.regexp_extract("path", r"s_suppkey=(\d+)", 1).cast("long").alias("s_suppkey"), "sha256", named.alias("named"))
 
