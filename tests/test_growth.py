@@ -61,3 +61,15 @@ def test_asset_files_are_written_by_many_tasks(spark, sf):
 
     names = lookups.QUERIES["s6_scan_assets"](spark, sf).inputFiles()
     assert len({name.rsplit("/", 1)[1][:10] for name in names}) > 1
+
+
+def test_search_text_counts_no_distinct_words(spark):
+    from vellumspark.operators import search as se
+
+    many = " ".join(f"w{i}" for i in range(70))
+    texts = {"a": "the of the the", "b": "of x the with", "c": "there from", "d": f"z {many}", "e": many.replace("w33", "v")}
+    tokens = se.tokenise(spark.createDataFrame([("d", k, v) for k, v in texts.items()], "document_id string, block_id string, text string"))
+    found = se.search(tokens, '"of the" OR "the the" OR ther* NOT with')
+    assert "distinct" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.block_id for r in found.collect()) == ["a", "c"]
+    assert [r.block_id for r in se.search(tokens, f'"{many}"').collect()] == ["d"]

@@ -99,8 +99,15 @@ def search(tokens: DataFrame, query: str) -> DataFrame:
             fills.append(F.when(fits, F.struct(F.lit(n).alias("item"), F.lit(i).alias("number"), F.lit(len(words)).alias("size"))))
     if not fills:
         return tokens.select("document_id", "block_id").where(F.lit(False))
-    hits = tokens.select("document_id", "block_id", "pos", F.explode(F.array_compact(F.array(*fills))).alias("f")).select("document_id", "block_id", "f.*", (F.col("pos") - F.col("f.number")).alias("at"))
-    found = hits.groupBy("document_id", "block_id", "item", "at").agg((F.countDistinct("number") == F.max("size")).alias("whole")).where("whole")
+    # an item of one word is found by each of its tokens, so that these need no start to meet at
+    at = F.when(F.col("f.size") == 1, 0).otherwise(F.col("pos") - F.col("f.number")).alias("at")
+    hits = tokens.select("document_id", "block_id", "pos", F.explode(F.array_compact(F.array(*fills))).alias("f")).select("document_id", "block_id", "f.*", at)
+    longest = max(len(words) for words, _ in items)
+    if longest < 63:  # numbers are bits of one long, so nothing but that is kept of a start
+        filled = F.bit_or(F.expr("shiftleft(1L, number)")) == F.expr("shiftleft(1L, max(size)) - 1")
+    else:
+        filled = F.countDistinct("number") == F.max("size")
+    found = hits.groupBy("document_id", "block_id", "item", "at").agg(filled.alias("whole")).where("whole")
     blocks = found.groupBy("document_id", "block_id").agg(F.collect_set("item").alias("has"))
     wanted, n = F.lit(False), 0
     for alternative in alternatives:
