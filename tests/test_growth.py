@@ -73,3 +73,15 @@ def test_search_text_counts_no_distinct_words(spark):
     assert "distinct" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(r.block_id for r in found.collect()) == ["a", "c"]
     assert [r.block_id for r in se.search(tokens, f'"{many}"').collect()] == ["d"]
+
+
+def test_lines_and_spans_are_dealt_by_their_number(spark, monkeypatch):
+    from vellumspark.operators import extract as ex
+
+    monkeypatch.setattr(ex, "PART_CHARS", 100)
+    docs = spark.createDataFrame([(str(i), "![a](x.png)\n" * 5) for i in range(40)], "document_id string, text string")
+    found = ex.image_refs(docs)
+    assert found.rdd.getNumPartitions() == 24 and found.count() == 200 and found.where("image_id = 'img-md-5'").count() == 40
+    monkeypatch.setattr(no, "PART_SPANS", 10)
+    spans = no.merge_highlights(spark.range(100).selectExpr("id DIV 2 AS block_id", "id % 2 * 3 AS start", "5L + id % 2 AS end"))
+    assert spans.rdd.getNumPartitions() == 10 and spans.count() == 50 and spans.where("spans = 2 AND end = 6").count() == 50

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumspark.functions.text import trimmed, word_count
-from vellumspark.session import ship
+from vellumspark.session import ship, spread
 
 
 def _joined(text: str, delimiter: str, order: str) -> Column:
@@ -67,12 +67,16 @@ def delineate(docs: DataFrame) -> DataFrame:
     return found.unionByName(empty)
 
 
+#: Characters of the texts whose lines one task sorts.
+PART_CHARS = 2_000_000
+
+
 def markdown_lines(docs: DataFrame) -> DataFrame:
     """Lines with their block kind, fence number, section number, heading depth and title."""
     order = Window.partitionBy("document_id").orderBy("pos")
     running = order.rowsBetween(Window.unboundedPreceding, 0)
     line = F.col("line")
-    lines = text_lines(docs).withColumn("fence", line.startswith("```"))
+    lines = text_lines(spread(docs, F.length("text"), PART_CHARS, "document_id")).withColumn("fence", line.startswith("```"))
     lines = lines.withColumn("fences", F.sum(F.col("fence").cast("int")).over(running))
     inside = ~F.col("fence") & (F.col("fences") % 2 == 1)
     heading = line.rlike(r"^#{1,6}(?: .*)?$")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumspark.functions import text as tx
-from vellumspark.session import materialise, ship
+from vellumspark.session import materialise, ship, spread
 
 
 def tags_with_authors(tags: DataFrame, block_tags: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -314,8 +314,13 @@ def merge_notes(notes: DataFrame) -> DataFrame:
     return easy.unionByName(done)
 
 
+#: Spans that one task sorts and merges.
+PART_SPANS = 500_000
+
+
 def merge_highlights(spans: DataFrame) -> DataFrame:
     """Overlapping [block_id, start, end] spans merged; touching spans stay apart: [block_id, start, end, spans]."""
+    spans = spread(spans.select("block_id", "start", "end"), F.lit(1), PART_SPANS, "block_id")
     order = Window.partitionBy("block_id").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when(F.col("start") < reach, 0).otherwise(1)

@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -49,6 +49,16 @@ def lowest_hashes(rows: DataFrame, key: str, most: int, seed: int = 42) -> DataF
     return near.orderBy(rank, key).limit(most)
 
 
+def spread(df: DataFrame, size: Column, most: int, *keys: str) -> DataFrame:
+    """Rows dealt by keys into tasks that take about ``most`` of a size.
+
+    The number of tasks is set from the sum of the size, as Spark joins partitions by the bytes that
+    arrive, which may be few before rows grow.
+    """
+    total = df.agg(F.sum(size)).first()[0] or 0
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-total // most)), *keys)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a DataFrame to the shared folder and read it back.
 
