@@ -85,3 +85,14 @@ def test_lines_and_spans_are_dealt_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(no, "PART_SPANS", 10)
     spans = no.merge_highlights(spark.range(100).selectExpr("id DIV 2 AS block_id", "id % 2 * 3 AS start", "5L + id % 2 AS end"))
     assert spans.rdd.getNumPartitions() == 10 and spans.count() == 50 and spans.where("spans = 2 AND end = 6").count() == 50
+
+
+def test_blocks_of_markdown_need_no_join(spark):
+    from vellumspark.operators import extract as ex
+
+    text = "# T\n```\na\n\nb\n```\n- x\n```\n```\n![p](q)\n```\nopen"
+    found = ex.markdown_blocks(spark.createDataFrame([("d", text), ("e", None), ("f", "")], "document_id string, text string"))
+    assert "Join" not in _plan(found) and found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    rows = sorted((r.sort_order, r.block_type, r.content) for r in found.collect())
+    assert [r[1] for r in rows] == ["heading", "code", "paragraph", "code", "image"]
+    assert '"code":"a\\n\\nb"' in rows[1][2] and '"code":""' in rows[3][2]

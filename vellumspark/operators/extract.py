@@ -118,8 +118,12 @@ def markdown_sections(docs: DataFrame) -> DataFrame:
 def markdown_blocks(docs: DataFrame) -> DataFrame:
     """[document_id, id, section_id, block_type, content, sort_order, semantic_tags] of Markdown texts."""
     lines = markdown_lines(docs)
-    code = lines.where("kind = 'inside'").groupBy("document_id", (F.col("fences") + 1).alias("fences")).agg(_joined("raw", "\\n", "pos").alias("code"))
-    kept = lines.where("kind NOT IN ('none', 'inside')").join(code.hint("merge"), ["document_id", "fences"], "left")
+    # a block's lines as one group: the lines inside a fence with the one that closes it, any other line by itself; no join, so no shuffle
+    inside = F.col("kind") == "inside"
+    unit = F.when(inside, -F.col("fences")).when(F.col("kind") == "code", 1 - F.col("fences")).otherwise(F.col("pos"))
+    block = F.when(~inside, F.struct("pos", "kind", "line", "depth", "section", "title"))
+    groups = lines.where("kind <> 'none'").withColumns({"unit": unit, "inner": F.when(inside, F.col("raw")), "block": block}).groupBy("document_id", "unit")
+    kept = groups.agg(_joined("inner", "\\n", "pos").alias("code"), F.first("block", ignorenulls=True).alias("block")).where("block IS NOT NULL").select("document_id", "code", "block.*")
     order = Window.partitionBy("document_id").orderBy("pos")
     images = order.rowsBetween(Window.unboundedPreceding, 0)
     kept = kept.withColumn("sort_order", F.row_number().over(order) - 1).withColumn("image", F.sum((F.col("kind") == "image").cast("int")).over(images))
