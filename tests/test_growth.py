@@ -96,3 +96,17 @@ def test_blocks_of_markdown_need_no_join(spark):
     rows = sorted((r.sort_order, r.block_type, r.content) for r in found.collect())
     assert [r[1] for r in rows] == ["heading", "code", "paragraph", "code", "image"]
     assert '"code":"a\\n\\nb"' in rows[1][2] and '"code":""' in rows[3][2]
+
+
+def test_pairs_are_cells_not_joined_rows(spark):
+    from vellumspark.functions import text as tx
+    from vellumspark.operators import search as se
+
+    rows = [(i, "k" if i % 3 else "l", [float((i * 7 + j) % 11) / 3 - 1 for j in range(5 if i % 11 else 4)]) for i in range(90)]
+    rows += [(500, "k", None), (501, "k", [None, 1.0]), (502, "k", [0.0] * 5), (503, "k", []), (504, None, [1.0])]
+    vectors = spark.createDataFrame(rows, "id long, label string, vector array<double>")
+    found = se.similarities(vectors.where("id % 4 = 0"), vectors, "label", block=16)
+    assert "FlatMapCoGroupsInArrow" in _plan(found)
+    pairs = vectors.where("id % 4 = 0").select("label", F.col("id").alias("target_id"), F.col("vector").alias("tv")).join(vectors, "label")
+    expected = pairs.select("target_id", "id", tx.cosine(F.col("tv"), F.col("vector")).alias("score"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))

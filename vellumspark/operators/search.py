@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -224,15 +226,37 @@ def dense(sparse: DataFrame, dims: int = 384) -> DataFrame:
     return cells.select("id", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("vector"))
 
 
-def similarities(targets: DataFrame, candidates: DataFrame, key: str, salts: int = 16) -> DataFrame:
+def similarities(targets: DataFrame, candidates: DataFrame, key: str, block: int = 1024) -> DataFrame:
     """[target_id, id, score]: cosine of every target with the candidates that share its key.
 
-    A key's candidates are dealt over ``salts`` parts and its targets repeated for each, so a
-    key that holds much of the table is spread over tasks.
+    The scores of a pair of blocks (see :func:`_on_grid`) are added up component by component, in the order
+    in which :func:`vellumspark.functions.text.cosine` adds them.
     """
-    left = targets.select(key, F.col("id").alias("target_id"), F.col("vector").alias("tv"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_part"))
-    right = candidates.select(key, "id", "vector", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("_part"))
-    return left.join(right.hint("merge"), [key, "_part"]).select("target_id", "id", tx.cosine(F.col("tv"), F.col("vector")).alias("score"))
+    return _on_grid(targets, candidates, key, _all_pairs, block)
+
+
+def _vectors_by_size(vectors: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """(places, matrix) of the vectors of each length; those that are null, empty or hold a null are left out."""
+    rows, by_size = vectors.to_pylist(), {}
+    for i, v in enumerate(rows):
+        if v and None not in v:
+            by_size.setdefault(len(v), []).append(i)
+    return {n: (np.array(at), np.array([rows[i] for i in at], float)) for n, at in by_size.items()}
+
+
+def _all_pairs(own: pa.Table, others: pa.Table) -> pa.Table:
+    """The scores of all pairs of a cell."""
+    scores = np.zeros((own.num_rows, others.num_rows))
+    left, right = _vectors_by_size(own["vector"]), _vectors_by_size(others["vector"])
+    for n in left.keys() & right.keys():
+        (a, x), (b, y) = left[n], right[n]
+        dot = np.zeros((len(a), len(b)))
+        for i in range(n):
+            dot += np.outer(x[:, i], y[:, i])
+        scale = np.sqrt(np.cumsum(x * x, axis=1)[:, -1])[:, None] * np.sqrt(np.cumsum(y * y, axis=1)[:, -1])[None, :]
+        scores[np.ix_(a, b)] = np.divide(dot, scale, out=np.zeros_like(dot), where=scale > 0)
+    at = [np.repeat(np.arange(own.num_rows), others.num_rows), np.tile(np.arange(others.num_rows), own.num_rows)]
+    return pa.table({"target_id": own["id"].take(pa.array(at[0])), "id": others["id"].take(pa.array(at[1])), "score": scores.ravel()})
 
 
 def _cell(own: pa.Table, others: pa.Table, k: int) -> pa.Table:
@@ -269,14 +293,8 @@ def _cell(own: pa.Table, others: pa.Table, k: int) -> pa.Table:
     return pa.table({"target_id": pa.array(out[0], own.schema.field("id").type), "id": pa.array(out[1], others.schema.field("id").type), "score": pa.array(out[2], pa.float64())})
 
 
-def nearest(targets: DataFrame, candidates: DataFrame, key: str, k: int, block: int = 2048) -> DataFrame:
-    """[target_id, rank, id, score]: the ``k`` best candidates of every target among those that share its key, ties to smaller ids.
-
-    A key's targets and candidates are dealt to blocks; every pair of blocks is a cell of a grid, one
-    matrix product that leaves ``k`` rows a target. So no pairs are rows, a key that holds much of
-    the table is spread over cells, and a task holds two blocks. Vectors of another length, without
-    a norm, null or with null components score 0; ids may not be null.
-    """
+def _on_grid(targets: DataFrame, candidates: DataFrame, key: str, cell: Callable[[pa.Table, pa.Table], pa.Table], block: int) -> DataFrame:
+    """[target_id, id, score] of a function of two blocks, for every pair of blocks of targets and candidates with one key."""
     ship(targets.sparkSession)
     kinds = [dict(x.dtypes)["id"] for x in (targets, candidates)]
     counted = targets.groupBy(key).agg(F.count("*").alias("t")).join(candidates.groupBy(key).agg(F.count("*").alias("c")).hint("merge"), key)
@@ -286,11 +304,23 @@ def nearest(targets: DataFrame, candidates: DataFrame, key: str, k: int, block:
         spread = rows.select(*[F.col(c).alias(c) for c in (key, "id", "vector")]).join(grid.hint("merge"), key).withColumn(f"_{own}", F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
         return spread.withColumn(f"_{other}", F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select(key, "_t", "_c", "id", "vector")
 
+    sides = [x.groupBy(key, "_t", "_c") for x in (dealt(targets, "t", "c"), dealt(candidates, "c", "t"))]
+    return sides[0].cogroup(sides[1]).applyInArrow(cell, f"target_id {kinds[0]}, id {kinds[1]}, score double")
+
+
+def nearest(targets: DataFrame, candidates: DataFrame, key: str, k: int, block: int = 2048) -> DataFrame:
+    """[target_id, rank, id, score]: the ``k`` best candidates of every target among those that share its key, ties to smaller ids.
+
+    A key's targets and candidates are dealt to blocks; every pair of blocks is a cell of a grid, one
+    matrix product that leaves ``k`` rows a target. So no pairs are rows, a key that holds much of
+    the table is spread over cells, and a task holds two blocks. Vectors of another length, without
+    a norm, null or with null components score 0; ids may not be null.
+    """
+
     def cell(own: pa.Table, others: pa.Table) -> pa.Table:
         return _cell(own, others, k)
 
-    sides = [x.groupBy(key, "_t", "_c") for x in (dealt(targets, "t", "c"), dealt(candidates, "c", "t"))]
-    found = sides[0].cogroup(sides[1]).applyInArrow(cell, f"target_id {kinds[0]}, id {kinds[1]}, score double")
+    found = _on_grid(targets, candidates, key, cell, block)
     best = Window.partitionBy("target_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("target_id", "rank", "id", "score")
 
