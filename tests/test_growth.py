@@ -110,3 +110,20 @@ def test_pairs_are_cells_not_joined_rows(spark):
     pairs = vectors.where("id % 4 = 0").select("label", F.col("id").alias("target_id"), F.col("vector").alias("tv")).join(vectors, "label")
     expected = pairs.select("target_id", "id", tx.cosine(F.col("tv"), F.col("vector")).alias("score"))
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_few_notes_are_searched_for_without_grams_of_the_blocks(spark, monkeypatch):
+    """Few notes make no keys at all; a document above the bound is looked up by keys and finds the same."""
+    from vellumspark.operators import notes as no
+
+    blocks = [(doc, f"{doc}-{i}", i, f"line {i} of {doc} ünd ünd line {i % 7}") for doc in ("few", "many") for i in range(300)]
+    notes = [(doc, f"{doc}{i}", needle) for doc, n in (("few", 6), ("many", 9)) for i, needle in enumerate(["line 29", "ünd ünd", "absent", "of few", "7", "line 3 of", "ne 5", "l", "d l"][:n])]
+    b = spark.createDataFrame(blocks, "document_id string, block_id string, sort_order int, text string")
+    a = spark.createDataFrame(notes, "document_id string, annotation_id string, needle string")
+    want = sorted((n[1], k[1]) for n in notes for k in blocks if n[0] == k[0] and n[2] in k[3])
+    found = lambda: sorted((r.annotation_id, r.block_id) for r in no._with_candidates(a, b).collect() if r.needle in r.text)
+    monkeypatch.setattr(no, "FEW_NOTES", 7)
+    assert found() == want
+    monkeypatch.setattr(no, "FEW_NOTES", 512)
+    monkeypatch.setattr(no, "_keys", None)
+    assert found() == want

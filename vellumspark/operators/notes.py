@@ -33,20 +33,26 @@ def tag_cooccurrence(block_tags: DataFrame) -> DataFrame:
 def occurrences(text: Column, needle: Column) -> Column:
     """0-based code-point offsets of all (also overlapping) occurrences of a needle.
 
-    The text is cut before every occurrence, so one pass finds them; offsets are running lengths.
+    A single one is found by searches. For more the text is cut before every occurrence, so one pass
+    finds them; offsets are running lengths.
     """
+    at = F.instr(text, needle)
     quoted = F.concat(F.lit("(?=\\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
     lengths = F.transform(F.split(text, quoted, -1), lambda x: F.length(x))
     first = F.when(F.startswith(text, needle), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
     state = F.struct(F.lit(0).alias("at"), first.alias("out"))
     cuts = F.slice(lengths, 1, F.greatest(F.size(lengths) - 1, F.lit(0)))
     found = F.aggregate(cuts, state, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(s["at"] + n)).alias("out")), lambda s: s["out"])
+    found = F.when(F.call_function("locate", needle, text, at + 1) == 0, F.array(at - 1)).otherwise(found)
     return F.when((F.length(needle) > 0) & F.contains(text, needle), found).otherwise(F.array().cast("array<int>"))
 
 
 #: Characters of a gram, most keys of a document that its blocks are compared with at a time, and most that are searched for one by one.
 GRAM, KEY_SET, FEW_KEYS = 3, 512, 64
 
+#: Most notes of a document that are searched for one by one, as more cost more than grams of the blocks; blocks that are searched at a time.
+FEW_NOTES, BLOCK_SET = 512, 256
+
 
 def _grams(c: Column, size: int) -> Column:
     """Distinct runs of ``size`` characters of a text."""
@@ -80,8 +86,32 @@ def _shared(wanted: DataFrame, blocks: DataFrame) -> DataFrame:
     return near.select("document_id", "block_id", F.explode(held).alias("key"))
 
 
-def _with_candidates(annotations: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Pairs of a note (needle) and a block (text) of its document that may hold the needle.
+def _holders(texts: pd.Series, needles: pd.Series) -> pd.Series:
+    """Pairs of a needle and a text that holds it, as number of the needle * 2^32 + number of the text."""
+    rows = []
+    for some, wanted in zip(texts, needles, strict=True):
+        found = {n: [k for k, text in enumerate(some) if text is not None and n in text] for n in set(wanted) if n is not None}
+        rows.append([(i << 32) + k for i, n in enumerate(wanted) for k in found.get(n, ())])
+    return pd.Series(rows)
+
+
+def _searched(annotations: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Pairs of a note and a block of its document that holds its needle, by a search for every needle.
+
+    A document's notes meet its blocks as sets of bounded size and come out with the block, so neither is joined again.
+    """
+    ship(blocks.sparkSession)
+    others, sides = [c for c in annotations.columns if c != "document_id"], [c for c in blocks.columns if c != "document_id"]
+    notes = annotations.groupBy("document_id").agg(F.collect_list(F.struct(*others)).alias("_notes"))
+    parts = blocks.repartition("document_id").groupBy("document_id", F.floor(F.col("sort_order") / BLOCK_SET).alias("_part")).agg(F.collect_list(F.struct(*sides)).alias("_blocks"))
+    near = parts.join(notes.hint("merge"), "document_id").withColumn("_held", F.pandas_udf(_holders, "array<long>")(F.col("_blocks")["text"], F.col("_notes")["needle"]))
+    near = near.select("document_id", "_notes", "_blocks", F.explode_outer("_held").alias("_p")).where("_p IS NOT NULL")
+    note, block = F.get("_notes", F.shiftright("_p", 32).cast("int")), F.get("_blocks", F.col("_p").bitwiseAND(0xFFFFFFFF).cast("int"))
+    return near.select("document_id", *[note[c].alias(c) for c in others], *[block[c].alias(c) for c in sides])
+
+
+def _looked_up(annotations: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Pairs of a note and a block of its document that may hold its needle, by keys.
 
     Every needle is looked up by one of its keys, that which the fewest blocks of the document hold.
     So what comes out is the pairs of a note and a block that share that key, and nothing else.
@@ -97,6 +127,21 @@ def _with_candidates(annotations: DataFrame, blocks: DataFrame) -> DataFrame:
     return annotations.join(pairs.hint("merge"), ["document_id", "annotation_id"]).join(blocks.hint("merge"), ["document_id", "block_id"])
 
 
+def _with_candidates(annotations: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Pairs of a note (needle) and a block (text) of its document that may hold the needle.
+
+    The notes of a document are searched for where they are few, else looked up by their keys.
+    """
+    counted = annotations.withColumn("_n", F.count("*").over(Window.partitionBy("document_id")))
+    counted = materialise(counted, "needles")
+    found = _searched(counted.where(F.col("_n") <= FEW_NOTES).drop("_n"), blocks)
+    many = counted.where(F.col("_n") > FEW_NOTES).drop("_n")
+    if many.isEmpty():
+        return found
+    theirs = blocks.join(many.select("document_id").distinct().hint("merge"), "document_id", "left_semi")
+    return found.unionByName(_looked_up(many, theirs))
+
+
 def reanchor(annotations: DataFrame, blocks: DataFrame, accept: float = 0.4) -> DataFrame:
     """Best anchor of every annotation: [annotation_id, block_id, start, end, confidence]; offsets are UTF-8 bytes.
 
@@ -108,7 +153,7 @@ def reanchor(annotations: DataFrame, blocks: DataFrame, accept: float = 0.4) ->
     a = annotations.select("document_id", "annotation_id", target.alias("needle"), "prefix", "suffix", "offset").where("needle <> ''")
     b = blocks.select("document_id", "block_id", "sort_order", "text")
     hits = _with_candidates(a, b).where(F.contains("text", "needle"))
-    hits = hits.withColumn("i", F.explode(occurrences(F.col("text"), F.col("needle"))))
+    hits = hits.withColumn("i", F.explode_outer(occurrences(F.col("text"), F.col("needle")))).where("i IS NOT NULL")
     before = F.substr("text", F.lit(1), F.col("i"))
     start = F.octet_length(before)
     # context of the block beside the occurrence: as many bytes as the stored side, whole characters
@@ -116,8 +161,8 @@ def reanchor(annotations: DataFrame, blocks: DataFrame, accept: float = 0.4) ->
     # no more characters than the stored side has bytes can take part, so windows are cut out first
     hits = hits.withColumns({"_a": F.expr("right(substr(text, 1, i), octet_length(prefix))"), "_z": F.expr("substr(text, i + length(needle) + 1, octet_length(suffix))")})
     fits = "array_max(filter(sequence(0, length({1})), k -> octet_length({2}) <= octet_length({0})))"
-    left = F.expr("right(_a, {})".format(fits.format("prefix", "_a", "right(_a, k)")))
-    right = F.expr("left(_z, {})".format(fits.format("suffix", "_z", "left(_z, k)")))
+    left = F.expr("if(octet_length(_a) <= octet_length(prefix), _a, right(_a, {}))".format(fits.format("prefix", "_a", "right(_a, k)")))
+    right = F.expr("if(octet_length(_z) <= octet_length(suffix), _z, left(_z, {}))".format(fits.format("suffix", "_z", "left(_z, k)")))
     clean_p, clean_s = tx.trimmed(F.coalesce("prefix", F.lit(""))), tx.trimmed(F.coalesce("suffix", F.lit("")))
     hits = hits.withColumns({"_l": left, "_r": right, "_p": clean_p, "_s": clean_s, "start": start})
     has_p = (F.col("_p") != "") & (F.col("_l") != "") & (F.contains("_l", F.expr("right(_p, 10)")) | F.contains("_p", "_l"))
@@ -366,7 +411,7 @@ def reanchor_loose(annotations: DataFrame, blocks: DataFrame) -> DataFrame:
     rest = rest.select("document_id", "annotation_id", "wanted", "prefix", "suffix", "offset", tx.trimmed(F.col("prefix")).alias("p"), tx.trimmed(F.col("suffix")).alias("s"))
     texts = blocks.select("document_id", "block_id", "sort_order", "text")
     near = _with_candidates(rest.withColumn("needle", F.lower("wanted")), texts.withColumns({"raw": F.col("text"), "text": F.lower("text")}))
-    near = near.withColumn("i", F.explode(occurrences(F.col("text"), F.col("needle")))).drop("needle", "text").withColumnsRenamed({"wanted": "needle", "raw": "text"})
+    near = near.withColumn("i", F.explode_outer(occurrences(F.col("text"), F.col("needle")))).where("i IS NOT NULL").drop("needle", "text").withColumnsRenamed({"wanted": "needle", "raw": "text"})
     near = near.withColumns({
         "l": F.expr("lower(right(substr(text, 1, i), length(prefix)))"), "r": F.expr("lower(substr(text, i + length(needle) + 1, length(suffix)))"),
         "start": F.expr("octet_length(substr(text, 1, i))"), "n": F.expr("octet_length(substr(text, i + 1, length(needle)))"), "p": F.lower("p"), "s": F.lower("s"),
