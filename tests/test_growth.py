@@ -127,3 +127,16 @@ def test_few_notes_are_searched_for_without_grams_of_the_blocks(spark, monkeypat
     monkeypatch.setattr(no, "FEW_NOTES", 512)
     monkeypatch.setattr(no, "_keys", None)
     assert found() == want
+
+
+def test_a_tree_is_parsed_once_and_levels_that_hold_nothing_are_not_walked(spark, monkeypatch):
+    from vellumspark.operators import tree
+
+    written, keep = [], tree.materialise
+    monkeypatch.setattr(tree, "materialise", lambda df, name: written.append(name) or keep(df, name))
+    blocks = spark.createDataFrame([("b", '{"a":[1,{"text":"x"}]}'), ("c", "plain")], "block_id string, content string")
+    rows, rejects = tree.tree_rows(blocks)
+    assert written == ["tree-roots"] + ["tree-level"] * 3
+    assert "parse_json" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.path, r.value) for r in rows.collect()) == [("$.a", None), ("$.a[0]", "1"), ("$.a[1]", None), ("$.a[1].text", "x")]
+    assert rejects.count() == 0

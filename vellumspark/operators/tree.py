@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellumspark.session import materialise
+
 #: Keys whose values make up index text, in the order in which a node writes them.
 INDEXED = ("text", "code", "alt", "caption")
 
@@ -22,10 +24,13 @@ def tree_rows(blocks: DataFrame, depth: int = 8) -> tuple[DataFrame, DataFrame]:
     their own: indexed keys come first, then the others by name. ``rejects`` [block_id, path]
     names the values at that depth that hold further ones. Content that is no JSON has no rows.
 
-    Every level is one lateral join with the values of the level before; nothing is shuffled.
+    Every level is one lateral join with the values of the level before; nothing is shuffled. The objects and
+    arrays of a level are written once, so no level is opened again for those below it, and the last one
+    that holds any ends the walk.
     """
     tvf = blocks.sparkSession.tvf
     root = blocks.select("block_id", F.lit("$").alias("path"), F.array().cast("array<string>").alias("place"), F.try_parse_json("content").alias("v")).where("v IS NOT NULL")
+    root = materialise(root, "tree-roots")
 
     def below(level: DataFrame) -> DataFrame:
         opened = level.lateralJoin(tvf.variant_explode(F.col("v").outer()))
@@ -42,7 +47,9 @@ def tree_rows(blocks: DataFrame, depth: int = 8) -> tuple[DataFrame, DataFrame]:
         level = below(level)
         text = F.when(~_is_container(F.col("v")), F.try_variant_get("v", "$", "string"))
         found.append(level.select("block_id", "path", "key", text.alias("value"), F.schema_of_variant("v").alias("kind"), "place"))
-        level = level.drop("key").where(_is_container(F.col("v")))
+        level = materialise(level.drop("key").where(_is_container(F.col("v"))), "tree-level")
+        if level.isEmpty():
+            break
     rows = found[0]
     for more in found[1:]:
         rows = rows.unionByName(more)
