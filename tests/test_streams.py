@@ -54,3 +54,20 @@ def test_index_over_batches(spark, tmp_path):
     final = tokenise(spark.createDataFrame([("d", "a", "seven"), ("d", "c", "four")], "document_id string, block_id string, text string"))
     got = jobs.latest_snapshot(spark, str(tmp_path / "index"))
     assert {tuple(r) for r in got.select("block_id", "term", "pos").collect()} == {tuple(r) for r in final.select("block_id", "term", "pos").collect()}
+
+
+def test_streaks_of_many_sessions_share_state(spark, tmp_path):
+    schema = "session_id string, ts int, seq long, failed boolean"
+    rows = [(None if k == 7 else f"s{k}", t, 10 * k + t, (k * 7 + t * t) % 5 != 0) for k in range(3000) for t in range(6)]
+    stream = jobs.stream_streaks(source(spark, [[r for r in rows if r[1] // 2 == n][::-1] for n in range(3)], schema, str(tmp_path)))
+
+    def keep(df, epoch):
+        df.write.mode("overwrite").parquet(f"{tmp_path}/out/e={epoch}")
+
+    query = stream.writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    written = [sum(s["numRowsUpdated"] for s in p["stateOperators"]) for p in query.recentProgress if p["numInputRows"]]
+    assert len(written) == 3 and max(written) <= 1024
+    got = {(r.session_id, r.seq): r.streak for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert len(got) == len(rows)
+    assert got == {(r.session_id, r.seq): r.streak for r in tl.failure_streaks(spark.createDataFrame(rows, schema)).collect()}

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from vellumspark.functions.text import checksum
 from vellumspark.operators import postings
@@ -97,26 +99,32 @@ def stream_reassemble(packets: DataFrame, timeout_ms: int | None = None) -> Data
     return good.groupBy("tx").transformWithStateInPandas(_Transfer(timeout_ms), "tx string, progress double, payload string", "Update", mode)
 
 
-class _Streak(StatefulProcessor):
-    """Failures in a row of a session."""
+#: Keys of the streaks' state; sessions share them, as a call for every session costs more than its rows.
+_STREAK_KEYS = 1024
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.streak = handle.getValueState("streak", "streak long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        streak = self.streak.get()[0] if self.streak.exists() else 0
-        arrived, out = pd.concat(list(rows)).sort_values(["ts", "seq"]), []
-        for failed in arrived["failed"]:
-            streak = streak + 1 if failed else 0
-            out.append(streak)
-        self.streak.update((streak,))
-        yield pd.DataFrame({"session_id": key[0], "seq": arrived["seq"].to_numpy(), "streak": out})
-
-    def close(self) -> None:
-        pass
+def _streaks(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Failures in a row of the sessions of one key; the state holds the sessions whose last result failed."""
+    held = dict(zip(*state.get, strict=True)) if state.exists else {}
+    arrived = pd.concat(list(rows))
+    session, names = pd.factorize(arrived["session_id"], use_na_sentinel=False)
+    names = [None if pd.isna(name) else name for name in names]
+    order = np.lexsort((arrived["seq"].to_numpy(), arrived["ts"].to_numpy(), session))
+    session, failed, at = session[order], arrived["failed"].to_numpy()[order].astype(bool), np.arange(len(order))
+    first = np.flatnonzero(np.diff(session, prepend=-1))
+    passed, before = np.maximum.accumulate(np.where(failed, -1, at)), np.array([held.get(name, 0) for name in names])
+    streak = at - np.where(passed >= first[session], passed, (first - 1 - before)[session])
+    held |= dict(zip(names, streak[np.append(first[1:], len(order)) - 1].tolist(), strict=True))
+    held = {name: n for name, n in held.items() if n}
+    state.update((list(held), list(held.values())))
+    yield pd.DataFrame({"session_id": np.array(names, dtype=object)[session], "seq": arrived["seq"].to_numpy()[order], "streak": streak})
 
 
 def stream_streaks(results: DataFrame) -> DataFrame:
-    """[session_id, seq, streak] of a stream of tool results, in order of time within each batch."""
-    keyed = _keyed(results).withColumn("session_id", F.col("session_id").cast("string"))
-    return keyed.groupBy("session_id").transformWithStateInPandas(_Streak(), "session_id string, seq long, streak long", "Append", "None")
+    """[session_id, seq, streak] of a stream of tool results, in order of time within each batch.
+
+    A batch writes the state of the keys that its sessions fall to, which is their sessions in a streak.
+    """
+    session = F.col("session_id").cast("string")
+    keyed = _keyed(results).select(session.alias("session_id"), "ts", "seq", "failed", F.pmod(F.xxhash64(session), F.lit(_STREAK_KEYS)).alias("key"))
+    return keyed.groupBy("key").applyInPandasWithState(_streaks, "session_id string, seq long, streak long", "sessions array<string>, streaks array<long>", "append", GroupStateTimeout.NoTimeout)
