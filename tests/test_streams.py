@@ -71,3 +71,27 @@ def test_streaks_of_many_sessions_share_state(spark, tmp_path):
     got = {(r.session_id, r.seq): r.streak for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert len(got) == len(rows)
     assert got == {(r.session_id, r.seq): r.streak for r in tl.failure_streaks(spark.createDataFrame(rows, schema)).collect()}
+
+
+def test_whole_transfers_are_one_value(spark, tmp_path):
+    schema = "tx string, i int, n int, checksum string, data string"
+    sums = {r.data: r.checksum for r in no.packetise(spark.createDataFrame([(c, c) for c in "abcdéxyz"], "tx string, payload string")).collect()}
+    packet = lambda tx, i, n, c: (tx, i, n, sums[c], c)
+    t = [packet("t", i, 90, "abcdé"[i % 5]) for i in range(90)]
+    batches = [t[::-1] + [packet("u", 0, 2, "x")], [packet("t", 4, 90, "z"), packet("u", 1, 2, "y")], [packet("t", 95, 90, "x")], [packet("t", 0, 90, "y"), packet("u", 0, 3, "z")]]
+    stream = jobs.stream_reassemble(source(spark, batches, schema, str(tmp_path)))
+
+    def keep(df, epoch):
+        df.write.mode("overwrite").parquet(f"{tmp_path}/out/e={epoch}")
+
+    query = stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    written = [sum(s["numRowsUpdated"] for s in p["stateOperators"]) for p in query.recentProgress if p["numInputRows"]]
+    assert len(written) == 4 and max(written[:2]) <= 4
+    held, expected = {}, {}
+    for e, rows in enumerate(batches):
+        for tx, i, n, _, data in rows:
+            held.setdefault(tx, {})[i] = data
+            have = held[tx]
+            expected[e, tx] = (len(have) * 100.0 / n, "".join(have[k] for k in range(n)) if all(k in have for k in range(n)) else None)
+    assert {(r.e, r.tx): (r.progress, r.payload) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == expected

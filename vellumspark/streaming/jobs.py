@@ -44,7 +44,11 @@ def _keyed(rows: DataFrame) -> DataFrame:
 
 
 class _Transfer(StatefulProcessor):
-    """Packets of a transfer by index, and how many there are; a timer clears what got no packet for long."""
+    """Packets of a transfer by index, and how many there are; a timer clears what got no packet for long.
+
+    Every call of the state costs more than the packet it is for. A transfer that comes at once is therefore
+    one value, which is read and written when its payload is put out; only others have a row for every packet.
+    """
 
     def __init__(self, timeout_ms: int | None):
         self.timeout_ms = timeout_ms
@@ -52,31 +56,42 @@ class _Transfer(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.parts = handle.getMapState("parts", "i int", "data string")
-        self.count = handle.getValueState("count", "n int, got int, until long")
+        self.count = handle.getValueState("count", "n int, got int, until long, whole array<string>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        n, got, until = self.count.get() if self.count.exists() else (0, 0, 0)
-        arrived = pd.concat(list(rows))
+        known = self.count.get() if self.count.exists() else None
+        n, got, until, whole = known or (0, 0, 0, None)
+        frames = list(rows)
+        arrived = pd.concat(frames) if len(frames) > 1 else frames[0]
         if "arrival" in arrived:
             arrived = arrived.sort_values("arrival", kind="stable")
-        fresh = {}
-        for i, total, data in zip(arrived["i"], arrived["n"], arrived["data"], strict=True):
-            n = int(total)
-            fresh[int(i)] = data
-        for i, data in fresh.items():
-            got += not self.parts.containsKey((i,))
-            self.parts.updateValue((i,), (data,))
+        fresh = dict(zip(arrived["i"].tolist(), arrived["data"].tolist(), strict=True))
+        total = int(arrived["n"].iloc[-1])
+        if whole and (total != n or not all(0 <= i < n for i in fresh)):
+            # a packet that such a transfer has no place for: its packets become rows
+            for i, data in enumerate(whole):
+                self.parts.updateValue((i,), (data,))
+            whole = None
+        n = total
+        if whole:
+            whole = [fresh.get(i, data) for i, data in enumerate(whole)]
+        elif not known and len(fresh) == n and all(i in fresh for i in range(n)):
+            got, whole = n, [fresh[i] for i in range(n)]
+        else:
+            for i, data in fresh.items():
+                got += not (known and self.parts.containsKey((i,)))
+                self.parts.updateValue((i,), (data,))
         if self.timeout_ms:
             if until:
                 self.handle.deleteTimer(until)
             until = timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms
             self.handle.registerTimer(until)
-        self.count.update((n, got, until))
-        payload = None
-        if got >= n:
+        self.count.update((n, got, until, whole))
+        payload = "".join(whole) if whole else None
+        if got >= n and not whole:
             have = {i: data for (i,), (data,) in self.parts.iterator()}
             payload = "".join(have[i] for i in range(n)) if all(i in have for i in range(n)) else None
-        yield pd.DataFrame({"tx": [key[0]], "progress": [got * 100.0 / n], "payload": [payload]})
+        yield pd.DataFrame({"tx": [key[0]], "progress": [got * 100.0 / n], "payload": [payload]}, copy=False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         self.parts.clear()
@@ -90,11 +105,12 @@ class _Transfer(StatefulProcessor):
 def stream_reassemble(packets: DataFrame, timeout_ms: int | None = None) -> DataFrame:
     """[tx, progress, payload] after every batch; bad checksums are dropped, duplicates overwrite.
 
-    A batch writes the state of its own packets alone. Of one index in one batch the packet with the
+    A batch writes the state of its own packets alone, or of a transfer that it puts out again. Of one index in one batch the packet with the
     highest ``arrival`` stays, where there is such a column. The state of a transfer stays for ever,
     or until it got no packet for ``timeout_ms``.
     """
     good = _keyed(packets).where(checksum(F.col("data")) == F.col("checksum")).withColumn("tx", F.col("tx").cast("string"))
+    good = good.select("tx", *[c for c in ("i", "n", "data", "arrival") if c in packets.columns])
     mode = "ProcessingTime" if timeout_ms else "None"
     return good.groupBy("tx").transformWithStateInPandas(_Transfer(timeout_ms), "tx string, progress double, payload string", "Update", mode)
 
