@@ -1,11 +1,14 @@
 """Streaming operators against their batch twins, over several micro-batches."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
+from vellumspark.functions import text as tx
 from vellumspark.operators import notes as no
 from vellumspark.operators import postings
 from vellumspark.operators import toolog as tl
 from vellumspark.operators.search import tokenise
+from vellumspark.session import ship
 from vellumspark.streaming import jobs
 
 
@@ -95,3 +98,20 @@ def test_whole_transfers_are_one_value(spark, tmp_path):
             have = held[tx]
             expected[e, tx] = (len(have) * 100.0 / n, "".join(have[k] for k in range(n)) if all(k in have for k in range(n)) else None)
     assert {(r.e, r.tx): (r.progress, r.payload) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == expected
+
+
+def test_packet_checksums_are_the_checksums(spark, monkeypatch):
+    texts = ["", None, "a", "é😀|" * 300, "x" * 512, "\x00\x00", "tail\x00", "￿"] + ["w" * (k % 40) for k in range(200)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, data string").coalesce(1)
+    ship(spark)
+    both = rows.select("id", tx.checksum(F.col("data")).alias("old"), tx.packet_checksum(F.col("data")).alias("new")).collect()
+    assert len(both) == len(texts) and all(r.old == r.new for r in both)
+    monkeypatch.setattr(tx, "_CELLS", 700)  # blocks of few texts, and texts longer than a block
+    raw = pd.Series([None if t is None else t.encode("utf-32-be") for t in texts])
+    assert tx._checksums(raw).tolist() == [r.old for r in sorted(both)]
+    assert tx._checksums(raw[:0]).tolist() == []
+
+
+def test_packets_of_a_stream_are_checked_in_blocks(spark, tmp_path):
+    stream = source(spark, [[("t", 0, 1, "0", "a")]], "tx string, i int, n int, checksum string, data string", str(tmp_path))
+    assert "aggregate(" not in jobs.stream_reassemble(stream)._jdf.queryExecution().analyzed().toString()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from vellumspark.functions.text import checksum
+from vellumspark.functions.text import packet_checksum
 from vellumspark.operators import postings
 from vellumspark.session import ship
 
@@ -109,7 +109,7 @@ def stream_reassemble(packets: DataFrame, timeout_ms: int | None = None) -> Data
     highest ``arrival`` stays, where there is such a column. The state of a transfer stays for ever,
     or until it got no packet for ``timeout_ms``.
     """
-    good = _keyed(packets).where(checksum(F.col("data")) == F.col("checksum")).withColumn("tx", F.col("tx").cast("string"))
+    good = _keyed(packets).where(packet_checksum(F.col("data")) == F.col("checksum")).withColumn("tx", F.col("tx").cast("string"))
     good = good.select("tx", *[c for c in ("i", "n", "data", "arrival") if c in packets.columns])
     mode = "ProcessingTime" if timeout_ms else "None"
     return good.groupBy("tx").transformWithStateInPandas(_Transfer(timeout_ms), "tx string, progress double, payload string", "Update", mode)
