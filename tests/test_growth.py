@@ -140,3 +140,52 @@ def test_a_tree_is_parsed_once_and_levels_that_hold_nothing_are_not_walked(spark
     assert "parse_json" not in rows._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.path, r.value) for r in rows.collect()) == [("$.a", None), ("$.a[0]", "1"), ("$.a[1]", None), ("$.a[1].text", "x")]
     assert rejects.count() == 0
+
+
+def _pages_of_boxes(seed, pages=300):
+    """Pages of boxes that overlap, repeat, lie on one side or touch, some without any."""
+    import random
+
+    rng = random.Random(seed)
+    made = []
+    for _ in range(pages):
+        step, spread = rng.choice([(1, 60), (4, 90), (12, 200)]), rng.choice([(0, 590), (0, 250), (310, 590)])
+        boxes = []
+        for _ in range(rng.choice([0, 1, 2, 9, 30, 70])):
+            low, x = step[0] * rng.randrange(step[1] // step[0]), rng.randrange(*spread) * rng.choice([1.0, 1.0, 0.5])
+            boxes.append((x, float(low), x + rng.choice([5.0, 40.0]), low + rng.choice([10.0, 10.0, 22.0, 7.5])))
+        made.append(boxes)
+    return made
+
+
+def test_pages_are_read_many_at_once(monkeypatch):
+    """The tokens of many pages are read together, none page by page, and in the order of the fold over one page."""
+    import pyarrow as pa
+
+    from vellumspark.operators import reflow as rf
+
+    for tolerance in (8.0, 3.0, 0.0):
+        pages = _pages_of_boxes(int(tolerance))
+        expected = [[(i, c, n, k, str(i)) for k, (i, c, n) in enumerate(rf._order(boxes, 300.0, tolerance))] for boxes in pages]
+        tokens = [[dict(zip(("left", "bottom", "right", "top"), box, strict=True)) | {"text": str(i)} for i, box in enumerate(boxes)] for boxes in pages]
+        batch = pa.RecordBatch.from_pydict({"document_id": ["d"] * len(pages), "page": list(range(len(pages))), "tokens": tokens})
+        with monkeypatch.context() as patch:
+            patch.setattr(rf, "_order", None)
+            at, words = rf._read(batch.slice(3), 300.0, tolerance)
+        rows = list(zip(*[w.to_pylist() for w in words], strict=True))
+        assert [rows[a:b] for a, b in zip(at, at[1:], strict=False)] == expected[3:]
+    one = pa.RecordBatch.from_pydict({"document_id": ["d", "d"], "page": [1, 2], "tokens": [None, [{"left": 1.0, "bottom": float("nan"), "right": 2.0, "top": 3.0, "text": "x"}]]})
+    assert [w.to_pylist() for w in rf._read(one, 300.0, 8.0)[1]] == [[0], [0], [0], [0], ["x"]]
+
+
+def test_texts_of_pages_take_no_rows_of_words(spark, sf):
+    """Texts leave the task that reads the characters; no glyph, token or word passes through the JVM."""
+    from vellumspark.operators import reflow as rf
+    from vellumspark.plans import records
+
+    plan = records.QUERIES["p9_page_text"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "array_join(words" not in plan and "named_struct" not in plan and plan.count("MapInArrow") == 1
+    boxes = "array<struct<left:double,bottom:double,right:double,top:double,text:string>>"
+    pages = spark.createDataFrame([("a", 1, [(50.0, 0.0, 60.0, 9.0, "b"), (1.0, 0.0, 9.0, 9.0, "a"), (70.0, 1.0, 75.0, 9.0, None)]), ("a", 2, []), ("b", 1, None)], f"document_id string, page int, tokens {boxes}")
+    images = spark.createDataFrame([("a", 1, "u"), ("c", 3, "v")], "document_id string, page int, uri string")
+    assert {tuple(r) for r in rf.read_text(pages, images).collect()} == {("a", 1, "a b [Image: u]"), ("c", 3, "[Image: v]")}

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -167,6 +167,103 @@ def scroll_action(events: DataFrame) -> DataFrame:
 
 #: Fields of a token of a page.
 TOKEN = ("left", "bottom", "right", "top", "font_size", "text")
+_TOKEN = "left double, bottom double, right double, top double, font_size double, text string"
+#: Pages that a task works on at once.
+PAGES = 1024
+#: Bytes that separate tokens.
+_BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\f\r"))
+
+#: A step of a task: from one batch of pages to the next. Steps that follow each other in one task cost no way through the JVM.
+Step = Callable[[pa.RecordBatch], pa.RecordBatch]
+
+
+def _in_tasks(pages: DataFrame, steps: tuple[Step, ...], more: str) -> DataFrame:
+    """[document_id, page, ``more``] of pages that pass through all steps of a task, some at a time."""
+    ship(pages.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, PAGES):
+                batch = whole.slice(at, PAGES)
+                for step in steps:
+                    batch = step(batch)
+                yield batch
+
+    kinds = dict(pages.dtypes)
+    return pages.mapInArrow(run, f"document_id {kinds['document_id']}, page {kinds['page']}, {more}")
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, bytes) of a column of texts, the first offset being 0."""
+    texts = texts.cast(pa.string())
+    if not len(texts):
+        return np.zeros(1, np.int32), np.zeros(0, np.uint8)
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    return at - at[0], np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data else np.zeros(0, np.uint8)
+
+
+def joined_texts(at: np.ndarray, data: np.ndarray) -> pa.Array:
+    """Texts from one offset of the bytes to the next."""
+    return pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(np.ascontiguousarray(at, np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
+
+
+def _lists(lists: pa.ListArray) -> tuple[pa.StructArray, np.ndarray]:
+    """What the lists of a column hold, and the place where each starts; a null list holds nothing."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return lists.flatten(), np.append(0, np.cumsum(sizes))
+
+
+def _doubles(c: pa.Array) -> np.ndarray:
+    """Numbers of a column, null as NaN."""
+    return c.cast(pa.float64()).to_numpy(zero_copy_only=False)
+
+
+def _pages_of(batch: pa.RecordBatch, at: np.ndarray) -> list[pa.Array]:
+    """document_id and page of every row of the pages' lists."""
+    own = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(at)))
+    return [batch.column("document_id").take(own), batch.column("page").take(own)]
+
+
+def tokens_of(batch: pa.RecordBatch, max_tokens: int = 1000) -> pa.RecordBatch:
+    """The step of :func:`page_tokens`."""
+    glyphs, page_at = _lists(batch.column("glyphs"))
+    glyph = glyphs.field("glyph").cast(pa.string())
+    offsets, data = text_bytes(glyph)
+    size = np.diff(offsets)
+    white = np.append(_BLANK[data], True)[offsets[:-1]]
+    blank = (size == 0) | white & (size == 1) | glyph.is_null().to_numpy(zero_copy_only=False)
+    for i in np.flatnonzero(white & (size > 1)):
+        blank[i] = not glyph[int(i)].as_py().strip(" \t\n\x0b\f\r")
+    # a token starts at a glyph behind white space or at a page's start
+    begins = np.append(True, blank[:-1])[: len(blank)]
+    begins[page_at[:-1][page_at[:-1] < len(blank)]] = True
+    own = np.flatnonzero(~blank)
+    first = np.flatnonzero(begins[own])
+    many = np.diff(np.append(first, len(own)))
+    page = np.searchsorted(page_at, own[first], side="right") - 1
+    held = np.bincount(page, minlength=batch.num_rows)
+    if len(held) and held.max() > max_tokens:
+        stays = np.arange(len(first)) - (np.cumsum(held) - held)[page] < max_tokens
+        own, many = own[np.repeat(stays, many)], many[stays]
+        first, held = np.cumsum(many) - many, np.minimum(held, max_tokens)
+
+    def edge(name: str, least: bool) -> pa.Array:
+        values = glyphs.field(name)
+        pick = np.fmin if least else np.fmax if values.null_count else np.maximum
+        found = pick.reduceat(_doubles(values)[own], first) if len(first) else np.zeros(0)
+        return pa.array(found, from_pandas=bool(values.null_count))
+
+    kept, data = text_bytes(glyph.take(pa.array(own)))
+    fields = [edge("left", True), edge("bottom", True), edge("right", False), edge("top", False), glyphs.field("font_size").cast(pa.float64()).take(pa.array(own[first + many - 1])), joined_texts(np.append(kept[first], kept[-1]), data)]
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(held)), pa.int32()), pa.StructArray.from_arrays(fields, names=list(TOKEN)))
+    return pa.RecordBatch.from_arrays([batch.column("document_id"), batch.column("page"), lists], names=["document_id", "page", "tokens"])
+
+
+def _rows_of_tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
+    tokens, at = _lists(batch.column("tokens"))
+    number = np.arange(len(tokens)) - np.repeat(at[:-1], np.diff(at))
+    return pa.RecordBatch.from_arrays([*_pages_of(batch, at), pa.array(number, pa.int32()), *[tokens.field(c) for c in TOKEN]], names=["document_id", "page", "token_no", *TOKEN])
 
 
 def page_tokens(pages: DataFrame, max_tokens: int = 1000) -> DataFrame:
@@ -176,23 +273,12 @@ def page_tokens(pages: DataFrame, max_tokens: int = 1000) -> DataFrame:
     union of its glyphs', its font size that of the last one. Pages are bounded, so a page is a
     row from its glyphs to its text, and nothing is shuffled; the first ``max_tokens`` tokens stay.
     """
-    one = pages.select("document_id", "page", "glyphs", F.transform("glyphs", lambda g: F.translate(g["glyph"], " \t\n\x0b\f\r", "") == "").alias("_blank"))
-    edge = F.expr("filter(sequence(0, size(_blank)), i -> coalesce(get(_blank, i - 1), true) <> coalesce(get(_blank, i), true))")
-    one = one.withColumn("_edge", edge)
-
-    def union(own: Column) -> Column:
-        return F.struct(
-            F.array_min(own["left"]).alias("left"), F.array_min(own["bottom"]).alias("bottom"), F.array_max(own["right"]).alias("right"), F.array_max(own["top"]).alias("top"),
-            F.element_at(own, -1)["font_size"].alias("font_size"), F.array_join(own["glyph"], "").alias("text"),
-        )
+    return _in_tasks(pages.select("document_id", "page", "glyphs"), (partial(tokens_of, max_tokens=max_tokens),), f"tokens array<struct<{_TOKEN.replace(' ', ':').replace(',:', ', ')}>>")
 
-    def token(k: Column) -> Column:
-        a, b = F.get("_edge", k * 2), F.get("_edge", k * 2 + 1)
-        return F.transform(F.array(F.slice("glyphs", a + 1, b - a)), union)[0]
 
-    count = F.least((F.size("_edge") / 2).cast("int"), F.lit(max_tokens))
-    # no filter on the edges: it would be pushed down and find them a second time
-    return one.select("document_id", "page", F.transform(F.slice(F.sequence(F.lit(0), count), F.lit(1), count), token).alias("tokens"))
+def page_token_rows(pages: DataFrame, before: tuple[Step, ...] = ()) -> DataFrame:
+    """Rows of :func:`page_tokens` as :func:`token_rows` has them; the steps ``before`` make the pages' glyphs in the same task."""
+    return _in_tasks(pages, (*before, tokens_of, _rows_of_tokens), f"token_no int, {_TOKEN}")
 
 
 def token_rows(pages: DataFrame) -> DataFrame:
@@ -248,55 +334,114 @@ def _order(boxes: list[tuple[float, float, float, float]], mid: float, tolerance
     return found
 
 
-#: A word of a page that is read.
-_WORD = pa.struct([("token_no", pa.int32()), ("column", pa.int32()), ("line", pa.int32()), ("rank", pa.int32()), ("text", pa.string())])
-
-
-def read_pages(pages: DataFrame, page_width: float = 600.0, tolerance: float = 8.0) -> DataFrame:
-    """[document_id, page, words] of pages with tokens: (token_no, column, line, rank, text) in reading order.
-
-    An order-dependent fold over each page, a row at a time; pages are bounded by :func:`page_tokens`.
-    A token may bring its own ``token_no``; else its place in the array is its number.
+def _turns(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Groups from the largest, and how many of them have a k-th member, for all k from 0."""
+    by = np.argsort(-size, kind="stable")
+    return by, np.searchsorted(-size[by], -np.arange(size.max(initial=0)))
+
+
+def _two_columns(at: np.ndarray, boxes: list[np.ndarray], mid: float, tolerance: float) -> np.ndarray:
+    """For many pages at once, whether most lines of a page keep to one side; tokens come down from the highest bottom."""
+    by, turns = _turns(np.diff(at))
+    start, pages, most = at[:-1][by], np.arange(len(by)), 16
+    # of a page's lines: left, bottom, right, top and centre; what is no line yet is hit by no token
+    lines = [np.full((len(by), most), fill) for fill in (np.inf, np.inf, -np.inf, -np.inf, np.inf)]
+    count = np.zeros(len(by), np.int64)
+    for k, n in enumerate(turns):
+        a, b, c, d = (side[start[:n] + k] for side in boxes)
+        hits = np.abs(lines[4][:n] - ((b + d) / 2)[:, None]) < tolerance
+        own = hits.argmax(axis=1)
+        none = ~hits[pages[:n], own]
+        own[none] = count[:n][none]
+        count[:n] += none
+        if count[:n].max() > most:
+            lines = [np.pad(x, ((0, 0), (0, most)), constant_values=fill) for x, fill in zip(lines, (np.inf, np.inf, -np.inf, -np.inf, np.inf), strict=True)]
+            most *= 2
+        cell = pages[:n] * most + own
+        left, bottom, right, top, centre = (x.reshape(-1) for x in lines)
+        left[cell], right[cell] = np.minimum(left[cell], a), np.maximum(right[cell], c)
+        bottom[cell], top[cell] = low, high = np.minimum(bottom[cell], b), np.maximum(top[cell], d)
+        centre[cell] = (low + high) / 2
+    aside = (((lines[2] < mid) | (lines[0] > mid)) & (np.arange(most) < count[:, None])).sum(axis=1)
+    two = np.zeros(len(by), bool)
+    two[by] = aside > 2 * (count - aside)
+    return two
+
+
+def _line_numbers(size: np.ndarray, centre: np.ndarray, tolerance: float) -> np.ndarray:
+    """Number of the line of every token of columns, each with its tokens from the highest centre: a line is as near as the tolerance to its first token."""
+    by, turns = _turns(size)
+    start, head, row = (np.cumsum(size) - size)[by], np.full(len(size), np.nan), np.full(len(size), -1, np.int64)
+    line = np.empty(len(centre), np.int64)
+    for k, n in enumerate(turns):
+        c = centre[start[:n] + k]
+        fresh = ~(np.abs(head[:n] - c) < tolerance)
+        np.copyto(head[:n], c, where=fresh)
+        row[:n] += fresh
+        line[start[:n] + k] = row[:n]
+    return line
+
+
+def _read(batch: pa.RecordBatch, mid: float, tolerance: float) -> tuple[np.ndarray, list[pa.Array]]:
+    """Where each page's words start, and (token_no, column, line, rank, text) of all words in reading order.
+
+    It does what :func:`_order` does with one page, the k-th tokens of many pages at once. Pages that lack a number are left to :func:`_order`.
     """
-    ship(pages.sparkSession)
-    mid = page_width / 2
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("tokens")
-            tokens, at = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            boxes = list(zip(*[tokens.field(c).to_pylist() for c in ("left", "bottom", "right", "top")], strict=True))
-            place, column, line, rank = [], [], [], []
-            for a, b in itertools.pairwise(at.tolist()):
-                found = _order(boxes[a:b], mid, tolerance)
-                place.extend(a + i for i, _, _ in found)
-                column.extend(c for _, c, _ in found)
-                line.extend(n for _, _, n in found)
-                rank.extend(range(len(found)))
-            place = np.array(place, dtype=np.int64)
-            own = tokens.field("token_no").take(pa.array(place)) if tokens.type.get_field_index("token_no") >= 0 else pa.array(place - np.repeat(at[:-1], np.diff(at)), pa.int32())
-            fields = [own, pa.array(column, pa.int32()), pa.array(line, pa.int32()), pa.array(rank, pa.int32()), tokens.field("text").take(pa.array(place))]
-            words = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(_WORD)))
-            yield pa.RecordBatch.from_arrays([batch.column("document_id"), batch.column("page"), words], names=["document_id", "page", "words"])
-
-    schema = "document_id string, page int, words array<struct<token_no int, column int, line int, rank int, text string>>"
-    return pages.select("document_id", "page", "tokens").mapInArrow(run, schema)
-
-
-def word_rows(read: DataFrame) -> DataFrame:
-    """[document_id, page, token_no, column, line, rank, text] of pages that are read."""
-    return read.select("document_id", "page", F.explode_outer("words").alias("w")).where("w IS NOT NULL").select("document_id", "page", "w.*")
+    tokens, at = _lists(batch.column("tokens"))
+    n = len(tokens)
+    page = np.repeat(np.arange(batch.num_rows), np.diff(at))
+    left, bottom, right, top = boxes = [_doubles(tokens.field(c)) for c in ("left", "bottom", "right", "top")]
+    down = np.lexsort((-bottom, page))
+    two = _two_columns(at, [side[down] for side in boxes], mid, tolerance)
+    column = (two[page] & ((left + right) / 2 >= mid)).astype(np.int64)
+    strip, centre = page * 2 + column, (bottom + top) / 2
+    down = np.lexsort((-centre, strip))
+    line = _line_numbers(np.bincount(strip, minlength=2 * batch.num_rows), centre[down], tolerance)
+    across = np.lexsort((left[down], line, strip[down]))
+    place, line = down[across], line[across]
+    column = column[place]
+    for k in np.unique(page[np.isnan(left) | np.isnan(centre) | np.isnan(right)]):
+        a, b = at[k], at[k + 1]
+        found = _order(list(zip(*[side[a:b].tolist() for side in boxes], strict=True)), mid, tolerance)
+        place[a:b], column[a:b], line[a:b] = np.array(found, np.int64).T + [[a], [0], [0]]
+    own = pa.array(place)
+    number = tokens.field("token_no").take(own) if tokens.type.get_field_index("token_no") >= 0 else pa.array(place - at[page], pa.int32())
+    return at, [number.cast(pa.int32()), pa.array(column, pa.int32()), pa.array(line, pa.int32()), pa.array(np.arange(n) - at[page], pa.int32()), tokens.field("text").take(own)]
+
+
+def _rows_of_words(batch: pa.RecordBatch, mid: float, tolerance: float) -> pa.RecordBatch:
+    at, words = _read(batch, mid, tolerance)
+    return pa.RecordBatch.from_arrays([*_pages_of(batch, at), *words], names=["document_id", "page", "token_no", "column", "line", "rank", "text"])
+
+
+def _text_of_words(batch: pa.RecordBatch, mid: float, tolerance: float) -> pa.RecordBatch:
+    at, words = _read(batch, mid, tolerance)
+    has, text = pa.array(np.diff(at) > 0), words[-1].cast(pa.string())
+    known = np.append(0, np.cumsum(text.is_valid().to_numpy(zero_copy_only=False)))
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(known[at], pa.int32()), text.drop_null()), " ")
+    return pa.RecordBatch.from_arrays([batch.column("document_id"), batch.column("page"), joined], names=["document_id", "page", "words"]).filter(has)
+
+
+def read_words(pages: DataFrame, page_width: float = 600.0, tolerance: float = 8.0, before: tuple[Step, ...] = ()) -> DataFrame:
+    """[document_id, page, token_no, column, line, rank, text] of pages with tokens, which are read in two columns where most lines keep to one side.
+
+    A page is a row and is read by itself; pages are bounded by :func:`page_tokens`. The steps ``before`` make its tokens in
+    the same task. A token may bring its own ``token_no``; else its place in the array is its number.
+    """
+    steps = (*before, partial(_rows_of_words, mid=page_width / 2, tolerance=tolerance))
+    return _in_tasks(pages, steps, "token_no int, column int, line int, rank int, text string")
 
 
 def reading_order(tokens: DataFrame, page_width: float = 600.0, tolerance: float = 8.0) -> DataFrame:
     """[document_id, page, token_no, column, line, rank, text]: two columns are read one after the other."""
     own = F.array_sort(F.collect_list(F.struct(F.col("token_no").cast("int").alias("token_no"), "left", "bottom", "right", "top", "text")))
-    return word_rows(read_pages(tokens.groupBy("document_id", "page").agg(own.alias("tokens")), page_width, tolerance))
+    return read_words(tokens.groupBy("document_id", "page").agg(own.alias("tokens")), page_width, tolerance)
 
 
-def read_text(read: DataFrame, images: DataFrame) -> DataFrame:
-    """[document_id, page, text] of pages that are read: their words in order, then the page's images."""
-    return _with_images(read.where(F.size("words") > 0).select("document_id", "page", F.array_join(F.col("words")["text"], " ").alias("words")), images)
+def read_text(pages: DataFrame, images: DataFrame, page_width: float = 600.0, tolerance: float = 8.0, before: tuple[Step, ...] = ()) -> DataFrame:
+    """[document_id, page, text] of pages as in :func:`read_words`: their words in order, then the page's images."""
+    steps = (*before, partial(_text_of_words, mid=page_width / 2, tolerance=tolerance))
+    return _with_images(_in_tasks(pages, steps, "words string"), images)
 
 
 def page_text(ordered: DataFrame, images: DataFrame) -> DataFrame:
