@@ -189,3 +189,38 @@ def test_texts_of_pages_take_no_rows_of_words(spark, sf):
     pages = spark.createDataFrame([("a", 1, [(50.0, 0.0, 60.0, 9.0, "b"), (1.0, 0.0, 9.0, 9.0, "a"), (70.0, 1.0, 75.0, 9.0, None)]), ("a", 2, []), ("b", 1, None)], f"document_id string, page int, tokens {boxes}")
     images = spark.createDataFrame([("a", 1, "u"), ("c", 3, "v")], "document_id string, page int, uri string")
     assert {tuple(r) for r in rf.read_text(pages, images).collect()} == {("a", 1, "a b [Image: u]"), ("c", 3, "[Image: v]")}
+
+
+def test_words_and_tokens_of_pages_are_rows_of_one_task(spark, sf):
+    """Rows of words and tokens come out of the task that reads the characters: no expression for every glyph and no arrays taken apart."""
+    from vellumspark.plans import records
+
+    for name in ("p8_reading_order", "p7_all_pages"):
+        plan = records.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and plan.count("Generate") == 1 and "lambda" not in plan
+
+
+def test_tokens_of_pages_match_a_loop():
+    """Tokens of many pages at once: white space of several characters, no glyph, empty pages, and the cap of a page."""
+    import random
+
+    import pyarrow as pa
+
+    from vellumspark.operators import reflow as rf
+
+    rng = random.Random(4)
+    kinds = ["a", "é", "😀", "ab", " x", " ", "\n", "\x0b", " \t", "", None, " "]
+    pages = [[{"glyph": rng.choice(kinds), "left": rng.random(), "bottom": rng.random(), "right": rng.random(), "top": rng.random(), "font_size": float(k)} for k in range(rng.choice([0, 1, 5, 40]))] for _ in range(200)]
+    batch = pa.RecordBatch.from_pydict({"document_id": ["d"] * 200, "page": list(range(200)), "glyphs": pages})
+    for cap in (1000, 3):
+        found = rf.tokens_of(batch.slice(1), cap).column("tokens").to_pylist()
+        for page, tokens in zip(pages[1:], found, strict=True):
+            runs, last = [], True
+            for g in page:
+                blank = not (g["glyph"] or "").strip(" \t\n\x0b\f\r")
+                if not blank:
+                    runs = [*runs, []] if last else runs
+                    runs[-1].append(g)
+                last = blank
+            edges = [("left", min), ("bottom", min), ("right", max), ("top", max)]
+            assert tokens == [{side: pick(g[side] for g in run) for side, pick in edges} | {"font_size": run[-1]["font_size"], "text": "".join(g["glyph"] for g in run)} for run in runs[:cap]]
